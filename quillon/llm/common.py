@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,25 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def held_out_py(doc_id: object, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
+
+
+class Remembered(dict):
+    """What `make` gave for a key, kept for between `size` and 2 * `size` latest keys.
+
+    Keys longer than `longest` are computed each time, so memory is bounded.
+    """
+
+    def __init__(self, make: Callable, size: int, longest: int = 48):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = got
+        return got
