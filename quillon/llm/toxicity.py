@@ -8,7 +8,8 @@ shares their vectors.
 
 A few insults in a long text would drown in one mean, so a text is scored as its
 worst passage of PASSAGE consecutive words (all of them are looked at), and
-training takes each text's worst passage under the present model.
+training takes each text's worst passage under the present model. A word counts
+where it first stands: a line that a text repeats says no more than once.
 
 Between n-grams and logit all is linear, so a trained model is one number for
 each hash bucket and a text needs one lookup for each word.
@@ -48,6 +49,11 @@ def grams(word: str) -> list[int]:
     return out
 
 
+def sequence(text: str | None) -> list[str]:
+    """The distinct words of a text, in order of their first places."""
+    return list(dict.fromkeys((text or "").lower().split()))
+
+
 def _best(scores: np.ndarray) -> tuple[int, float]:
     """Start and mean of the highest-scoring passage."""
     if len(scores) <= PASSAGE:
@@ -66,7 +72,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 0.3
         share = (y.sum() + 1) / (len(y) + 2)
         return weight, math.log(share / (1 - share))
     nr: dict[str, int] = {}
-    docs = [np.array([nr.setdefault(w, len(nr)) for w in (t or "").lower().split()], dtype=np.int64) for t in texts]
+    docs = [np.array([nr.setdefault(w, len(nr)) for w in sequence(t)], dtype=np.int64) for t in texts]
     bags = [grams(w) for w in nr]
     size = np.array([len(b) for b in bags])
     flat = np.fromiter((g for b in bags for g in b), dtype=np.int64, count=int(size.sum()))
@@ -154,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
         for batch in texts:
             out = []
             for text in batch:
-                each = (text or "").lower().split()
+                each = sequence(text)
                 logit = bias + _best(np.fromiter(map(look, each), np.float64, len(each)))[1]
                 out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))))
             yield pd.Series(out, dtype="float64")
