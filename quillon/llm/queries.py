@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sentencepiece_bpe, sharding, toxicity
+from . import language_id, media, mixing, sentencepiece_bpe, sharding, toxicity
 from .common import held_out, table
 
 
@@ -20,6 +20,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.to_media(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -38,7 +48,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op8_toxicity, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
