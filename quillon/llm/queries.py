@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, mixing, sentencepiece_bpe, sharding, toxicity
+from . import language_id, language_model, media, mixing, sentencepiece_bpe, sharding, toxicity
 from .common import held_out, table
 
 
@@ -47,8 +47,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.log_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:

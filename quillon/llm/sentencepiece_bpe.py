@@ -33,7 +33,7 @@ from .common import Remembered
 
 MARK = "▁"
 #: Chunks and pairs that a worker remembers, twice over (see Remembered).
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 class Encoder:
@@ -60,6 +60,7 @@ class Encoder:
             self.automaton.add_word(p, self.id[p])
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.piece]
+        self.text = [str(i) for i in range(len(self.piece))]
         ids = {p: self.id[p] for p in sound}
         # The next shorter piece that a piece begins with, -1: none.
         self.shorter = [-1] * len(self.piece)
@@ -88,19 +89,18 @@ class Encoder:
 
     def _run(self, text: str) -> list[int]:
         """Encode a run of known characters."""
-        fits, length = self.fits, self.length
-        greedy = [i for _, i in self.automaton.iter_long(text)]
-        if all(map(fits.__getitem__, zip(greedy, greedy[1:]))):
-            return greedy
-        longest = [0] * len(text)
-        size = [0] * len(text)
-        for end, i in self.automaton.iter(text):
-            start = end + 1 - length[i]
-            if length[i] > size[start]:
-                size[start], longest[start] = length[i], i
-        shorter, out, at, n = self.shorter, [], 0, len(text)
+        fits, length, longest = self.fits, self.length, self.automaton.iter_long
+        out = [i for _, i in longest(text)]
+        for k in range(1, len(out)):
+            if not fits[out[k - 1], out[k]]:
+                break
+        else:
+            return out
+        # The longest matches up to here fit; go on from the first that doesn't.
+        token, shorter, n = out[k], self.shorter, len(text)
+        del out[k:]
+        at = sum([length[i] for i in out])
         open_ = bytearray(b"\1") * (n + 1)  # positions from which nothing has failed yet
-        token = longest[0]
         while at < n:
             last = out[-1] if out else -1
             while token >= 0 and not (open_[at + length[token]] and (last < 0 or fits[last, token])):
@@ -108,7 +108,7 @@ class Encoder:
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                token = next(longest(text[at:]))[1] if at < n else -1
             elif last < 0:
                 raise ValueError("no encoding found")
             else:
@@ -120,7 +120,7 @@ class Encoder:
 
     def _part(self, text: str) -> tuple[tuple[int, ...], str]:
         ids = self._run(text) if text[0] in self.known else [self.byte[b] for b in text.encode()]
-        return tuple(ids), ",".join(map(str, ids))
+        return tuple(ids), ",".join([self.text[i] for i in ids])
 
     def _chunk(self, text: str) -> tuple[tuple[int, ...], str]:
         inside = self.inside
