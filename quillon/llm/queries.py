@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, language_model, media, mixing, sentencepiece_bpe, sharding, toxicity
+from . import language_id, language_model, media, mixing, ngram_join, sentencepiece_bpe, sharding, toxicity
 from .common import held_out, table
 
 
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = ngram_join.join(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit(docs))
@@ -52,7 +57,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece, op10_language_model)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
