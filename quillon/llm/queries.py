@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, language_model, media, mixing, ngram_join, sentencepiece_bpe, sharding, toxicity
+from . import language_id, language_model, media, mixing, neighbours, ngram_join, sentencepiece_bpe, sharding, toxicity
 from .common import held_out, table
 
 
@@ -35,6 +35,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -57,7 +61,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op6_media, op8_toxicity, op9_sentencepiece, op10_language_model)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op6_media, op7_neighbours, op8_toxicity, op9_sentencepiece, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:

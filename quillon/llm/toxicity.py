@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, held_out
 
 #: Labelled rows of each class that training takes at most, by hash of the id.
-SAMPLE = 3000
+SAMPLE = 1500
 PASSAGE = 32
 BUCKETS = 1 << 17
 DIMS = 8
@@ -72,25 +73,29 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 0.3
         share = (y.sum() + 1) / (len(y) + 2)
         return weight, math.log(share / (1 - share))
     nr: dict[str, int] = {}
-    docs = [np.array([nr.setdefault(w, len(nr)) for w in sequence(t)], dtype=np.int64) for t in texts]
-    bags = [grams(w) for w in nr]
-    size = np.array([len(b) for b in bags])
-    flat = np.fromiter((g for b in bags for g in b), dtype=np.int64, count=int(size.sum()))
+    docs = [np.array([nr.setdefault(w, len(nr)) for w in sequence(t)], dtype=np.int32) for t in texts]
+    ids, size = array("i"), np.zeros(len(nr), np.int64)
+    for k, w in enumerate(nr):
+        before = len(ids)
+        ids.extend(grams(w))
+        size[k] = len(ids) - before
+    del nr
+    flat = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
     start = np.concatenate(([0], np.cumsum(size)))
-    owner = np.repeat(np.arange(len(bags)), size)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1, 1, (BUCKETS, DIMS)) / DIMS
+    vectors = (rng.uniform(-1, 1, (BUCKETS, DIMS)) / DIMS).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIMS, 2))
     bias = np.zeros(2)
-    past_v, past_s, past_b = np.full((BUCKETS, DIMS), 1e-8), np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
+    past_v, past_s, past_b = np.full((BUCKETS, DIMS), 1e-8, np.float32), np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
     share = np.maximum(size, 1)
     classes = np.where(y[:, None] == [0, 1], 1.0, 0.0)
     for turn in range(rounds):
         logit = vectors @ (soft[:, 1] - soft[:, 0])
-        word = np.bincount(owner, logit[flat], len(bags)) / share
+        word = np.bincount(owner, logit[flat], len(size)) / share
         # At first any passage may hold the insult, so the first turns take the whole text.
         parts = [d if turn < 2 else d[(at := _best(word[d])[0]) : at + PASSAGE] for d in docs]
-        for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
+        for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 32)):
             words = np.concatenate([parts[i] for i in some])
             if not len(words):
                 continue
@@ -101,7 +106,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 0.3
             ids, text = flat[at], np.repeat(of, n)
             part = 1.0 / np.repeat(share[words] * length[of], n)
             # Sparse text-by-bucket matrix, summed by (text, bucket).
-            key, back = np.unique(text * BUCKETS + ids, return_inverse=True)
+            key, back = np.unique(text.astype(np.int64) * BUCKETS + ids, return_inverse=True)
             value = np.bincount(back, part)
             row, col = key // BUCKETS, key % BUCKETS
             mean = np.stack([np.bincount(row, value * vectors[col, d], len(some)) for d in range(DIMS)], 1)
