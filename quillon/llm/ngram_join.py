@@ -38,7 +38,7 @@ from .language_model import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 LOCAL_HOT = 64
 #: Postings that a scanning task holds at once.
-CHUNK = 6_000_000
+CHUNK = 1_500_000
 #: Rank of n-grams that are hot in some chunk.
 HOT = (1 << 62) - 1
 #: Parts by which the suffix filter compares two sets.

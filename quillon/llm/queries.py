@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, language_model, media, mixing, neighbours, ngram_join, sentencepiece_bpe, sharding, toxicity
+from . import language_id, language_model, media, mixing, neighbours, ngram_join, quotes, sentencepiece_bpe, sharding, toxicity
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.to_media(table(spark, sf_dir, "documents")))
 
@@ -61,8 +65,8 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op6_media, op7_neighbours, op8_toxicity, op9_sentencepiece, op10_language_model)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op5_quotes, op6_media, op7_neighbours, op8_toxicity, op9_sentencepiece, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op5_quotes": quotes.ORACLE}
