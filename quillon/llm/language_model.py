@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, held_out, materialise, shuffle_partitions
+from .packed import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 #: Bytes of context.
 DEPTH = 5
@@ -47,22 +47,6 @@ _LN10, _LN2 = math.log(10), math.log(2)
 _MASK = [(1 << 8 * d) - 1 for d in range(9)]
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def loosen(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def squeeze_sorted(keys: np.ndarray) -> bytes:
-    return squeeze(np.diff(keys, prepend=np.uint64(0)))
-
-
-def loosen_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(loosen(data, "<u8"), dtype=np.uint64)
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
     if not len(keys):
@@ -327,7 +311,7 @@ def log_scores(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPT
     bit has probability one half. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held_out(F.col(id_col), folds, fold).alias("_out"))
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), held_out(F.col(id_col), folds, fold).alias("_out"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-size // BLOCK))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_id", F.length("_text"), F.substring("_text", 1, 64)), F.lit(blocks)).cast("int"))
@@ -401,12 +385,13 @@ def log_scores(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPT
             parts.append(pd.DataFrame({"n_tokens": n, "n_known": known, "base_score": base, "score": score, "n_bytes": [len(t) for t in texts]}))
             texts, size = [], 0
         out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score", "n_bytes"])
-        out.insert(0, id_col, docs["_id"].to_numpy())
+        out.insert(0, "_id", docs["_id"].to_numpy())
         out.insert(1, "held_out", docs["_out"].to_numpy())
         out["train_tokens"] = total
         out["bits_per_byte"] = -out["score"] * _LN10 / _LN2 / (out["n_bytes"] + 1)
-        return out[[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]]
+        return out[["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return rows.withColumnRenamed("_block", "block").groupBy("block").cogroup(table.groupBy("block")).applyInPandas(scores, schema)
+    # Ids as text, so that pandas doesn't turn those with nulls among them into doubles.
+    kind = docs.schema[id_col].dataType
+    schema = "_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+    return rows.withColumnRenamed("_block", "block").groupBy("block").cogroup(table.groupBy("block")).applyInPandas(scores, schema).withColumn("_id", F.col("_id").cast(kind)).withColumnRenamed("_id", id_col)

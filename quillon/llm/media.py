@@ -103,14 +103,14 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     becomes one unit of spaces. Equal texts give equal values; repeated rows get
     a row each; an empty table gives no rows; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [id_col, *(c.split()[0] for c in SCHEMA.split(", "))]
+        names = ["_id", *(c.split()[0] for c in SCHEMA.split(", "))]
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part, rows = batch.iloc[at : at + ROWS], []
-                for key, text in zip(part[id_col], part["_text"], strict=True):
+                for key, text in zip(part["_id"], part["_text"], strict=True):
                     data = (text or "").encode()
                     media = to_wav(pad(data))
                     payload = from_wav(media)
@@ -118,7 +118,9 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     rows.append((key, len(data), media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), -(-len(samples) // HOP), fingerprints(samples)))
                 yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, f"`{id_col}` {kind}, {SCHEMA}")
+    # As text, so that pandas doesn't turn ids with nulls among them into doubles.
+    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id string, {SCHEMA}")
+    return out.select(F.col("_id").cast(kind).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
 def digests(media: DataFrame) -> DataFrame:

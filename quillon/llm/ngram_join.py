@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, materialise, shuffle_partitions
-from .language_model import loosen, loosen_sorted, squeeze, squeeze_sorted
+from .packed import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 LOCAL_HOT = 64
 #: Postings that a scanning task holds at once.
 CHUNK = 1_500_000
+#: Bits of an n-gram's hash that postings carry.
+BITS = 48
 #: Rank of n-grams that are hot in some chunk.
 HOT = (1 << 62) - 1
 #: Parts by which the suffix filter compares two sets.
@@ -70,7 +72,21 @@ def ngrams(text: str | None, n: int, keys: Remembered) -> np.ndarray:
     return np.unique(h)
 
 
-_SCAN = "kind string, part int, id {id}, n int, cls long, tokens binary, at binary, classes binary, sizes binary"
+_ROW = "kind string, part int, id string, n int, cls long, tokens binary, at binary, classes binary, sizes binary, ranks binary"
+_COLS = [c.split()[0] for c in _ROW.split(", ")]
+
+
+def _rows(**columns) -> pd.DataFrame:
+    # No nulls among numbers: pandas would turn longs into doubles.
+    out = pd.DataFrame({"n": 0, "cls": -1} | columns)
+    for c in _COLS:
+        if c not in out:
+            out[c] = None
+    return out[_COLS]
+
+
+def _of_lists(rows: list[tuple], *names: str) -> pd.DataFrame:
+    return _rows(**{c: [r[k] for r in rows] for k, c in enumerate(names)})
 
 
 def _scan(n: int, parts: int):
@@ -79,14 +95,14 @@ def _scan(n: int, parts: int):
         sizes = np.array([len(s) for s in sets.values()], np.int64)
         if not len(classes):
             return
-        token = np.concatenate(list(sets.values())) >> np.uint64(8)
+        token = np.concatenate(list(sets.values())) >> np.uint64(64 - BITS)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         many = np.diff(np.append(first, len(token)))
         hot = np.repeat(many >= LOCAL_HOT, many)
-        part = (token * np.uint64(parts) >> np.uint64(56)).astype(np.int64)  # ascending, as token is
+        part = (token * np.uint64(parts) >> np.uint64(BITS)).astype(np.int64)  # ascending, as token is
         rows = []
         some_t, some_o = token[~hot], owner[~hot]
         edge = np.searchsorted(part[~hot], np.arange(parts + 1))
@@ -94,20 +110,17 @@ def _scan(n: int, parts: int):
             lo, hi = edge[p], edge[p + 1]
             if lo < hi:
                 used, at = np.unique(some_o[lo:hi], return_inverse=True)
-                rows.append(("post", p, squeeze_sorted(some_t[lo:hi]), squeeze(at.astype("<u4")), squeeze(classes[used]), squeeze(sizes[used].astype("<u4"))))
+                rows.append(("post", p, squeeze_sorted(some_t[lo:hi]), squeeze(at.astype("<u2" if len(used) < 1 << 16 else "<u4")), squeeze(classes[used]), squeeze(sizes[used].astype("<u4"))))
         flags = token[first[many >= LOCAL_HOT]]
-        for p in np.unique(flags * np.uint64(parts) >> np.uint64(56)):
-            rows.append(("flag", int(p), squeeze_sorted(flags[(flags * np.uint64(parts) >> np.uint64(56)) == p]), b"", b"", b""))
+        for p in np.unique(flags * np.uint64(parts) >> np.uint64(BITS)):
+            rows.append(("flag", int(p), squeeze_sorted(flags[(flags * np.uint64(parts) >> np.uint64(BITS)) == p]), b"", b"", b""))
         hot_t, hot_o = token[hot], owner[hot]
         dealt = classes[hot_o] % parts
         for p in np.unique(dealt):
             own = dealt == p
             used, at = np.unique(hot_o[own], return_inverse=True)
-            rows.append(("hot", int(p), squeeze_sorted(hot_t[own]), squeeze(at.astype("<u4")), squeeze(classes[used]), squeeze(sizes[used].astype("<u4"))))
-        out = pd.DataFrame(rows, columns=["kind", "part", "tokens", "at", "classes", "sizes"])
-        for k, c in enumerate(("id", "n", "cls")):
-            out.insert(2 + k, c, None)
-        yield out
+            rows.append(("hot", int(p), squeeze_sorted(hot_t[own]), squeeze(at.astype("<u2" if len(used) < 1 << 16 else "<u4")), squeeze(classes[used]), squeeze(sizes[used].astype("<u4"))))
+        yield _of_lists(rows, "kind", "part", "tokens", "at", "classes", "sizes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, sets, held = word_keys(), {}, 0
@@ -117,7 +130,7 @@ def _scan(n: int, parts: int):
                 grams = ngrams(text, n, keys)
                 size.append(len(grams))
                 if not len(grams):
-                    cls.append(None)
+                    cls.append(-1)
                     continue
                 c = xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
                 cls.append(c)
@@ -127,11 +140,8 @@ def _scan(n: int, parts: int):
                     if held >= CHUNK:
                         yield from flush(sets)
                         sets, held = {}, 0
-            out = pd.DataFrame({"kind": "doc", "part": 0, "id": batch["_id"], "n": size})
-            out["cls"] = pd.array(cls, dtype="Int64")
-            for c in ("tokens", "at", "classes", "sizes"):
-                out[c] = None
-            yield out
+            # Dealt evenly: a class may have very many documents.
+            yield _rows(kind="doc", part=np.arange(len(batch)) % parts, id=batch["_id"].to_numpy(), n=size, cls=np.array(cls, np.int64))
         yield from flush(sets)
 
     return run
@@ -141,16 +151,14 @@ def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, class and class size of each posting."""
     token, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for t, a, c, s in zip(rows["tokens"], rows["at"], rows["classes"], rows["sizes"], strict=True):
-        at = loosen(a, "<u4")
+        every = loosen(c, "<i8")
+        at = loosen(a, "<u2" if len(every) < 1 << 16 else "<u4")
         token.append(loosen_sorted(t))
-        cls.append(loosen(c, "<i8")[at])
+        cls.append(every[at])
         size.append(loosen(s, "<u4")[at].astype(np.int64))
     return np.concatenate(token), np.concatenate(cls), np.concatenate(size)
 
 
-_BACK = "kind string, part int, tokens binary, cls binary, sizes binary, ranks binary"
-
-
 def _count(parts: int):
     """Send n-grams of two or more classes back to their classes, with their counts."""
 
@@ -159,6 +167,7 @@ def _count(parts: int):
         flags = [loosen_sorted(t) for t in rows.loc[rows["kind"] == "flag", "tokens"]]
         order = np.lexsort((cls, token))
         token, cls, size = token[order], cls[order], size[order]
+        rank = np.empty(0, np.int64)
         if len(token):
             new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
             token, cls, size = token[new], cls[new], size[new]
@@ -175,8 +184,9 @@ def _count(parts: int):
         for p in range(parts):
             own = order[edge[p] : edge[p + 1]]
             if len(own):
-                out.append(("shared", p, squeeze(token[own]), squeeze(cls[own]), squeeze(size[own]), squeeze(rank[own] if len(token) else size[own])))
-        return pd.DataFrame(out, columns=["kind", "part", "tokens", "cls", "sizes", "ranks"])
+                out.append(("shared", p, squeeze(token[own]), squeeze(cls[own]), squeeze(size[own]), squeeze(rank[own])))
+        kept = rows.loc[rows["kind"].isin(("doc", "hot")), _COLS]
+        return kept if not out else pd.concat([kept.astype(object), _of_lists(out, "kind", "part", "tokens", "classes", "sizes", "ranks").astype(object)])
 
     return run
 
@@ -192,7 +202,7 @@ def _prefixes(num: int, den: int):
         token, cls, size = _unpack(rows[rows["kind"] == "hot"])
         rank = [np.full(len(token), HOT)]
         token, cls, size = [token], [cls], [size]
-        for t, c, s, r in zip(back["tokens"], back["cls"], back["sizes"], back["ranks"], strict=True):
+        for t, c, s, r in zip(back["tokens"], back["classes"], back["sizes"], back["ranks"], strict=True):
             token.append(loosen(t, "<u8"))
             cls.append(loosen(c, "<i8"))
             size.append(loosen(s, "<i8"))
@@ -261,12 +271,11 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     """
     num, den = similarity
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     parts = shuffle_partitions(spark)
-    found = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(_scan(n, parts), _SCAN.format(id=kind)), "join-scan")
-    counted = found.where("kind IN ('post', 'flag')").select("part", "kind", "tokens", "at", "classes", "sizes").groupBy("part").applyInPandas(_count(parts), _BACK)
-    hot = found.where("kind = 'hot'").select("kind", "part", "tokens", "at", "classes", "sizes").withColumns({"cls": F.lit(None).cast("binary"), "ranks": F.lit(None).cast("binary")})
-    shared = counted.withColumns({"at": F.lit(None).cast("binary"), "classes": F.lit(None).cast("binary")}).unionByName(hot)
+    scanned = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(_scan(n, parts), _ROW)
+    found = materialise(scanned.groupBy("part").applyInPandas(_count(parts), _ROW), "join-found")
+    shared = found.where("kind != 'doc'").select("kind", "part", "tokens", "at", "classes", "sizes", "ranks")
     running = materialise(shared.groupBy("part").applyInPandas(_prefixes(num, den), _RUNNING), "join-running")
     prefix = materialise(
         running.select("cls", "n", "own", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("k", "token")), "join-prefix"
@@ -310,7 +319,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         links = materialise(new if links is None else links.unionByName(new), "join-links")
         roots = components(links, "join")
 
-    rows = found.where("kind = 'doc'").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "cls")
+    rows = found.where("kind = 'doc'").select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls") >= 0, F.col("cls")).alias("cls"))
     least = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(id_col).alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = materialise(least, "join-least")
     lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))

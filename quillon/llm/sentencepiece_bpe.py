@@ -161,8 +161,8 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     An empty table gives no rows; other columns are ignored. model_file is a
     file that every executor has at that path.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, {SCHEMA if decoded else SCHEMA.rsplit(',', 1)[0]}"
+    kind = docs.schema[id_col].dataType
+    schema = f"_id string, {SCHEMA if decoded else SCHEMA.rsplit(',', 1)[0]}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(model_file)
@@ -175,10 +175,12 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 back = enc.lib.decode(ids) if ids else ""
                 rows.append((len(ids), sha(",".join([p[1] for p in parts])), sha(back), back)[: 4 if decoded else 3])
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")][: 4 if decoded else 3])
-            out.insert(0, id_col, batch[id_col].to_numpy() if len(batch) else [])
+            out.insert(0, "_id", batch["_id"].to_numpy() if len(batch) else [])
             yield out
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    # As text, so that pandas doesn't turn ids with nulls among them into doubles.
+    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return out.select(F.col("_id").cast(kind).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
 def encode_ids(docs: DataFrame, model_file: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
