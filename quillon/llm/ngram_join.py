@@ -15,7 +15,7 @@ occur in one document only, so few documents stay in the running:
    only then, where a bucket isn't one component yet, with each other across
    components. Length, positional and suffix filters come before a pair is
    verified, once, on all n-grams; nothing is capped;
-5. components are the least ids reachable (hash-to-min with pointer jumping).
+5. components come from contracting links by each class's least neighbour.
 
 An n-gram that LOCAL_HOT classes of one chunk have counts as the most frequent
 kind, and its postings skip step 2; so no task there gets more than LOCAL_HOT
@@ -227,26 +227,28 @@ def _prefixes(num: int, den: int):
     return run
 
 
-def components(edges: DataFrame, tag: str) -> DataFrame:
-    """(cls, root): the least node that each node of edges (a, b) reaches.
+def components(edges: DataFrame, tag: str) -> DataFrame | None:
+    """(node, root) for each node of edges (a, b): the least node it reaches; None without edges.
 
-    Each turn gives every node the least root around it and then its root's
-    root; the number of turns grows with the logarithm of a path's length.
+    Each turn maps a node to the least node next to it, and that one's once more,
+    and contracts the edges by this; those within a component vanish. A
+    component's least node maps to itself, so it is what remains.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag + "-both")
-    roots = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).select(F.col("a").alias("cls"), "root"), tag + "-roots")
-    while True:
-        around = both.join(roots.select(F.col("cls").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        # A node's root also learns the least root that the node has seen.
-        seen = roots.join(around, F.col("cls") == F.col("a")).select("cls", "root", F.least("root", "r").alias("to"))
-        hook = seen.groupBy("root").agg(F.min("to").alias("hook")).select(F.col("root").alias("h"), "hook")
-        near = seen.join(hook, F.col("to") == F.col("h"), "left").select("cls", "root", F.least("to", F.coalesce("hook", "to")).alias("to"))
-        jump = roots.select(F.col("cls").alias("j"), F.col("root").alias("jump"))
-        turned = materialise(near.join(jump, F.col("to") == F.col("j"), "left").select("cls", F.col("root").alias("old"), F.least("to", F.coalesce("jump", "to")).alias("root")), tag + "-roots")
-        changed = turned.where("old != root").limit(1).count()
-        roots = turned.select("cls", "root")
-        if not changed:
-            return roots
+    edge = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, roots = materialise(edge(edges), tag + "-edges"), None
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), tag + "-up")
+        twice = up.join(up.select(F.col("node").alias("n"), F.col("up").alias("root")), F.col("up") == F.col("n")).select("node", "root")
+        twice = materialise(twice, tag + "-up")
+        to = lambda c: twice.select(F.col("node").alias(f"n_{c}"), F.col("root").alias(f"r_{c}"))  # noqa: B023, E731
+        if roots is None:
+            roots = twice
+        else:
+            roots = materialise(roots.join(to("x"), F.col("root") == F.col("n_x"), "left").select("node", F.coalesce("r_x", "root").alias("root")), tag + "-roots")
+        met = left.join(to("a"), F.col("a") == F.col("n_a")).join(to("b"), F.col("b") == F.col("n_b"))
+        left = materialise(edge(met.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))), tag + "-edges")
+    return roots
 
 
 def _enough(num: int, den: int, most: Column, na: str, nb: str) -> Column:
@@ -305,9 +307,9 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.where(_enough(num, den, common, "n_a", "n_b")).select("a", "b")
 
-    links, roots = None, None
+    roots, links = materialise(running.select("cls", F.col("cls").alias("root")), "join-roots"), None
     for seed in (1, 2, 0):
-        rooted = prefix.withColumn("root", F.col("cls")) if roots is None else prefix.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rooted = prefix.join(roots, "cls")
         # Buckets that are one component have nothing left to find.
         open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.xxhash64("cls", F.lit(seed))).alias("pivot")).where("lo != hi")
         if seed:
@@ -315,9 +317,14 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         else:
             left = materialise(rooted.join(open_.select("token"), "token", "left_semi"), "join-left")
             pairs = candidates(left, left)
-        new = verified(pairs)
-        links = materialise(new if links is None else links.unionByName(new), "join-links")
-        roots = components(links, "join")
+        new = materialise(verified(pairs), "join-links")
+        links = new if links is None else links.unionByName(new)
+        at = lambda c: roots.select(F.col("cls").alias(f"c_{c}"), F.col("root").alias(f"r_{c}"))  # noqa: B023, E731
+        met = new.join(at("a"), F.col("a") == F.col("c_a")).join(at("b"), F.col("b") == F.col("c_b"))
+        joined = components(met.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")), "join")
+        if joined is not None:
+            after = roots.join(joined.select("node", F.col("root").alias("to")), F.col("root") == F.col("node"), "left")
+            roots = materialise(after.select("cls", F.coalesce("to", "root").alias("root")), "join-roots")
 
     rows = found.where("kind = 'doc'").select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls") >= 0, F.col("cls")).alias("cls"))
     least = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(id_col).alias("least")).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
