@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: One word: a run of bytes other than ASCII white space (Java and DuckDB syntax).
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # another C library
+    _TRIM = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +97,13 @@ def held_out_py(doc_id: object, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits doesn't hold it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class Remembered(dict):
     """What `make` gave for a key, kept for between `size` and 2 * `size` latest keys.
 

@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import give_back, held_out
 
 #: Labelled rows that training takes at most, by hash of the id.
 SAMPLE = 2000
 BUCKETS = 1 << 12
 LONGEST = 3
 #: Words that a worker remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A text is ambiguous if its best language has less than this share.
 CLEAR = 0.6
 
@@ -175,6 +175,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 names, share = np.full(len(batch), "und", dtype=object), np.zeros(len(batch))
             names[~known], share[~known] = "und", 0.0
             yield pd.DataFrame({"lang_pred": names, "score": share, "ambiguous": known & (share < CLEAR)})
+        rows.clear()
+        give_back()
 
     if keep:
         return docs.withColumn("lid", lid(F.col(text_col)))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, held_out, materialise, shuffle_partitions
+from .common import Remembered, give_back, held_out, materialise, shuffle_partitions
 from .packed import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 #: Bytes of context.
@@ -241,7 +241,7 @@ class Index:
 
 
 def _word_keys() -> Remembered:
-    return Remembered(xxhash.xxh64_intdigest, 200_000)
+    return Remembered(xxhash.xxh64_intdigest, 100_000)
 
 
 def _of_part(keys: np.ndarray, kind: str, parts: int) -> np.ndarray:
@@ -289,6 +289,8 @@ def _gather(parts: int, depth: int):
                 if len(own):
                     rows.append((kind, p, block, squeeze_sorted(keys[own]), squeeze(n[own].astype("<i8"))))
             yield pd.DataFrame(rows, columns=["kind", "part", "block", "keys", "counts"])
+        found.clear()
+        give_back()
 
     return run
 
@@ -359,6 +361,7 @@ def log_scores(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPT
     least = math.log10(1 / (total + distinct + 1))
 
     def scores(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         index = {}
         for kind, rows in table.groupby("kind"):
             keys, vals = np.concatenate([loosen_sorted(k) for k in rows["keys"]]), np.concatenate([loosen(v, "<f8") for v in rows["values"]])

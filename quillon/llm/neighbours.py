@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, shuffle_partitions
+from .common import give_back, materialise, shuffle_partitions
 
 #: Neighbours that a point keeps in the graph.
 WIDTH = 32
@@ -34,8 +34,10 @@ START, WAYS = 256, 3
 TURNS, SETTLED = 10, 0.02
 #: Nearest points found that a query keeps, and looks at in a step; steps at most.
 BEAM, LOOK, STEPS = 96, 32, 10
+#: Nearest that a part of the meetings reports for a point.
+REPORT = 12
 #: Points in a part, about.
-PART = 8192
+PART = 2048
 #: Points from which a query starts that isn't in the index.
 ENTRIES = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -223,7 +225,7 @@ class Graph:
 
             def cut() -> None:
                 i, m, v = map(np.concatenate, zip(*got))
-                keep = _best(i, m, v, width)
+                keep = _best(i, m, v, REPORT)
                 got[:] = [(i[keep], m[keep], v[keep])]
 
             for lo, hi in zip(first, np.append(first[1:], len(at))):
@@ -236,7 +238,7 @@ class Graph:
                 if len(r):
                     got.append((k[r].astype(np.int32), k[c].astype(np.int32), near[r, c]))
                     held += len(r)
-                    if held > 4_000_000:
+                    if held > 1_000_000:
                         cut()
                         held = len(got[0][0])
             if not got:
@@ -268,6 +270,7 @@ class Graph:
             col = np.arange(len(row)) - first[row]
             s.mets, s.scores, s.fresh = np.full_like(s.mets, -1), np.full_like(s.scores, -np.inf), np.zeros_like(s.fresh)
             s.mets[row, col], s.scores[row, col], s.fresh[row, col] = m, v, ~known
+            give_back()
             return _frame([s.row(part)])
 
         backs = state.groupBy("part").applyInPandas(point_back, _ROW)

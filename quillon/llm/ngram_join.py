@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, materialise, shuffle_partitions
+from .common import Remembered, give_back, materialise, shuffle_partitions
 from .packed import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 LOCAL_HOT = 64
 #: Postings that a scanning task holds at once.
 CHUNK = 1_500_000
+#: UTF-8 bytes of text whose postings one part holds, about.
+PART = 8 << 20
 #: Bits of an n-gram's hash that postings carry.
 BITS = 48
 #: Rank of n-grams that are hot in some chunk.
@@ -56,7 +58,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_keys() -> Remembered:
-    return Remembered(xxhash.xxh64_intdigest, 200_000)
+    return Remembered(xxhash.xxh64_intdigest, 100_000)
 
 
 def ngrams(text: str | None, n: int, keys: Remembered) -> np.ndarray:
@@ -143,19 +145,23 @@ def _scan(n: int, parts: int):
             # Dealt evenly: a class may have very many documents.
             yield _rows(kind="doc", part=np.arange(len(batch)) % parts, id=batch["_id"].to_numpy(), n=size, cls=np.array(cls, np.int64))
         yield from flush(sets)
+        sets.clear()
+        keys.clear()
+        keys.old.clear()
+        give_back()
 
     return run
 
 
 def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token, class and class size of each posting."""
-    token, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    token, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for t, a, c, s in zip(rows["tokens"], rows["at"], rows["classes"], rows["sizes"], strict=True):
         every = loosen(c, "<i8")
         at = loosen(a, "<u2" if len(every) < 1 << 16 else "<u4")
         token.append(loosen_sorted(t))
         cls.append(every[at])
-        size.append(loosen(s, "<u4")[at].astype(np.int64))
+        size.append(loosen(s, "<u4")[at].astype(np.int32))
     return np.concatenate(token), np.concatenate(cls), np.concatenate(size)
 
 
@@ -185,6 +191,7 @@ def _count(parts: int):
             own = order[edge[p] : edge[p + 1]]
             if len(own):
                 out.append(("shared", p, squeeze(token[own]), squeeze(cls[own]), squeeze(size[own]), squeeze(rank[own])))
+        give_back()
         kept = rows.loc[rows["kind"].isin(("doc", "hot")), _COLS]
         return kept if not out else pd.concat([kept.astype(object), _of_lists(out, "kind", "part", "tokens", "classes", "sizes", "ranks").astype(object)])
 
@@ -205,7 +212,7 @@ def _prefixes(num: int, den: int):
         for t, c, s, r in zip(back["tokens"], back["classes"], back["sizes"], back["ranks"], strict=True):
             token.append(loosen(t, "<u8"))
             cls.append(loosen(c, "<i8"))
-            size.append(loosen(s, "<i8"))
+            size.append(loosen(s, "<i4"))
             rank.append(loosen(r, "<i8"))
         token, cls, size, rank = map(np.concatenate, (token, cls, size, rank))
         order = np.lexsort((token, rank, cls))
@@ -222,6 +229,7 @@ def _prefixes(num: int, den: int):
                 grams = token[lo:hi].astype(np.int64)
                 hist = np.bincount(grams & (PARTS - 1), minlength=PARTS).astype(np.int32)
                 out.append((int(cls[lo]), n, n - shared, n - least + 1 - (n - shared), grams, hist))
+        give_back()
         return pd.DataFrame(out, columns=[c.split()[0] for c in _RUNNING.split(", ")])
 
     return run
@@ -274,7 +282,8 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     num, den = similarity
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    parts = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-size // PART))
     scanned = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(_scan(n, parts), _ROW)
     found = materialise(scanned.groupBy("part").applyInPandas(_count(parts), _ROW), "join-found")
     shared = found.where("kind != 'doc'").select("kind", "part", "tokens", "at", "classes", "sizes", "ranks")

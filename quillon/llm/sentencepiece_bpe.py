@@ -29,11 +29,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered
+from .common import Remembered, give_back
 
 MARK = "▁"
 #: Chunks and pairs that a worker remembers, twice over (see Remembered).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class Encoder:
@@ -66,8 +66,8 @@ class Encoder:
         self.shorter = [-1] * len(self.piece)
         for p, i in ids.items():
             self.shorter[i] = next((ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in ids), -1)
-        self.fits = Remembered(self._fits, 2 * REMEMBERED)
-        self.part = Remembered(self._part, REMEMBERED)
+        self.fits = Remembered(self._fits, REMEMBERED)
+        self.part = Remembered(self._part, REMEMBERED // 2)
         self.chunk = Remembered(self._chunk, REMEMBERED)
 
     def merge(self, text: str) -> list[str]:
@@ -118,29 +118,26 @@ class Encoder:
                 token = last
         return out
 
-    def _part(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = self._run(text) if text[0] in self.known else [self.byte[b] for b in text.encode()]
-        return tuple(ids), ",".join([self.text[i] for i in ids])
+    def _part(self, text: str) -> tuple[int, ...]:
+        return tuple(self._run(text) if text[0] in self.known else [self.byte[b] for b in text.encode()])
 
-    def _chunk(self, text: str) -> tuple[tuple[int, ...], str]:
+    def _chunk(self, text: str) -> tuple[int, ...]:
         inside = self.inside
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
         if not cuts:
             return self._part(text)
-        parts = [self.part[text[i:k]] for i, k in zip([0, *cuts], [*cuts, len(text)])]
-        return tuple(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+        return tuple(chain.from_iterable([self.part[text[i:k]] for i, k in zip([0, *cuts], [*cuts, len(text)])]))
 
-    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def encode(self, text: str) -> list[int]:
+        """The ids of one text, without begin or end ids."""
         if not text:
             return []
-        text = text.replace(" ", MARK)
+        text, chunk = text.replace(" ", MARK), self.chunk
         if MARK * 2 in text or text[0] == MARK or text[-1] == MARK:
-            return [self.chunk[c] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + text)]
-        return [self.chunk[MARK + c] for c in text.split(MARK)]
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of one text, without begin or end ids."""
-        return list(chain.from_iterable(c[0] for c in self.chunks(text)))
+            parts = re.findall(f"{MARK}+[^{MARK}]*", MARK + text)
+        else:
+            parts = [MARK + c for c in text.split(MARK)]
+        return list(chain.from_iterable(map(chunk.__getitem__, parts)))
 
 
 @lru_cache(maxsize=2)
@@ -170,13 +167,13 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         for batch in batches:
             rows = []
             for text in batch["_text"]:
-                parts = enc.chunks(text or "")
-                ids = list(chain.from_iterable([p[0] for p in parts]))
+                ids = enc.encode(text or "")
                 back = enc.lib.decode(ids) if ids else ""
-                rows.append((len(ids), sha(",".join([p[1] for p in parts])), sha(back), back)[: 4 if decoded else 3])
+                rows.append((len(ids), sha(",".join([enc.text[i] for i in ids])), sha(back), back)[: 4 if decoded else 3])
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")][: 4 if decoded else 3])
             out.insert(0, "_id", batch["_id"].to_numpy() if len(batch) else [])
             yield out
+        give_back()
 
     # As text, so that pandas doesn't turn ids with nulls among them into doubles.
     out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, held_out
+from .common import Remembered, give_back, held_out
 
 #: Labelled rows of each class that training takes at most, by hash of the id.
 SAMPLE = 1500
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
             ids = grams(word)
             return float(weight[ids].mean()) if ids else 0.0
 
-        words = Remembered(make, 300_000)
+        words = Remembered(make, 120_000)
         look = words.__getitem__
         for batch in texts:
             out = []
@@ -169,6 +169,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                 logit = bias + _best(np.fromiter(map(look, each), np.float64, len(each)))[1]
                 out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))))
             yield pd.Series(out, dtype="float64")
+        words.clear()
+        words.old.clear()
+        give_back()
 
     if keep:
         return docs.withColumn("tox_score", scored(F.col(text_col))).withColumn("tox_predicted", (F.col("tox_score") >= 0.5).cast("int"))
