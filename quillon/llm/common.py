@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,16 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a new local folder is set.
+    Only where it is unset (tests on one machine) a local folder is made.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
+    return (there or _own_dir()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
