@@ -11,8 +11,8 @@ occur in one document only, so few documents stay in the running:
 2. there the documents of each n-gram are counted, exactly and over all
    documents, and n-grams that two or more classes have go back to their classes;
 3. a class with too many n-grams of its own is out; the others get prefixes;
-4. classes are joined on prefix n-grams, first each with one pivot per n-gram and
-   only then, where a bucket isn't one component yet, with each other across
+4. classes are joined on prefix n-grams, first each with one pivot per n-gram (one
+   with the fewest n-grams of its own, so a central one of its group) and only then, where a bucket isn't one component yet, with each other across
    components. Length, positional and suffix filters come before a pair is
    verified, once, on all n-grams; nothing is capped;
 5. components come from contracting links by each class's least neighbour.
@@ -320,7 +320,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     for seed in (1, 2, 0):
         rooted = prefix.join(roots, "cls")
         # Buckets that are one component have nothing left to find.
-        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.xxhash64("cls", F.lit(seed))).alias("pivot")).where("lo != hi")
+        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.struct("own", F.xxhash64("cls", F.lit(seed)))).alias("pivot")).where("lo != hi")
         if seed:
             pairs = candidates(rooted, open_.select("token", "pivot.*"))
         else:
