@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back, materialise, shuffle_partitions
+from .common import give_back, materialise
 
 #: Neighbours that a point keeps in the graph.
 WIDTH = 32
@@ -107,9 +107,8 @@ class Graph:
 
     def __init__(self, points: DataFrame, dim: int, width: int = WIDTH, turns: int = TURNS):
         self.dim, self.width, self.points = dim, width, points
-        spark = points.sparkSession
         self.size = points.count()
-        self.parts = max(shuffle_partitions(spark), -(-self.size // PART))
+        self.parts = max(1, -(-self.size // PART))
         self.rows = self._start()
         for _ in range(turns):
             if self.size < 2 or self._turn() < SETTLED * self.size * min(width, self.size - 1):

@@ -92,7 +92,7 @@ def test_shards(docs, nothing):
 def test_shards_of_many_groups(spark):
     sizes = [(i, "y" * (i * 37 % 400)) for i in range(1500)]
     got = sharding.shard(spark.createDataFrame(sizes, "doc_id long, text string"), 8)
-    per = [r[0] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
+    per = [r[1] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
     texts = Counter()
     for _, t in sizes:
         texts[hashlib.sha256(t.encode()).hexdigest()] += len(t) + 1
