@@ -33,7 +33,7 @@ START, WAYS = 256, 3
 #: Turns at most; a turn that changes less than SETTLED of all neighbours is the last.
 TURNS, SETTLED = 10, 0.02
 #: Nearest points found that a query keeps, and looks at in a step; steps at most.
-BEAM, LOOK, STEPS = 96, 32, 10
+BEAM, LOOK, STEPS = 224, 56, 10
 #: Nearest that a part of the meetings reports for a point.
 REPORT = 12
 #: Points in a part, about.
