@@ -14,21 +14,25 @@ from quillon.llm.common import materialise, table
 from quillon.llm.queries import tokenizer_file
 
 
+#: Begins the names of columns that a stage adds for itself; docs may have any others.
+OWN = "_quillon_stage_"
+
+
 def _joined(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """docs with the columns that `decided` (doc_id and more) adds, null ids met by null ids."""
-    d = decided.withColumnRenamed("doc_id", "_decided_id")
-    return docs.join(d, docs["doc_id"].eqNullSafe(d["_decided_id"])).drop("_decided_id")
+    d = decided.withColumnRenamed("doc_id", f"{OWN}id")
+    return docs.join(d, docs["doc_id"].eqNullSafe(d[f"{OWN}id"]))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model rejects (score of 0.5 or more)."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where("tox_predicted = 0").select(docs.columns)
+    return toxicity.score(docs, model, keep=OWN).where(f"{OWN}predicted = 0").select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents in which no language can be told (`und`: no letter)."""
-    return language_id.predict(docs, language_id.fit(docs), keep=True).where("lid.lang_pred != 'und'").select(docs.columns)
+    return language_id.predict(docs, language_id.fit(docs), keep=OWN).where(f"{OWN}.lang_pred != 'und'").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    return _joined(docs, copies).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias(f"{OWN}copies"))
+    return _joined(docs, copies).withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}copies")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

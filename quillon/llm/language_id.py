@@ -128,11 +128,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id
     return train([r[1] for r in got], [r[2] for r in got])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """Language of every whole text.
 
     Returns id_col, lang_pred, score (share of the nearest codeword, 0 to 1) and
-    ambiguous; with keep=True all columns of docs and a struct column `lid` of
+    ambiguous; with keep all columns of docs and a struct column of that name with
     those three. A null text or one without any letter is `und` with score 0 and
     not ambiguous. With nothing learned all is `und`. Repeated rows get a row
     each; an empty table gives no rows.
@@ -179,5 +179,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         give_back()
 
     if keep:
-        return docs.withColumn("lid", lid(F.col(text_col)))
+        return docs.withColumn(keep, lid(F.col(text_col)))
     return docs.select(F.col(id_col), lid(F.col(text_col)).alias("_lid")).select(id_col, "_lid.*")

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op5_quotes": quotes.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_quotes": quotes.ORACLE}

@@ -141,11 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     return train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """Score of every text in 0 to 1, and predicted (1 from 0.5 on).
 
-    Returns id_col, score, predicted; with keep=True all columns of docs and
-    tox_score, tox_predicted. A null or empty text, or one without words, gets
+    Returns id_col, score, predicted; with keep all columns of docs and those two,
+    their names beginning with keep. A null or empty text, or one without words, gets
     the score of the bias alone. Whole texts count, however long. Repeated rows
     are scored each; an empty table gives no rows.
     """
@@ -174,5 +174,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
         give_back()
 
     if keep:
-        return docs.withColumn("tox_score", scored(F.col(text_col))).withColumn("tox_predicted", (F.col("tox_score") >= 0.5).cast("int"))
+        return docs.withColumn(f"{keep}score", scored(F.col(text_col))).withColumn(f"{keep}predicted", (F.col(f"{keep}score") >= 0.5).cast("int"))
     return docs.select(F.col(id_col), scored(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -442,3 +442,25 @@ def test_pipeline(spark):
     assert max(final.values()) <= 3
     run = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect())
     assert run == final
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_stages_on_odd_rows(spark, docs, nothing):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.withColumns({"score": F.lit("mine"), "lid": F.lit(1), "copies": F.lit(2), "component_id": F.lit("x")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        if name != "sentencepiece":
+            assert out.columns == odd.columns
+            assert {r["score"] for r in out.select("score").distinct().collect()} == {"mine"}
+        assert out.count() > 0
+        assert stage(spark, nothing, sf).count() == 0
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    want = {c for d, _, c in brute([(r[0], r[1]) for r in rows()], 5, 80, 100) if d is not None}
+    assert {r["doc_id"] for r in near.collect()} - {None} == want
+    known = corpus_pipeline.drop_unknown_language(spark, docs, sf)
+    assert {r["doc_id"] for r in known.collect()} - {None} == {r[0] for r in rows() if r[0] is not None and r[1] and any(map(str.isalpha, r[1]))}
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs.where("doc_id < 117"), sf).collect())
+    assert mixed == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs.where("doc_id < 117")).collect() if r["copies"]})
