@@ -76,15 +76,21 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - out, out)
 
 
-def _inverse(f, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Where the increasing f reaches p, by bisection."""
+def _inverse(f, density, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Where the increasing f reaches p: Newton steps, halving where a step leaves the bracket."""
+    lo, hi, x = lo.copy(), hi.copy(), (lo + hi) / 2
     for _ in range(200):
-        mid = (lo + hi) / 2
-        below = f(mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-        if (hi - lo <= 1e-15 * np.maximum(hi, 1e-300)).all():
+        off = f(x) - p
+        lo, hi = np.where(off < 0, x, lo), np.where(off < 0, hi, x)
+        with np.errstate(all="ignore"):
+            step = x - off / density(x)
+        inside = np.isfinite(step) & (step > lo) & (step < hi)
+        new = np.where(inside, step, (lo + hi) / 2)
+        done = np.abs(new - x) <= 1e-14 * np.maximum(np.abs(x), 1e-300)
+        x = new
+        if (done | (hi - lo <= 1e-15 * np.maximum(hi, 1e-300))).all():
             break
-    return (lo + hi) / 2
+    return x
 
 
 def gamma_quantile(p: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -96,12 +102,16 @@ def gamma_quantile(p: np.ndarray, a: np.ndarray) -> np.ndarray:
         if not short.any():
             break
         top = np.where(short, top * 2, top)
-    return _inverse(lambda x: gamma_p(a, x), p, np.zeros(a.shape), top)
+    norm = _lgamma(a)
+    density = lambda x: np.exp((a - 1) * np.log(x) - x - norm)
+    return _inverse(lambda x: gamma_p(a, x), density, p, np.zeros(a.shape), top)
 
 
 def beta_quantile(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p, a, b = (np.array(v, float) for v in np.broadcast_arrays(p, a, b))
-    return _inverse(lambda x: beta_i(a, b, x), p, np.zeros(a.shape), np.ones(a.shape))
+    norm = _lgamma(a + b) - _lgamma(a) - _lgamma(b)
+    density = lambda x: np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+    return _inverse(lambda x: beta_i(a, b, x), density, p, np.zeros(a.shape), np.ones(a.shape))
 
 
 def normal_quantile(p: float) -> float:
