@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from .packed import loosen, loosen_sorted, squeeze, squeeze_sorted
 
 LOCAL_HOT = 64
 #: Postings that a scanning task holds at once.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: UTF-8 bytes of text whose postings one part holds, about.
 PART = 8 << 20
 #: Bits of an n-gram's hash that postings carry.
@@ -76,6 +77,8 @@ def ngrams(text: str | None, n: int, keys: Remembered) -> np.ndarray:
 
 _ROW = "kind string, part int, id string, n int, cls long, tokens binary, at binary, classes binary, sizes binary, ranks binary"
 _COLS = [c.split()[0] for c in _ROW.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_ARROW = pa.schema([(c, _KINDS[k]) for c, k in map(str.split, _ROW.split(", "))])
 
 
 def _rows(**columns) -> pd.DataFrame:
@@ -92,11 +95,11 @@ def _of_lists(rows: list[tuple], *names: str) -> pd.DataFrame:
 
 
 def _scan(n: int, parts: int):
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def flush(sets: dict[int, np.ndarray]) -> list[pd.DataFrame]:
         classes = np.fromiter(sets, np.int64, len(sets))
         sizes = np.array([len(s) for s in sets.values()], np.int64)
         if not len(classes):
-            return
+            return []
         token = np.concatenate(list(sets.values())) >> np.uint64(64 - BITS)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
         order = np.argsort(token, kind="stable")
@@ -122,14 +125,15 @@ def _scan(n: int, parts: int):
             own = dealt == p
             used, at = np.unique(hot_o[own], return_inverse=True)
             rows.append(("hot", int(p), squeeze_sorted(hot_t[own]), squeeze(at.astype("<u2" if len(used) < 1 << 16 else "<u4")), squeeze(classes[used]), squeeze(sizes[used].astype("<u4"))))
-        yield _of_lists(rows, "kind", "part", "tokens", "at", "classes", "sizes")
+        return [_of_lists(rows, "kind", "part", "tokens", "at", "classes", "sizes")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, held = word_keys(), {}, 0
+        packed = lambda out: pa.RecordBatch.from_pandas(out, schema=_ARROW, preserve_index=False)
         for batch in batches:
             size, cls = [], []
-            for text in batch["_text"]:
-                grams = ngrams(text, n, keys)
+            for text in batch.column(1):  # one text at a time is a Python object
+                grams = ngrams(text.as_py(), n, keys)
                 size.append(len(grams))
                 if not len(grams):
                     cls.append(-1)
@@ -140,11 +144,11 @@ def _scan(n: int, parts: int):
                     sets[c] = grams
                     held += len(grams)
                     if held >= CHUNK:
-                        yield from flush(sets)
+                        yield from map(packed, flush(sets))
                         sets, held = {}, 0
             # Dealt evenly: a class may have very many documents.
-            yield _rows(kind="doc", part=np.arange(len(batch)) % parts, id=batch["_id"].to_numpy(), n=size, cls=np.array(cls, np.int64))
-        yield from flush(sets)
+            yield packed(_rows(kind="doc", part=np.arange(batch.num_rows) % parts, id=batch.column(0).to_pandas().to_numpy(), n=size, cls=np.array(cls, np.int64)))
+        yield from map(packed, flush(sets))
         sets.clear()
         keys.clear()
         keys.old.clear()
@@ -284,7 +288,7 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     kind = docs.schema[id_col].dataType
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // PART))
-    scanned = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(_scan(n, parts), _ROW)
+    scanned = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_scan(n, parts), _ROW)
     found = materialise(scanned.groupBy("part").applyInPandas(_count(parts), _ROW), "join-found")
     shared = found.where("kind != 'doc'").select("kind", "part", "tokens", "at", "classes", "sizes", "ranks")
     running = materialise(shared.groupBy("part").applyInPandas(_prefixes(num, den), _RUNNING), "join-running")
