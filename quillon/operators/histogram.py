@@ -7,7 +7,9 @@ Null, NaN and infinite values are left out first. Bins are reported dense.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -180,3 +182,38 @@ def moments(histogram: DataFrame) -> DataFrame:
     sums = histogram.agg(F.sum(w).alias("norm"), F.sum(w * c).alias("s1"), F.sum(w * c * c).alias("s2"))
     mean = safe_div(F.col("s1"), F.col("norm"))
     return sums.select("norm", mean.alias("mean"), F.sqrt(F.greatest(safe_div(F.col("s2"), F.col("norm")) - mean * mean, F.lit(0.0))).alias("sigma"))
+
+
+@dataclass
+class Progress:
+    """What a histogram over batches has done."""
+
+    batches: int = 0
+    rows: int = 0
+    seconds: float = 0.0
+    complete: bool = False
+    column: str = ""
+    history: list[float] = field(default_factory=list)
+
+
+def hist_batches(tables: Iterable[DataFrame], column: str, bins: int, range: tuple[float, float], weights: str | None = None, time_budget_s: float | None = None, progress: Callable[[Progress], None] | None = None) -> tuple[np.ndarray, np.ndarray, Progress]:
+    """A histogram summed over tables one after the other, stopping once the time is used up.
+
+    Returns counts (or weights), edges, and the progress, whose `complete` says
+    whether all tables are in. Without a time budget it is the same as one histogram of their union.
+    """
+    total, info, start = np.zeros(bins), Progress(column=column), time.monotonic()
+    for df in tables:
+        if time_budget_s is not None and info.batches and time.monotonic() - start >= time_budget_s:
+            break
+        counts, _ = counts_edges(h := hist(df, column, bins, range, weights), weights is not None)
+        total += counts
+        info.batches += 1
+        info.rows += int(h.agg(F.sum("count")).first()[0] or 0)
+        info.history.append(time.monotonic() - start - info.seconds)
+        info.seconds = time.monotonic() - start
+        if progress:
+            progress(info)
+    else:
+        info.complete = True
+    return total, edges(*range, bins), info

@@ -172,6 +172,14 @@ def hist(t):
     return histogram.hist(t.lineitem, "l_extendedprice", 40, (1000.0, 100000.0)).select("bin", "count")
 
 
+@query(dense_sql(f"SELECT {_BIN} AS bin FROM lineitem", 40))
+def hist_batches(t):
+    """The histogram summed over three parts of the table."""
+    parts = [t.lineitem.where(F.col("l_orderkey") % 3 == k) for k in range(3)]
+    counts, _, _ = histogram.hist_batches(parts, "l_extendedprice", 40, (1000.0, 100000.0))
+    return t.rows([(i, int(c)) for i, c in enumerate(counts)], "bin int, count long")
+
+
 @query(dense_sql(f"SELECT l_discount, {_BIN} AS bin FROM lineitem", 40, sums=_HSUMS, columns=_HCOLS))
 def hist_weighted(t):
     return _rounded(histogram.hist(t.lineitem, "l_extendedprice", 40, (1000.0, 100000.0), _w()))

@@ -167,6 +167,10 @@ class LazyTable:
     def sample(self, fraction: float, seed: int = 42) -> LazyTable:
         return self._with(self.df.sample(fraction=fraction, seed=seed), "sample")
 
+    def partition(self, n: int, *columns: str) -> LazyTable:
+        """In n partitions, by ranges of the columns."""
+        return self._with(self.df.repartitionByRange(n, *columns), f"partition {n}")
+
     def union(self, *others: LazyTable) -> LazyTable:
         df = self.df
         for o in others:

@@ -49,6 +49,15 @@ def test_grouped_hist_keeps_empty_groups_and_null_keys(spark):
     assert h.count() == 6 and h.agg(F.sum("count")).first()[0] == 2
 
 
+def test_hist_in_batches(spark):
+    parts = [spark.range(10).select(F.col("id").cast("double").alias("x"))] * 4
+    seen = []
+    counts, edges, info = histogram.hist_batches(parts, "x", 5, (0.0, 9.0), progress=lambda p: seen.append(p.batches))
+    assert counts.sum() == 40 and info.complete and seen == [1, 2, 3, 4] and len(edges) == 6
+    counts, _, info = histogram.hist_batches(parts, "x", 5, (0.0, 9.0), time_budget_s=0.0)
+    assert counts.sum() == 10 and not info.complete
+
+
 def test_candidates(spark):
     rows = [(e, 1, q) for e in range(50) for q in range(5)]
     df = spark.createDataFrame(rows, "__event__ bigint, __run__ bigint, quality bigint")
