@@ -194,7 +194,7 @@ def _count(parts: int):
         for p in range(parts):
             own = order[edge[p] : edge[p + 1]]
             if len(own):
-                out.append(("shared", p, squeeze(token[own]), squeeze(cls[own]), squeeze(size[own]), squeeze(rank[own])))
+                out.append(("shared", p, squeeze_sorted(token[own]), squeeze(cls[own]), squeeze(size[own]), squeeze(rank[own])))
         give_back()
         kept = rows.loc[rows["kind"].isin(("doc", "hot")), _COLS]
         return kept if not out else pd.concat([kept.astype(object), _of_lists(out, "kind", "part", "tokens", "classes", "sizes", "ranks").astype(object)])
@@ -202,11 +202,11 @@ def _count(parts: int):
     return run
 
 
-_RUNNING = "cls long, n int, own int, prefix int, tokens array<long>, hist array<int>"
+_FOUND = "kind string, id string, cls long, n int, own int, prefix int, tokens array<long>, hist array<int>"
 
 
 def _prefixes(num: int, den: int):
-    """Classes that may have a partner: n-grams in the global order, and prefix lengths."""
+    """Classes that may have a partner (kind run): n-grams in the global order, and prefix lengths; doc rows pass."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         back = rows[rows["kind"] == "shared"]
@@ -214,7 +214,7 @@ def _prefixes(num: int, den: int):
         rank = [np.full(len(token), HOT)]
         token, cls, size = [token], [cls], [size]
         for t, c, s, r in zip(back["tokens"], back["classes"], back["sizes"], back["ranks"], strict=True):
-            token.append(loosen(t, "<u8"))
+            token.append(loosen_sorted(t))
             cls.append(loosen(c, "<i8"))
             size.append(loosen(s, "<i4"))
             rank.append(loosen(r, "<i8"))
@@ -232,9 +232,11 @@ def _prefixes(num: int, den: int):
             if shared >= least:
                 grams = token[lo:hi].astype(np.int64)
                 hist = np.bincount(grams & (PARTS - 1), minlength=PARTS).astype(np.int32)
-                out.append((int(cls[lo]), n, n - shared, n - least + 1 - (n - shared), grams, hist))
+                out.append(("run", None, int(cls[lo]), n, n - shared, n - least + 1 - (n - shared), grams, hist))
         give_back()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _RUNNING.split(", ")])
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        docs = rows.loc[rows["kind"] == "doc", ["kind", "id", "cls", "n"]].assign(own=0, prefix=0, tokens=None, hist=None)[names]
+        return docs if not out else pd.concat([docs.astype(object), pd.DataFrame(out, columns=names).astype(object)])
 
     return run
 
@@ -289,9 +291,10 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(shuffle_partitions(spark), -(-size // PART))
     scanned = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_scan(n, parts), _ROW)
-    found = materialise(scanned.groupBy("part").applyInPandas(_count(parts), _ROW), "join-found")
-    shared = found.where("kind != 'doc'").select("kind", "part", "tokens", "at", "classes", "sizes", "ranks")
-    running = materialise(shared.groupBy("part").applyInPandas(_prefixes(num, den), _RUNNING), "join-running")
+    counted = scanned.groupBy("part").applyInPandas(_count(parts), _ROW)
+    # Postings are on disk only as these two shuffles' files.
+    found = materialise(counted.groupBy("part").applyInPandas(_prefixes(num, den), _FOUND), "join-found")
+    running = found.where("kind = 'run'").select("cls", "n", "own", "prefix", "tokens", "hist")
     prefix = materialise(
         running.select("cls", "n", "own", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("k", "token")), "join-prefix"
     )
