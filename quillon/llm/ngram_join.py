@@ -304,8 +304,9 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         x = left.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "own", "k", "root")])
         y = right.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "own", "k", "root")])
         length = (F.least("n_x", "n_y") * den >= num * F.greatest("n_x", "n_y"))
-        # Shared n-grams before this one in either, and from it on.
-        most = F.least("k_x", "k_y") + F.least(F.expr("n_x - own_x - k_x"), F.expr("n_y - own_y - k_y"))
+        # Positional filter: at a pair's first common n-gram no more than the rest can be common. At later
+        # ones the bound only falls, so it may cut those rows too: the first one brings the pair.
+        most = F.least(F.expr("n_x - own_x - k_x"), F.expr("n_y - own_y - k_y"))
         pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & length & _enough(num, den, most, "n_x", "n_y"))
         swap = F.col("cls_x") > F.col("cls_y")
         return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"), F.when(swap, F.col("k_y")).otherwise(F.col("k_x")).alias("ka"), F.when(swap, F.col("k_x")).otherwise(F.col("k_y")).alias("kb"))
