@@ -14,7 +14,9 @@ occur in one document only, so few documents stay in the running:
 4. classes are joined on prefix n-grams, first each with one pivot per n-gram (one
    with the fewest n-grams of its own, so a central one of its group) and only then, where a bucket isn't one component yet, with each other across
    components. Length, positional and suffix filters come before a pair is
-   verified, once, on all n-grams; nothing is capped;
+   verified, once, on all n-grams. This finds components, not all links; to find
+   every link, all classes of a prefix n-gram meet, n-grams of many classes in
+   salted shares, and each pair that the filters leave is verified;
 5. components come from contracting links by each class's least neighbour.
 
 An n-gram that LOCAL_HOT classes of one chunk have counts as the most frequent
@@ -48,6 +50,8 @@ BITS = 48
 HOT = (1 << 62) - 1
 #: Parts by which the suffix filter compares two sets.
 PARTS = 16
+#: Classes of one prefix n-gram that a share has on one side where all links are asked for.
+SHARE = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -270,7 +274,7 @@ def _enough(num: int, den: int, most: Column, na: str, nb: str) -> Column:
     return most * (num + den) >= num * (F.col(na) + F.col(nb))
 
 
-def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents with their components, and the verified links.
 
     The first result has a row for each row of docs: id_col, n_shingles (distinct
@@ -278,7 +282,10 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     cls (its class of equal n-gram sets) and component_id, the least id that links
     of at least similarity[0] / similarity[1] reach. The second has pairs of
     class representatives (a, b) that were verified as links: enough of them to
-    connect each component, not all pairs within one.
+    connect each component, not all pairs within one. With `every` it has all pairs
+    of classes that are links, and the first result also n_links: how many other
+    rows a row links with, those of its own class included. Their number, and so the work, grows
+    with the square of a group of near copies.
 
     A null, empty or all-white text has no n-grams, links with nothing and is its
     own component, with cls null. A null id takes part in linking, but is no
@@ -311,6 +318,18 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         swap = F.col("cls_x") > F.col("cls_y")
         return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"), F.when(swap, F.col("k_y")).otherwise(F.col("k_x")).alias("ka"), F.when(swap, F.col("k_x")).otherwise(F.col("k_y")).alias("kb"))
 
+    def meetings() -> DataFrame:
+        """Pairs of all classes on a common prefix n-gram that pass length and positional filters."""
+        shares = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"))
+        met = materialise(prefix.join(shares, "token"), "join-met")
+        left = met.withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int"))
+        right = met.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        side = lambda df, s: df.select("token", "share", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "own", "k")])
+        length = F.least("n_x", "n_y") * den >= num * F.greatest("n_x", "n_y")
+        most = F.least(F.expr("n_x - own_x - k_x"), F.expr("n_y - own_y - k_y"))
+        pairs = side(left, "x").join(side(right, "y"), ["token", "share"]).where((F.col("cls_x") < F.col("cls_y")) & length & _enough(num, den, most, "n_x", "n_y"))
+        return pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("k_x").alias("ka"), F.col("k_y").alias("kb"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Each pair once: positional filter at its first common n-gram, suffix filter, then the whole sets."""
         once = pairs.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
@@ -325,11 +344,13 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
         return both.where(_enough(num, den, common, "n_a", "n_b")).select("a", "b")
 
     roots, links = materialise(running.select("cls", F.col("cls").alias("root")), "join-roots"), None
-    for seed in (1, 2, 0):
+    for seed in (None,) if every else (1, 2, 0):
         rooted = prefix.join(roots, "cls")
         # Buckets that are one component have nothing left to find.
-        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.struct("own", F.xxhash64("cls", F.lit(seed)))).alias("pivot")).where("lo != hi")
-        if seed:
+        open_ = None if every else rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.struct("own", F.xxhash64("cls", F.lit(seed)))).alias("pivot")).where("lo != hi")
+        if every:
+            pairs = meetings()
+        elif seed:
             pairs = candidates(rooted, open_.select("token", "pivot.*"))
         else:
             left = materialise(rooted.join(open_.select("token"), "token", "left_semi"), "join-left")
@@ -348,9 +369,16 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     least = materialise(least, "join-least")
     lowest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(least.join(lowest, "root").select("cls", "component_id"), "join-named")
+    columns = [id_col, "n_shingles", "cls", "component_id"]
+    if every:
+        sizes = materialise(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("size")), "join-sizes")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.join(sizes, F.col("b") == F.col("cls")).groupBy("a").agg(F.sum("size").alias("near"))
+        counts = sizes.join(near, F.col("cls") == F.col("a"), "left").select("cls", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        named, columns = materialise(named.join(counts, "cls"), "join-named"), [*columns, "n_links"]
     # Empty sets would all meet in one task of the join.
-    out = rows.where("cls IS NOT NULL").join(named, "cls").select(id_col, "n_shingles", "cls", "component_id")
-    empty = rows.where("cls IS NULL").select(id_col, "n_shingles", "cls", F.col(id_col).alias("component_id"))
+    out = rows.where("cls IS NOT NULL").join(named, "cls").select(columns)
+    empty = rows.where("cls IS NULL").withColumns({"component_id": F.col(id_col), "n_links": F.lit(0).cast("long")}).select(columns)
     return out.unionByName(empty), links
 
 

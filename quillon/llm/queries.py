@@ -1,4 +1,4 @@
-"""Queries over the whole tables, one for each operator of this folder."""
+"""Queries over the whole tables, one or two for each operator of this folder."""
 
 from __future__ import annotations
 
@@ -25,6 +25,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With how many other documents each one links: every link is verified."""
+    out, _ = ngram_join.join(table(spark, sf_dir, "documents"), n=3, similarity=(90, 100), every=True)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit(docs))
@@ -65,7 +71,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op4_language_id, op5_quotes, op6_media, op7_neighbours, op8_toxicity, op9_sentencepiece, op10_language_model)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_ngram_join, op3_ngram_links, op4_language_id, op5_quotes, op6_media, op7_neighbours, op8_toxicity, op9_sentencepiece, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:

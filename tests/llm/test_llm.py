@@ -180,6 +180,34 @@ def test_join_of_a_large_near_group_and_of_nothing(spark, nothing, monkeypatch):
     assert ngram_join.join(nothing)[0].count() == 0
 
 
+def brute_links(items, n, num, den):
+    """(id, number of other rows linked with) of each row, and the pairs of different sets that link."""
+    sets = []
+    for _, t in items:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    near = lambda a, b: a and den * len(a & b) >= num * len(a | b)
+    count = Counter((d, sum(bool(near(s, t)) for j, t in enumerate(sets) if j != i)) for (i, (d, _)), s in zip(enumerate(items), sets))
+    kinds = sorted(set(sets), key=sorted)
+    return count, sum(bool(near(a, b)) for i, a in enumerate(kinds) for b in kinds[:i])
+
+
+@pytest.mark.parametrize("n, num", [(3, 90), (5, 80), (2, 50)])
+def test_join_finds_every_link(spark, docs, monkeypatch, n, num):
+    monkeypatch.setattr(ngram_join, "LOCAL_HOT", 4)
+    monkeypatch.setattr(ngram_join, "SHARE", 3)
+    base, items = [f"w{i}" for i in range(60)], [(r[0], r[1]) for r in rows()]
+    for i in range(40):  # near copies with different texts: nearly all pairs link
+        items.append((1000 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :])))
+    out, links = ngram_join.join(spark.createDataFrame(items, "doc_id long, text string").repartition(5), n, (num, 100), every=True)
+    count, pairs = brute_links(items, n, num, 100)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == count
+    assert links.count() == links.distinct().count() == pairs
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(items, n, num, 100)
+    assert ngram_join.join(docs.limit(0), every=True)[0].count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r[0]: r[1] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
