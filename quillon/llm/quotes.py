@@ -2,7 +2,11 @@
 
 Lines that begin with `>` are quotes; as many marks, as deep. Each quoted line is
 normalised and hashed, and joined within its conversation to the earliest message
-that has it as a line of its own. A message replies to the one that most of its
+that has it as a line of its own. Of quoted passages (consecutive quoted lines of
+one depth) without such a line, the whole is looked for: among lines, passages and
+sentences, and, if it is long enough, anywhere within a message's own words, so
+that it may be wrapped anew or part of a longer line. A passage shorter than LEAST
+counts where its message has no longer one that links. A message replies to the one that most of its
 shallowest linked quotes come from. Messages that a chain of replies connects
 form a thread; a conversation is ordered by threads' first messages, then by
 turn, so that a reply comes after what it answers, and quotes are left out.
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, ranked
 
@@ -19,8 +24,10 @@ from .common import materialise, ranked
 MARKS = r"^(?:[ \t]*>)+"
 #: A line that announces a quote.
 ANNOUNCES = r"^On .*wrote:[ \t\r]*$"
-#: Shorter lines, normalised, are too common to link by.
+#: Shorter lines and passages, normalised, are common: they link a message only if nothing longer does.
 LEAST = 12
+#: Words by whose hash a passage is looked for within a message.
+ANCHOR = 3
 
 
 def _normal(line: Column) -> Column:
@@ -34,6 +41,60 @@ def lines(messages: DataFrame) -> DataFrame:
     return each.select("conv_id", "turn", "nr", F.length(F.regexp_replace(marks, "[^>]", "")).alias("depth"), "line")
 
 
+def _whole(text: Column) -> Column:
+    """The normal form, or the text itself where it has no letter or digit."""
+    norm = _normal(text)
+    return F.when(norm != "", norm).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, run, depth, text, hashes) of consecutive lines of one depth, blank lines between them.
+
+    text is without marks, key tells rows of one turn apart, and hashes are those
+    of the lines that can link by themselves.
+    """
+    rows = messages.select("conv_id", "turn", "text", F.xxhash64("text").alias("key")).dropDuplicates(["conv_id", "turn", "key"])
+    each = rows.select("conv_id", "turn", "key", F.posexplode(F.split("text", "\n", -1)).alias("nr", "line"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("line", MARKS, ""), r"\s+", " "))
+    marks = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 0), "[^>]", ""))
+    each = each.select("conv_id", "turn", "key", "nr", bare.alias("bare"), F.when(bare == "", -1).otherwise(marks).alias("depth"), _normal(F.col("line")).alias("norm"))
+    order = Window.partitionBy("conv_id", "turn", "key").orderBy("nr")
+    each = each.withColumn("begins", (F.col("depth") != F.coalesce(F.lag("depth").over(order), F.lit(-2))).cast("long"))
+    each = each.withColumn("run", F.sum("begins").over(order)).where("depth >= 0")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nr", "bare"))), lambda x: x["bare"])
+    return each.groupBy("conv_id", "turn", "key", "run", "depth").agg(F.array_join(listed, " ").alias("text"), F.collect_set(F.when(F.length("norm") >= LEAST, F.xxhash64("norm"))).alias("hashes"))
+
+
+def _linked_passages(messages: DataFrame, by_line: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash, depth, size, origin) of quoted passages of which by_line has no line."""
+    name = ["conv_id", "turn", "key", "run"]
+    quoted = materialise(passages(messages.where(F.col("text").rlike("(?m)" + MARKS))).where("depth > 0"), "quote-passages")
+    linked = quoted.select(*name, F.explode("hashes").alias("hash")).join(by_line.select("conv_id", "turn", "hash"), ["conv_id", "turn", "hash"]).select(name).distinct()
+    norm, words = _whole(F.col("text")), F.split("norm", " ")
+    left = quoted.join(linked, name, "left_anti").withColumn("norm", norm)
+    wide = (F.size(words) >= ANCHOR) & (F.length("norm") >= LEAST)
+    left = left.groupBy("conv_id", "turn", "norm").agg(F.min("depth").alias("depth"))
+    wanted = materialise(left.select("conv_id", "turn", "depth", F.length("norm").alias("size"), F.xxhash64("norm").alias("hash"), F.size(words).alias("n"), F.when(wide, F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " "))).alias("anchor")), "quote-wanted")
+    told = messages.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
+    # Units that a passage may equal.
+    own = passages(told).where("depth = 0").select("conv_id", "turn", "text")
+    sentences = own.select("conv_id", "turn", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("text"))
+    single = lines(told).where("depth = 0").select("conv_id", "turn", F.col("line").alias("text"))
+    units = own.unionByName(sentences).unionByName(single).select("conv_id", "turn", F.xxhash64(_whole(F.col("text"))).alias("hash"))
+    # Stretches of words that begin as a passage does, as long as it is: hashed, so that many quotes of one meet in one row.
+    body = told.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.split(_whole(without_quotes(F.col("text"))), " ").alias("words")).dropDuplicates(["conv_id", "turn", "key"])
+    begins = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(1), F.size("words") - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, ANCHOR), " "))))
+    asked = wanted.where("anchor IS NOT NULL").select("conv_id", "anchor", "n").distinct()
+    hits = body.select("conv_id", "turn", "key", F.posexplode(begins).alias("at", "anchor")).join(asked, ["conv_id", "anchor"])
+    hits = hits.groupBy("conv_id", "turn", "key").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
+    found = F.transform("hits", lambda h: F.xxhash64(F.array_join(F.slice("words", h["at"] + 1, h["n"]), " ")))
+    stretches = body.join(hits, ["conv_id", "turn", "key"]).select("conv_id", "turn", F.explode(found).alias("hash"))
+    first = units.unionByName(stretches).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    met = materialise(wanted.join(first, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "hash", "depth", "size", "origin"), "quote-met")
+    longer = by_line.select("conv_id", "turn").unionByName(met.where(F.col("size") >= LEAST).select("conv_id", "turn")).distinct()
+    return met.where(F.col("size") >= LEAST).unionByName(met.where(F.col("size") < LEAST).join(longer, ["conv_id", "turn"], "left_anti"))
+
+
 def without_quotes(text: Column) -> Column:
     """A text without quoted lines and without lines that announce one, trimmed."""
     each = F.split(text, "\n", -1)
@@ -43,11 +104,14 @@ def without_quotes(text: Column) -> Column:
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, n_linked): for each message with a linked quote, what it replies to."""
-    each = lines(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")).withColumn("norm", _normal(F.col("line"))).where(F.length("norm") >= LEAST).withColumn("hash", F.xxhash64("norm"))
+    messages = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    each = lines(messages).withColumn("norm", _normal(F.col("line"))).where(F.length("norm") >= LEAST).withColumn("hash", F.xxhash64("norm"))
     # One row for each conversation and line, summed before the shuffle: no hot line or conversation.
     first = each.where("depth = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     quoted = each.where("depth > 0").groupBy("conv_id", "turn", "hash").agg(F.min("depth").alias("depth"), F.max(F.length("norm")).alias("size"))
-    found = quoted.join(first, ["conv_id", "hash"]).where("origin < turn")
+    found = quoted.join(first, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "hash", "depth", "size", "origin")
+    found = materialise(found, "quote-lines")
+    found = found.unionByName(_linked_passages(messages, found))
     by_origin = found.groupBy("conv_id", "turn", "origin").agg(F.min("depth").alias("depth"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     best = F.max_by("origin", F.struct(-F.col("depth"), "size", "origin"))
     return by_origin.groupBy("conv_id", "turn").agg(best.alias("parent_turn"), F.sum("n").alias("n_linked"))
@@ -70,8 +134,8 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     Returns conv_id, turn, role, body (the text without quotes), parent_turn (what
     it replies to, null if no quote links), thread_turn (the first message of its
-    thread), reply_depth, n_quoted (quoted lines), n_linked (different ones that
-    were found) and position (from 1 within the conversation, in order of thread,
+    thread), reply_depth, n_quoted (quoted lines), n_linked (different lines,
+    and passages without such a line, that were found) and position (from 1 within the conversation, in order of thread,
     turn, role and body). A null text counts as empty. Messages with a null
     conv_id or turn link to nothing; those without a conv_id form one
     conversation, and a null turn comes last. Rows with one conv_id and turn are

@@ -295,6 +295,32 @@ def test_quotes(spark):
     assert quotes.conversations(spark.createDataFrame([], schema)).count() == 0
 
 
+REPLIES = [
+    (0, "Shall we meet at the old station on Friday evening, when the last train has gone?\nWhy not?\n\U0001f389\U0001f389", None, 0),
+    (1, "Yes, please.", None, 0),
+    (2, "> Yes, please.\nGood", 1, 1),
+    (3, "> Why not?\nok", 0, 1),
+    (4, "> Shall we meet at the old station\n> on Friday evening, when the last\n> train has gone?\nyes", 0, 1),
+    (5, "> \U0001f389\U0001f389\nindeed", 0, 1),
+    (6, "> the old station on Friday evening\nwhich one?", 0, 1),
+    (7, "> Good\n\nhm\n>> the old  station on FRIDAY\n>> evening\nbar", 0, 1),
+    (8, "> nobody wrote this sentence at all\n> old station Friday\nx", None, 0),
+    (9, "One line of a poem it was,\nanother one\nand the third line of it.", None, 0),
+    (10, "> One line of a poem it was, another\n> one and the third line of it.\nnice", 9, 1),
+    (11, ">> Why not?\n> which one?\nend", 6, 2),
+]
+
+
+def test_short_and_wrapped_quotes(spark):
+    talk = [(c, t, "user", text) for c in (1, 2) for t, text, _, _ in REPLIES if c == 1 or t] + [(1, 4, "user", REPLIES[4][1])]
+    got = quotes.conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    rows = {(r["conv_id"], r["turn"]): r for r in got}
+    assert len(got) == len(talk)
+    assert [(t, rows[1, t]["parent_turn"], rows[1, t]["n_linked"]) for t, *_ in REPLIES] == [(t, p, n) for t, _, p, n in REPLIES]
+    assert rows[1, 11]["thread_turn"] == 0 and rows[1, 11]["reply_depth"] == 2
+    assert [rows[2, t]["parent_turn"] for t in (2, 3, 4, 5, 6, 10)] == [1, None, None, None, None, 9]
+
+
 # --- 6 --------------------------------------------------------------------------------------
 
 
