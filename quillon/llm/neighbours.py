@@ -6,7 +6,9 @@ random blocks. In each turn every point meets its neighbours and those that it
 is a neighbour of; all that meet at one point are compared, and each keeps the
 nearest it has met, until a turn changes little. A query then walks the graph:
 it looks at the neighbours of the nearest points found so far that it hasn't
-looked at, until its nearest ones have all been looked at.
+looked at, until all that it keeps have been looked at. For a fixed set of queries
+the true nearest are found by comparing with every point, in blocks; while too
+few of them are among those kept, all queries keep twice as many and go on.
 
 Points are dealt by id into parts of bounded size. Lists of ids and vectors travel
 between parts as packed arrays, one row for each pair of parts, and each turn or
@@ -16,6 +18,8 @@ what a query finds is scored again on the original vectors in double precision.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,10 +34,12 @@ WIDTH = 32
 HUB = 32
 #: Points compared with one another at the start, and how often they are dealt anew for that.
 START, WAYS = 256, 3
-#: Turns at most; a turn that changes less than SETTLED of all neighbours is the last.
-TURNS, SETTLED = 10, 0.02
-#: Nearest points found that a query keeps, and looks at in a step; steps at most.
-BEAM, LOOK, STEPS = 224, 56, 10
+#: A turn that changes less than SETTLED of all neighbours is the last; so is one after TURNS for each doubling of the points.
+TURNS, SETTLED = 2, 0.02
+#: Nearest points found that a query keeps at first, and looks at in a step for that.
+BEAM, LOOK = 224, 56
+#: Queries compared with every point, and the share of their nearest that must be found.
+CHECKED, RECALL = 200, 0.95
 #: Nearest that a part of the meetings reports for a point.
 REPORT = 12
 #: Points in a part, about.
@@ -105,12 +111,13 @@ class _Part:
 class Graph:
     """A neighbour graph over points (id long, vec array<double>) of one length, ids distinct."""
 
-    def __init__(self, points: DataFrame, dim: int, width: int = WIDTH, turns: int = TURNS):
+    def __init__(self, points: DataFrame, dim: int, width: int = WIDTH, turns: int | None = None):
+        self.recall, self.beam = None, None  # of the last search
         self.dim, self.width, self.points = dim, width, points
         self.size = points.count()
         self.parts = max(1, -(-self.size // PART))
         self.rows = self._start()
-        for _ in range(turns):
+        for _ in range(TURNS * self.size.bit_length() if turns is None else turns):
             if self.size < 2 or self._turn() < SETTLED * self.size * min(width, self.size - 1):
                 break
 
@@ -313,11 +320,42 @@ class Graph:
         asks = self.rows.groupBy("part").applyInPandas(ask, _ROW)
         return materialise(self._by_part(attach, self.rows, self._by_part(answer, self.rows, asks)), "ann-lists")
 
-    def search(self, queries: DataFrame, beam: int = BEAM, look: int = LOOK, steps: int = STEPS) -> DataFrame:
-        """(query_id, id): for each query (query_id, vec, at) up to `beam` points found nearest.
-
-        at is the point from which the query starts, null if it isn't indexed.
+    def _truth(self, queries: DataFrame, k: int) -> dict[int, np.ndarray]:
+        """The k nearest of every point for CHECKED queries, those whose ids hash lowest; the query's own point doesn't count."""
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CHECKED).collect()
+        if not some:
+            return {}
+        names, own = np.array([r["query_id"] for r in some], np.int64), np.array([-1 if r["at"] is None else r["at"] for r in some], np.int64)
+        q = np.array([r["vec"] for r in some])
+
+        def compare(batches):
+            ids, scores = np.full((len(q), 0), -1, np.int64), np.empty((len(q), 0))
+            for batch in batches:
+                for lo in range(0, len(batch), 4096):
+                    one = batch.iloc[lo : lo + 4096]
+                    i = np.broadcast_to(one["id"].to_numpy(np.int64), (len(q), len(one)))
+                    near = np.where(i == own[:, None], -np.inf, q @ np.stack(one["vec"].to_numpy()).T)
+                    ids, scores = np.hstack((ids, i)), np.hstack((scores, near))
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    ids, scores = np.take_along_axis(ids, top, 1), np.take_along_axis(scores, top, 1)
+            here = scores > -np.inf
+            yield pd.DataFrame({"query_id": np.repeat(names, here.sum(1)), "id": ids[here], "score": scores[here]})
+
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        best = self.points.mapInPandas(compare, "query_id long, id long, score double").withColumn("nr", place).where(F.col("nr") <= k)
+        got: dict[int, list[int]] = {}
+        for r in best.select("query_id", "id").collect():  # CHECKED times k
+            got.setdefault(r[0], []).append(r[1])
+        return {i: np.array(m, np.int64) for i, m in got.items()}
+
+    def search(self, queries: DataFrame, beam: int | None = None, look: int | None = None, k: int = 20, recall: float | None = None) -> DataFrame:
+        """(query_id, id): for each query (query_id, vec, at) at least up to `beam` points found nearest.
+
+        at is the point from which the query starts, null if it isn't indexed. The
+        beam is doubled until `recall` of the checked queries' k nearest are in it,
+        or until it has room for every point; self.recall and self.beam tell how it ended.
         """
+        beam, look, recall = beam or max(BEAM, k + 1), look or LOOK, RECALL if recall is None else recall
         dim, width, parts = self.dim, self.width, self.parts
         lists = self._lists()
         entries = np.array([r[0] for r in self.points.select("id").orderBy(F.xxhash64("id")).limit(ENTRIES).collect()], np.int64)
@@ -399,16 +437,43 @@ class Graph:
             col = np.arange(len(q)) - np.searchsorted(q, np.arange(len(ids)))[q]
             mets, scores, flags = np.full_like(mets, -1), np.full_like(scores, -np.inf), np.zeros_like(flags)
             mets[q, col], scores[q, col], flags[q, col] = m, v, f
-            left = int(((mets >= 0) & ~flags)[:, : beam // 2].sum())
+            left = int(((mets >= 0) & ~flags).sum())
             return _frame([_row(part, "beam", ids=ids, codes=x, mets=mets, scores=scores, flags=flags, scales=np.array([left], np.int64))])
 
         dealt = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
         beams = materialise(dealt.groupBy("part").applyInPandas(begin, _ROW), "ann-beams")
-        for _ in range(steps):
-            looks = beams.groupBy("part").applyInPandas(send, _ROW)
-            beams = materialise(self._by_part(advance, beams, self._by_part(visit, lists, looks)), "ann-beams")
-            if not beams.where("hex(scales) != '0000000000000000'").limit(1).count():
+        truth = self._truth(queries, k)
+
+        def counted(batches):
+            """How many of the checked queries' nearest are in their beams."""
+            for rows in batches:
+                hits = 0
+                for _, row in rows.iterrows():
+                    ids, _, mets, scores, _ = unpack(row.to_frame().T)
+                    hits += sum(int(np.isin(truth[int(i)], m[v > -1e30]).sum()) for i, m, v in zip(ids, mets, scores) if int(i) in truth)
+                yield pd.DataFrame({"hits": [hits]})
+
+        def widen(rows: pd.DataFrame) -> pd.DataFrame:
+            """The same with room for twice as many."""
+            ids, x, mets, scores, flags = unpack(rows)
+            wide = lambda a, v: np.concatenate((a, np.full_like(a, v)), 1)
+            # All are looked at again: what fell out of the narrower beam has to be met once more.
+            return _frame([_row(rows["part"].iloc[0], "beam", ids=ids, codes=x, mets=wide(mets, -1), scores=wide(scores, -np.inf), flags=np.zeros((len(ids), 2 * beam), bool))])
+
+        while True:
+            while True:  # ends: what falls out of a beam doesn't come back
+                looks = beams.groupBy("part").applyInPandas(send, _ROW)
+                beams = materialise(self._by_part(advance, beams, self._by_part(visit, lists, looks)), "ann-beams")
+                if not beams.where("hex(scales) != '0000000000000000'").limit(1).count():
+                    break
+            hits = beams.mapInPandas(counted, "hits long").agg(F.sum("hits")).first()[0] or 0
+            self.beam, self.recall = beam, hits / max(1, sum(map(len, truth.values()))) if truth else None
+            if not truth or self.recall >= recall or beam >= self.size:
                 break
+            beams = materialise(beams.groupBy("part").applyInPandas(widen, _ROW), "ann-beams")
+            beam, look = 2 * beam, 2 * look
+        if truth and self.recall < recall:
+            warnings.warn(f"the graph search found {self.recall:.3f} of the checked queries' nearest, less than {recall}", stacklevel=2)
 
         def found(rows: pd.DataFrame) -> pd.DataFrame:
             ids, _, mets, scores, _ = unpack(rows)
@@ -423,7 +488,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
     Returns query_id, rank (from 1), vec_id and score: the inner product of the
     original vectors in double precision, nearest first, ties to the smaller id.
-    A query isn't its own neighbour. Rows with a null id, and vectors that are
+    The search widens until RECALL of the nearest of CHECKED queries are found, and
+    warns if they can't be. A query isn't its own neighbour. Rows with a null id, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part, nor do
     vectors of another length than the most frequent. Of rows with equal ids the
     one with the greatest vector counts. Equal vectors are one point of the
@@ -445,7 +511,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     graph = Graph(points, dim)
     asked = rows.where(F.col("id") % every == 0)
     queries = materialise(asked.join(point.withColumnRenamed("same", "s"), F.col("same") == F.col("s")).select(F.col("id").alias("query_id"), "vec", F.col("point").alias("at")), "ann-queries")
-    found = graph.search(queries)
+    found = graph.search(queries, k=k)
     # A query's own point is near it too: other rows may hold the same vector.
     pairs = found.unionByName(queries.select("query_id", F.col("at").alias("id"))).distinct()
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -370,6 +370,21 @@ def test_neighbours(spark):
     assert found >= 0.95 * 20 * len(got)
 
 
+def test_search_widens_until_enough_is_found(spark):
+    x = np.random.default_rng(8).normal(size=(1500, 24))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    graph = neighbours.Graph(points, 24, width=8)
+    queries = points.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vec", F.col("id").alias("at"))
+    found = {}
+    for r in graph.search(queries, beam=24, look=6).collect():
+        found.setdefault(r["query_id"], set()).add(r["id"])
+    near = x[::10] @ x.T
+    near[np.arange(150), np.arange(0, 1500, 10)] = -np.inf
+    hits = [len(found[10 * q] & set(np.argsort(-near[q])[:20].tolist())) for q in range(150)]
+    assert graph.recall == pytest.approx(sum(hits) / 3000) and graph.recall >= neighbours.RECALL
+    assert graph.beam > 24 and len(found) == 150
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["vec_id"], r["rank"]) for r in neighbours.nearest(few).orderBy("rank").collect()]
