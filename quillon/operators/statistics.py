@@ -170,7 +170,7 @@ def hist_uncertainty(histogram: DataFrame, weighted: bool = False, level: float
     return histogram.withColumn("_i", found).select(*histogram.columns, "_i.lower", "_i.upper")
 
 
-def bootstrap_mean(df: DataFrame, column: str, replicas: int = 200, seed: int = 42, level: float = ONE_SIGMA, key: str | None = None) -> DataFrame:
+def bootstrap_mean(df: DataFrame, column: str, replicas: int = 2000, seed: int = 42, level: float = ONE_SIGMA, key: str | None = None) -> DataFrame:
     """(n, mean, lower, upper, bias_z, acceleration): percentile interval of the mean by a Poisson bootstrap.
 
     Row weights come from the hash of the row's key (default: all columns) and

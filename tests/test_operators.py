@@ -149,6 +149,12 @@ def test_systematics_and_methods(spark):
     assert statistics.auto_method(10, True, False) == "clopper_pearson" and statistics.auto_method(500, False, True) == "bootstrap_bca"
 
 
+def test_bootstrap_has_2000_replicas_by_default(spark):
+    df = spark.range(60).select("id", (F.col("id") % 7 * 1.5).alias("x"))
+    ends = lambda **o: tuple(statistics.bootstrap_mean(df, "x", key="id", **o).first())
+    assert ends() == ends(replicas=2000) != ends(replicas=200)
+
+
 def test_bootstrap_does_not_depend_on_partitions(spark):
     df = spark.range(500).select(F.col("id"), (F.col("id") % 17).cast("double").alias("x"))
     a, b = (statistics.bootstrap_mean(df.repartition(n), "x", 50, key="id").first() for n in (2, 5))
