@@ -31,8 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which no language can be told (`und`: no letter)."""
-    return language_id.predict(docs, language_id.fit(docs), keep=OWN).where(f"{OWN}.lang_pred != 'und'").select(docs.columns)
+    """Without the documents in which no language can be told: those without a letter.
+
+    The decoder's choice and its `ambiguous` flag reject nothing. Where no
+    language could be learned, texts with a letter stay all the same.
+    """
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language_id.predict(docs, model, keep=OWN).where(f"{OWN}.lang_pred != 'und'").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

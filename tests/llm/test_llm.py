@@ -533,3 +533,10 @@ def test_stages_on_odd_rows(spark, docs, nothing):
     assert {r["doc_id"] for r in known.collect()} - {None} == {r[0] for r in rows() if r[0] is not None and r[1] and any(map(str.isalpha, r[1]))}
     mixed = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs.where("doc_id < 117"), sf).collect())
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs.where("doc_id < 117")).collect() if r["copies"]})
+
+
+def test_language_stage_with_nothing_learned(spark, docs):
+    import corpus_pipeline
+
+    known = corpus_pipeline.drop_unknown_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert Counter(r["doc_id"] for r in known.collect()) == Counter(r[0] for r in rows() if r[1] and any(map(str.isalpha, r[1])))
