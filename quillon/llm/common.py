@@ -91,6 +91,16 @@ def ranked(df: DataFrame, order: list[str], rank: str, tag: str) -> DataFrame:
     )
 
 
+def lowest(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each value of `by` in the given order, ties by all that order says.
+
+    Each task passes on at most n rows of a value (WindowGroupLimit), so a value
+    that most rows have isn't gathered in one task.
+    """
+    window = Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn("_quillon_rank", F.row_number().over(window)).where(F.col("_quillon_rank") <= n).drop("_quillon_rank")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether a document belongs to the fold that training must not see."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -1,19 +1,19 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword of bits. For each bit one binary classifier, linear
-in the shares of hashed character n-grams of words, tells the languages with a 1
-from those with a 0; the bits' classifiers are trained together in numpy. A
-text's margins are decoded by loss: each codeword costs the sum of logistic
-losses over its bits, weighted by how well the bit's classifier did in training,
-and the cheapest codeword wins. A text whose two cheapest codewords cost nearly
-the same is flagged as ambiguous.
+in the shares of a whole text's hashed character n-grams, tells the languages
+with a 1 from those with a 0; the bits' classifiers are trained together in
+numpy. A text's margins are decoded by loss: each codeword costs the sum of
+logistic losses over its bits, weighted by how well the bit's classifier did in
+training, and the cheapest codeword wins; of equally cheap ones, the language
+that comes first by name. A text whose two cheapest codewords cost nearly the
+same is flagged as ambiguous.
 """
 
 from __future__ import annotations
 
 import itertools
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,14 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out
+from .common import give_back, held_out, lowest
+from .textgrams import pieces, words
 
-#: Labelled rows that training takes at most, by hash of the id.
-SAMPLE = 2000
+#: Labelled rows of each language that training takes at most, by hash of the id.
+SAMPLE = 500
 BUCKETS = 1 << 12
 LONGEST = 3
-#: Words that a worker remembers at once.
-REMEMBERED = 200_000
 #: A text is ambiguous if its best language has less than this share.
 CLEAR = 0.6
 
@@ -48,18 +47,24 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return np.array(sorted(columns)).T
 
 
-def grams(word: str) -> list[int]:
-    crc, marked = zlib.crc32, f" {word} "
-    return [crc(marked[i : i + n].encode()) % BUCKETS for n in range(1, LONGEST + 1) for i in range(len(marked) - n + 1)]
-
-
-def shares(words: list[str]) -> np.ndarray:
-    """Mean over words of each word's shares of n-grams."""
-    each = [grams(w) for w in words]
-    size = np.array([len(g) for g in each], dtype=np.int64)
-    ids = np.fromiter(itertools.chain.from_iterable(each), np.int64, int(size.sum()))
-    out = np.bincount(ids, np.repeat(1 / size, size), BUCKETS)
-    return (out / max(1, len(words))).astype(np.float32)
+def shares(texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of text, its share of each bucket) of texts with a letter or digit, whole, in order."""
+    counts, now = np.zeros(BUCKETS + 1, np.int64), -1
+    for block in pieces(texts):
+        w = words(block)
+        if not len(w.start):
+            continue
+        grams = [w.hashes(n, BUCKETS) for n in range(1, LONGEST + 1)]
+        first = np.flatnonzero(np.diff(w.text, prepend=-1))
+        for of, begin, end in zip(w.text[first].tolist(), w.start[first].tolist(), [*w.start[first[1:]].tolist(), len(grams[0])]):
+            if of != now:
+                if now >= 0:
+                    yield now, counts[:BUCKETS] / counts[:BUCKETS].sum()
+                counts, now = np.zeros(BUCKETS + 1, np.int64), of
+            for g in grams:
+                counts += np.bincount(g[begin:end], minlength=BUCKETS + 1)
+    if now >= 0:
+        yield now, counts[:BUCKETS] / counts[:BUCKETS].sum()
 
 
 @dataclass(frozen=True)
@@ -80,21 +85,14 @@ class Model:
         return best, z[np.arange(len(z)), best]
 
 
-def train(texts: list[str], languages: list[str], rounds: int = 80, seed: int = 5) -> Model:
+def train(x: np.ndarray, languages: Sequence[str], rounds: int = 200) -> Model:
+    """A model from rows of shares and their languages."""
     names = tuple(sorted(set(languages)))
     code = codewords(len(names))
     bits = code.shape[1]
     if len(names) < 2:
-        return Model(names, code, np.zeros((BUCKETS, bits), np.float32), np.zeros(bits), np.ones(bits) / bits)
-    rng, rows, of = np.random.default_rng(seed), [], []
-    for text, lang in zip(texts, languages, strict=True):
-        words = text.lower().split()
-        # Short passages too, so that short texts are decided well.
-        for n in (100, 8):
-            at = int(rng.integers(0, max(1, len(words) - n)))
-            rows.append(shares(words[at : at + n]))
-            of.append(names.index(lang))
-    x, of = np.array(rows), np.array(of)
+        return Model(names, code, np.zeros((BUCKETS, bits)), np.zeros(bits), np.ones(bits) / bits)
+    x, of = np.asarray(x, np.float32), np.array([names.index(lang) for lang in languages])
     y = (2 * code[of] - 1).astype(np.float32)
     balance = (1 / np.bincount(of, minlength=len(names)))[of].astype(np.float32)
     balance /= balance.sum()
@@ -111,30 +109,52 @@ def train(texts: list[str], languages: list[str], rounds: int = 80, seed: int =
             p -= 0.3 * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     good = ((((x @ w) * scale + b) * y > 0) * balance[:, None]).sum(0)
     trust = np.maximum(2 * good - 1, 1e-3)
-    return Model(names, code, w * scale, b.astype(np.float64), trust / trust.sum())
+    return Model(names, code, (w * scale).astype(np.float64), b.astype(np.float64), trust / trust.sum())
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on at most `sample` rows with a language and a text outside the held-out fold.
+def sampled(docs: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(_id, _text, _lang) of at most `sample` rows of each language outside the held-out fold.
 
-    The rows are those whose ids hash lowest.
+    The ids are those that hash lowest; where they have more rows than `sample`,
+    texts count in order. Null ids, texts and languages take no part.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    rows = rows.where("_lang IS NOT NULL AND _text IS NOT NULL").where(~held_out(F.col("_id"), folds, fold)).withColumn("_nr", F.xxhash64("_id"))
-    picked = rows.select("_nr", "_id").orderBy("_nr", "_id").limit(sample)
-    # At most `sample` rows by construction.
-    got = rows.join(F.broadcast(picked.distinct()), ["_nr", "_id"]).collect()
-    got = sorted(((r["_id"], r["_text"], r["_lang"]) for r in got))
-    return train([r[1] for r in got], [r[2] for r in got])
+    rows = rows.where("_id IS NOT NULL AND _lang IS NOT NULL AND _text IS NOT NULL").where(~held_out(F.col("_id"), folds, fold)).withColumn("_nr", F.xxhash64("_id"))
+    picked = lowest(rows.select("_nr", "_id", "_lang"), "_lang", ["_nr", "_id"], sample).distinct()
+    # At most `sample` narrow rows a language, which the model on the driver needs anyway: a broadcast is safe.
+    return lowest(rows.join(F.broadcast(picked), ["_nr", "_id", "_lang"]), "_lang", ["_nr", "_id", "_text"], sample).select("_id", "_text", "_lang")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Train on the whole texts of `sampled`.
+
+    The driver gets at most `sample` vectors of BUCKETS floats a language, however
+    long the texts are; texts without a letter or digit teach nothing. A language with any labelled
+    text that can be sampled is learned, however rare.
+    """
+
+    @F.pandas_udf("binary")
+    def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            out: list[bytes | None] = [None] * len(batch)
+            for k, x in shares(batch.tolist()):
+                out[k] = x.astype(np.float32).tobytes()
+            yield pd.Series(out, dtype=object)
+
+    rows = sampled(docs, sample, folds, fold, id_col, text_col, lang_col).select("_lang", vector("_text").alias("x")).where("x IS NOT NULL").collect()
+    rows = sorted((r["_lang"], bytes(r["x"])) for r in rows)
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), BUCKETS)
+    return train(x, [r[0] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """Language of every whole text.
 
     Returns id_col, lang_pred, score (share of the nearest codeword, 0 to 1) and
-    ambiguous; with keep all columns of docs and a struct column of that name with
-    those three. A null text or one without any letter is `und` with score 0 and
-    not ambiguous. With nothing learned all is `und`. Repeated rows get a row
+    ambiguous; with keep all columns of docs, whatever their names, and a struct
+    column named keep with those three. A null text or one without any letter is
+    `und` with score 0 and not ambiguous. With nothing learned all is `und`. Very
+    long texts are read whole, in blocks of words. Equal texts get equal results and repeated rows a row
     each; an empty table gives no rows.
     """
     context = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
@@ -142,40 +162,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def lid(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = context.value
-        bits = model.code.shape[1]
-        table = np.zeros((REMEMBERED, bits), np.float32)
-
-        class Rows(dict):
-            def __missing__(self, word):
-                row = len(self)
-                self[word] = row
-                table[row] = model.weights[grams(word)].mean(0)
-                return row
-
-        rows = Rows()
         for batch in texts:
-            margins = np.zeros((len(batch), bits))
-            known = np.zeros(len(batch), bool)
-            for k, text in enumerate(batch):
-                if not model.languages or not text or not any(map(str.isalpha, text)):
-                    continue
-                known[k] = True
-                words = text.lower().split()
-                for at in range(0, len(words), 20_000):  # all words, in blocks
-                    some = words[at : at + 20_000]
-                    if len(rows) + len(some) > REMEMBERED:
-                        rows.clear()
-                    ids = np.fromiter(map(rows.__getitem__, some), np.int64, len(some))
-                    margins[k] += table[ids].sum(0, dtype=np.float64)
-                margins[k] = margins[k] / len(words) + model.bias
+            batch = batch.tolist()
+            names, score = np.full(len(batch), "und", dtype=object), np.zeros(len(batch))
             if model.languages:
+                known = [k for k, text in enumerate(batch) if text and any(map(str.isalpha, text))]
+                margins = np.zeros((len(known), model.code.shape[1]))
+                for k, x in shares([batch[k] for k in known]):
+                    margins[k] = x @ model.weights + model.bias
                 best, share = model.decode(margins)
-                names = np.array(model.languages, dtype=object)[best]
-            else:
-                names, share = np.full(len(batch), "und", dtype=object), np.zeros(len(batch))
-            names[~known], share[~known] = "und", 0.0
-            yield pd.DataFrame({"lang_pred": names, "score": share, "ambiguous": known & (share < CLEAR)})
-        rows.clear()
+                names[known], score[known] = np.array(model.languages, dtype=object)[best], share
+            yield pd.DataFrame({"lang_pred": names, "score": score, "ambiguous": (names != "und") & (score < CLEAR)})
         give_back()
 
     if keep:
