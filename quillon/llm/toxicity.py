@@ -7,66 +7,86 @@ numpy. A misspelling or an unseen ending shares n-grams with words seen, so it
 shares their vectors.
 
 A few insults in a long text would drown in one mean, so a text is scored as its
-worst passage of PASSAGE consecutive words (all of them are looked at), and
-training takes each text's worst passage under the present model. A word counts
-where it first stands: a line that a text repeats says no more than once.
+worst passage of PASSAGE consecutive words (all words count, wherever and however
+often they stand), and training takes each text's worst passage under the
+present model.
 
 Between n-grams and logit all is linear, so a trained model is one number for
-each hash bucket and a text needs one lookup for each word.
+each hash bucket.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, give_back, held_out
+from .common import give_back, held_out, lowest
+from .textgrams import Words, pieces, words
 
 #: Labelled rows of each class that training takes at most, by hash of the id.
-SAMPLE = 1500
-PASSAGE = 32
+SAMPLE = 3000
+PASSAGE = 2
 #: Rejecting a share of the clean texts costs so much more than missing that share of the toxic ones.
 CLEAN_COST = 2.0
+#: Parts of the sample: as many models are trained, each without one part, and averaged.
+PARTS = 3
 BUCKETS = 1 << 17
 DIMS = 8
-SHORTEST, LONGEST = 3, 5
-EDGE = ".,;:!?\"'()[]{}<>|*-_…«»“”‘’"
+SHORTEST, LONGEST = 4, 6
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams; outer punctuation doesn't count."""
-    word = word.strip(EDGE)
-    if not word:
-        return []
-    crc, marked = zlib.crc32, f"<{word}>"
-    out = [crc(marked.encode()) % BUCKETS]
-    for n in range(SHORTEST, LONGEST + 1):
-        out += [crc(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
-
-
-def sequence(text: str | None) -> list[str]:
-    """The distinct words of a text, in order of their first places."""
-    return list(dict.fromkeys((text or "").lower().split()))
-
-
-def _best(scores: np.ndarray) -> tuple[int, float]:
-    """Start and mean of the highest-scoring passage."""
+def _worst(scores: np.ndarray) -> tuple[int, float]:
+    """Start and mean of the highest-scoring passage of one text."""
     if len(scores) <= PASSAGE:
         return 0, float(scores.mean()) if len(scores) else 0.0
-    sums = np.concatenate(([0.0], np.cumsum(scores)))
-    means = (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
+    means = _means(scores)
     at = int(means.argmax())
     return at, float(means[at])
 
 
+def _means(scores: np.ndarray) -> np.ndarray:
+    """Mean of the PASSAGE scores from each place on."""
+    n = len(scores) - PASSAGE + 1
+    return sum(scores[k : k + n] for k in range(PASSAGE)) / PASSAGE
+
+
+def word_scores(w: Words, weight: np.ndarray) -> np.ndarray:
+    """Mean weight of each word's n-grams and of the word; weight has a last zero for what is no n-gram."""
+    total = np.zeros(int(w.start[-1] + w.length[-1] + 1))
+    n = np.ones(len(w.start))
+    for k in range(SHORTEST, LONGEST + 1):
+        total += weight[w.hashes(k, BUCKETS)]
+        n += np.maximum(w.length + 3 - k, 0)
+    return (np.add.reduceat(total, w.start) + weight[w.whole(BUCKETS)]) / n
+
+
+def logits(texts: Sequence[str | None], model: tuple[np.ndarray, float]) -> np.ndarray:
+    """Logit of each text's worst passage; of no words, the bias."""
+    weight, bias = np.append(model[0], 0.0), model[1]
+    total, count, top = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf)
+    last, of = np.empty(0), np.empty(0, np.int64)
+    for block in pieces(texts):
+        w = words(block)
+        if not len(w.start):
+            continue
+        s = word_scores(w, weight)
+        total += np.bincount(w.text, s, len(texts))
+        count += np.bincount(w.text, minlength=len(texts))
+        # A passage may go on from one block into the next.
+        s, of = np.concatenate((last, s)), np.concatenate((of, w.text))
+        if len(s) >= PASSAGE:
+            begin = of[: len(of) - PASSAGE + 1]
+            whole = begin == of[PASSAGE - 1 :]
+            np.maximum.at(top, begin[whole], _means(s)[whole])
+        last, of = s[len(s) - PASSAGE + 1 :], of[len(of) - PASSAGE + 1 :]
+    return bias + np.where(count >= PASSAGE, top, total / np.maximum(count, 1))
+
+
 def threshold(logits: np.ndarray, toxic: np.ndarray, clean_cost: float = CLEAN_COST) -> float:
     """Where to part toxic from clean: the middle of the cheapest span of logits."""
     order = np.argsort(logits, kind="stable")
@@ -82,64 +102,91 @@ def threshold(logits: np.ndarray, toxic: np.ndarray, clean_cost: float = CLEAN_C
     return float((low + high) / 2)
 
 
+class Bags:
+    """Texts as numbers of distinct words, and each distinct word's buckets."""
+
+    def __init__(self, texts: Sequence[str]):
+        numbers: dict[int, int] = {}
+        flat, size, docs = [], [], [[] for _ in texts]
+        for block in pieces(texts):
+            w = words(block)
+            if not len(w.start):
+                continue
+            keys = w.keys().tolist()
+            fresh = [k for k, key in enumerate(keys) if key not in numbers and not numbers.update({key: len(numbers)})]
+            grams = [w.hashes(n, BUCKETS) for n in range(SHORTEST, LONGEST + 1)]
+            whole = w.whole(BUCKETS)
+            for k in fresh:
+                own = slice(w.start[k], w.start[k] + w.length[k] + 1)
+                ids = np.concatenate([g[own] for g in grams])
+                flat.append(np.append(ids[ids < BUCKETS], whole[k]).astype(np.int32))
+                size.append(len(flat[-1]))
+            ids = np.array([numbers[k] for k in keys], np.int32)
+            cuts = np.flatnonzero(np.diff(w.text)) + 1
+            for part, of in zip(np.split(ids, cuts), w.text[np.concatenate(([0], cuts))]):
+                docs[of].append(part)
+        self.docs = [np.concatenate(d) if d else np.empty(0, np.int32) for d in docs]
+        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.size = np.array(size, np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.owner = np.repeat(np.arange(len(size), dtype=np.int32), self.size)
+
+    def scores(self, weight: np.ndarray) -> np.ndarray:
+        """Mean weight of each distinct word."""
+        return np.bincount(self.owner, weight[self.flat], len(self.size)) / self.size
+
+
 def train(texts: list[str], toxic: list[int], **options) -> tuple[np.ndarray, float]:
     """Logit of each bucket, and the bias.
 
-    The vectors are trained on four fifths of the texts; the bias is set on the
-    others, which the vectors haven't seen.
+    One model is trained without each part of the sample, and their logits are
+    averaged. The bias is set where all texts are parted best, each scored by the
+    model that hasn't seen it. Without both classes, all is constant.
     """
     y = np.asarray(toxic, dtype=np.float64)
-    aside = np.arange(len(y)) % 5 == 4
-    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-        return _train(texts, toxic, **options)
-    weight, bias = _train([t for t, a in zip(texts, aside) if not a], y[~aside].tolist(), **options)
-    mean = lambda w: float(weight[g].mean()) if (g := grams(w)) else 0.0
-    logits = np.array([bias + _best(np.array([mean(w) for w in sequence(t)]))[1] for t, a in zip(texts, aside) if a])
-    return weight, bias - threshold(logits, y[aside])
-
-
-def _train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 0.3, seed: int = 3) -> tuple[np.ndarray, float]:
-    """As train, on all texts. Without both classes, all is constant."""
-    y = np.asarray(toxic, dtype=np.float64)
-    weight = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
-        return weight, math.log(share / (1 - share))
-    nr: dict[str, int] = {}
-    docs = [np.array([nr.setdefault(w, len(nr)) for w in sequence(t)], dtype=np.int32) for t in texts]
-    ids, size = array("i"), np.zeros(len(nr), np.int64)
-    for k, w in enumerate(nr):
-        before = len(ids)
-        ids.extend(grams(w))
-        size[k] = len(ids) - before
-    del nr
-    flat = np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
-    start = np.concatenate(([0], np.cumsum(size)))
-    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        return np.zeros(BUCKETS), math.log(share / (1 - share))
+    bags, part, found = Bags(texts), np.empty(len(y), np.int64), np.empty(len(y))
+    if min(y.sum(), len(y) - y.sum()) < PARTS:
+        return _train(bags, np.arange(len(y)), y, **options)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % PARTS
+    weights, biases = np.zeros(BUCKETS), 0.0
+    for p in range(PARTS):
+        weight, bias = _train(bags, np.flatnonzero(part != p), y, seed=p, **options)
+        word = bags.scores(weight)
+        for k in np.flatnonzero(part == p):
+            found[k] = bias + _worst(word[bags.docs[k]])[1]
+        weights += weight / PARTS
+        biases += bias / PARTS
+    return weights, biases - threshold(found, y)
+
+
+def _train(bags: Bags, rows: np.ndarray, y: np.ndarray, rounds: int = 8, rate: float = 0.1, seed: int = 0) -> tuple[np.ndarray, float]:
+    docs, y = [bags.docs[k] for k in rows], y[rows]
+    flat, size, start = bags.flat, bags.size, bags.start
     rng = np.random.default_rng(seed)
     vectors = (rng.uniform(-1, 1, (BUCKETS, DIMS)) / DIMS).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIMS, 2))
     bias = np.zeros(2)
     past_v, past_s, past_b = np.full((BUCKETS, DIMS), 1e-8, np.float32), np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
-    share = np.maximum(size, 1)
     classes = np.where(y[:, None] == [0, 1], 1.0, 0.0)
     for turn in range(rounds):
-        logit = vectors @ (soft[:, 1] - soft[:, 0])
-        word = np.bincount(owner, logit[flat], len(size)) / share
+        word = bags.scores(vectors @ (soft[:, 1] - soft[:, 0]))
         # At first any passage may hold the insult, so the first turns take the whole text.
-        parts = [d if turn < 2 else d[(at := _best(word[d])[0]) : at + PASSAGE] for d in docs]
+        parts = [d if turn < 2 else d[(at := _worst(word[d])[0]) : at + PASSAGE] for d in docs]
         for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 32)):
-            words = np.concatenate([parts[i] for i in some])
-            if not len(words):
+            ids = np.concatenate([parts[i] for i in some])
+            if not len(ids):
                 continue
             of = np.repeat(np.arange(len(some)), [len(parts[i]) for i in some])
             length = np.maximum(np.bincount(of, minlength=len(some)), 1)
-            n = size[words]
-            at = np.repeat(start[words] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            ids, text = flat[at], np.repeat(of, n)
-            part = 1.0 / np.repeat(share[words] * length[of], n)
+            n = size[ids]
+            at = np.repeat(start[ids] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            part = 1.0 / np.repeat(n * length[of], n)
             # Sparse text-by-bucket matrix, summed by (text, bucket).
-            key, back = np.unique(text.astype(np.int64) * BUCKETS + ids, return_inverse=True)
+            key, back = np.unique(np.repeat(of, n).astype(np.int64) * BUCKETS + flat[at], return_inverse=True)
             value = np.bincount(back, part)
             row, col = key // BUCKETS, key % BUCKETS
             mean = np.stack([np.bincount(row, value * vectors[col, d], len(some)) for d in range(DIMS)], 1)
@@ -160,17 +207,23 @@ def _train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 0.
     return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Train on at most `sample` labelled rows of each class outside the held-out fold.
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(_id, _text, _toxic) of at most `sample` rows of each class outside the held-out fold.
 
-    The rows are those whose ids hash lowest. Null labels and texts take no part.
+    The ids are those that hash lowest among the labels; where they have more
+    rows than `sample`, texts count in order. Null ids, labels and texts take no part, nor
+    do ids whose labels disagree; a label said twice counts once.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(F.col("_toxic").isin(0, 1)).where(~held_out(F.col("_id"), folds, fold))
-    known = known.withColumn("_nr", F.xxhash64("_id"))
-    picked = known.where("_toxic = 0").orderBy("_nr", "_id").limit(sample).unionByName(known.where("_toxic = 1").orderBy("_nr", "_id").limit(sample))
-    # At most 2 * sample rows by construction.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(picked), "_id").select("_id", "_text", "_toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_text"]))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where("_id IS NOT NULL").where(F.col("_toxic").isin(0, 1)).where(~held_out(F.col("_id"), folds, fold))
+    known = known.groupBy("_id").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).where("_toxic = _most").select("_id", "_toxic", F.xxhash64("_id").alias("_nr"))
+    picked = lowest(known, "_toxic", ["_nr", "_id"], sample)  # at most 2 * sample narrow rows, so a broadcast is safe
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(picked), "_id")
+    return lowest(rows, "_toxic", ["_nr", "_id", "_text"], sample).select("_id", "_text", "_toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
+    """Train on the rows of `sampled`: at most `sample` of each class reach the driver."""
+    rows = sorted(sampled(docs, labels, sample, folds, fold, id_col, text_col, label_col).collect(), key=lambda r: (r["_id"], r["_text"]))
     return train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
 
 
@@ -178,32 +231,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     """Score of every text in 0 to 1, and predicted (1 from 0.5 on).
 
     Returns id_col, score, predicted; with keep all columns of docs and those two,
-    their names beginning with keep. A null or empty text, or one without words, gets
-    the score of the bias alone. Whole texts count, however long. Repeated rows
+    their names beginning with keep (docs may have columns `score` and `predicted`
+    then; without keep other columns are ignored). A null or empty text, or one
+    without a letter or digit, gets the score of the bias alone. Whole texts count,
+    however long, in blocks of words. Equal texts get equal scores and repeated rows
     are scored each; an empty table gives no rows.
     """
-    weight, bias = model[0].astype(np.float32), model[1]
+    weight, bias = model
     context = docs.sparkSession.sparkContext.broadcast(weight)  # BUCKETS floats
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weight = context.value
-
-        def make(word: str) -> float:
-            ids = grams(word)
-            return float(weight[ids].mean()) if ids else 0.0
-
-        words = Remembered(make, 120_000)
-        look = words.__getitem__
         for batch in texts:
-            out = []
-            for text in batch:
-                each = sequence(text)
-                logit = bias + _best(np.fromiter(map(look, each), np.float64, len(each)))[1]
-                out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))))
-            yield pd.Series(out, dtype="float64")
-        words.clear()
-        words.old.clear()
+            yield pd.Series(1 / (1 + np.exp(-np.clip(logits(batch.tolist(), (context.value, bias)), -60, 60))), dtype="float64")
         give_back()
 
     if keep:
