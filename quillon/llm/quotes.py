@@ -1,15 +1,20 @@
 """Chat formatting by quotation linking, in DataFrame functions only.
 
-Lines that begin with `>` are quotes; as many marks, as deep. Each quoted line is
-normalised and hashed, and joined within its conversation to the earliest message
-that has it as a line of its own. Of quoted passages (consecutive quoted lines of
-one depth) without such a line, the whole is looked for: among lines, passages and
-sentences, and, if it is long enough, anywhere within a message's own words, so
-that it may be wrapped anew or part of a longer line. A passage shorter than LEAST
-counts where its message has no longer one that links. A message replies to the one that most of its
-shallowest linked quotes come from. Messages that a chain of replies connects
-form a thread; a conversation is ordered by threads' first messages, then by
-turn, so that a reply comes after what it answers, and quotes are left out.
+Lines that begin with `>` are quotes; as many marks, as deep. Consecutive quoted
+lines of one depth are a passage. A passage is normalised to its lower-cased words,
+hashed, and joined within its conversation to the messages whose own text (without
+quotes) has the same words in a row, also where a client wrapped it anew or quoted
+a part of a line. One of fewer than ANCHOR words, or without any letter or digit,
+must equal a line, a sentence or a paragraph there. Of a passage that no message
+has, each line is looked for in the same way.
+
+What links, links to the earliest message that has it. A message replies to the
+one that its quotes point to: what only one message says counts before what
+several say, then the shallowest quotes, then those with most characters, so a
+common line decides only where nothing else links. Messages that a chain of
+replies connects form a thread; a conversation is ordered by threads' first
+messages, then by turn, so that a reply comes after what it answers, and quotes
+are left out.
 """
 
 from __future__ import annotations
@@ -24,75 +29,69 @@ from .common import materialise, ranked
 MARKS = r"^(?:[ \t]*>)+"
 #: A line that announces a quote.
 ANNOUNCES = r"^On .*wrote:[ \t\r]*$"
-#: Shorter lines and passages, normalised, are common: they link a message only if nothing longer does.
-LEAST = 12
 #: Words by whose hash a passage is looked for within a message.
 ANCHOR = 3
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARKS, "")), r"[^\p{L}\p{N}]+", " "))
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, nr, depth, line) of every line of messages (conv_id, turn, text)."""
-    each = messages.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("nr", "line"))
-    marks = F.regexp_extract("line", MARKS, 0)
-    return each.select("conv_id", "turn", "nr", F.length(F.regexp_replace(marks, "[^>]", "")).alias("depth"), "line")
-
-
-def _whole(text: Column) -> Column:
-    """The normal form, or the text itself where it has no letter or digit."""
-    norm = _normal(text)
-    return F.when(norm != "", norm).otherwise(F.trim(F.regexp_replace(text, r"\s+", " ")))
+def normal(text: Column) -> Column:
+    """Lower-cased words of letters and digits with single spaces; of text without any, the text itself."""
+    norm = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(norm != "", norm).otherwise(_plain(text))
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, key, run, depth, text, hashes) of consecutive lines of one depth, blank lines between them.
+    """(conv_id, turn, key, run, depth, text, lines) of consecutive lines of one depth, as blank lines part them.
 
-    text is without marks, key tells rows of one turn apart, and hashes are those
-    of the lines that can link by themselves.
+    lines and text, which joins them, are without marks; key tells rows of one turn apart.
     """
     rows = messages.select("conv_id", "turn", "text", F.xxhash64("text").alias("key")).dropDuplicates(["conv_id", "turn", "key"])
     each = rows.select("conv_id", "turn", "key", F.posexplode(F.split("text", "\n", -1)).alias("nr", "line"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("line", MARKS, ""), r"\s+", " "))
+    bare = _plain(F.regexp_replace("line", MARKS, ""))
     marks = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 0), "[^>]", ""))
-    each = each.select("conv_id", "turn", "key", "nr", bare.alias("bare"), F.when(bare == "", -1).otherwise(marks).alias("depth"), _normal(F.col("line")).alias("norm"))
+    each = each.select("conv_id", "turn", "key", "nr", bare.alias("bare"), F.when(bare == "", -1).otherwise(marks).alias("depth"))
     order = Window.partitionBy("conv_id", "turn", "key").orderBy("nr")
     each = each.withColumn("begins", (F.col("depth") != F.coalesce(F.lag("depth").over(order), F.lit(-2))).cast("long"))
     each = each.withColumn("run", F.sum("begins").over(order)).where("depth >= 0")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("nr", "bare"))), lambda x: x["bare"])
-    return each.groupBy("conv_id", "turn", "key", "run", "depth").agg(F.array_join(listed, " ").alias("text"), F.collect_set(F.when(F.length("norm") >= LEAST, F.xxhash64("norm"))).alias("hashes"))
-
-
-def _linked_passages(messages: DataFrame, by_line: DataFrame) -> DataFrame:
-    """(conv_id, turn, hash, depth, size, origin) of quoted passages of which by_line has no line."""
-    name = ["conv_id", "turn", "key", "run"]
-    quoted = materialise(passages(messages.where(F.col("text").rlike("(?m)" + MARKS))).where("depth > 0"), "quote-passages")
-    linked = quoted.select(*name, F.explode("hashes").alias("hash")).join(by_line.select("conv_id", "turn", "hash"), ["conv_id", "turn", "hash"]).select(name).distinct()
-    norm, words = _whole(F.col("text")), F.split("norm", " ")
-    left = quoted.join(linked, name, "left_anti").withColumn("norm", norm)
-    wide = (F.size(words) >= ANCHOR) & (F.length("norm") >= LEAST)
-    left = left.groupBy("conv_id", "turn", "norm").agg(F.min("depth").alias("depth"))
-    wanted = materialise(left.select("conv_id", "turn", "depth", F.length("norm").alias("size"), F.xxhash64("norm").alias("hash"), F.size(words).alias("n"), F.when(wide, F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " "))).alias("anchor")), "quote-wanted")
+    runs = each.groupBy("conv_id", "turn", "key", "run", "depth").agg(listed.alias("lines"))
+    return runs.withColumn("text", F.array_join("lines", " "))
+
+
+def quoted_units(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, run, depth, single, norm) of quoted passages and, if they have several, of their lines."""
+    quoted = passages(messages.where(F.col("text").rlike("(?m)" + MARKS))).where("depth > 0")
+    both = F.concat(F.array(F.struct(F.lit(False).alias("single"), F.col("text").alias("text"))), F.when(F.size("lines") > 1, F.transform("lines", lambda x: F.struct(F.lit(True).alias("single"), x.alias("text")))).otherwise(F.array()))
+    units = quoted.select("conv_id", "turn", "key", "run", "depth", F.explode(both).alias("unit"))
+    return units.select("conv_id", "turn", "key", "run", "depth", "unit.single", normal(F.col("unit.text")).alias("norm")).distinct()
+
+
+def origins(messages: DataFrame, units: DataFrame) -> DataFrame:
+    """(conv_id, hash, origin, alone): the first message that has a unit of `units` as its own text, and whether no other has."""
+    words = F.split("norm", " ")
+    wide = (F.size(words) >= ANCHOR) & F.col("norm").rlike(r"[\p{L}\p{N}]")
+    wanted = units.select("conv_id", F.xxhash64("norm").alias("hash"), F.size(words).alias("n"), F.when(wide, F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " "))).alias("anchor")).distinct()
+    wanted = materialise(wanted, "quote-wanted")
     told = messages.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
-    # Units that a passage may equal.
-    own = passages(told).where("depth = 0").select("conv_id", "turn", "text")
-    sentences = own.select("conv_id", "turn", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("text"))
-    single = lines(told).where("depth = 0").select("conv_id", "turn", F.col("line").alias("text"))
-    units = own.unionByName(sentences).unionByName(single).select("conv_id", "turn", F.xxhash64(_whole(F.col("text"))).alias("hash"))
-    # Stretches of words that begin as a passage does, as long as it is: hashed, so that many quotes of one meet in one row.
-    body = told.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.split(_whole(without_quotes(F.col("text"))), " ").alias("words")).dropDuplicates(["conv_id", "turn", "key"])
+    # Short units: what they must equal.
+    own = passages(told).where("depth = 0").select("conv_id", "turn", "text", "lines")
+    parts = F.concat(F.array("text"), F.col("lines"), F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n"))
+    equal = own.select("conv_id", "turn", F.explode(parts).alias("text")).select("conv_id", "turn", F.xxhash64(normal(F.col("text"))).alias("hash"))
+    equal = equal.join(wanted.where("anchor IS NULL").select("conv_id", "hash"), ["conv_id", "hash"], "left_semi")
+    # Wide ones: stretches of words that begin as a unit does, as long as it is.
+    body = told.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.split(normal(without_quotes(F.col("text"))), " ").alias("words")).dropDuplicates(["conv_id", "turn", "key"])
     begins = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(1), F.size("words") - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, ANCHOR), " "))))
     asked = wanted.where("anchor IS NOT NULL").select("conv_id", "anchor", "n").distinct()
     hits = body.select("conv_id", "turn", "key", F.posexplode(begins).alias("at", "anchor")).join(asked, ["conv_id", "anchor"])
     hits = hits.groupBy("conv_id", "turn", "key").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
-    found = F.transform("hits", lambda h: F.xxhash64(F.array_join(F.slice("words", h["at"] + 1, h["n"]), " ")))
+    found = F.transform(F.filter("hits", lambda h: h["at"] + h["n"] <= F.size("words")), lambda h: F.xxhash64(F.array_join(F.slice("words", h["at"] + 1, h["n"]), " ")))
     stretches = body.join(hits, ["conv_id", "turn", "key"]).select("conv_id", "turn", F.explode(found).alias("hash"))
-    first = units.unionByName(stretches).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    met = materialise(wanted.join(first, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "hash", "depth", "size", "origin"), "quote-met")
-    longer = by_line.select("conv_id", "turn").unionByName(met.where(F.col("size") >= LEAST).select("conv_id", "turn")).distinct()
-    return met.where(F.col("size") >= LEAST).unionByName(met.where(F.col("size") < LEAST).join(longer, ["conv_id", "turn"], "left_anti"))
+    stretches = stretches.join(wanted.where("anchor IS NOT NULL").select("conv_id", "hash"), ["conv_id", "hash"], "left_semi")
+    # One row for each conversation and unit, summed before the shuffle: no hot line or conversation.
+    return equal.unionByName(stretches.select(equal.columns)).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"), (F.min("turn") == F.max("turn")).alias("alone"))
 
 
 def without_quotes(text: Column) -> Column:
@@ -105,15 +104,15 @@ def without_quotes(text: Column) -> Column:
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, n_linked): for each message with a linked quote, what it replies to."""
     messages = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    each = lines(messages).withColumn("norm", _normal(F.col("line"))).where(F.length("norm") >= LEAST).withColumn("hash", F.xxhash64("norm"))
-    # One row for each conversation and line, summed before the shuffle: no hot line or conversation.
-    first = each.where("depth = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = each.where("depth > 0").groupBy("conv_id", "turn", "hash").agg(F.min("depth").alias("depth"), F.max(F.length("norm")).alias("size"))
-    found = quoted.join(first, ["conv_id", "hash"]).where("origin < turn").select("conv_id", "turn", "hash", "depth", "size", "origin")
-    found = materialise(found, "quote-lines")
-    found = found.unionByName(_linked_passages(messages, found))
-    by_origin = found.groupBy("conv_id", "turn", "origin").agg(F.min("depth").alias("depth"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    best = F.max_by("origin", F.struct(-F.col("depth"), "size", "origin"))
+    units = materialise(quoted_units(messages), "quote-units").withColumn("hash", F.xxhash64("norm"))
+    found = units.join(origins(messages, units), ["conv_id", "hash"]).where("origin < turn")
+    found = materialise(found.select(*units.columns, "origin", "alone"), "quote-found")
+    run = ["conv_id", "turn", "key", "run"]
+    whole = found.where(~F.col("single"))
+    linked = whole.unionByName(found.where("single").join(whole.select(run), run, "left_anti"))
+    linked = linked.groupBy("conv_id", "turn", "hash").agg(F.min("depth").alias("depth"), F.max(F.length("norm")).alias("size"), F.first("origin").alias("origin"), F.first("alone").alias("alone"))
+    by_origin = linked.groupBy("conv_id", "turn", "origin").agg(F.max("alone").alias("alone"), F.min("depth").alias("depth"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    best = F.max_by("origin", F.struct("alone", -F.col("depth"), "size", "origin"))
     return by_origin.groupBy("conv_id", "turn").agg(best.alias("parent_turn"), F.sum("n").alias("n_linked"))
 
 
@@ -134,12 +133,15 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 
     Returns conv_id, turn, role, body (the text without quotes), parent_turn (what
     it replies to, null if no quote links), thread_turn (the first message of its
-    thread), reply_depth, n_quoted (quoted lines), n_linked (different lines,
-    and passages without such a line, that were found) and position (from 1 within the conversation, in order of thread,
-    turn, role and body). A null text counts as empty. Messages with a null
+    thread), reply_depth, n_quoted (quoted lines), n_linked (different passages, or
+    lines of passages that don't link whole, that were found) and position (from 1
+    within the conversation, in order of thread, turn, role and body). Of origins
+    that tie in all else, the latest is taken. A null text counts as empty. Messages with a null
     conv_id or turn link to nothing; those without a conv_id form one
     conversation, and a null turn comes last. Rows with one conv_id and turn are
-    one message for linking, and each gets its row. An empty table gives no rows.
+    one message for linking, and each gets its row; equal rows take positions of
+    their own. Very long texts are read whole. Other columns, whatever their names,
+    are ignored. An empty table gives no rows.
     """
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     linked = materialise(links(rows), "quote-links")
@@ -154,20 +156,33 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 ORACLE = rf"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
-l AS (SELECT conv_id, turn, unnest(ls) AS line FROM m),
-n AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]', '', 'g')) AS depth,
-  trim(regexp_replace(lower(regexp_replace(line, '{MARKS}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM l),
-f AS (SELECT conv_id, norm, min(turn) AS origin FROM n WHERE depth = 0 AND length(norm) >= {LEAST} GROUP BY ALL),
-q AS (SELECT conv_id, turn, norm, min(depth) AS depth FROM n WHERE depth > 0 AND length(norm) >= {LEAST} GROUP BY ALL),
-o AS (SELECT q.conv_id, q.turn, origin, min(depth) AS depth, sum(length(norm)) AS size, count(*) AS k FROM q JOIN f USING (conv_id, norm) WHERE origin < turn GROUP BY ALL),
-p AS (SELECT conv_id, turn, first(origin ORDER BY depth, size DESC, origin DESC) AS parent_turn, sum(k)::BIGINT AS n_linked FROM o GROUP BY ALL),
-t AS (SELECT conv_id, turn, parent_turn AS thread_turn, 1::BIGINT AS reply_depth FROM p
-  UNION ALL SELECT t.conv_id, t.turn, p.parent_turn, t.reply_depth + 1 FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.thread_turn),
-r AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn, max(reply_depth) AS reply_depth FROM t GROUP BY ALL),
-b AS (SELECT conv_id, turn, role, trim(array_to_string(list_filter(ls, lambda x, i: NOT regexp_matches(x, '{MARKS}')
+b AS (SELECT conv_id, turn, role, text, trim(array_to_string(list_filter(ls, lambda x, i: NOT regexp_matches(x, '{MARKS}')
     AND NOT (regexp_matches(x, '{ANNOUNCES}') AND coalesce(regexp_matches(ls[i + 1], '{MARKS}'), false))), chr(10)), ' ') AS body,
-  len(list_filter(ls, lambda x: regexp_matches(x, '{MARKS}')))::BIGINT AS n_quoted FROM m)
-SELECT b.*, p.parent_turn, coalesce(r.thread_turn, b.turn) AS thread_turn, coalesce(r.reply_depth, 0) AS reply_depth, coalesce(p.n_linked, 0) AS n_linked,
-  row_number() OVER (PARTITION BY b.conv_id ORDER BY coalesce(r.thread_turn, b.turn), b.turn, b.role, b.body) AS position
-FROM b LEFT JOIN p USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)
+  len(list_filter(ls, lambda x: regexp_matches(x, '{MARKS}')))::BIGINT AS n_quoted FROM m),
+l AS (SELECT conv_id, turn, text, generate_subscripts(ls, 1) AS nr, unnest(ls) AS line FROM (SELECT DISTINCT conv_id, turn, text, ls FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+d AS (SELECT conv_id, turn, text, nr, trim(regexp_replace(regexp_replace(line, '{MARKS}', ''), '\s+', ' ', 'g'), ' ') AS bare,
+  CASE WHEN bare = '' THEN -1 ELSE length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]', '', 'g')) END AS depth FROM l),
+g AS (SELECT *, CASE WHEN depth IS DISTINCT FROM lag(depth) OVER (PARTITION BY conv_id, turn, text ORDER BY nr) THEN 1 ELSE 0 END AS begins FROM d),
+h AS (SELECT *, sum(begins) OVER (PARTITION BY conv_id, turn, text ORDER BY nr) AS run FROM g),
+p AS (SELECT conv_id, turn, text, run, depth, string_agg(bare, ' ' ORDER BY nr) AS whole, list(bare) AS lines FROM h WHERE depth >= 0 GROUP BY ALL),
+x AS (SELECT conv_id, turn, text, run, depth, false AS single, whole AS unit FROM p WHERE depth > 0
+  UNION SELECT conv_id, turn, text, run, depth, true, unnest(lines) FROM p WHERE depth > 0 AND len(lines) > 1
+  UNION ALL SELECT conv_id, turn, text, run, 0, true, unnest(list_concat([whole], lines, string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)))) FROM p WHERE depth = 0
+  UNION ALL SELECT conv_id, turn, text, -1, -1, true, body FROM b WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+y AS (SELECT *, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS words,
+  CASE WHEN words <> '' THEN words ELSE trim(regexp_replace(unit, '\s+', ' ', 'g'), ' ') END AS norm FROM x),
+w AS (SELECT DISTINCT conv_id, norm, words <> '' AND len(string_split(norm, ' ')) >= {ANCHOR} AS wide FROM y WHERE depth > 0),
+f AS (SELECT w.conv_id, w.norm, min(y.turn) AS origin, min(y.turn) = max(y.turn) AS alone FROM w JOIN y ON w.conv_id = y.conv_id
+  AND CASE WHEN wide THEN y.depth = -1 AND contains(' ' || y.norm || ' ', ' ' || w.norm || ' ') ELSE y.depth = 0 AND y.norm = w.norm END GROUP BY ALL),
+q AS (SELECT y.*, origin, alone FROM y JOIN f USING (conv_id, norm) WHERE depth > 0 AND origin < turn),
+k AS (SELECT conv_id, turn, norm, min(depth) AS depth, any_value(origin) AS origin, any_value(alone) AS alone FROM q
+  WHERE NOT single OR NOT EXISTS (SELECT 1 FROM q z WHERE NOT z.single AND z.conv_id = q.conv_id AND z.turn = q.turn AND z.text = q.text AND z.run = q.run) GROUP BY ALL),
+o AS (SELECT conv_id, turn, origin, max(alone::INT) AS alone, min(depth) AS depth, sum(length(norm)) AS size, count(*) AS n FROM k GROUP BY ALL),
+r AS (SELECT conv_id, turn, first(origin ORDER BY alone DESC, depth, size DESC, origin DESC) AS parent_turn, sum(n)::BIGINT AS n_linked FROM o GROUP BY ALL),
+t AS (SELECT conv_id, turn, parent_turn AS thread_turn, 1::BIGINT AS reply_depth FROM r
+  UNION ALL SELECT t.conv_id, t.turn, r.parent_turn, t.reply_depth + 1 FROM t JOIN r ON r.conv_id = t.conv_id AND r.turn = t.thread_turn),
+s AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn, max(reply_depth) AS reply_depth FROM t GROUP BY ALL)
+SELECT b.conv_id, b.turn, b.role, b.body, b.n_quoted, r.parent_turn, coalesce(s.thread_turn, b.turn) AS thread_turn, coalesce(s.reply_depth, 0) AS reply_depth, coalesce(r.n_linked, 0) AS n_linked,
+  row_number() OVER (PARTITION BY b.conv_id ORDER BY coalesce(s.thread_turn, b.turn), b.turn, b.role, b.body) AS position
+FROM b LEFT JOIN r USING (conv_id, turn) LEFT JOIN s USING (conv_id, turn)
 """

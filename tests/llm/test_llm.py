@@ -277,22 +277,29 @@ TALK = [
 ]
 
 
-def test_quotes(spark):
+QUOTES = "conv_id long, turn long, role string, text string"
+
+
+def as_its_sql_says(got, talk):
+    """The rows of `got`, which must equal those of the SQL over the same messages."""
     import duckdb
     import pandas as pd
 
-    schema = "conv_id long, turn long, role string, text string"
-    got = quotes.conversations(spark.createDataFrame(TALK, schema))
-    rows = {(r["conv_id"], r["turn"]): r for r in got.collect()}
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.sql(quotes.ORACLE).project(", ".join(got.columns)).fetchall()
+    rows = got.collect()
+    assert Counter(map(str, want)) == Counter(str(tuple(r)) for r in rows)
+    return rows
+
+
+def test_quotes(spark):
+    rows = as_its_sql_says(quotes.conversations(spark.createDataFrame(TALK, QUOTES).withColumn("norm", F.lit("clash"))), TALK)
+    rows = {(r["conv_id"], r["turn"]): r for r in rows}
     assert [rows[1, t]["parent_turn"] for t in range(6)] == [None, 0, 1, 0, None, 2]
     assert rows[1, 5]["thread_turn"] == 0 and rows[1, 5]["reply_depth"] == 3 and rows[1, 1]["body"] == "I answer the greeting with words."
     assert rows[3, 0]["body"].startswith("On Tuesday") and rows[4, 0]["parent_turn"] is None
-    conversations = pd.DataFrame(TALK, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
-    con = duckdb.connect()
-    con.register("conversations", conversations)
-    want = con.sql(quotes.ORACLE).project(", ".join(got.columns)).fetchall()
-    assert Counter(map(str, want)) == Counter(str(tuple(r)) for r in got.collect())
-    assert quotes.conversations(spark.createDataFrame([], schema)).count() == 0
+    assert quotes.conversations(spark.createDataFrame([], QUOTES)).count() == 0
 
 
 REPLIES = [
@@ -303,7 +310,7 @@ REPLIES = [
     (4, "> Shall we meet at the old station\n> on Friday evening, when the last\n> train has gone?\nyes", 0, 1),
     (5, "> \U0001f389\U0001f389\nindeed", 0, 1),
     (6, "> the old station on Friday evening\nwhich one?", 0, 1),
-    (7, "> Good\n\nhm\n>> the old  station on FRIDAY\n>> evening\nbar", 0, 1),
+    (7, "> Good\n\nhm\n>> the old  station on FRIDAY\n>> evening\nbar", 2, 2),  # one message says each, so the shallower counts
     (8, "> nobody wrote this sentence at all\n> old station Friday\nx", None, 0),
     (9, "One line of a poem it was,\nanother one\nand the third line of it.", None, 0),
     (10, "> One line of a poem it was, another\n> one and the third line of it.\nnice", 9, 1),
@@ -313,7 +320,7 @@ REPLIES = [
 
 def test_short_and_wrapped_quotes(spark):
     talk = [(c, t, "user", text) for c in (1, 2) for t, text, _, _ in REPLIES if c == 1 or t] + [(1, 4, "user", REPLIES[4][1])]
-    got = quotes.conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    got = as_its_sql_says(quotes.conversations(spark.createDataFrame(talk, QUOTES).repartition(4)), talk)
     rows = {(r["conv_id"], r["turn"]): r for r in got}
     assert len(got) == len(talk)
     assert [(t, rows[1, t]["parent_turn"], rows[1, t]["n_linked"]) for t, *_ in REPLIES] == [(t, p, n) for t, _, p, n in REPLIES]
@@ -321,6 +328,21 @@ def test_short_and_wrapped_quotes(spark):
     assert [rows[2, t]["parent_turn"] for t in (2, 3, 4, 5, 6, 10)] == [1, None, None, None, None, 9]
 
 
+def test_common_lines_and_mixed_passages(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    talk = [
+        (1, 0, "a", "Thanks!\nThe meeting is at ten in the large room."),
+        (1, 1, "b", "Thanks!\nI shall bring the cake and the plates then."),
+        (1, 2, "a", "> Thanks!\n>> The meeting is at ten\nfine"),  # what only one says counts before what two say
+        (1, 3, "c", "> The meeting is at ten in the large room.\n> I shall bring the cake and the plates then.\nboth"),  # lines of two messages in a row
+        (1, 4, "c", "> Thanks!\nwelcome"),  # nothing else: the first that says so
+        (1, 5, "d", long),
+        (1, 6, "e", "> " + " ".join(f"W{i}" for i in range(20_000, 20_009)) + "\n\n> fine\n> fine\nyes"),
+    ]
+    rows = {r["turn"]: r for r in as_its_sql_says(quotes.conversations(spark.createDataFrame(talk, QUOTES)), talk)}
+    assert [(rows[t]["parent_turn"], rows[t]["n_linked"]) for t in (2, 3, 4, 6)] == [(0, 2), (1, 2), (0, 1), (5, 2)]
+
+
 # --- 6 --------------------------------------------------------------------------------------
 
 
