@@ -10,32 +10,84 @@ keeps it linear.
 
 No piece has the space mark behind another character, so a text falls into
 independent chunks: the marks before a word and the word. Chunks' results are
-kept in a bounded cache, as are the answers about neighbours. A chunk falls into
-parts between characters that no piece has side by side; characters that no
-piece has at all become bytes.
+kept in a bounded table by 128 bits of hash, as are the answers about neighbours;
+a block of texts looks its chunks up as arrays. Chunks that are new
+go through the automaton together, and those whose longest matches don't fit step
+forth and back together, as numpy arrays with a row each. Long chunks and those
+with unknown characters go one by one: such a chunk falls into parts between
+characters that no piece has side by side, and characters that no piece has at
+all become bytes.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from operator import add
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, give_back
+from .textgrams import run_keys
 
 MARK = "▁"
-#: Chunks and pairs that a worker remembers, twice over (see Remembered).
-REMEMBERED = 150_000
+#: Chunks and pairs that a worker remembers; beyond that it begins anew.
+REMEMBERED = 1_000_000
+#: Characters of texts that are encoded at once, about.
+BLOCK = 1 << 18
+#: Longer chunks are encoded one by one.
+SHORT = 48
+
+
+class Table:
+    """Whole numbers by 128-bit keys in an open hash table; keys and numbers come and go as arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self, slots: int = 1 << 16) -> None:
+        self.a, self.b, self.value, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1), 0
+
+    def _first(self, a: np.ndarray) -> np.ndarray:
+        return ((a * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.a).bit_length())).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 of unknown ones."""
+        out, todo, at = np.full(len(a), -1), np.arange(len(a)), self._first(a)
+        while len(todo):
+            value = self.value[at]
+            hit = (value >= 0) & (self.a[at] == a[todo]) & (self.b[at] == b[todo])
+            out[todo[hit]] = value[hit]
+            on = ~hit & (value >= 0)
+            todo, at = todo[on], (at[on] + 1) % len(self.a)
+        return out
+
+    def put(self, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> None:
+        """Add new, different keys with numbers from 0 on."""
+        if 2 * (self.n + len(a)) > len(self.a):
+            there = self.value >= 0
+            old = self.a[there], self.b[there], self.value[there]
+            self.clear(1 << (3 * (len(old[0]) + len(a))).bit_length())
+            self._fill(*old)
+        self._fill(a, b, value)
+
+    def _fill(self, a: np.ndarray, b: np.ndarray, value: np.ndarray) -> None:
+        self.n += len(a)
+        at = self._first(a)
+        while len(a):
+            free = self.value[at] < 0
+            # Of keys that meet at a free place one is written; the others go on.
+            self.a[at[free]], self.b[at[free]], self.value[at[free]] = a[free], b[free], value[free]
+            on = ~((self.a[at] == a) & (self.b[at] == b))
+            a, b, value, at = a[on], b[on], value[on], (at[on] + 1) % len(self.a)
 
 
 class Encoder:
@@ -69,9 +121,12 @@ class Encoder:
         self.shorter = [-1] * len(self.piece)
         for p, i in ids.items():
             self.shorter[i] = next((ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in ids), -1)
-        self.fits = Remembered(self._fits, REMEMBERED)
-        self.part = Remembered(self._part, REMEMBERED // 2)
-        self.chunk = Remembered(self._chunk, REMEMBERED)
+        self.fits = Remembered(self._fits, REMEMBERED // 10)
+        self.part = Remembered(self._part, REMEMBERED // 20)
+        self.lengths, self.shorters = np.array(self.length), np.array(self.shorter)
+        self.pairs, self.chunks = Table(), Table()
+        # Token ids of all chunks, one after another, and where each begins.
+        self.pool, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, text: str) -> list[str]:
         """What merging from characters gives: best score first, then leftmost."""
@@ -133,17 +188,141 @@ class Encoder:
         cuts = [k for k, pair in enumerate(pairs, 1) if pair not in inside]
         return tuple(chain.from_iterable([self.part[text[i:k]] for i, k in zip([0, *cuts], [*cuts, len(text)])]))
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of one text, without begin or end ids."""
-        if not text:
-            return []
-        text, chunk = text.replace(" ", MARK), self.chunk
-        # Chunks without their first mark.
-        if MARK * 2 in text or text[0] == MARK or text[-1] == MARK:
-            parts = [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + text)]
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each two pieces fit side by side."""
+        key, b = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), np.zeros(len(a), np.uint64)
+        got = self.pairs.find(key, b)
+        if (got < 0).any():
+            new = np.unique(key[got < 0])
+            if self.pairs.n + len(new) > max(REMEMBERED, 2 * len(new)):
+                self.pairs.clear()
+            fits = [self._fits((k >> 32, k & 0xFFFFFFFF)) for k in new.tolist()]
+            self.pairs.put(new, np.zeros(len(new), np.uint64), np.array(fits, np.int64))
+            left = np.flatnonzero(got < 0)
+            got[left] = np.array(fits, np.int64)[np.searchsorted(new, key[left])]
+        return got > 0
+
+    def _together(self, words: list[str], got: dict[str, list[int]]) -> None:
+        """Encode chunks, without their first mark, of known characters, none of which ends in a mark."""
+        text = MARK + MARK.join(words)
+        ids = np.array([i for _, i in self.automaton.iter_long(text)])
+        size = np.array([len(w) + 1 for w in words])
+        base = np.cumsum(size) - size
+        begin = np.searchsorted(np.cumsum(self.lengths[ids]) - self.lengths[ids], base)
+        inner = np.ones(len(ids), bool)
+        inner[begin] = False
+        second = np.flatnonzero(inner)
+        misfit = second[~self._fit(ids[second - 1], ids[second])]
+        wrong = np.zeros(len(words), bool)
+        wrong[np.searchsorted(begin, misfit, "right") - 1] = True
+        flat, cuts = ids.tolist(), [*begin.tolist(), len(ids)]
+        for k in np.flatnonzero(~wrong).tolist():
+            got[words[k]] = flat[cuts[k] : cuts[k + 1]]
+        if wrong.any():
+            self._stepwise([words[k] for k in np.flatnonzero(wrong).tolist()], size[wrong], got)
+
+    def _stepwise(self, words: list[str], size: np.ndarray, got: dict[str, list[int]]) -> None:
+        """As _run, for all of the words together."""
+        text, lengths = MARK + MARK.join(words), self.lengths
+        base = np.cumsum(size) - size
+        ends, ids = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2).T
+        order = np.argsort(lengths[ids], kind="stable")  # the longest from each place is written last
+        longest = np.full(len(text), -1)
+        longest[(ends - lengths[ids] + 1)[order]] = ids[order]
+        out = np.zeros((len(words), int(size.max())), np.int64)
+        open_ = np.ones((len(words), int(size.max()) + 1), bool)
+        at, depth, token = np.zeros_like(size), np.zeros_like(size), longest[base]
+        live = np.arange(len(words))
+        while len(live):
+            t, d = token[live], depth[live]
+            some = t >= 0
+            last, to = np.where(d > 0, out[live, d - 1], -1), at[live] + lengths[t]
+            good = some & open_[live, np.where(some, to, 0)]
+            asked = np.flatnonzero(good & (last >= 0))
+            good[asked] = self._fit(last[asked], t[asked])
+            w = live[good]
+            out[w, depth[w]] = t[good]
+            at[w] = to[good]
+            depth[w] += 1
+            token[w] = longest[base[w] + np.minimum(at[w], size[w] - 1)]
+            no = some & ~good
+            token[live[no]] = self.shorters[t[no]]
+            back = live[~some]
+            if len(back):
+                if not depth[back].all():
+                    raise ValueError("no encoding found")
+                open_[back, at[back]] = False
+                depth[back] -= 1
+                token[back] = out[back, depth[back]]
+                at[back] -= lengths[token[back]]
+            live = live[at[live] < size[live]]
+        for word, row, n in zip(words, out.tolist(), depth.tolist()):
+            got[word] = row[:n]
+
+    def _learn(self, words: list[str]) -> list[list[int]]:
+        """The ids of chunks, given without their first mark."""
+        known, got = self.known.issuperset, {}
+        together = [w for w in words if 0 < len(w) <= SHORT and w[-1] != MARK and known(w)]
+        if together:
+            self._together(together, got)
+        return [got[w] if w in got else self._chunk(w) for w in words]
+
+    def _numbers(self, a: np.ndarray, b: np.ndarray, word: Callable[[int], str]) -> np.ndarray:
+        """The numbers in the pool of different chunks, given by their keys."""
+        found = self.chunks.find(a, b)
+        new = np.flatnonzero(found < 0)
+        if len(new) and self.chunks.n + len(new) > max(REMEMBERED, len(a)):
+            self.chunks.clear()
+            self.pool, self.begin = self.pool[:0], self.begin[:1]
+            new = np.arange(len(a))
+        if len(new):
+            ids = self._learn([word(k) for k in new.tolist()])
+            found[new] = np.arange(len(new)) + len(self.begin) - 1
+            self.chunks.put(a[new], b[new], found[new])
+            ends = self.begin[-1] + np.cumsum([len(i) for i in ids])
+            self.begin = np.concatenate((self.begin, ends))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1] - len(self.pool)))
+            self.pool = np.concatenate((self.pool, flat))
+        return found
+
+    def _block(self, texts: list[str]) -> list[list[int]]:
+        parts = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        text, size = "".join(parts), np.array([len(p) for p in parts])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(size) - size
+        first = codes == ord(MARK)
+        first[1:] &= ~first[:-1]
+        first[starts[size > 0]] = True
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(codes))
+        a, b = run_keys(codes, begin, end)
+        _, at, back = np.unique(a, return_index=True, return_inverse=True)
+        if (b[at][back] != b).any():  # two chunks with one first hash: look at each place
+            at = back = np.arange(len(a))
+            ids = self._learn([text[i + 1 : k] for i, k in zip(begin.tolist(), end.tolist())])
+            flat, count = np.array(list(chain.from_iterable(ids)), np.int64), np.array([len(i) for i in ids])
         else:
-            parts = text.split(MARK)
-        return list(chain.from_iterable(map(chunk.__getitem__, parts)))
+            number = self._numbers(a[at], b[at], lambda k: text[begin[at[k]] + 1 : end[at[k]]])[back]
+            count = self.begin[number + 1] - self.begin[number]
+            flat = self.pool[np.repeat(self.begin[number] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+        cuts = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(begin, np.append(starts, len(codes)))].tolist()
+        flat = flat.tolist()
+        return [flat[i:k] for i, k in zip(cuts, cuts[1:])]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text, without begin or end ids."""
+        block, size = [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from self._block(block)
+                block, size = [], 0
+        if block:
+            yield from self._block(block)
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -176,8 +355,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         try:
             for batch in batches:
                 rows = []
-                for text in batch["_text"]:
-                    ids = enc.encode(text or "")
+                for ids in enc.encode_all(t or "" for t in batch["_text"]):
                     back = enc.lib.decode(ids) if ids else ""
                     rows.append((len(ids), sha(",".join([enc.text[i] for i in ids])), sha(back), back)[: 4 if decoded else 3])
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")][: 4 if decoded else 3])
@@ -199,6 +377,6 @@ def encode_ids(docs: DataFrame, model_file: str, text_col: str = "text", out_col
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(model_file)
         for batch in texts:
-            yield batch.map(lambda t: enc.encode(t or ""))
+            yield pd.Series(list(enc.encode_all(t or "" for t in batch)), dtype=object)
 
     return docs.withColumn(out_col, ids(F.col(text_col)))

@@ -108,6 +108,18 @@ class Words:
         return ((self.keys() >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def run_keys(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run codes[begin:end], of different polynomials."""
+    up, down = _power(len(codes) + 1)
+    wide = codes.astype(np.uint64)
+    out = []
+    for values in (wide + np.uint64(7), (wide + np.uint64(11)) * (wide ^ np.uint64(0x5BD1)) + np.uint64(3)):
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(codes)])))
+        h = (prefix[end] - prefix[begin]) * down[begin] * _MIX
+        out.append((h ^ (h >> np.uint64(32))) * _MIX)
+    return out[0], out[1]
+
+
 def words(block: list[tuple[int, str]]) -> Words:
     """Words of a block: runs without white space, from their first to their last letter or digit."""
     joined = " ".join(part for _, part in block)
