@@ -12,11 +12,16 @@ occur in one document only, so few documents stay in the running:
    documents, and n-grams that two or more classes have go back to their classes;
 3. a class with too many n-grams of its own is out; the others get prefixes;
 4. classes are joined on prefix n-grams, first each with one pivot per n-gram (one
-   with the fewest n-grams of its own, so a central one of its group) and only then, where a bucket isn't one component yet, with each other across
-   components. Length, positional and suffix filters come before a pair is
-   verified, once, on all n-grams. This finds components, not all links; to find
-   every link, all classes of a prefix n-gram meet, n-grams of many classes in
-   salted shares, and each pair that the filters leave is verified;
+   with the fewest n-grams of its own, so a central one of its group) and only
+   then, where a bucket isn't one component yet, with each other across
+   components. Length and positional filters look only at a class's size and at
+   how many n-grams it has left, so they are applied to the bucket's cells of
+   equal sizes and rests first, and only classes of cells that pass meet: a
+   template that very many documents fill in without being alike costs a few
+   pairs of cells. A suffix filter comes before a pair is verified, once, on all
+   n-grams. This finds components, not all links; to find every link, all
+   classes of cells that pass meet, those of large cells in salted shares, and
+   each pair that the filters leave is verified;
 5. components come from contracting links by each class's least neighbour.
 
 An n-gram that LOCAL_HOT classes of one chunk have counts as the most frequent
@@ -48,9 +53,9 @@ PART = 8 << 20
 BITS = 48
 #: Rank of n-grams that are hot in some chunk.
 HOT = (1 << 62) - 1
-#: Parts by which the suffix filter compares two sets.
-PARTS = 16
-#: Classes of one prefix n-gram that a share has on one side where all links are asked for.
+#: Bins by which the suffix filter compares what two sets have behind their first common n-gram.
+BINS = 16
+#: Classes of one cell that a share has where cells meet.
 SHARE = 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -235,7 +240,7 @@ def _prefixes(num: int, den: int):
             least = -(-num * n // den)
             if shared >= least:
                 grams = token[lo:hi].astype(np.int64)
-                hist = np.bincount(grams & (PARTS - 1), minlength=PARTS).astype(np.int32)
+                hist = np.bincount(grams & (BINS - 1), minlength=BINS).astype(np.int32)
                 out.append(("run", None, int(cls[lo]), n, n - shared, n - least + 1 - (n - shared), grams, hist))
         give_back()
         names = [c.split()[0] for c in _FOUND.split(", ")]
@@ -289,8 +294,9 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
 
     A null, empty or all-white text has no n-grams, links with nothing and is its
     own component, with cls null. A null id takes part in linking, but is no
-    component's id unless it has no other. Repeated rows each get a row. An
-    empty table gives no rows; other columns are ignored.
+    component's id unless it has no other. Equal texts have the same class, and
+    repeated rows each get a row. Very long texts are read whole. An empty table gives no rows;
+    other columns, whatever their names, are ignored.
     """
     num, den = similarity
     spark = docs.sparkSession
@@ -303,59 +309,80 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), i
     found = materialise(counted.groupBy("part").applyInPandas(_prefixes(num, den), _FOUND), "join-found")
     running = found.where("kind = 'run'").select("cls", "n", "own", "prefix", "tokens", "hist")
     prefix = materialise(
-        running.select("cls", "n", "own", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("k", "token")), "join-prefix"
+        running.select("cls", "n", "own", F.posexplode(F.slice("tokens", 1, F.col("prefix"))).alias("k", "token")).withColumn("rest", F.expr("n - own - k")), "join-prefix"
     )
 
-    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of different classes on a common prefix n-gram that pass length and positional filters."""
-        x = left.select("token", *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "own", "k", "root")])
-        y = right.select("token", *[F.col(c).alias(f"{c}_y") for c in ("cls", "n", "own", "k", "root")])
-        length = (F.least("n_x", "n_y") * den >= num * F.greatest("n_x", "n_y"))
-        # Positional filter: at a pair's first common n-gram no more than the rest can be common. At later
-        # ones the bound only falls, so it may cut those rows too: the first one brings the pair.
-        most = F.least(F.expr("n_x - own_x - k_x"), F.expr("n_y - own_y - k_y"))
-        pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & length & _enough(num, den, most, "n_x", "n_y"))
-        swap = F.col("cls_x") > F.col("cls_y")
-        return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"), F.when(swap, F.col("k_y")).otherwise(F.col("k_x")).alias("ka"), F.when(swap, F.col("k_x")).otherwise(F.col("k_y")).alias("kb"))
-
-    def meetings() -> DataFrame:
-        """Pairs of all classes on a common prefix n-gram that pass length and positional filters."""
-        shares = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.ceil(F.col("m") / SHARE).cast("int").alias("shares"))
-        met = materialise(prefix.join(shares, "token"), "join-met")
-        left = met.withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int"))
-        right = met.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        side = lambda df, s: df.select("token", "share", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "own", "k")])
+    def fitting() -> Column:
+        """Length and positional filter: at a pair's first common n-gram no more than the smaller rest can be common.
+
+        At later ones the bound only falls, so it may cut those rows too: the first one brings the pair.
+        """
         length = F.least("n_x", "n_y") * den >= num * F.greatest("n_x", "n_y")
-        most = F.least(F.expr("n_x - own_x - k_x"), F.expr("n_y - own_y - k_y"))
-        pairs = side(left, "x").join(side(right, "y"), ["token", "share"]).where((F.col("cls_x") < F.col("cls_y")) & length & _enough(num, den, most, "n_x", "n_y"))
-        return pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"), F.col("k_x").alias("ka"), F.col("k_y").alias("kb"))
+        return length & _enough(num, den, F.least("rest_x", "rest_y"), "n_x", "n_y")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Each pair once: positional filter at its first common n-gram, suffix filter, then the whole sets."""
+    def side(df: DataFrame, s: str, *names: str) -> DataFrame:
+        return df.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
+
+    def pair(df: DataFrame) -> DataFrame:
+        swap = F.col("cls_x") > F.col("cls_y")
+        k = lambda s, t: F.when(swap, F.col(f"k_{s}")).otherwise(F.col(f"k_{t}"))
+        return df.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b"), k("y", "x").alias("ka"), k("x", "y").alias("kb"))
+
+    def with_pivots(rooted: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Pairs of each class and its bucket's pivot, if they are of different components."""
+        names = ("cls", "n", "rest", "k", "root")
+        return pair(side(rooted, "x", *names).join(side(pivots, "y", *names), "token").where((F.col("root_x") != F.col("root_y")) & fitting()))
+
+    def with_all(rooted: DataFrame) -> DataFrame:
+        """Pairs of classes of one bucket and different roots, by cells that pass the filters."""
+        cells = rooted.groupBy("token", "n", "rest").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        cells = materialise(cells.withColumn("shares", F.ceil(F.col("m") / SHARE).cast("int")), "join-cells")
+        names = ("n", "rest", "lo", "hi", "shares")
+        met = side(cells, "x", *names).join(side(cells, "y", *names), "token")
+        # Each two cells once; a cell of several classes also meets itself.
+        ordered = F.struct("n_x", "rest_x") <= F.struct("n_y", "rest_y")
+        apart = (F.col("lo_x") != F.col("hi_x")) | (F.col("lo_y") != F.col("hi_y")) | (F.col("lo_x") != F.col("lo_y"))
+        met = met.where(ordered & apart & fitting())
+        met = materialise(met.select("token", "n_x", "rest_x", "n_y", "rest_y", F.explode(F.sequence(F.lit(0), F.col("shares_x") - 1)).alias("share_x"), "shares_y"), "join-met")
+        met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("shares_y") - 1)).alias("share_y"))
+        dealt = rooted.join(cells.select("token", "n", "rest", "shares"), ["token", "n", "rest"]).withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int"))
+        dealt = materialise(dealt.select("token", "n", "rest", "share", "cls", "k", "root"), "join-dealt")
+        x, y = (side(dealt, s, "n", "rest", "share", "cls", "k", "root") for s in "xy")
+        both = x.join(met, ["token", "n_x", "rest_x", "share_x"]).join(y, ["token", "n_y", "rest_y", "share_y"])
+        same = (F.col("n_x") == F.col("n_y")) & (F.col("rest_x") == F.col("rest_y"))
+        return pair(both.where((F.col("root_x") != F.col("root_y")) & (~same | (F.col("cls_x") < F.col("cls_y")))))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs that go through positional and suffix filter at their first common n-gram, and those of them that link."""
         once = pairs.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
-        side = lambda s: running.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "own", "tokens", "hist")])
-        small = lambda s: running.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "own", "hist")])
+        if seen is not None:
+            once = once.join(seen, ["a", "b"], "left_anti")
+        whole = lambda s: running.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "tokens")])
+        small = lambda s: running.select(*[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "own", "hist")], F.slice("tokens", 1, F.col("prefix")).alias(f"head_{s}"))
         first = F.least(F.expr("n_a - own_a - ka"), F.expr("n_b - own_b - kb"))
-        bins = F.aggregate(F.zip_with("hist_a", "hist_b", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+        # What either set has in each bin from its first common n-gram on.
+        suffix = lambda s: F.transform(f"hist_{s}", lambda h, i: h - F.size(F.filter(F.slice(f"head_{s}", 1, F.col(f"k{s}")), lambda t: t.bitwiseAND(BINS - 1) == i)))
+        common = F.aggregate(F.zip_with(suffix("a"), suffix("b"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
         once = once.join(small("a"), F.col("a") == F.col("cls_a")).join(small("b"), F.col("b") == F.col("cls_b"))
-        once = materialise(once.where(_enough(num, den, first, "n_a", "n_b")).where(_enough(num, den, bins, "n_a", "n_b")).select("a", "b"), "join-pairs")
-        both = once.join(side("a"), F.col("a") == F.col("cls_a")).join(side("b"), F.col("b") == F.col("cls_b"))
+        once = materialise(once.where(_enough(num, den, first, "n_a", "n_b")).where(_enough(num, den, common, "n_a", "n_b")).select("a", "b"), "join-pairs")
+        both = once.join(whole("a"), F.col("a") == F.col("cls_a")).join(whole("b"), F.col("b") == F.col("cls_b"))
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        return both.where(_enough(num, den, common, "n_a", "n_b")).select("a", "b")
+        return once, both.where(_enough(num, den, common, "n_a", "n_b")).select("a", "b")
 
-    roots, links = materialise(running.select("cls", F.col("cls").alias("root")), "join-roots"), None
-    for seed in (None,) if every else (1, 2, 0):
+    roots, links, seen = materialise(running.select("cls", F.col("cls").alias("root")), "join-roots"), None, None
+    for seed in (0,) if every else (1, 2, 0):
         rooted = prefix.join(roots, "cls")
         # Buckets that are one component have nothing left to find.
-        open_ = None if every else rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("cls", "n", "own", "k", "root"), F.struct("own", F.xxhash64("cls", F.lit(seed)))).alias("pivot")).where("lo != hi")
-        if every:
-            pairs = meetings()
-        elif seed:
-            pairs = candidates(rooted, open_.select("token", "pivot.*"))
+        pivot = F.min_by(F.struct("cls", "n", "rest", "k", "root"), F.struct("own", F.xxhash64("cls", F.lit(seed))))
+        open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), pivot.alias("pivot")).where("lo != hi")
+        if seed:
+            pairs = with_pivots(rooted, open_.select("token", "pivot.*"))
         else:
-            left = materialise(rooted.join(open_.select("token"), "token", "left_semi"), "join-left")
-            pairs = candidates(left, left)
-        new = materialise(verified(pairs), "join-links")
+            pairs = with_all(materialise(rooted.join(open_.select("token"), "token", "left_semi"), "join-left"))
+        once, new = verified(pairs)
+        new = materialise(new, "join-links")
+        # With pivots a pair may be looked at, and cut, behind its first common n-gram; only what was verified counts as seen.
+        seen = once if seen is None else seen.unionByName(once)
         links = new if links is None else links.unionByName(new)
         at = lambda c: roots.select(F.col("cls").alias(f"c_{c}"), F.col("root").alias(f"r_{c}"))  # noqa: B023, E731
         met = new.join(at("a"), F.col("a") == F.col("c_a")).join(at("b"), F.col("b") == F.col("c_b"))
