@@ -33,7 +33,7 @@ SAMPLE = 3000
 PASSAGE = 2
 #: Rejecting a share of the clean texts costs so much more than missing that share of the toxic ones.
 CLEAN_COST = 2.0
-#: Parts of the sample: as many models are trained, each without one part, and averaged.
+#: Parts of the sample: the bias is set by models of which each is trained without one part.
 PARTS = 3
 BUCKETS = 1 << 17
 DIMS = 8
@@ -139,31 +139,31 @@ class Bags:
 def train(texts: list[str], toxic: list[int], **options) -> tuple[np.ndarray, float]:
     """Logit of each bucket, and the bias.
 
-    One model is trained without each part of the sample, and their logits are
-    averaged. The bias is set where all texts are parted best, each scored by the
-    model that hasn't seen it. Without both classes, all is constant.
+    The vectors are trained on all texts. The bias is set where the texts are parted
+    best, each scored by a model that was trained without its part of the sample.
+    Without both classes, all is constant.
     """
     y = np.asarray(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(BUCKETS), math.log(share / (1 - share))
     bags, part, found = Bags(texts), np.empty(len(y), np.int64), np.empty(len(y))
+    weight, bias = _train(bags, np.arange(len(y)), y, **options)
     if min(y.sum(), len(y) - y.sum()) < PARTS:
-        return _train(bags, np.arange(len(y)), y, **options)
+        return weight, bias
     for c in (0, 1):
         part[y == c] = np.arange((y == c).sum()) % PARTS
-    weights, biases = np.zeros(BUCKETS), 0.0
     for p in range(PARTS):
-        weight, bias = _train(bags, np.flatnonzero(part != p), y, seed=p, **options)
-        word = bags.scores(weight)
+        other, at = _train(bags, np.flatnonzero(part != p), y, **options)
+        word = bags.scores(other)
         for k in np.flatnonzero(part == p):
-            found[k] = bias + _worst(word[bags.docs[k]])[1]
-        weights += weight / PARTS
-        biases += bias / PARTS
-    return weights, biases - threshold(found, y)
+            found[k] = at + _worst(word[bags.docs[k]])[1]
+    return weight, bias - threshold(found, y)
 
 
-def _train(bags: Bags, rows: np.ndarray, y: np.ndarray, rounds: int = 8, rate: float = 0.1, seed: int = 0) -> tuple[np.ndarray, float]:
+def _train(bags: Bags, rows: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, seed: int = 3) -> tuple[np.ndarray, float]:
+    """At least 8 turns over the rows, and as many as give `steps` steps of 32 rows."""
+    rounds = max(8, -(-32 * steps // max(1, len(rows))))
     docs, y = [bags.docs[k] for k in rows], y[rows]
     flat, size, start = bags.flat, bags.size, bags.start
     rng = np.random.default_rng(seed)
