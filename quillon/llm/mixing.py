@@ -34,20 +34,21 @@ def _level(sources: DataFrame, total: int) -> float:
         capped, level = now, (total - (fixed or 0)) / free
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns id_col, source, size (words of the text), source_size, target (words
+    Returns id_col (and key_col, where rows have a key that tells those of one id apart), source, size (words of the text), source_size, target (words
     that the source should give), copies and taken = copies * size. A null text
     has size 0; an empty source gets target 0 and no copies; rows without a
-    source form one source, which comes last. Ties in size go by id; repeated
-    rows are documents of their own. An empty table gives no rows, and other
-    columns of docs are ignored. Reruns give the same rows.
+    source form one source, which comes last. Ties in size go by id, then by key; repeated
+    rows are documents of their own. Very long texts are counted whole. An empty table gives no rows, and other
+    columns of docs, whatever their names, are ignored. Reruns give the same rows.
     """
     rows = materialise(
         docs.select(
             F.col(source_col).cast("string").alias("source"),
             F.col(id_col).alias("_id"),
+            (F.col(key_col) if key_col else F.lit(0)).alias("_key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "mix-rows",
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, id_c
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     shares = sources.withColumn("target", target).withColumn("offset", offset)
     # The order starts with the source, so a source's first row number gives the ranks within it.
-    order = ranked(rows, ["source", "size", "_id"], "nr", "mix-order")
+    order = ranked(rows, ["source", "size", "_id", "_key"], "nr", "mix-order")
     least = order.groupBy("source").agg((F.min("nr") - 1).alias("before"))
     plan = materialise(shares.drop("nr").alias("a").join(least.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "b.before"), "mix-plan")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 7, id_c
     return (
         order.alias("d")
         .join(plan.alias("p"), F.expr("d.source <=> p.source"))
-        .select(F.col("d._id").alias(id_col), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+        .select(F.col("d._id").alias(id_col), *([F.col("d._key").alias(key_col)] if key_col else []), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 

@@ -208,6 +208,32 @@ def test_join_finds_every_link(spark, docs, monkeypatch, n, num):
     assert ngram_join.join(docs.limit(0), every=True)[0].count() == 0
 
 
+def test_a_template_and_pairs_verified_once(spark, monkeypatch):
+    """Very many texts of one template, none alike: no pair is looked at. And none is verified twice."""
+    pairs, plain = [], ngram_join.materialise
+
+    def noted(df, tag):
+        out = plain(df, tag)
+        if tag == "join-pairs":
+            pairs.extend((r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", noted)
+    words = [f"w{i}" for i in range(49)]
+    made = [(i, " ".join([*words[:25], f"own{i}", *words[25:]])) for i in range(400)]
+    out, _ = ngram_join.join(spark.createDataFrame(made, "doc_id long, text string"), 3, (90, 100))
+    assert all(r["component_id"] == r["doc_id"] for r in out.collect()) and not pairs
+    base, near = [f"v{i}" for i in range(60)], []
+    for i in range(120):
+        some = list(base)
+        for _ in range(i % 6):
+            some[RANDOM.randrange(60)] = f"u{RANDOM.randrange(12)}"
+        near.append((i, " ".join(some)))
+    out, _ = ngram_join.join(spark.createDataFrame(near, "doc_id long, text string").repartition(4), 3, (80, 100))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute(near, 3, 80, 100)
+    assert pairs and len(pairs) == len(set(pairs))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r[0]: r[1] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -548,15 +574,60 @@ def test_stages_on_odd_rows(spark, docs, nothing):
             assert {r["score"] for r in out.select("score").distinct().collect()} == {"mine"}
         assert out.count() > 0
         assert stage(spark, nothing, sf).count() == 0
-    near = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
-    want = {c for d, _, c in brute([(r[0], r[1]) for r in rows()], 5, 80, 100) if d is not None}
-    assert {r["doc_id"] for r in near.collect()} - {None} == want
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in near) == one_of_each_group([(r[0], r[1]) for r in rows()])
     known = corpus_pipeline.drop_unknown_language(spark, docs, sf)
-    assert {r["doc_id"] for r in known.collect()} - {None} == {r[0] for r in rows() if r[0] is not None and r[1] and any(map(str.isalpha, r[1]))}
+    assert Counter((r["doc_id"], r["text"]) for r in known.collect()) == Counter((r[0], r[1]) for r in rows() if r[1] and any(map(str.isalpha, r[1])))
     mixed = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs.where("doc_id < 117"), sf).collect())
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs.where("doc_id < 117")).collect() if r["copies"]})
 
 
+def one_of_each_group(items, n=5, num=80, den=100):
+    """What stays of (id, text) rows: brute force over all pairs."""
+    sets = [set(zip(*[(t or "").lower().split()[k:] for k in range(n)])) or ({tuple((t or "").lower().split())} - {()}) for _, t in items]
+    root = list(range(len(items)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                root = [root[i] if r == root[j] else r for r in root]
+    groups = {}
+    for i, (d, t) in enumerate(items):
+        groups.setdefault(root[i], []).append((d is None, d or 0, common_hash(t), d, t))
+    return Counter(min(g, key=lambda r: r[:3])[3:] for g in groups.values())
+
+
+def common_hash(text):
+    from pyspark.sql import SparkSession
+
+    if text not in HASHES:
+        HASHES[text] = SparkSession.active().range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
+    return HASHES[text]
+
+
+HASHES = {}
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    long = prose(40)
+    odd = [(1, long)] * 3 + [(5, "five " + prose(30))] + [(7, prose(30))] + [(None, long)] * 2 + [(None, None)] * 2
+    odd += [(7, odd[3][1]), (None, "of none " + prose(25)), (None, "of none " + prose(25))]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in odd], SCHEMA).repartition(3)
+    near = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in near) == one_of_each_group(odd)
+    assert sum(r["text"] == long for r in near) == 1 and sum(r["text"] == odd[3][1] for r in near) == 1
+    # Rows of one id, of which the mix takes some once and some not at all.
+    many = [(k % 7 if k % 5 else None, " ".join(["w"] * (1 + k % 40)), "en", "ab"[k % 9 == 0], 1) for k in range(300)]
+    df = spark.createDataFrame(many, SCHEMA).repartition(3)
+    keyed = df.withColumn("key", F.monotonically_increasing_id())
+    want = Counter()
+    for r in mixing.mix(keyed, key_col="key").collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], len(r["text"].split())) for r in corpus_pipeline.mix_sources(spark, df, "").collect())
+    assert got == +want
+
+
 def test_language_stage_with_nothing_learned(spark, docs):
     import corpus_pipeline
 
