@@ -35,9 +35,12 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a local folder is made.
+    Only where it is unset and all runs on this machine (tests) a local folder is
+    made; on a cluster the executors couldn't read one another's files in it.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (there or _own_dir()).rstrip("/")
 
 
@@ -91,14 +94,22 @@ def ranked(df: DataFrame, order: list[str], rank: str, tag: str) -> DataFrame:
     )
 
 
+#: Ranks up to which Spark cuts rows before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+_CUT = 1000
+
+
 def lowest(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each value of `by` in the given order, ties by all that order says.
+    """At most n rows of each value of `by`, the first in the given order.
 
-    Each task passes on at most n rows of a value (WindowGroupLimit), so a value
-    that most rows have isn't gathered in one task.
+    Each task passes on at most n rows of a value, so one that most rows have
+    isn't gathered in one task. Beyond _CUT rows these are the first _CUT (or
+    fewer) of as many shares, dealt by a hash of `order`, as make up n.
     """
-    window = Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return df.withColumn("_quillon_rank", F.row_number().over(window)).where(F.col("_quillon_rank") <= n).drop("_quillon_rank")
+    shares = -(-n // _CUT)
+    share = F.pmod(F.xxhash64(*order, F.lit(1)), F.lit(shares))
+    window = Window.partitionBy(by, "_quillon_share").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    ranked = df.withColumn("_quillon_share", share).withColumn("_quillon_rank", F.row_number().over(window))
+    return ranked.where(F.col("_quillon_rank") <= n // shares).drop("_quillon_rank", "_quillon_share")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

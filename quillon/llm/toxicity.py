@@ -18,6 +18,7 @@ each hash bucket.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -107,7 +108,7 @@ class Bags:
 
     def __init__(self, texts: Sequence[str]):
         numbers: dict[int, int] = {}
-        flat, size, docs = [], [], [[] for _ in texts]
+        flat, size, docs = array("i"), array("i"), [[] for _ in texts]
         for block in pieces(texts):
             w = words(block)
             if not len(w.start):
@@ -119,15 +120,15 @@ class Bags:
             for k in fresh:
                 own = slice(w.start[k], w.start[k] + w.length[k] + 1)
                 ids = np.concatenate([g[own] for g in grams])
-                flat.append(np.append(ids[ids < BUCKETS], whole[k]).astype(np.int32))
-                size.append(len(flat[-1]))
+                ids = np.append(ids[ids < BUCKETS], whole[k])
+                flat.frombytes(ids.astype(np.int32).tobytes())
+                size.append(len(ids))
             ids = np.array([numbers[k] for k in keys], np.int32)
             cuts = np.flatnonzero(np.diff(w.text)) + 1
             for part, of in zip(np.split(ids, cuts), w.text[np.concatenate(([0], cuts))]):
                 docs[of].append(part)
         self.docs = [np.concatenate(d) if d else np.empty(0, np.int32) for d in docs]
-        self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        self.size = np.array(size, np.int64)
+        self.flat, self.size = np.array(flat, np.int32), np.array(size, np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)))
         self.owner = np.repeat(np.arange(len(size), dtype=np.int32), self.size)
 
@@ -210,7 +211,7 @@ def _train(bags: Bags, rows: np.ndarray, y: np.ndarray, steps: int = 400, rate:
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(_id, _text, _toxic) of at most `sample` rows of each class outside the held-out fold.
 
-    The ids are those that hash lowest among the labels; where they have more
+    The ids are those that hash lowest among the labels (see `lowest`); where they have more
     rows than `sample`, texts count in order. Null ids, labels and texts take no part, nor
     do ids whose labels disagree; a label said twice counts once.
     """
@@ -224,7 +225,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on the rows of `sampled`: at most `sample` of each class reach the driver."""
     rows = sorted(sampled(docs, labels, sample, folds, fold, id_col, text_col, label_col).collect(), key=lambda r: (r["_id"], r["_text"]))
-    return train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
+    model = train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
+    rows.clear()
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:

@@ -289,6 +289,78 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score(nothing, toxicity.train([], [])).count() == 0
 
 
+def plain_hash(points, salt):
+    """The rolling hash of textgrams with whole numbers."""
+    from quillon.llm import textgrams
+
+    two, base, mix = 1 << 64, textgrams._BASE, int(textgrams._MIX)
+    h = sum((p + 7) * pow(base, i, two) for i, p in enumerate(points)) * mix % two
+    return ((h ^ int(textgrams._SALT[salt])) * mix % two) >> 32
+
+
+def plain_words(text):
+    for w in (text or "").lower().split():
+        inner = [k for k, c in enumerate(w) if c.isalnum()]
+        if inner:
+            yield [0, *map(ord, w[inner[0] : inner[-1] + 1]), 0]
+
+
+ODD = ["Hello, (wörld)!", "a", "", None, "&&& --", "x-y z's  ÄÖÜ", "one two three four five", "tail " * 3 + "end."]
+
+
+def test_toxicity_scores_as_plain_python():
+    weight = np.random.default_rng(4).normal(size=toxicity.BUCKETS)
+    texts, want = [*ODD, prose(9000) + " zzz"], []
+    for text in texts:
+        scores = []
+        for w in plain_words(text):
+            ids = [plain_hash(w[i : i + n], n) for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for i in range(len(w) - n + 1)]
+            scores.append(np.mean([weight[i % toxicity.BUCKETS] for i in [*ids, plain_hash(w, 0)]]))
+        k = toxicity.PASSAGE
+        want.append(0.5 + (max(np.mean(scores[i : i + k]) for i in range(len(scores) - k + 1)) if len(scores) >= k else np.mean(scores) if scores else 0))
+    assert toxicity.logits(texts, (weight, 0.5)) == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_languages_as_plain_python(monkeypatch):
+    from quillon.llm import textgrams
+
+    monkeypatch.setattr(textgrams, "BLOCK", 40)  # texts go over several blocks
+    got = dict(language_id.shares([*ODD, prose(60)]))
+    for k, text in enumerate([*ODD, prose(0), ""][: len(ODD)]):
+        count = Counter()
+        for w in plain_words(text):
+            # A mark between two words counts once, as the beginning of the one behind it.
+            grams = [(n, w[i : i + n]) for n in range(1, language_id.LONGEST + 1) for i in range(len(w) - n + 1) if (n, i) != (1, len(w) - 1)]
+            count.update(plain_hash(g, n) % language_id.BUCKETS for n, g in grams)
+        if not count:
+            assert k not in got
+            continue
+        assert {i: v for i, v in enumerate(got[k]) if v} == pytest.approx({i: c / count.total() for i, c in count.items()})
+    code = language_id.codewords(4)
+    model = language_id.Model(tuple("abcd"), code, np.zeros((language_id.BUCKETS, code.shape[1])), np.zeros(code.shape[1]), np.full(code.shape[1], 1 / code.shape[1]))
+    margins = np.random.default_rng(2).normal(size=(50, code.shape[1])) * 2
+    margins[0] = 0  # all cost the same: the first by name
+    best, share = model.decode(margins)
+    for m, b, s in zip(margins, best, share):
+        cost = [sum(math.log1p(math.exp(-x * (2 * c - 1))) for x, c in zip(m, row)) / len(m) for row in code]
+        z = [math.exp(-4 * c) for c in cost]
+        assert b == min(range(4), key=lambda i: (round(cost[i], 12), i)) and s == pytest.approx(max(z) / sum(z))
+
+
+def test_training_rows_are_bounded(spark):
+    """Very many rows of one id, labels said twice, and labels that disagree."""
+    docs = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert language_id.sampled(docs, 200).count() == 200
+    rare = docs.unionByName(spark.createDataFrame([(7, "wenig", "de"), (8, None, "fr"), (None, "quoi", "fr")], "doc_id long, text string, lang string"))
+    assert {r["_lang"] for r in language_id.sampled(rare, 200).collect()} == {"en", "de"}
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, None), (None, 1), (6, 5)], "doc_id long, toxic int")
+    some = docs.unionByName(spark.createDataFrame([(k, f"number {k}", "en") for k in range(2, 8)], "doc_id long, text string, lang string"))
+    for n in (150, 2500):
+        got = Counter((r["_id"], r["_toxic"]) for r in toxicity.sampled(some, labels, n).collect())
+        assert set(got) == {(1, 1), (3, 0)} and got[1, 1] <= n and got[3, 0] == 1
+    assert common.lowest(docs.withColumn("nr", F.xxhash64("text")), "lang", ["nr", "text"], 2500).count() == 3 * (2500 // 3)
+
+
 # --- 5 --------------------------------------------------------------------------------------
 
 TALK = [
