@@ -196,7 +196,7 @@ class _Compiler:
         raise self.fail(node)
 
 
-def compile_query(text: str, columns: Iterable[str] | None = None, **variables: object) -> Column:
+def compile_query(text: str, columns: Iterable[str] | None = None, /, **variables: object) -> Column:
     """The Column that a selection string stands for.
 
     With `columns`, an unknown name raises KeyError, and `pi` and `e` are

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import nan_mean, nan_sum, safe_div
+from ..functions.scalar import finite, nan_mean, nan_sum, safe_div
 
 #: Types whose columns are aggregated where none are named.
 NUMERIC = ("double", "float", "bigint", "int", "decimal(20,0)")
@@ -67,35 +69,124 @@ def column_stat(df: DataFrame, column: str, operation: str):
     return df.agg(_function(operation)(column)).first()[0]
 
 
+#: Rows up to which an exact quantile holds all values in one buffer.
+BUFFER = 1_000_000
+#: Parts into which a pass over more rows splits what is left of a column's range.
+SPLIT = 4096
+
+
+def _refined(rows: DataFrame, column: str, ranks: set[int], n: int, lo: float, hi: float, buffer: int) -> dict[int, float]:
+    """The values of some ranks (from 0) of n finite doubles in lo to hi, in a few passes.
+
+    Each pass counts SPLIT parts of the spans that hold a rank and goes on with the
+    parts that hold one, until these have few rows or one value.
+    """
+    found, open_ = {}, {(lo, hi): (0, n, sorted(ranks))}
+    x = F.col(column)
+    while open_:
+        spans, open_ = open_, {}
+        wide = {}
+        for (a, b), (before, count, wanted) in spans.items():
+            if a == b:
+                found |= {r: a for r in wanted}
+            elif count <= buffer:
+                values = rows.where((x >= a) & (x <= b)).groupBy(x).count().orderBy(x).collect()
+                ends = np.cumsum([v["count"] for v in values]) + before
+                found |= {r: values[int(np.searchsorted(ends, r, "right"))][0] for r in wanted}
+            else:
+                wide[a, b] = (before, wanted)
+        if not wide:
+            break
+        part = None
+        for k, (a, b) in enumerate(wide):
+            # Halved, so that a difference can't overflow.
+            at = F.least(F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * SPLIT), F.lit(SPLIT - 1)) + k * SPLIT
+            hit = (x >= a) & (x <= b)
+            part = F.when(hit, at) if part is None else part.when(hit, at)
+        counted = rows.groupBy(part.alias("part")).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).where("part IS NOT NULL").collect()
+        for k, (before, wanted) in enumerate(wide.values()):
+            for row in sorted(r for r in counted if r["part"] // SPLIT == k):
+                inside = [r for r in wanted if before <= r < before + row["n"]]
+                if inside:
+                    open_[row["lo"], row["hi"]] = (before, row["n"], inside)
+                before += row["n"]
+    return found
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], buffer: int = BUFFER) -> dict[str, list[float | None]]:
+    """Exact quantiles of finite values, linear between ranks; None for a column without any.
+
+    Columns of `buffer` values or fewer take one pass; beyond that a few passes
+    refine counts of parts, so that no task and no driver holds more than `buffer`
+    distinct values or SPLIT parts of each quantile.
+    """
+    x = {c: F.when(finite(F.col(c)), F.col(c).cast("double")).alias(f"_{k}") for k, c in enumerate(columns)}
+    rows = df.select(*x.values())
+    bounds = rows.agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(columns)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    few = [k for k in range(len(columns)) if 0 < bounds[f"n{k}"] <= buffer]
+    out = dict.fromkeys(columns)
+    if few:
+        got = rows.agg(*[F.percentile(f"_{k}", F.array(*map(F.lit, map(float, at)))).alias(f"q{k}") for k in few]).first()
+        out |= {columns[k]: list(got[f"q{k}"]) for k in few}
+    for k, c in enumerate(columns):
+        n = bounds[f"n{k}"]
+        if k in few or not n:
+            out[c] = out[c] or [None] * len(at)
+            continue
+        places = [(n - 1) * q for q in at]
+        ranks = {int(f(h)) for h in places for f in (math.floor, math.ceil)}
+        value = _refined(rows.where(F.col(f"_{k}").isNotNull()), f"_{k}", ranks, n, bounds[f"lo{k}"], bounds[f"hi{k}"], buffer)
+        out[c] = [value[math.floor(h)] + (h - math.floor(h)) * (value[math.ceil(h)] - value[math.floor(h)]) for h in places]
+    return out
+
+
 def describe(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows, quartiles exact."""
+    """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows; quartiles exact, of finite values."""
     columns = list(columns or numeric_columns(df))
-    stats = []
+    found, stats = quantiles(df, columns, (0.25, 0.5, 0.75)), []
     for c in columns:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+        q = [F.lit(v).cast("double") for v in found[c]]
         stats.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("null_count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max")).alias(c))
     one = df.agg(*stats)
     return one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
 
 
 def weighted_moments(df: DataFrame, column: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., mean, n_eff, var): weighted, with the variance corrected by the effective number."""
+    """(by..., mean, n_eff, var): weighted, with the variance corrected by the effective number.
+
+    A first pass gives the means and a second one sums squares of what is left, so
+    a mean that is large against the spread costs no digits.
+    """
     x, w = F.col(column).cast("double"), F.col(weight).cast("double")
-    sums = df.where(x.isNotNull() & w.isNotNull()).groupBy(*by).agg(F.sum(w).alias("_w"), F.sum(w * w).alias("_ww"), F.sum(w * x).alias("_wx"), F.sum(w * x * x).alias("_wxx"))
-    mean, n = safe_div(F.col("_wx"), F.col("_w")), safe_div(F.col("_w") * F.col("_w"), F.col("_ww"))
-    plain = F.greatest(safe_div(F.col("_wxx"), F.col("_w")) - mean * mean, F.lit(0.0))
-    return sums.select(*by, mean.alias("mean"), n.alias("n_eff"), F.when(n > 1, plain * n / (n - 1)).otherwise(plain).alias("var"))
+    keys = [f"_by{k}" for k in range(len(by))]
+    rows = df.where(x.isNotNull() & w.isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], x.alias("_x"), w.alias("_w"))
+    first = rows.groupBy(*keys).agg(F.avg("_x").alias("_near"))
+    if by:
+        first = first.withColumnsRenamed({k: f"{k}_" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        rows = rows.join(first, same)
+    else:
+        rows = rows.crossJoin(first)  # one row
+    d = F.col("_x") - F.col("_near")
+    sums = rows.groupBy(*keys).agg(F.first("_near").alias("_near"), F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_w")).alias("_ss"), F.sum(F.col("_w") * d).alias("_sd"), F.sum(F.col("_w") * d * d).alias("_sdd"))
+    off, n = safe_div(F.col("_sd"), F.col("_s")), safe_div(F.col("_s") * F.col("_s"), F.col("_ss"))
+    plain = F.greatest(safe_div(F.col("_sdd"), F.col("_s")) - off * off, F.lit(0.0))
+    return sums.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], (F.col("_near") + off).alias("mean"), n.alias("n_eff"), F.when(n > 1, plain * n / (n - 1)).otherwise(plain).alias("var"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
-    """(x, y, corr) for all pairs of columns, weighted if asked, in one pass."""
+    """(x, y, corr) for all pairs of columns, weighted if asked, of rows without a null; a second pass is centred."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], w.alias("_w")).dropna()
-    sums = [F.sum("_w").alias("n")] + [F.sum(F.col("_w") * F.col(c)).alias(f"s_{c}") for c in columns]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums += [F.sum(F.col("_w") * F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]
+    rows = df.select(*[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(columns)], w.alias("_w")).dropna()
+    each = range(len(columns))
+    rows = rows.crossJoin(rows.agg(*[F.avg(f"_x{k}").alias(f"_near{k}") for k in each]))  # one row
+    d = [F.col(f"_x{k}") - F.col(f"_near{k}") for k in each]
+    pairs = [(a, b) for a in each for b in each if a <= b]
+    sums = [F.sum("_w").alias("n")] + [F.sum(F.col("_w") * d[k]).alias(f"s_{k}") for k in each] + [F.sum(F.col("_w") * d[a] * d[b]).alias(f"p_{a}_{b}") for a, b in pairs]
     one = rows.agg(*sums)
     cov = lambda a, b: F.col(f"p_{a}_{b}") / F.col("n") - F.col(f"s_{a}") / F.col("n") * F.col(f"s_{b}") / F.col("n")
-    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), safe_div(cov(a, b), F.sqrt(cov(a, a) * cov(b, b))).alias("corr")) for a, b in pairs]
+    cells = [F.struct(F.lit(columns[a]).alias("x"), F.lit(columns[b]).alias("y"), safe_div(cov(a, b), F.sqrt(cov(a, a) * cov(b, b))).alias("corr")) for a, b in pairs]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

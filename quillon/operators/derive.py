@@ -34,21 +34,43 @@ def angle(p1: Column, theta1: Column, phi1: Column, p2: Column, theta2: Column,
 
 
 def delta_columns(df: DataFrame) -> DataFrame:
-    """Adds the 18 angular and transverse columns of the muons against the recoil."""
-    c = {n: F.col(n).cast("double") for n in (*MUON_COLUMNS, *RECOIL_COLUMNS)}
-    out = {"absdPhi": phi_distance(c["mu1Phi"], c["mu2Phi"]), "pTRecoil": c["pRecoil"] * F.sin(c["pRecoilTheta"])}
+    """Adds the 18 angular and transverse columns of the muons against the recoil.
+
+    Sines and cosines, then products of directions, then what uses them each have a
+    projection of their own, so that each is computed once. An angle only depends
+    on directions and on the momenta's signs; it is null where one is zero.
+    """
+    col = lambda n: F.col(n).cast("double")
+    turned = [f"mu{i}{c}" for i in (1, 2) for c in ("Theta", "Phi", "clusterPhi")] + ["pRecoilTheta", "pRecoilPhi"]
+    trig = {f"_{f}_{n}": getattr(F, f)(col(n)) for n in turned for f in ("sin", "cos")}
+    sin, cos = (lambda n: F.col(f"_sin_{n}")), (lambda n: F.col(f"_cos_{n}"))
+
+    def direction(theta: str, phi: str) -> tuple[Column, Column, Column]:
+        return sin(theta) * cos(phi), sin(theta) * sin(phi), cos(theta)
+
+    recoil, pt_recoil = direction("pRecoilTheta", "pRecoilPhi"), col("pRecoil") * sin("pRecoilTheta")
+    step: dict[str, Column] = {"absdPhi": phi_distance(col("mu1Phi"), col("mu2Phi")), "pTRecoil": pt_recoil}
+    out: dict[str, Column] = {"absdPhi": F.col("absdPhi"), "pTRecoil": F.col("pTRecoil")}
     for i in ("1", "2"):
-        p, theta, phi, cluster = c[f"mu{i}P"], c[f"mu{i}Theta"], c[f"mu{i}Phi"], c[f"mu{i}clusterPhi"]
-        out[f"absdPhiMu{i}"] = d_phi = phi_distance(cluster, c["pRecoilPhi"])
-        out[f"absdThetaMu{i}"] = d_theta = F.abs(c[f"mu{i}clusterTheta"] - c["pRecoilTheta"])
-        out[f"mu{i}Pt"] = pt = p * F.sin(theta)
-        out[f"dRMu{i}"] = F.sqrt(d_phi * d_phi + d_theta * d_theta)
-        out[f"absdAlpha{i}"] = angle(p, theta, phi, c["pRecoil"], c["pRecoilTheta"], c["pRecoilPhi"])
-        out[f"deltaMu{i}PRecoil"] = angle(pt, theta, phi, out["pTRecoil"], c["pRecoilTheta"], c["pRecoilPhi"])
+        mu = f"mu{i}"
+        step[f"absdPhiMu{i}"] = phi_distance(col(f"{mu}clusterPhi"), col("pRecoilPhi"))
+        step[f"absdThetaMu{i}"] = F.abs(col(f"{mu}clusterTheta") - col("pRecoilTheta"))
+        step[f"{mu}Pt"] = col(f"{mu}P") * sin(f"{mu}Theta")
+        step[f"_track{i}"] = sum((a * b for a, b in zip(direction(f"{mu}Theta", f"{mu}Phi"), recoil)), F.lit(0.0))
         # The track's polar angle with the cluster's azimuth, as the analysis defines it.
-        out[f"deltaMu{i}ClusterPRecoil"] = angle(pt, theta, cluster, out["pTRecoil"], c["pRecoilTheta"], c["pRecoilPhi"])
+        step[f"_cluster{i}"] = sum((a * b for a, b in zip(direction(f"{mu}Theta", f"{mu}clusterPhi"), recoil)), F.lit(0.0))
+        step[f"_sign{i}"] = F.signum(col(f"{mu}P") * col("pRecoil"))
+        step[f"_sign_t{i}"] = F.signum(col(f"{mu}P") * sin(f"{mu}Theta") * pt_recoil)
+        angle_of = lambda dot, sign: F.when(F.col(sign) != 0, F.acos(clip(F.col(dot) * F.col(sign), -1.0, 1.0)))
+        out |= {c: F.col(c) for c in (f"absdPhiMu{i}", f"absdThetaMu{i}", f"{mu}Pt")}
+        out[f"dRMu{i}"] = F.sqrt(F.col(f"absdPhiMu{i}") * F.col(f"absdPhiMu{i}") + F.col(f"absdThetaMu{i}") * F.col(f"absdThetaMu{i}"))
+        out[f"absdAlpha{i}"] = angle_of(f"_track{i}", f"_sign{i}")
+        out[f"deltaMu{i}PRecoil"] = angle_of(f"_track{i}", f"_sign_t{i}")
+        out[f"deltaMu{i}ClusterPRecoil"] = angle_of(f"_cluster{i}", f"_sign_t{i}")
     least = {f"min_deltaMu{k}PRecoil": min_horizontal(F.col(f"deltaMu1{k}PRecoil"), F.col(f"deltaMu2{k}PRecoil")) for k in ("", "Cluster")}
-    return df.withColumns(out).withColumns(least)
+    kept = [c for c in df.columns if c not in out]
+    done = df.withColumns(trig).withColumns(step).withColumns({n: c for n, c in out.items() if n not in step}).withColumns(least)
+    return done.select(*[c for c in df.columns if c in kept or c in out], *[c for c in (*out, *least) if c not in df.columns])
 
 
 def delta_simple(df: DataFrame, base: str, targets: Sequence[str]) -> DataFrame:
@@ -69,7 +91,12 @@ def best_photon(df: DataFrame, keys: Sequence[str] | None = None, tiebreak: Sequ
     keys = list(keys or [k for k in EVENT_KEYS if k in df.columns])
     best = one_candidate(near, keys, "angularSeparation", ascending=True, tiebreak=tiebreak)
     share = F.coalesce(fill_nan(safe_div(F.col("E"), F.col("pRecoil")), 0.0), F.lit(0.0))
-    return best.withColumn("EoPRecoil", share).where("E > 0.075 OR E IS NULL")
+    return best.withColumn("EoPRecoil", share).where(hard_enough())
+
+
+def hard_enough(energy: str = "E") -> Column:
+    """Whether a photon isn't too soft; missing energies stay."""
+    return (F.col(energy) > 0.075) | F.col(energy).isNull()
 
 
 def recoil_properties(df: DataFrame) -> DataFrame:

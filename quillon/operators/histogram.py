@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import finite, safe_div
+from .aggregate import quantiles
 
 # Ranges of known columns.
 RANGES = {"pRecoil": (0.1, 6.0), "mu1P": (0.0, 5.0), "mu2P": (0.0, 5.0)}
@@ -24,7 +25,7 @@ RANGES_WIDE = {
     "M_bc": (5.20, 5.30), "Mbc": (5.20, 5.30), "delta_E": (-0.30, 0.30), "deltaE": (-0.30, 0.30), "pRecoil": (0.1, 6.0),
     "mu1P": (0.0, 3.0), "mu2P": (0.0, 3.0), "mu1Pt": (0.0, 3.0), "mu2Pt": (0.0, 3.0),
 }
-#: Order in which groups are stacked.
+# The order in which groups are stacked.
 STACK = ("BBbar", "qqbar", "taupair", "ee", "mumu", "gg", "hhISR", "llYY")
 
 
@@ -64,12 +65,11 @@ def range_of(df: DataFrame, column: str, table: Mapping[str, tuple[float, float]
     named = default_range(column, table)
     if named:
         return named
-    x = F.col(column).cast("double")
-    n, p = df.where(finite(F.col(column))).agg(F.count(F.lit(1)), F.percentile(x, F.array(F.lit(0.01), F.lit(0.99)))).first()
-    if n <= 10:
+    if df.where(finite(F.col(column))).limit(11).count() <= 10:
         return (0.0, 10.0)
-    margin = (p[1] - p[0]) * 0.1
-    return (p[0] - margin, p[1] + margin)
+    low, high = quantiles(df, [column], (0.01, 0.99))[column]
+    margin = (high - low) * 0.1
+    return (low - margin, high + margin)
 
 
 def hist(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float] | None = None, weights: str | Column | None = None, density: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -107,9 +107,9 @@ def hist(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float]
         if by:
             sums_all = sums_all.select(*[F.col(c).alias(f"_{c}") for c in by], "_all")
             on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-            joined = out.join(F.broadcast(sums_all), on, "left")
+            joined = out.join(sums_all, on, "left")
         else:
-            joined = out.crossJoin(F.broadcast(sums_all))  # one row
+            joined = out.crossJoin(sums_all)  # one row
         return joined.withColumn("density", safe_div(F.col("sumw"), F.col("_all") * width)).select(*out.columns, "density")
     if density:
         raise ValueError(f"density {density!r}: 'in' or 'all'")
@@ -168,6 +168,13 @@ def totals(histogram: DataFrame, key: str = "process", is_data: Column | None =
     return histogram.agg(F.sum("count").alias("events"), F.countDistinct(key).alias("processes"), F.sum(F.when(d, F.col("sumw")).otherwise(0.0)).alias("data"), F.sum(F.when(~d, F.col("sumw")).otherwise(0.0)).alias("mc"))
 
 
+def hist_passed(df: DataFrame, column: str, passed: Column, bins: int, range: tuple[float, float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., bin, passed, total, efficiency) of one table, in one scan: total counts all rows, passed those that a condition keeps."""
+    h = hist(df.withColumn("_passed", F.when(passed, 1.0).otherwise(0.0)), column, bins, range, "_passed", by=by)
+    out = h.select(*by, "bin", F.col("sumw").cast("long").alias("passed"), F.col("count").alias("total"))
+    return out.withColumn("efficiency", safe_div(F.col("passed"), F.col("total")))
+
+
 def efficiency_counts(selected: DataFrame, baseline: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., bin, passed, total, efficiency) of two histograms over the same bins."""
     s = selected.select(*keys, "bin", F.col("count").alias("passed"))
@@ -177,11 +184,12 @@ def efficiency_counts(selected: DataFrame, baseline: DataFrame, keys: Sequence[s
 
 
 def moments(histogram: DataFrame) -> DataFrame:
-    """Mean and width of a binned distribution, from bin centres."""
-    c, w = (F.col("lo") + F.col("hi")) / 2, F.col("sumw")
-    sums = histogram.agg(F.sum(w).alias("norm"), F.sum(w * c).alias("s1"), F.sum(w * c * c).alias("s2"))
-    mean = safe_div(F.col("s1"), F.col("norm"))
-    return sums.select("norm", mean.alias("mean"), F.sqrt(F.greatest(safe_div(F.col("s2"), F.col("norm")) - mean * mean, F.lit(0.0))).alias("sigma"))
+    """Mean and width of a binned distribution, from bin centres, centred at the mean."""
+    rows = histogram.select(((F.col("lo") + F.col("hi")) / 2).alias("c"), F.col("sumw").alias("w"))
+    first = rows.agg(F.sum("w").alias("norm"), safe_div(F.sum(F.col("w") * F.col("c")), F.sum("w")).alias("mean"))
+    d = F.col("c") - F.col("mean")
+    wide = rows.crossJoin(first).groupBy("norm", "mean").agg(F.sum(F.col("w") * d * d).alias("s"))  # one row by the bins
+    return wide.select("norm", "mean", F.sqrt(F.greatest(safe_div(F.col("s"), F.col("norm")), F.lit(0.0))).alias("sigma"))
 
 
 @dataclass

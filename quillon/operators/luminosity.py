@@ -63,13 +63,14 @@ DATABASE = {
 }
 # Value, statistical and systematic uncertainty of data.
 DATA = {"4S_on": (357.3065, 0.036, 0.357), "4S_offres": (41.6427, 0.004, 0.042), "5S_scan": (19.6348, 0.002, 0.020)}
+# Other names of processes, and what a part of a name stands for.
 ALIASES = {
     "continuum": ("uubar", "ddbar", "ssbar", "ccbar"), "qqbar": ("uubar", "ddbar", "ssbar", "ccbar"), "dilepton": ("mumu", "ee", "taupair"), "ll": ("mumu", "ee"),
     "tautau": ("taupair",), "mu+mu-": ("mumu",), "e+e-": ("ee",), "twophoton": ("gg",), "gammagamma": ("gg",), "gamma_gamma": ("gg",),
     "bmeson": ("BBbar",), "b0b0bar": ("BBbar",), "bpbm": ("BBbar",), "fourlepton": ("llXX", "eeee", "eemumu", "mumumumu"), "llxx": ("llXX",), "isr": ("hhISR",), "hhisr": ("hhISR",),
 }
 CATEGORIES = {"b": "BBbar", "tau": "taupair", "mu": "mumu", "e": "ee", "quark": "uubar", "photon": "gg"}
-#: Formats of process names, and the greatest edit distance of a fuzzy match.
+# Formats of process names, and the greatest edit distance of a fuzzy match.
 FULL_NAME = r"(?i)^(P\d+M\d+\w*)_(mc[45]S?)_(\w+)_(p\d+)_(v\d+)"
 DATA_NAME = r"(?i)^(data)_(proc|prompt)_([45]S_\w+)"
 FUZZY = 3
@@ -138,9 +139,9 @@ def weights(names: DataFrame, condition: str, name_col: str = "process") -> Data
 
 
 def apply_weights(df: DataFrame, names: DataFrame, name_col: str = "process", weight_col: str = "lumi_weight") -> DataFrame:
-    """Rows of all processes with their process's weight; one row a process is broadcast."""
+    """Rows of all processes with their process's weight, from a small dimension that Spark broadcasts by its size."""
     dim = names.select(name_col, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(dim), name_col, "left")
+    return df.join(dim, name_col, "left")
 
 
 def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
@@ -154,7 +155,7 @@ def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
     table = spark.createDataFrame(known, "known string, target string")
     name, low = F.col(name_col), F.lower(F.col(name_col))
     distinct = names.select(name_col).distinct()
-    near = distinct.withColumn("_low", low).crossJoin(F.broadcast(table)).withColumn("_d", F.levenshtein("_low", "known", FUZZY)).where("_d >= 0")
+    near = distinct.withColumn("_low", low).crossJoin(table).withColumn("_d", F.levenshtein("_low", "known", FUZZY)).where("_d >= 0")
     best = near.groupBy(name_col).agg(F.min(F.struct("_d", "known", "target")).alias("_m"))
     full, data = name.rlike(FULL_NAME), name.rlike(DATA_NAME)
     part = lambda pattern, k: F.regexp_extract(name, pattern, k)
@@ -173,22 +174,44 @@ def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
     return rows.withColumns(out).drop("_m")
 
 
-def lookup(rows: DataFrame, physics_col: str = "physics", condition_col: str = "condition") -> DataFrame:
-    """rows with value, stat, syst and found: exact, alias, category, cross_section or default."""
-    spark = rows.sparkSession
-    db = database(spark)
-    have = {"data", *DATABASE}
-    alias = [(a, next((t for t in targets if t in have), None)) for a, targets in ALIASES.items()]
-    alias_of = F.create_map(*[F.lit(x) for a, t in alias if t for x in (a, t)])
+def lookup(rows: DataFrame, physics_col: str = "physics", condition_col: str = "condition", type_col: str | None = None) -> DataFrame:
+    """rows with value, stat, syst and found: exact, alias, category, cross_section or default.
+
+    Data and simulation have a database each, chosen by type_col (DATA or another);
+    without it only the process `data` is data. A process that its database lacks
+    but whose cross-section is known gets an estimate for 1e9 events at an efficiency of 10 %,
+    with 10 % and 30 % of it as errors.
+    """
+    db = database(rows.sparkSession)
+    alias = {a: next((t for t in targets if t in DATABASE), None) for a, targets in ALIASES.items()}
+    alias_of = F.create_map(*[F.lit(x) for a, t in alias.items() if t for x in (a, t)])
+    sigma_of = F.create_map(*[F.lit(x) for p, (_, sigma, _) in DATABASE.items() for x in (p, sigma)])
     p = F.col(physics_col)
+    data = F.col(type_col) == "DATA" if type_col else p == "data"
     category = first_match(p, [((k,), v) for k, v in CATEGORIES.items()], "")
-    exact = p.isin(*sorted(have))
-    how = F.when(exact, "exact").when(F.element_at(alias_of, p).isNotNull(), "alias").when(category != "", "category").otherwise("default")
-    key = F.when(exact, p).otherwise(F.coalesce(F.element_at(alias_of, p), category))
-    joined = rows.withColumns({"_key": key, "found": how}).join(F.broadcast(db.select(F.col("process_type").alias("_p"), F.col("condition").alias("_c"), "value", "stat", "syst")), (F.col("_key") == F.col("_p")) & (F.col(condition_col) == F.col("_c")), "left")
-    stat = F.when(F.col("found") == "alias", 1.1).when(F.col("found") == "category", 2.0).otherwise(1.0)
-    syst = F.when(F.col("found") == "alias", 1.2).when(F.col("found") == "category", 2.0).otherwise(1.0)
-    return joined.withColumns({"stat": F.coalesce(F.col("stat") * stat, F.lit(100.0)), "syst": F.coalesce(F.col("syst") * syst, F.lit(200.0)), "value": F.coalesce("value", F.lit(1000.0))}).drop("_key", "_p", "_c")
+    exact = F.when(data, p == "data").otherwise(p.isin(*DATABASE))
+    how = F.when(exact, "exact").when(~data & F.element_at(alias_of, p).isNotNull(), "alias").when(~data & (category != ""), "category")
+    how = how.when(F.element_at(sigma_of, p).isNotNull(), "cross_section").otherwise("default")
+    key = F.when(exact, p).when(F.col("found") == "alias", F.element_at(alias_of, p)).when(F.col("found") == "category", category)
+    known = db.select(F.col("process_type").alias("_p"), F.col("condition").alias("_c"), "value", "stat", "syst")
+    joined = rows.withColumn("found", how).withColumn("_key", key).join(known, (F.col("_key") == F.col("_p")) & (F.col(condition_col) == F.col("_c")), "left")
+    wider = lambda a, c: F.when(F.col("found") == "alias", a).when(F.col("found") == "category", c).otherwise(1.0)
+    guess = F.when(F.col("found") == "cross_section", 1e9 / (F.element_at(sigma_of, p) * 1e6 * 0.1))
+    stat = F.coalesce(F.col("stat") * wider(1.1, 2.0), guess * 0.1, F.lit(100.0))
+    syst = F.coalesce(F.col("syst") * wider(1.2, 2.0), guess * 0.3, F.lit(200.0))
+    return joined.withColumns({"stat": stat, "syst": syst, "value": F.coalesce("value", guess, F.lit(1000.0))}).drop("_key", "_p", "_c")
+
+
+def calculated_weights(rows: DataFrame, against: Value | float | None = None, condition: str = "4S_on") -> DataFrame:
+    """Rows of `lookup` with weight (reference over own luminosity) and its errors weight_stat and weight_syst.
+
+    The reference is a number, a value with errors, or that of data at `condition`.
+    """
+    ref = Value(*DATA[condition]) if against is None else against if isinstance(against, Value) else Value(float(against))
+    w = safe_div(F.lit(ref.value), F.col("value"))
+    own = F.sqrt(F.col("stat") * F.col("stat") + F.col("syst") * F.col("syst"))
+    error = F.abs(w) * F.sqrt(F.lit((ref.total / ref.value) ** 2 if ref.value else 0.0) + F.pow(safe_div(own, F.col("value")), 2))
+    return rows.withColumns({"weight": w, "weight_stat": error * 0.7, "weight_syst": error * 0.7})
 
 
 @dataclass(frozen=True)
@@ -232,7 +255,7 @@ def consistency(rows: DataFrame, key: str = "process_type", value: str = "value"
     """rows with the mean of their class, the relative deviation, and whether it is small."""
     mean = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     off = F.abs(safe_div(F.col(value) - F.col("mean"), F.col("mean")))
-    return rows.join(F.broadcast(mean), key).withColumn("deviation", off).withColumn("consistent", F.coalesce(F.col("deviation") < most, F.lit(True)))
+    return rows.join(mean, key).withColumn("deviation", off).withColumn("consistent", F.coalesce(F.col("deviation") < most, F.lit(True)))
 
 
 def total_uncertainty(x: Column, stat: Column, relative: float) -> Column:
@@ -248,7 +271,7 @@ def search_names(names: DataFrame, text: str, how: str = "prefix", distance: int
 
 
 def batch_lookup(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    return lookup(parse_names(spark.createDataFrame([(n,) for n in names], "process string")))
+    return lookup(parse_names(spark.createDataFrame([(n,) for n in names], "process string")), type_col="data_type")
 
 
 def mapping(rows: DataFrame, key: str, value: str) -> Mapping[str, float]:

@@ -15,11 +15,13 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import compile_query
-from . import aggregate, derive, histogram, selection
+from ..functions.scalar import finite, safe_div
+from . import aggregate, derive, histogram, joins, selection
 from .luminosity import contains_any, first_match
 
 # Parts of names by group. A process is in every group of which its name has a part.
@@ -89,18 +91,59 @@ def energy_filter(df: DataFrame, condition: str, particle: str = "vpho", name_co
     return df.where(contains_any(low, include) & ~contains_any(low, exclude))
 
 
+def says_energy(name: str, condition: str, particle: str = "vpho") -> bool:
+    """Whether energy_filter keeps a process of that name; for choosing files before they are read."""
+    include, exclude = ENERGY.get(particle, ENERGY["vpho"])[condition]
+    low = name.lower()
+    return any(p in low for p in include) and not any(p in low for p in exclude)
+
+
+# Words of names by group, words that say nothing of physics, and groups of words that decide together.
+LEXICON = {
+    "data": ("data", "proc", "real", "onpeak", "offpeak"),
+    "mumu": ("mumu", "mu", "muon", "dimuon"),
+    "ee": ("ee", "electron", "bhabha", "dielectron"),
+    "gg": ("gg", "gamma", "photon", "diphoton"),
+    "hhISR": ("hhisr", "hh", "isr"),
+    "llYY": ("eemumu", "eeee", "llxx", "llyy", "fourlepton"),
+    "qqbar": ("ccbar", "uubar", "ddbar", "ssbar", "continuum"),
+    "BBbar": ("bbbar", "bb", "bmeson", "charged", "mixed"),
+    "taupair": ("taupair", "tau", "ditau"),
+}
+TECHNICAL = ("mc", "p16", "p14", "p15", "v1", "v2", "sample", "name", "combined", "gamma", "vpho")
+TOGETHER = (
+    (("generic", "bbbar", "charged"), "BBbar", 0.95), (("generic", "bbbar", "mixed"), "BBbar", 0.95), (("continuum", "uubar"), "qqbar", 0.90),
+    (("continuum", "ccbar"), "qqbar", 0.90), (("continuum", "ddbar"), "qqbar", 0.90), (("continuum", "ssbar"), "qqbar", 0.90),
+)
+#: Likeness from which a word counts as one of the lexicon.
+ALIKE = 0.8
+
+
+def name_words(name: str) -> list[str]:
+    """Words of two letters or more of a sample's name, without endings of files and technical words."""
+    low = name.lower().replace("sample_name=", "").replace("'", "")
+    for ending in ("_gamma", "_vpho", "_muon", "_combined", ".parquet", ".root"):
+        low = low.removesuffix(ending)
+    words = "".join(c if c.isalpha() else " " for c in low).split()
+    return [w for w in words if len(w) > 1 and w not in TECHNICAL]
+
+
 def semantic_scores(name: str) -> dict[str, float]:
-    """For each group the best likeness, 0 to 1, of one of its words to a word of the name."""
-    words = [w for w in "".join(c if c.isalnum() else " " for c in name.lower()).split() if w]
-    out = {}
-    for g, parts in GROUPS.items():
-        lexicon = [p.strip("_") for p in parts]
-        out[g] = max((1.0 if w == p else difflib.SequenceMatcher(None, w, p).ratio() for w in words for p in lexicon), default=0.0)
-    return out
+    """For each group 0 to 1: a rule's confidence, else the best likeness of one of its words to one of the name's."""
+    words = name_words(name)
+    ruled = {g: c for parts, g, c in TOGETHER if all(any(p in w for w in words) for p in parts)}
+    if ruled:
+        return {g: ruled.get(g, 0.0) for g in LEXICON}
+    alike = lambda w, p: 1.0 if w == p else difflib.SequenceMatcher(None, w, p).ratio()
+    best = {g: max((alike(w, p) for w in words for p in parts), default=0.0) for g, parts in LEXICON.items()}
+    # Several words of the lexicon make a name surer than one.
+    known = sum(any(alike(w, p) > ALIKE for parts in LEXICON.values() for p in parts) for w in words)
+    sure = {0: 0.5, 1: 0.8}.get(known, 1.0)
+    return {g: v * sure for g, v in best.items()}
 
 
 def classify_semantic(name: str, sure: float = 0.8, least: float = 0.5) -> tuple[str, float, str]:
-    """(group, confidence, verdict) by likeness of words; ties go by the groups' order."""
+    """(group, confidence, verdict) by words of a name; ties go by the groups' order in the lexicon."""
     scores = semantic_scores(name)
     group = max(scores, key=scores.get)
     c = scores[group]
@@ -233,7 +276,7 @@ class Processes:
     def group_hist(self, column: str, **options) -> DataFrame:
         """Histograms of groups (a process counts in each of its groups)."""
         h = self.hist(column, **options)
-        return histogram.grouped(h.join(F.broadcast(self.groups()), "process"))
+        return histogram.grouped(h.join(self.groups(), "process"))
 
     def counts(self) -> DataFrame:
         return aggregate.group_count(self.table, ["process"])
@@ -251,11 +294,19 @@ class Processes:
                 errors[n] = f"{type(error).__name__}: {error}"
         return results, errors
 
-    def apply(self, operation: str, columns: Sequence[str] = ()):
-        """By the operation's kind: one value over all members, or one for each process."""
+    def apply(self, operation: str, columns: Sequence[str] = (), other: DataFrame | None = None, **options):
+        """By the operation's kind: one table or value over all members, or one for each process.
+
+        Unifying ones take all members as one table: join and merge join it with
+        `other` (options as of joins.join and joins.merge), concat and append add its rows.
+        """
         kind = self.semantics.get(operation) or ("aggregating" if operation in AGGREGATING else "unifying" if operation in UNIFYING else "preserving")
         if kind == "unifying":
-            return self.table
+            if operation in ("join", "merge"):
+                if other is None:
+                    raise ValueError(f"{operation} needs another table")
+                return getattr(joins, operation)(self.table, other, **options)
+            return self.table if other is None else self.table.unionByName(other, allowMissingColumns=True)
         if operation == "describe":
             return aggregate.describe(self.table, columns)
         if kind == "aggregating":
@@ -316,21 +367,33 @@ def quick_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort
     return histogram.hist(best, column, bins, range, weights, by=by)
 
 
-def progressive_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort_col: str, column: str, bins: int, range: tuple[float, float], tiebreak: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Histograms of the stages: baseline, candidates, cuts; and the cuts' efficiency per bin."""
-    candidates = selection.one_candidate(df, keys, sort_col, tiebreak=tiebreak)
-    kept = candidates
+def progressive_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort_col: str, column: str, bins: int, range: tuple[float, float], tiebreak: Sequence[str] = (), photon: bool = False) -> dict[str, DataFrame]:
+    """Histograms of the stages, and the cuts' efficiency per bin: baseline, candidates, cuts, and photon if asked.
+
+    Each row carries which stages keep it, so all stages come from one scan and one
+    aggregation. An event has one candidate, so its best photon is that row's, if it isn't too soft.
+    """
+    order = [F.col(sort_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in tiebreak]]
+    nr = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = F.lit(True)
     for cut in cuts:
-        kept = kept.where(compile_query(cut, kept.columns))
-    out = {"baseline": df, "candidates": candidates, "cuts": kept}
-    hists = {k: histogram.hist(v, column, bins, range) for k, v in out.items()}
-    return hists | {"efficiency": histogram.efficiency_counts(hists["cuts"], hists["candidates"])}
+        kept = kept & F.coalesce(compile_query(cut, df.columns), F.lit(False))
+    flags = {"_candidates": F.col(sort_col).isNotNull() & (nr == 1), "_kept": kept}
+    stages = {"baseline": F.lit(True), "candidates": F.col("_candidates"), "cuts": F.col("_candidates") & F.col("_kept")}
+    if photon:
+        flags["_photon"] = derive.hard_enough()
+        stages["photon"] = stages["cuts"] & F.col("_photon")
+    x = F.col(column).cast("double")
+    rows = df.withColumns(flags).where(finite(F.col(column))).withColumn("bin", histogram.bin_index(x, *map(float, range), bins))
+    counts = rows.where("bin IS NOT NULL").groupBy("bin").agg(*[F.count_if(c).alias(s) for s, c in stages.items()])
+    dense = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0)
+    width = (range[1] - range[0]) / bins
+    edge = lambda k: F.lit(float(range[0])) + k * F.lit(width)
+    out = {s: dense.select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.col(s).alias("count"), F.col(s).cast("double").alias("sumw"), F.col(s).cast("double").alias("sumw2")) for s in stages}
+    found = dense.select("bin", F.col("cuts").alias("passed"), F.col("candidates").alias("total"))
+    return out | {"efficiency": found.withColumn("efficiency", safe_div(F.col("passed"), F.col("total")))}
 
 
 def report(title: str, stats: Mapping[str, object]) -> str:
     """A short Markdown report."""
     return "\n".join([f"# {title}", "", "| item | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in stats.items())]) + "\n"
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -28,14 +28,14 @@ def one_candidate(df: DataFrame, keys: Sequence[str] | None = None, sort_col: st
 
     With sort_col the row with the largest value (smallest if ascending); null
     values never win, and an event with none but nulls disappears. Without, the
-    first by tiebreak (by all columns if there is none). sort_col="random" chooses by a hash of
-    keys, tiebreak and seed. Ties go by tiebreak, then by all orderable columns, so that reruns agree.
+    first by tiebreak (by all columns if there is none). sort_col="random" chooses by the MD5 of
+    seed, keys and tiebreak as text. Ties go by tiebreak, then by all orderable columns, so that reruns agree.
     """
     keys = list(keys) if keys else event_keys(df)
     rest = [c for c, t in df.dtypes if c not in {*keys, *tiebreak, sort_col} and not t.startswith(("map", "variant"))]
     order: list[Column] = [F.col(c).asc_nulls_last() for c in (*tiebreak, *rest)]
     if sort_col == "random":
-        order.insert(0, F.xxhash64(*[F.col(c) for c in (*keys, *(tiebreak or rest))], F.lit(seed)))
+        order.insert(0, F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, *(tiebreak or rest))])))
     elif sort_col is not None:
         df = df.where(F.col(sort_col).isNotNull())
         order.insert(0, F.col(sort_col).asc() if ascending else F.col(sort_col).desc())
@@ -77,26 +77,46 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_nr") -> Data
     return dealt.withColumn(name, nr).join(F.broadcast(start), "_part").withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_start")
 
 
-def slice_rows(df: DataFrame, order: Sequence[str], start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Rows start:stop:step in the given order."""
-    if step == 1:
-        out = df.orderBy(*order)
-        out = out.offset(start) if start else out
-        return out if stop is None else out.limit(max(0, stop - start))
+def slice_rows(df: DataFrame, order: Sequence[str], start: int | None = None, stop: int | None = None, step: int | None = None) -> DataFrame:
+    """Rows start:stop:step in the given order, as Python slices a list: from the end where negative, backwards with a negative step."""
+    step = 1 if step is None else step
+    if step > 0 and (start or 0) >= 0 and (stop is None or stop >= 0):
+        start = start or 0
+        if step == 1 and stop is not None:
+            # Spark takes the first rows of each task.
+            out = df.orderBy(*order).limit(max(0, stop))
+            return out.offset(start) if start else out
+        if not start and step == 1:
+            return df.orderBy(*order)
+        nr = row_index(df, order, "_nr")
+        keep = (F.col("_nr") >= start) & ((F.col("_nr") - start) % step == 0)
+        return nr.where(keep if stop is None else keep & (F.col("_nr") < stop)).orderBy("_nr").drop("_nr")
     nr = row_index(df, order, "_nr")
-    keep = (F.col("_nr") >= start) & ((F.col("_nr") - start) % step == 0)
-    return nr.where(keep if stop is None else keep & (F.col("_nr") < stop)).drop("_nr")
+    first, end, step = slice(start, stop, step).indices(nr.count())
+    low, high = (first, end) if step > 0 else (end + 1, first + 1)
+    kept = nr.where((F.col("_nr") >= low) & (F.col("_nr") < high) & (F.abs(F.col("_nr") - first) % abs(step) == 0))
+    return kept.orderBy(F.col("_nr").asc() if step > 0 else F.col("_nr").desc()).drop("_nr")
 
 
 def take(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> DataFrame:
-    """Rows at the given positions of the order; a position given twice gives its row twice."""
-    wanted = df.sparkSession.createDataFrame([(int(p),) for p in positions], "_nr long")
-    return row_index(df, order, "_nr").join(F.broadcast(wanted), "_nr").drop("_nr")
+    """Rows at the given positions, in their order; negative ones count from the end, one given twice gives its row twice.
+
+    A position that the table doesn't have is an IndexError.
+    """
+    nr = row_index(df, order, "_nr")
+    n = nr.count()
+    places = [int(p) + n if p < 0 else int(p) for p in positions]
+    wrong = [p for p, at in zip(positions, places) if not 0 <= at < n]
+    if wrong:
+        raise IndexError(f"no row {wrong[0]} among {n}")
+    wanted = df.sparkSession.createDataFrame(list(enumerate(places)), "_at long, _nr long")
+    return nr.join(wanted, "_nr").orderBy("_at").drop("_nr", "_at")
 
 
 def hash_sample(df: DataFrame, fraction: float, key: str = "__event__") -> DataFrame:
-    """Whole events, kept or dropped by the hash of their key."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(100)) < F.lit(fraction * 100))
+    """Whole events, kept or dropped by the MD5 of their key as text."""
+    share = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return df.where(share < fraction)
 
 
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ()) -> DataFrame:

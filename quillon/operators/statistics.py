@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import special
@@ -164,10 +165,37 @@ def weighted_scaling(error: Column, n: Column, n_eff: Column) -> Column:
     return error * F.sqrt(safe_div(n, n_eff))
 
 
-def hist_uncertainty(histogram: DataFrame, weighted: bool = False, level: float = ONE_SIGMA) -> DataFrame:
-    """Adds lower and upper for each bin."""
-    found = barlow_beeston("sumw", "sumw2", level) if weighted else poisson_exact(F.col("count").cast("double"), level)
-    return histogram.withColumn("_i", found).select(*histogram.columns, "_i.lower", "_i.upper")
+def intervals(df: DataFrame, method: str, k: str = "k", n: str = "n", level: float = ONE_SIGMA) -> DataFrame:
+    """df with lower and upper by a method of METHODS; methods of counts alone don't read n."""
+    pair = {"wilson": wilson, "agresti_coull": agresti_coull}
+    if method in pair:
+        low, high = pair[method](F.col(k), F.col(n), level)
+        return df.withColumns({"lower": low, "upper": high})
+    found = {
+        "clopper_pearson": lambda: clopper_pearson(k, n, level), "jeffreys": lambda: beta_interval(k, n, level=level),
+        "uniform_hpd": lambda: beta_interval(k, n, prior=(1.0, 1.0), level=level, shortest=True), "poisson_exact": lambda: poisson_exact(k, level),
+        "jeffreys_poisson": lambda: jeffreys_poisson(k, level), "profile_likelihood": lambda: profile_likelihood(k, n, level), "barlow_beeston": lambda: barlow_beeston(k, n, level),
+    }
+    if method not in found:
+        raise ValueError(f"unknown method {method!r}; known: {', '.join([*pair, *found])}")
+    return df.withColumn("_i", found[method]()).select(*df.columns, "_i.lower", "_i.upper")
+
+
+def auto_intervals(df: DataFrame, k: str = "k", n: str = "n", sumw2: str | None = None, level: float = ONE_SIGMA) -> DataFrame:
+    """intervals by the method that suits the number of rows and the values; sumw2 is there for weighted ones."""
+    rows, whole = df.agg(F.count(F.lit(1)), F.min(F.col(k) == F.floor(F.col(k)))).first()
+    method = auto_method(rows, bool(whole), sumw2 is not None)
+    if method == "barlow_beeston" or method.startswith("bootstrap"):
+        return intervals(df, "barlow_beeston", k, sumw2 or n, level)
+    return intervals(df, method, k, n, level)
+
+
+def hist_uncertainty(histogram: DataFrame, weighted: bool = False, level: float = ONE_SIGMA, method: str = "poisson_exact") -> DataFrame:
+    """Adds lower and upper for each bin: by sums of squares if weighted, else by a method for counts."""
+    if weighted:
+        return intervals(histogram, "barlow_beeston", "sumw", "sumw2", level)
+    rows = histogram.withColumns({"_k": F.col("count").cast("double"), "_n": F.sum(F.col("count").cast("double")).over(Window.partitionBy(F.lit(1)))})
+    return intervals(rows, method, "_k", "_n", level).drop("_k", "_n")
 
 
 def bootstrap_mean(df: DataFrame, column: str, replicas: int = 2000, seed: int = 42, level: float = ONE_SIGMA, key: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def one_cand_first(t):
     return selection.one_candidate(t.events_mu, tiebreak=TIES).select("__event__", "__candidate__", "partkey")
 
 
-@query()
+@query(_best_sql("md5(concat_ws(':', '42', \"__event__\", \"__candidate__\", partkey))", columns='"__event__", "__candidate__", partkey'))
 def one_cand_random(t):
     return selection.one_candidate(t.events_mu, _KEYS, "random", tiebreak=TIES).select("__event__", "__candidate__", "partkey")
 
@@ -278,9 +278,7 @@ _EB = bin_sql("l_extendedprice", 0.0, 110000.0, 20)
 
 @query(dense_sql(f"SELECT l_quantity, {_EB} AS bin FROM lineitem", 20, sums="count(*) AS total, count(*) FILTER (l_quantity > 30) AS passed", columns="coalesce(passed, 0) AS passed, coalesce(total, 0) AS total, round(passed / nullif(total, 0)::DOUBLE, 9) AS efficiency"))
 def efficiency(t):
-    base = histogram.hist(t.lineitem, "l_extendedprice", 20, (0.0, 110000.0))
-    passed = histogram.hist(t.lineitem.where("l_quantity > 30"), "l_extendedprice", 20, (0.0, 110000.0))
-    return histogram.efficiency_counts(passed, base).withColumn("efficiency", F.round("efficiency", 9))
+    return efficiency_rows(t).withColumn("efficiency", F.round("efficiency", 9))
 
 
 @query(f"SELECT sum(count)::BIGINT AS events, count(DISTINCT grp) AS processes, round(sum(sumw) FILTER (grp = 'data'), 4) AS data, round(sum(sumw) FILTER (grp <> 'data'), 4) AS mc FROM ({_GSQL})")
@@ -366,6 +364,23 @@ def progressive_analysis(t):
     return stages["efficiency"].select("bin", "passed", "total")
 
 
+@query(
+    f"WITH c AS ({_best_sql('quality DESC')}), a AS (SELECT {bin_sql('quality', 0.0, 110000.0, 20)} AS bin, \"E\" FROM c WHERE \"mu1P\" > 2 AND (\"E\" > 0.075 OR \"E\" IS NULL)) "
+    "SELECT b.bin::INT AS bin, count(a.bin) AS count FROM range(20) b(bin) LEFT JOIN a ON a.bin = b.bin GROUP BY b.bin"
+)
+def progressive_photon(t):
+    """The stage after the cuts: events whose photon isn't too soft."""
+    return processes.progressive_analysis(t.events_mu, ["mu1P > 2"], _KEYS, "quality", "quality", 20, (0.0, 110000.0), TIES, photon=True)["photon"].select("bin", "count")
+
+
+@query(f"SELECT process, region, count(*) AS count FROM ({EVENTS}) JOIN (VALUES ('AF', 1), ('RF', 2)) v(process, region) USING (process) GROUP BY ALL")
+def group_join(t):
+    """All members of a group as one table, joined."""
+    p = processes.Processes(t.events_mu).add_group("closed", ["AF", "RF"]).group("closed")
+    other = t.rows([("AF", 1), ("RF", 2), ("zz", 3)], "process string, region int")
+    return p.apply("join", other=other, on="process").groupBy("process", "region").agg(F.count(F.lit(1)).alias("count"))
+
+
 # --- luminosity -----------------------------------------------------------------------------------------
 
 _TYPE_SQL = _case_sql([(v, k) for k, v in luminosity.PROCESS_TYPES.items()] + list(luminosity.PROCESS_HINTS), "default")
@@ -421,9 +436,50 @@ def parse_process(t):
     return p.select("process", "physics", "match_method", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+LOOKUPS = [
+    (p, c, k) for p in ("mumu", "data", "continuum", "dilepton", "fourlepton", "weird", "quarkonium", "taux", "b2", "gammagamma", "uubar", "zzz")
+    for c in ("4S_on", "5S_scan") for k in ("DATA", "MC_PROC")
+]
+_ALIAS_SQL = ", ".join(f"('{a}', '{x}')" for a, x in ((a, next((x for x in to if x in luminosity.DATABASE), None)) for a, to in luminosity.ALIASES.items()) if x)
+_DB_SQL = ", ".join(f"('{p}', '{c}', {x!r}::DOUBLE, {s!r}::DOUBLE)" for p, (v, s, _) in luminosity.DATABASE.items() for c, x in zip(luminosity.CONDITIONS, v))
+_DATA_SQL = ", ".join(f"('{c}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for c, v in luminosity.DATA.items())
+_CATEGORY_SQL = "CASE " + " ".join(f"WHEN contains(physics, '{k}') THEN '{v}'" for k, v in luminosity.CATEGORIES.items()) + " ELSE '' END"
+_LOOKUP = f"""
+WITH q(physics, condition, kind) AS (VALUES {", ".join(map(str, LOOKUPS))}), a(alias, target) AS (VALUES {_ALIAS_SQL}),
+d AS (SELECT p, c, v, v / sqrt(greatest(trunc(v * s * 1e6), 1)) AS stat, v * 0.02::DOUBLE AS syst FROM (VALUES {_DB_SQL}) x(p, c, v, s)),
+s AS (SELECT DISTINCT p, s FROM (VALUES {_DB_SQL}) x(p, c, v, s)), r(c, v, stat, syst) AS (VALUES {_DATA_SQL}),
+k AS (SELECT q.*, target, {_CATEGORY_SQL} AS category, s.s AS sigma, CASE WHEN kind = 'DATA' THEN physics = 'data' ELSE s.s IS NOT NULL END AS exact FROM q LEFT JOIN a ON alias = physics LEFT JOIN s ON s.p = physics),
+f AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN kind <> 'DATA' AND target IS NOT NULL THEN 'alias' WHEN kind <> 'DATA' AND category <> '' THEN 'category' WHEN sigma IS NOT NULL THEN 'cross_section' ELSE 'default' END AS found FROM k)
+SELECT physics, condition, kind, found,
+  CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) WHEN 'default' THEN 1000 ELSE coalesce(r.v, d.v) END AS value,
+  CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) * 0.1::DOUBLE WHEN 'default' THEN 100 ELSE coalesce(r.stat, d.stat) * CASE found WHEN 'alias' THEN 1.1::DOUBLE WHEN 'category' THEN 2 ELSE 1 END END AS stat,
+  CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) * 0.3::DOUBLE WHEN 'default' THEN 200 ELSE coalesce(r.syst, d.syst) * CASE found WHEN 'alias' THEN 1.2::DOUBLE WHEN 'category' THEN 2 ELSE 1 END END AS syst
+FROM f LEFT JOIN r ON found = 'exact' AND kind = 'DATA' AND r.c = condition
+LEFT JOIN d ON kind <> 'DATA' AND d.c = condition AND d.p = CASE found WHEN 'exact' THEN physics WHEN 'alias' THEN target WHEN 'category' THEN category END"""
+
+
+@query(f"SELECT physics, condition, kind, found, round(value, 6) AS value, round(stat, 6) AS stat, round(syst, 6) AS syst FROM ({_LOOKUP})")
 def lumi_lookup(t):
-    """Values and uncertainties of all names, by exact name, alias, category or default."""
+    """Values and uncertainties by exact name, alias, category, cross-section or default."""
+    found = luminosity.lookup(t.rows(LOOKUPS, "physics string, condition string, kind string"), type_col="kind")
+    return found.select("physics", "condition", "kind", "found", *[F.round(c, 6).alias(c) for c in ("value", "stat", "syst")])
+
+
+_REF = luminosity.DATA["4S_on"]
+
+
+@query(
+    f"SELECT physics, condition, kind, round({_REF[0]!r}::DOUBLE / v, 8) AS weight, round(0.7::DOUBLE * {_REF[0]!r}::DOUBLE / v * sqrt({(_REF[1] ** 2 + _REF[2] ** 2) / _REF[0] ** 2!r}::DOUBLE + (stat * stat + syst * syst) / (v * v)), 8) AS weight_stat FROM (SELECT *, nullif(value, 0) AS v FROM ({_LOOKUP}))"
+)
+def calc_weight(t):
+    """Data's luminosity over each process's, with errors."""
+    found = luminosity.lookup(t.rows(LOOKUPS, "physics string, condition string, kind string"), type_col="kind")
+    return luminosity.calculated_weights(found).select("physics", "condition", "kind", F.round("weight", 8).alias("weight"), F.round("weight_stat", 8).alias("weight_stat"))
+
+
+@query()
+def batch_lookup(t):
+    """Names that are parsed first."""
     return luminosity.batch_lookup(t.spark, NAMES).select("process", "physics", "condition", "found", "value", "stat", "syst")
 
 
@@ -468,8 +524,7 @@ def _eff(t):
 
 
 def efficiency_rows(t):
-    base = histogram.hist(t.lineitem, "l_extendedprice", 20, (0.0, 110000.0))
-    return histogram.efficiency_counts(histogram.hist(t.lineitem.where("l_quantity > 30"), "l_extendedprice", 20, (0.0, 110000.0)), base)
+    return histogram.hist_passed(t.lineitem, "l_extendedprice", F.col("l_quantity") > 30, 20, (0.0, 110000.0))
 
 
 @query(f"SELECT bin, round(greatest(m - h, 0), 8) AS lower, round(least(m + h, 1), 8) AS upper FROM (SELECT bin, (k + {_Z * _Z / 2!r}::DOUBLE) / (n + {_Z * _Z!r}::DOUBLE) AS m, {_Z!r}::DOUBLE * n / (n + {_Z * _Z!r}::DOUBLE) * sqrt(k / n * (1 - k / n) / n + {_Z * _Z / 4!r}::DOUBLE / (n * n)) AS h FROM ({_EFF}))")
@@ -495,7 +550,27 @@ _interval_query("jeffreys", lambda: statistics.beta_interval("k", "n"))
 _interval_query("uniform_hpd", lambda: statistics.beta_interval("k", "n", prior=(1.0, 1.0), shortest=True))
 _interval_query("poisson_exact", lambda: statistics.poisson_exact("k"))
 _interval_query("jeffreys_poisson", lambda: statistics.jeffreys_poisson("k"))
-_interval_query("profile_likelihood", lambda: statistics.profile_likelihood("k", "n"))
+
+
+@query(f"SELECT bin, round({_Z * _Z / 2!r}::DOUBLE, 5) AS below, round({_Z * _Z / 2!r}::DOUBLE, 5) AS above FROM ({_EFF}) WHERE k > 0")
+def profile_likelihood(t):
+    """By how much the log likelihood has dropped at both ends of the interval."""
+    like = lambda m: F.col("k") * F.ln(m) - F.col("n") * m
+    found = _eff(t).where("k > 0").withColumn("i", statistics.profile_likelihood("k", "n"))
+    drop = lambda m: F.round(like(F.col("k") / F.col("n")) - like(F.col(m)), 5)
+    return found.select("bin", drop("i.lower").alias("below"), drop("i.upper").alias("above"))
+
+
+@query(f"SELECT bin, count(*) OVER () AS methods FROM ({_EFF})".replace("count(*) OVER ()", "7::BIGINT"))
+def interval_methods(t):
+    """Every method by its name: each interval holds the estimate."""
+    rows, kept = _eff(t), None
+    for method in ("wilson", "agresti_coull", "clopper_pearson", "jeffreys", "uniform_hpd"):
+        one = statistics.intervals(rows, method).where("lower <= k / n AND k / n <= upper").select("bin")
+        kept = one if kept is None else kept.unionByName(one)
+    for method in ("poisson_exact", "jeffreys_poisson"):
+        kept = kept.unionByName(statistics.intervals(rows, method).where("lower <= k AND k <= upper").select("bin"))
+    return kept.groupBy("bin").agg(F.count(F.lit(1)).alias("methods"))
 
 
 @query()

@@ -3,26 +3,56 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..functions.expressions import compile_query
 from ..operators import aggregate, joins, selection
+from ..operators.statistics import column_statistics
+from ..scratch import folder
+from ..sources import readers
 from ..table import LazyTable
 from .base import query
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def scan_parquet(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    """By a glob, as by the file's name."""
+    return readers.scan(t.spark, f"{t.sf_dir}/line*.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _saved(t, df, kind: str = "parquet", name: str = "") -> str:
+    """A directory without a suffix to which df has been saved."""
+    path = f"{folder(t.spark)}/saved-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").format(kind).save(f"{path}/{name}" if name else path)
+    return path
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 50000")
+def scan_directory(t):
+    """A directory of several files; selection and columns reach its scan."""
+    return readers.load_table(t.spark, _saved(t, t.orders.repartition(3)), ["o_orderkey", "o_totalprice"], ["o_totalprice > 50000"])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 500")
+def scan_json_directory(t):
+    return readers.scan(t.spark, _saved(t, t.orders.where("o_orderkey < 500").select("o_orderkey", "o_orderstatus").repartition(2), "json"))
+
+
+@query("SELECT l_returnflag AS process, count(*) AS count FROM lineitem GROUP BY ALL")
+def load_discovered(t):
+    """Directories that are found by name and read as processes of one table."""
+    base = f"{folder(t.spark)}/found-{uuid.uuid4().hex}"
+    for flag in ("A", "N", "R"):
+        t.lineitem.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_quantity").write.parquet(f"{base}/{flag}")
+    return readers.load_discovered(t.spark, base, "manual", least=1).counts()
 
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.02")
 def load_table(t):
-    from ..sources.readers import load_table as load
-
-    return load(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], ["l_quantity > 45", "l_discount < 0.02"])
+    return readers.load_table(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], ["l_quantity > 45", "l_discount < 0.02"])
 
 
 @query("SELECT 'orders' AS process, count(*) AS count FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
@@ -42,6 +72,54 @@ def slice_rows(t):
     return LazyTable(t.orders.select("o_orderkey", "o_totalprice"), order=["o_orderkey"])[10:50].df
 
 
+_NUMBERED = "(SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)"
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM {_NUMBERED} WHERE k >= n - 7")
+def slice_from_the_end(t):
+    return LazyTable(t.orders.select("o_orderkey", "o_totalprice"), order=["o_orderkey"])[-7:].df
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY k DESC) - 1 AS place FROM {_NUMBERED} WHERE k <= 90 AND k > 10 AND (90 - k) % 4 = 0")
+def slice_backwards(t):
+    """Rows in the order in which the slice gives them."""
+    back = LazyTable(t.orders.select("o_orderkey"), order=["o_orderkey"])[90:10:-4].df
+    return t.rows([(r["o_orderkey"], i) for i, r in enumerate(back.collect())], "o_orderkey long, place long")  # 20 rows
+
+
+@query(f"SELECT o_orderkey FROM {_NUMBERED} WHERE k >= 1200")
+def slice_to_the_end(t):
+    return LazyTable(t.orders.select("o_orderkey"), order=["o_orderkey"])[1200:].df
+
+
+@query(f"SELECT o_orderkey FROM {_NUMBERED} WHERE k IN (0, n - 1, n - 20) UNION ALL SELECT o_orderkey FROM {_NUMBERED} WHERE k = n - 1")
+def take_from_the_end(t):
+    return selection.take(t.orders.select("o_orderkey"), ["o_orderkey"], [-1, 0, -20, -1])
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, o_totalprice > 90000 AS dear FROM orders) WHERE dear")
+def mask_column(t):
+    """A boolean column of the table itself as the mask."""
+    o = LazyTable(t.orders.withColumn("dear", F.col("o_totalprice") > 90000))
+    return o[o["dear"]].select(["o_orderkey"]).df
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 * l_quantity AS a, 1 - l_tax AS b, round(100 / nullif(l_quantity, 0), 6) AS c, -l_quantity AS d, pow(2, l_tax) AS e, l_quantity - 7 * floor(l_quantity / 7) AS f, floor(l_quantity / 7)::BIGINT AS g, (l_tax > 0.02 AND l_quantity > 10) AND NOT l_discount > 0.05 AS h FROM lineitem")
+def f_reflected(t):
+    x = LazyTable(t.lineitem)
+    q, tax, less = x["l_quantity"], x["l_tax"], x["l_discount"]
+    both = (tax > 0.02) & (q > 10) & ~(less > 0.05)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (2 * q).alias("a"), (1 - tax).alias("b"), F.round(100 / q, 6).alias("c"), (-q).alias("d"), (2**tax).alias("e"), (q % 7).alias("f"), (q // 7).alias("g"), both.alias("h"))
+
+
+@query("SELECT round(sum(l_quantity), 4) AS total, round(avg(l_quantity), 6) AS mean, min(l_tax) AS least, max(l_tax) AS most, round(stddev_samp(l_tax), 8) AS std FROM lineitem")
+def table_shorthands(t):
+    x = LazyTable(t.lineitem)
+    row = (x.sum("l_quantity")["l_quantity"], x.mean("l_quantity")["l_quantity"], x.min("l_tax")["l_tax"], x.max("l_tax")["l_tax"], x.std("l_tax")["l_tax"])
+    df = t.rows([row], "total double, mean double, least double, most double, std double")
+    return df.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6), "std": F.round("std", 8)})
+
+
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k >= 5 AND k < 500 AND (k - 5) % 7 = 0")
 def row_col_index(t):
     return LazyTable(t.orders, order=["o_orderkey"])[5:500:7, ["o_orderkey", "o_totalprice"]].df
@@ -83,10 +161,10 @@ def head(t):
     return LazyTable(t.orders.select("o_orderkey", "o_custkey"), order=["o_orderkey"]).head(5).df
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE ('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1")
 def hash_sample(t):
-    """Whole events in a tenth of the buckets; the rows depend on the hash, so no SQL."""
-    return selection.hash_sample(t.events_mu, 0.1).select("__event__", "__candidate__")
+    """Whole orders, a tenth of them."""
+    return selection.hash_sample(t.lineitem, 0.1, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS twice, o_totalprice / 8 AS thousands FROM orders")
@@ -145,9 +223,15 @@ def q_math(t):
     return _rows(t, "abs(l_quantity - 25) < 5 & sqrt(l_extendedprice) > 150 & log(l_quantity) > 3 & sin(l_tax) < 0.05 & cos(l_tax) > 0.99 & floor(l_quantity / 2) > 10 & ceil(l_discount * 10) >= 1 & exp(l_tax) > 1.01 & tan(l_tax) < 0.07 & min(l_tax, l_discount) > 0.01 & max(l_tax, l_discount) < 0.09 & round(l_quantity / 4, 0) > 3")
 
 
-@query("SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]') AND (starts_with(p_type, 'S') OR p_type LIKE '%L') AND length(p_name) > 3 AND lower(p_brand) <> upper(p_brand) AND substr(p_brand, 1, 2) <> 'zz' AND regexp_replace(p_name, '[0-9]+', '', 'g') <> ''")
+@query(
+    "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[1-4]') AND (starts_with(p_type, 'S') OR p_type LIKE '%Y') AND length(p_name) > 8 "
+    "AND lower(p_brand) <> upper(p_brand) AND substr(p_brand, 1, 2) = 'Br' AND regexp_replace(p_name, '[aeiou]+', '', 'g') <> 'smll rng'"
+)
 def q_string(t):
-    text = "p_name.contains('[0-9]') & (p_type.startswith('S') | p_type.endswith('L')) & p_name.len() > 3 & p_brand.lower() != p_brand.upper() & p_brand.slice(0, 2) != 'zz' & p_name.replace('[0-9]+', '') != ''"
+    text = (
+        "p_brand.contains('#[1-4]') & (p_type.startswith('S') | p_type.endswith('Y')) & p_name.len() > 8 "
+        "& p_brand.lower() != p_brand.upper() & p_brand.slice(0, 2) == 'Br' & p_name.replace('[aeiou]+', '') != 'smll rng'"
+    )
     return t.part.where(compile_query(text, t.part.columns)).select("p_partkey")
 
 
@@ -196,10 +280,11 @@ def f_nan_min_when(t):
     return t.orders.select("o_orderkey", scalar.fill_nan(x, -1.0).alias("v"), m.alias("m"), scalar.is_between(F.col("o_totalprice"), 1000, 50000).alias("b"), F.when(F.col("o_totalprice") > 90000, "high").otherwise("low").alias("w"))
 
 
-@query("SELECT n_nationkey, r_regionkey, levenshtein(n_name, r_name)::INT AS d FROM nation, region WHERE levenshtein(n_name, r_name) <= 4")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name)::INT AS d FROM nation a, nation b WHERE levenshtein(a.n_name, b.n_name) <= 1")
 def f_levenshtein(t):
-    both = joins.cross(t.nation, F.broadcast(t.region))  # 25 by 5 rows
-    return both.withColumn("d", scalar.edit_distance(F.col("n_name"), F.col("r_name"))).where("d <= 4").select("n_nationkey", "r_regionkey", "d")
+    a, b = (t.nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in "ab")
+    both = joins.cross(a, b)  # 25 by 25 rows
+    return both.withColumn("d", scalar.edit_distance(F.col("name_a"), F.col("name_b"))).where("d <= 1").select("a", "b", "d")
 
 
 @query("SELECT o_orderkey, floor(o_totalprice)::INT AS i, o_orderkey::VARCHAR AS s, TRY_CAST(o_orderpriority AS INT) AS bad FROM orders")
@@ -327,6 +412,15 @@ def agg_count(t):
     return aggregate.agg_frame(t.lineitem, "count")
 
 
+@query("SELECT q, round(quantile_cont(l_extendedprice, q), 6) AS price, quantile_cont(l_quantity, q) AS quantity FROM lineitem, (VALUES (0.01), (0.25), (0.5), (0.99)) v(q) GROUP BY q".replace("quantile_cont(l_extendedprice, q)", "CASE q WHEN 0.01 THEN quantile_cont(l_extendedprice, 0.01) WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.99) END").replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.01 THEN quantile_cont(l_quantity, 0.01) WHEN 0.25 THEN quantile_cont(l_quantity, 0.25) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.99) END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"))
+def quantiles_refined(t):
+    """Exact quantiles by refining counts, as for tables of which no buffer may hold all values."""
+    at = (0.01, 0.25, 0.5, 0.99)
+    found = aggregate.quantiles(t.lineitem, ["l_extendedprice", "l_quantity"], at, buffer=500)
+    rows = t.rows(list(zip(at, found["l_extendedprice"], found["l_quantity"])), "q double, price double, quantity double")
+    return rows.withColumn("price", F.round("price", 6))
+
+
 _STATS = "count({0}) AS count, count(*) - count({0}) AS null_count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, min({0}) AS min, quantile_cont({0}, 0.25) AS q25, quantile_cont({0}, 0.5) AS q50, quantile_cont({0}, 0.75) AS q75, max({0}) AS max"
 
 
@@ -357,6 +451,32 @@ def corr_matrix(t):
     return aggregate.correlations(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"]).where("x != y").withColumn("corr", F.round("corr", 5))
 
 
+_FAR = "SELECT l_returnflag, 1 - l_discount AS w, l_quantity + 1e9::DOUBLE AS x FROM lineitem"
+
+
+@query(
+    f"SELECT l_returnflag, round(any_value(m) - 1e9::DOUBLE, 4) AS mean, round(sum(w * pow(x - m, 2)) / sum(w) * (pow(sum(w), 2) / sum(w * w)) / (pow(sum(w), 2) / sum(w * w) - 1), 4) AS var "
+    f"FROM (SELECT *, 1e9::DOUBLE + sum(w * (x - 1e9::DOUBLE)) OVER (PARTITION BY l_returnflag) / sum(w) OVER (PARTITION BY l_returnflag) AS m FROM ({_FAR})) GROUP BY l_returnflag"
+)
+def weighted_mean_var_far(t):
+    """Values that are far from zero against their spread."""
+    df = t.lineitem.select("l_returnflag", (1 - F.col("l_discount")).alias("w"), (F.col("l_quantity") + 1e9).alias("x"))
+    m = aggregate.weighted_moments(df, "x", "w", ["l_returnflag"])
+    return m.select("l_returnflag", F.round(F.col("mean") - 1e9, 4).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@query("SELECT 'x' AS x, 'y' AS y, round(corr(l_quantity + 1e9::DOUBLE, l_extendedprice + 1e9::DOUBLE), 5) AS corr FROM lineitem")
+def corr_matrix_far(t):
+    df = t.lineitem.select((F.col("l_quantity") + 1e9).alias("x"), (F.col("l_extendedprice") + 1e9).alias("y"))
+    return aggregate.correlations(df, ["x", "y"]).where("x != y").withColumn("corr", F.round("corr", 5))
+
+
+@query("SELECT round(avg(x) - 1e9::DOUBLE, 4) AS mean, round(var_samp(x), 4) AS var FROM (SELECT l_quantity + 1e9::DOUBLE AS x FROM lineitem)")
+def column_statistics_far(t):
+    s = column_statistics(t.lineitem.select((F.col("l_quantity") + 1e9).alias("x")), "x")
+    return s.select(F.round(F.col("mean") - 1e9, 4).alias("mean"), F.round("var", 4).alias("var"))
+
+
 @query("SELECT event_type, round(sum(value) FILTER (event_id % 7 <> 0), 4) AS s, round(avg(value) FILTER (event_id % 7 <> 0), 6) AS m FROM events GROUP BY ALL")
 def nan_sum_mean(t):
     df = t.events.withColumn("v", F.when(F.col("event_id") % 7 == 0, F.lit(math.nan)).otherwise(F.col("value")))

@@ -16,8 +16,11 @@ def _own() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own()).rstrip("/")
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all runs on this machine."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (there or _own()).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

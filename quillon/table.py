@@ -19,13 +19,21 @@ from .operators import aggregate, derive, histogram, joins, selection
 from .sources import sinks
 
 
+def _column(value) -> Column:
+    return value.expr if isinstance(value, ColumnHandle) else value if isinstance(value, Column) else F.lit(value)
+
+
 def _binary(op: str) -> Callable:
     """An operator of column handles: with another handle or a value, as a Column."""
+    return lambda self, other: getattr(self.expr, op)(_column(other))
+
+
+def _by(f: Callable[[Column, Column], Column]) -> Callable:
+    return lambda self, other: f(self.expr, _column(other))
 
-    def run(self, other):
-        return getattr(self.expr, op)(other.expr if isinstance(other, ColumnHandle) else other)
 
-    return run
+def _reflected(f: Callable[[Column, Column], Column]) -> Callable:
+    return lambda self, other: f(_column(other), self.expr)
 
 
 class ColumnHandle:
@@ -64,16 +72,16 @@ class ColumnHandle:
     startswith = lambda self, p: self.expr.startswith(p)
     endswith = lambda self, p: self.expr.endswith(p)
 
-    __add__, __sub__, __mul__, __lt__, __le__, __gt__, __ge__, __eq__, __ne__ = map(_binary, ("__add__", "__sub__", "__mul__", "__lt__", "__le__", "__gt__", "__ge__", "__eq__", "__ne__"))
+    __lt__, __le__, __gt__, __ge__, __eq__, __ne__ = map(_binary, ("__lt__", "__le__", "__gt__", "__ge__", "__eq__", "__ne__"))
+    __add__, __sub__, __mul__, __and__, __or__ = map(_binary, ("__add__", "__sub__", "__mul__", "__and__", "__or__"))
+    __radd__, __rsub__, __rmul__ = map(_reflected, (lambda a, b: a + b, lambda a, b: a - b, lambda a, b: a * b))
+    __rand__, __ror__ = map(_reflected, (lambda a, b: a & b, lambda a, b: a | b))
+    # Null where the divisor is 0; // and % floor.
+    __truediv__, __floordiv__, __mod__, __pow__ = map(_by, (scalar.safe_div, scalar.floor_div, scalar.floor_mod, F.pow))
+    __rtruediv__, __rfloordiv__, __rmod__, __rpow__ = map(_reflected, (scalar.safe_div, scalar.floor_div, scalar.floor_mod, F.pow))
+    __neg__, __invert__, __abs__ = lambda self: -self.expr, lambda self: ~self.expr, lambda self: F.abs(self.expr)
     __hash__ = None
 
-    def __truediv__(self, other):
-        o = other.expr if isinstance(other, ColumnHandle) else other if isinstance(other, Column) else F.lit(other)
-        return scalar.safe_div(self.expr, o)
-
-    def __pow__(self, k):
-        return F.pow(self.expr, k)
-
 
 class LazyTable:
     def __init__(self, df: DataFrame, lineage: Sequence[str] = (), order: Sequence[str] = ()):
@@ -96,13 +104,13 @@ class LazyTable:
             if key not in self.columns:
                 raise KeyError(key)
             return ColumnHandle(self, key)
-        if isinstance(key, Column):
-            return self._with(self.df.where(key), "mask")
+        if isinstance(key, (Column, ColumnHandle)):
+            return self._with(self.df.where(_column(key)), "mask")
         if isinstance(key, tuple):
             return self[key[0]].select(list(key[1]))
         if isinstance(key, slice):
             self._need_order()
-            return self._with(selection.slice_rows(self.df, self.order, key.start or 0, key.stop, key.step or 1), f"slice {key}")
+            return self._with(selection.slice_rows(self.df, self.order, key.start, key.stop, key.step), f"slice {key}")
         if isinstance(key, np.ndarray):
             self._need_order()
             return self._with(selection.take(self.df, self.order, key.tolist()), "take")
@@ -124,7 +132,7 @@ class LazyTable:
             df = df.where(p)
         return self._with(df, f"filter {len(predicates)}")
 
-    def query(self, text: str, derive_missing: bool = True, **variables) -> LazyTable:
+    def query(self, text: str, derive_missing: bool = True, /, **variables) -> LazyTable:
         """Rows that a selection keeps; missing angular columns are derived first."""
         df, missing = self.df, [c for c in query_columns(text) if c not in self.columns]
         if missing and derive_missing and all("delta" in c or "abs" in c or c.startswith("dR") for c in missing):
@@ -206,6 +214,11 @@ class LazyTable:
     def agg(self, operation: str, columns: Sequence[str] = ()) -> dict[str, float]:
         return aggregate.agg(self.df, operation, columns)
 
+    # One value for each of the columns, or for each numeric one.
+    sum, mean, min, max, std, var, median = (
+        (lambda op: lambda self, *columns: self.agg(op, columns))(op) for op in ("sum", "mean", "min", "max", "std", "var", "median")
+    )
+
     def describe(self, columns: Sequence[str] = ()) -> DataFrame:
         return aggregate.describe(self.df, columns)
 

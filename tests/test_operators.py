@@ -213,7 +213,7 @@ def test_readers_and_sinks(spark, tmp_path):
     for n in ("mumu", "ee"):
         df.toPandas().to_parquet(base / f"{n}.parquet")
     assert {r[0] for r in readers.load_process_dir(spark, str(base)).select("process").distinct().collect()} == {"mumu", "ee"}
-    assert readers.discover(str(base), "manual") and readers.validate_files(spark, [str(base / "mumu.parquet")], least=1, required=["a", "zz"])
+    assert readers.discover(spark, str(base), "manual") and readers.validate_files(spark, [str(base / "mumu.parquet")], least=1, required=["a", "zz"])
     with pytest.raises(TypeError):
         readers.from_memory(spark, [df, "x.csv"])
     assert readers.from_memory(spark, [df, df]).count() == 4
@@ -230,7 +230,89 @@ def test_loaders_by_layout(spark, tmp_path):
     assert {r[0] for r in readers.load_flat(spark, str(flat), "vpho").select("process").distinct().collect()} == {"data-prompt", "mumu-prompt"}
     got = readers.load_particle(spark, str(tmp_path / "part"), "vpho", ["mu1P", "pRecoil"])
     assert got.count() == 20 and got.first()["lumi_weight"] == pytest.approx(0.24999994)
-    assert readers.resolve_dirs(str(tmp_path), ["flat", "none"])["none"] is None
+    assert readers.load_flat(spark, str(flat), "vpho", "5S_scan").count() == 40  # none says it, so all
+    found = readers.resolve_dirs(spark, str(tmp_path), ["flat", "none"])
+    assert found["none"] == (None, None) and found["flat"][0] is None and found["flat"][1].endswith("/flat")
+
+
+def test_samples_by_type(spark, tmp_path):
+    pdf = generate(spark, "x", 30).drop("process").toPandas()
+    quoted, plain, tasks = tmp_path / "'sample_name=mumu_1'", tmp_path / "ccbar_2", tmp_path / "tau_3" / "subtasks"
+    for d in (quoted / "deep", plain, tasks):
+        d.mkdir(parents=True)
+    pdf.to_parquet(quoted / "deep" / "a_combined_vpho.parquet")
+    pdf.to_parquet(quoted / "other_gamma.parquet")
+    pdf.to_parquet(plain / "x y_vpho.parquet")
+    pdf.to_parquet(plain / "luigi_tmp_vpho.parquet")
+    pdf.to_parquet(tasks / "one_vpho.parquet")
+    pdf.to_parquet(tasks / "two_vpho.parquet")
+    dirs = readers.resolve_dirs(spark, str(tmp_path), ["mumu_1", "ccbar_2", "tau_3"])
+    how = {n: readers.discover_by_type(spark, w, "vpho") for n, w in dirs.items()}
+    assert {n: (len(f), h) for n, (f, h) in how.items()} == {"mumu_1": (1, "combined"), "ccbar_2": (1, "fallback"), "tau_3": (2, "subtasks")}
+    assert readers.discover_by_type(spark, dirs["tau_3"], "muon")[1] == "subtasks" and readers.discover_by_type(spark, dirs["ccbar_2"], "gamma") == ([], "none")
+    p = readers.load_samples(spark, str(tmp_path), ["mumu_1", "ccbar_2", "tau_3", "gone"], "vpho", ["mu1P", "zz"])
+    assert {r["process"]: r["count"] for r in p.counts().collect()} == {"mumu_1": 30, "ccbar_2": 30, "tau_3": 60}
+    assert p.list_groups() == {"mumu": 1, "qqbar": 1, "taupair": 1, "all": 3} and set(p.table.columns) == {"mu1P", "process"}
+    with pytest.raises(FileNotFoundError):
+        readers.load_samples(spark, str(tmp_path), ["gone"])
+
+
+def test_scan_finds_the_kind(spark, tmp_path):
+    df = spark.range(50).select("id", (F.col("id") * 2).alias("b"))
+    df.repartition(3).write.parquet(str(tmp_path / "plain"))
+    assert readers.scan(spark, str(tmp_path / "plain")).count() == 50 == readers.scan(spark, str(tmp_path / "pla*")).count()
+    df.coalesce(1).write.csv(str(tmp_path / "c"), header=True)
+    assert readers.load_table(spark, str(tmp_path / "c"), ["id"], ["b > 90"]).count() == 4
+    (tmp_path / "f").mkdir()
+    for k in range(2):
+        df.where(f"id % 2 = {k}").toPandas().to_feather(tmp_path / "f" / f"{k}.feather")
+    got = readers.scan(spark, str(tmp_path / "f"))
+    assert got.columns == ["id", "b"] and got.count() == 50 and readers.scan(spark, str(tmp_path / "f" / "1.feather")).count() == 25
+    (tmp_path / "mixed").mkdir()
+    for n in ("a.csv", "b.json"):
+        (tmp_path / "mixed" / n).write_text("{}")
+    with pytest.raises(ValueError):
+        readers.scan(spark, str(tmp_path / "mixed"))
+
+
+def test_quantiles_beyond_the_buffer(spark):
+    values = [float(v) for v in np.random.default_rng(7).normal(size=3000)] + [5.0] * 500 + [-1e300, 1e300]
+    df = spark.createDataFrame([(v, None) for v in values] + [(None, None), (math.nan, None), (math.inf, None)], "x double, y double").repartition(3)
+    at = (0.0, 0.01, 0.37, 0.5, 0.9, 1.0)
+    for buffer in (10, 400, 10_000):
+        assert aggregate.quantiles(df, ["x", "y"], at, buffer) == {"x": pytest.approx(list(np.quantile(values, at))), "y": [None] * len(at)}
+
+
+def test_moments_far_from_zero(spark):
+    x = np.random.default_rng(1).normal(size=4000)
+    df = spark.createDataFrame([(float(1e9 + v), float(1e9 + v + 1), 1.0, None) for v in x], "x double, y double, w double, k string")
+    assert aggregate.weighted_moments(df, "x", "w").first()["var"] == pytest.approx(np.var(x, ddof=1), rel=1e-5)
+    assert aggregate.weighted_moments(df, "x", "w", ["k"]).first()["var"] == pytest.approx(np.var(x, ddof=1), rel=1e-5)
+    assert aggregate.correlations(df, ["x", "y"]).where("x != y").first()["corr"] == pytest.approx(1)
+    narrow = histogram.moments(histogram.hist(df, "x", 100, (1e9 - 5, 1e9 + 5))).first()
+    assert narrow["sigma"] == pytest.approx(x.std(), rel=0.01)
+
+
+def test_names_by_meaning():
+    say = processes.classify_semantic
+    assert say("mc_generic_bbbar_charged_v1")[::2] == ("BBbar", "sure") and say("continuum_uubar")[:2] == ("qqbar", 0.90)
+    assert say("sample_name='P16_mumu_combined'")[0] == "mumu" and say("mc_p16_v1")[0] == "other"
+    assert say("taupaire_x")[0] == "taupair" and say("qwertz")[2] == "unknown"
+
+
+def test_methods_by_name(spark):
+    df = spark.createDataFrame([(3.0, 10.0), (5.0, 20.0)], "k double, n double")
+    auto = [tuple(r) for r in statistics.auto_intervals(df).collect()]
+    assert auto == [tuple(r) for r in statistics.intervals(df, "clopper_pearson").collect()]
+    h = histogram.hist(spark.range(100).select((F.col("id") / 10).alias("x")), "x", 5, (0.0, 10.0))
+    for method in ("poisson_exact", "jeffreys_poisson", "wilson"):
+        rows = statistics.hist_uncertainty(h, method=method).collect()
+        assert len(rows) == 5 and all(r["lower"] < r["upper"] for r in rows)
+    with pytest.raises(ValueError):
+        statistics.intervals(df, "guess")
+    assert luminosity.calculated_weights(luminosity.batch_lookup(spark, ["mumu"]), 5.0).first()["weight"] > 0
+    passed, base = (histogram.hist(spark.range(100).where(w).select((F.col("id") / 10).alias("x")), "x", 5, (0.0, 10.0)) for w in ("id % 2 = 0", "id >= 0"))
+    assert {r["efficiency"] for r in histogram.efficiency_counts(passed, base).collect()} == {0.5}
 
 
 def test_table(spark):
@@ -240,7 +322,15 @@ def test_table(spark):
     assert chain.count() == sum(1 for i in range(11, 80) if i % 3 == 0) and len(chain.lineage) == 4
     assert [r["a"] for r in t[10:20:3].sort("a").collect()] == [10, 13, 16, 19]
     assert t[t["a"] > 97].count() == 2 and t["a"].max() == 99
-    assert sorted(r["a"] for r in t[np.array([5, 1])].collect()) == [1, 5]
+    assert [r["a"] for r in t[np.array([5, 1, -1])].collect()] == [5, 1, 99]
+    for k in (slice(-5, None), slice(None, None, -1), slice(-3, 5, -30), slice(90, None), slice(None, -97), slice(5, 2), slice(3, -90, 2)):
+        assert [r["a"] for r in t[k].collect()] == list(range(100))[k], k
+    with pytest.raises(IndexError):
+        t[np.array([100])]
+    flagged = LazyTable(df.withColumn("f", F.col("a") % 10 == 0))
+    assert flagged[flagged["f"]].count() == 10 and flagged.sum("a") == {"a": 4950}
+    assert t.query("a > @text & b < @columns", text=95, columns=199).count() == 3
+    assert [tuple(r) for r in df.where("a = 3").select(2 * t["a"], -t["a"], 1 - t["a"], 6 / t["a"], t["a"] % 2).collect()] == [(6, -3, -2, 2.0, 1)]
     with pytest.raises(KeyError):
         t.select(["zz"])
     with pytest.raises(KeyError):
