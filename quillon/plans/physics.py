@@ -109,7 +109,8 @@ _ID = ("__event__", "__candidate__", "partkey")
 
 @query(f'SELECT "__event__", "__candidate__", partkey, {", ".join(f"round({chr(34)}{c}{chr(34)}, 5) AS {chr(34)}{c}{chr(34)}" for c in (*_DELTA, *_LEAST))} FROM ({_DELTA_SQL})')
 def delta_columns(t):
-    return derive.delta_columns(t.events_mu).select(*_ID, *[F.round(c, 5).alias(c) for c in (*_DELTA, *_LEAST)])
+    # As doubles: F.round goes through decimals.
+    return derive.delta_columns(t.events_mu).select(*_ID, *[(F.rint(F.col(c) * 1e5) / 1e5).alias(c) for c in (*_DELTA, *_LEAST)])
 
 
 @query(f'SELECT count(*) AS n, round(sum("mu1P"), 3) AS p FROM ({_DELTA_SQL}) WHERE "absdPhi" > 1.5 AND "min_deltaMuPRecoil" > 0.3 AND ("absdPhiMu1" > 0.4 OR "absdThetaMu1" > 0.4)')

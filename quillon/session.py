@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillon", **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; other settings are the cluster's."""
+    """A session in UTC with adaptive execution; other settings are the cluster's.
+
+    The JVM never compiles methods above 8000 bytes, so wide projections are
+    generated in parts beyond that rather than as one method that stays interpreted.
+    """
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.sql.codegen.hugeMethodLimit", "8000")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
