@@ -18,6 +18,7 @@ what a query finds is scored again on the original vectors in double precision.
 
 from __future__ import annotations
 
+import math
 import warnings
 
 import numpy as np
@@ -86,8 +87,17 @@ def _best(ids: np.ndarray, mets: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k]
 
 
+def _hub(at: np.ndarray, member: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Positions of HUB members of each point: fresh ones first, then by hash. What is cut from a part of them is cut from all."""
+    order = np.lexsort((_hash(member, 1) ^ _hash(at, 2), ~fresh, at))
+    i = at[order]
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, int)
+    return order[np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < HUB]
+
+
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.abs(x).max(1) / 127
+    scale[scale == 0] = 1
     return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
@@ -173,10 +183,12 @@ class Graph:
         state = self.rows
 
         def point_back(rows: pd.DataFrame) -> pd.DataFrame:
-            """Tell each neighbour who points to it."""
+            """Tell each neighbour who points to it: of a part at most HUB, however popular it is."""
             s, out = _Part(rows, dim, width), []
             here = s.mets >= 0
             at, member, fresh = s.mets[here], np.repeat(s.ids, here.sum(1)), s.fresh[here]
+            kept = _hub(at, member, fresh)
+            at, member, fresh = at[kept], member[kept], fresh[kept]
             dealt = _part(at, parts)
             for p in np.unique(dealt):
                 own = dealt == p
@@ -188,10 +200,7 @@ class Graph:
             part, s, back = rows["part"].iloc[0], _Part(rows, dim, width), rows[rows["kind"] == "back"]
             here = s.mets >= 0
             at, member, fresh = _cat(back, "ids", np.int64), _cat(back, "mets", np.int64), _cat(back, "flags", bool)
-            order = np.lexsort((_hash(member, 1) ^ _hash(at, 2), ~fresh, at))
-            i = at[order]
-            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, int)
-            order = order[np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < HUB]
+            order = _hub(at, member, fresh)
             at = np.concatenate((np.repeat(s.ids, here.sum(1)), at[order]))
             member, fresh = np.concatenate((s.mets[here], member[order])), np.concatenate((s.fresh[here], fresh[order]))
             order = np.lexsort((~fresh, member, at))
@@ -495,6 +504,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     one with the greatest vector counts. Equal vectors are one point of the
     graph and give their k + 1 least ids, which is all that k places can need. An empty
     table gives no rows; with k or fewer candidates all those found come back.
+    Columns other than these two, whatever their names, are ignored.
     """
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -508,10 +518,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     least = materialise(rows.select("same", "id").withColumn("nr", nr).where(F.col("nr") <= k + 1), "ann-least")
     point = least.where("nr = 1").select(F.col("id").alias("point"), "same")
     points = materialise(rows.join(point, F.col("id") == F.col("point")).select("id", "vec"), "ann-points")
-    graph = Graph(points, dim)
+    # A power of two changes no digit and no order, and keeps single precision in range.
+    most = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    unit = math.ldexp(1.0, max(-1000, min(1000, -math.frexp(most)[1])))
+    scaled = lambda df: df.withColumn("vec", F.transform("vec", lambda x: x * unit))
+    graph = Graph(scaled(points), dim)
     asked = rows.where(F.col("id") % every == 0)
     queries = materialise(asked.join(point.withColumnRenamed("same", "s"), F.col("same") == F.col("s")).select(F.col("id").alias("query_id"), "vec", F.col("point").alias("at")), "ann-queries")
-    found = graph.search(queries, k=k)
+    found = graph.search(scaled(queries), k=k)
     # A query's own point is near it too: other rows may hold the same vector.
     pairs = found.unionByName(queries.select("query_id", F.col("at").alias("id"))).distinct()
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
