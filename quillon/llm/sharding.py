@@ -90,17 +90,21 @@ class _Walk:
         return [self.rows[i][0] if i < len(self.rows) else "~" for i in self.cuts(high)[0][1:]]
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", set_apart: bool = True) -> DataFrame:
     """Put every row into one of `shards` shards of near-equal bytes.
 
     Returns id_col, size (UTF-8 bytes of the text plus 1), text_crc32, shard and
     slot, a gapless row number from 0 within the shard. Rows with equal texts
     share a shard. A null text counts one byte and forms one group with the
     other null texts; its text_crc32 is null. An empty text is a group of its
-    own. Repeated rows each get a slot. A group that is larger than an equal
-    share gets a shard to itself and the rest are cut over the others, since no
-    cut can make such a shard smaller. An empty table gives no rows; other
+    own. Repeated rows each get a slot; rows that tie in id and text are alike in all that is
+    returned but the slot. Very long texts are one size among others. An empty table gives no rows; other
     columns of docs are ignored, whatever their names.
+
+    With set_apart a group that is larger than an equal share of what is left gets
+    a shard to itself, and the rest are cut over the others: such a group sets the
+    capacity of a plain minimax, whose greedy walk then fills some shards
+    and leaves others empty. Without it the shards are one contiguous partition of all groups.
     """
     rows = materialise(
         docs.select(
@@ -114,7 +118,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     groups = materialise(rows.groupBy("_key").agg(F.sum("size").alias("_bytes")), "shard-groups")
     total = groups.agg(F.sum("_bytes")).first()[0] or 0
     alone = []
-    for key, size in groups.orderBy(F.desc("_bytes"), "_key").limit(shards).collect():
+    for key, size in groups.orderBy(F.desc("_bytes"), "_key").limit(shards if set_apart else 0).collect():
         if len(alone) + 1 < shards and size * (shards - len(alone)) > total:
             alone.append(key)
             total -= size
