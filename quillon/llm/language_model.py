@@ -310,7 +310,10 @@ def log_scores(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPT
     end by context-tree weighting), n_bytes and bits_per_byte. A null text counts
     as empty: one end token. A null id belongs to no held-out fold. Repeated rows
     count and are scored each. Without training rows all counts are 0 and each
-    bit has probability one half. An empty table gives no rows.
+    bit has probability one half. Whole texts count, however long, CHUNK bytes of them
+    at a time. A NUL character in a text is the symbol that also stands for the end and for what
+    is before a text. Equal texts get equal scores. Other columns, whatever their names, are
+    ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), held_out(F.col(id_col), folds, fold).alias("_out"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import common, language_id, language_model, media, mixing, neighbours, ngram_join, packed, quotes, sentencepiece_bpe, sharding, toxicity
+from quillon.llm import common, language_id, language_model, media, mixing, neighbours, ngram_join, packed, queries, quotes, sentencepiece_bpe, sharding, toxicity
 from quillon.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,13 +79,17 @@ def test_shards(docs, nothing):
     for i, text, *_ in rows():
         key = hashlib.sha256(text.encode()).hexdigest() if text is not None else "null"
         texts[key] += len((text or "").encode()) + 1
-    alone, total = [], sum(texts.values())
+    alone, total, grouped = [], sum(texts.values()), dict(texts)
     for k, s in sorted(texts.items(), key=lambda x: (-x[1], x[0])):
         if len(alone) < 3 and s * (4 - len(alone)) > total:
             alone.append(k)
             total -= s
     want = smallest([texts[k] for k in sorted(texts) if k not in alone], 4 - len(alone))
-    assert max(b for s, b in bytes_.items() if s >= len(alone)) == want
+    assert max(b for s, b in bytes_.items() if s >= len(alone)) == want and alone
+    plain = Counter()
+    for r in sharding.shard(docs, 4, set_apart=False).collect():
+        plain[r["shard"]] += r["size"]
+    assert max(plain.values()) == smallest([s for _, s in sorted((k, s) for k, s in grouped.items())], 4)
     assert sharding.shard(nothing, 4).count() == 0
 
 
@@ -462,6 +466,28 @@ def test_media(docs, nothing):
     assert (bins[2:-2, 1] == 20).all() and clear[2:-2, 1].all()
 
 
+def test_fingerprints_by_definition():
+    """The transform by its sums, each band's greatest bin, and pairs of landmarks."""
+    rng = np.random.default_rng(5)
+    for size in (192, 384, 1920):
+        samples = rng.integers(0, 256, size).astype(np.uint8)
+        samples[: size // 2] = (128 + 90 * np.sin(2 * np.pi * 9 / media.WINDOW * np.arange(size // 2))).astype(np.uint8)
+        x = [float(v) - 128 for v in samples] + [0.0] * media.WINDOW
+        found = []
+        for t in range(size // media.HOP):
+            part = [x[t * media.HOP + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / (media.WINDOW - 1))) for i in range(media.WINDOW)]
+            power = [abs(sum(v * complex(math.cos(2 * math.pi * f * i / media.WINDOW), -math.sin(2 * math.pi * f * i / media.WINDOW)) for i, v in enumerate(part))) for f in range(media.BANDS[-1])]
+            mean = sum(power[media.BANDS[0] :]) / (len(power) - media.BANDS[0])
+            best = [max(range(a, b), key=lambda f: (power[f], -f)) for a, b in zip(media.BANDS, media.BANDS[1:])]
+            found.append([(f, power[f] > media.ABOVE * mean) for f in best])
+        want = []
+        for t, now in enumerate(found):
+            for gap in range(1, media.REACH + 1):
+                if t + gap < len(found):
+                    want += [t << media.TIME_SHIFT | f << 12 | g << 4 | gap for (f, a), (g, b) in zip(now, found[t + gap]) if a and b]
+        assert sorted(want) == media.fingerprints(samples).tolist()
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
@@ -506,6 +532,8 @@ def test_search_widens_until_enough_is_found(spark):
 
 
 def test_few_vectors(spark):
+    huge = spark.createDataFrame([(0, [1e200, 1.0]), (3, [5e199, 2e200]), (4, [-1e200, 0.0]), (5, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["rank"]) for r in neighbours.nearest(huge.withColumn("id", F.lit(1)).withColumn("rank", F.lit(1))).orderBy("rank").collect()][0] == (3, 1)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["vec_id"], r["rank"]) for r in neighbours.nearest(few).orderBy("rank").collect()]
     assert got == [(0, 4, 1), (0, 3, 2)]
@@ -609,6 +637,36 @@ def test_language_model_is_a_distribution():
         assert (10.0 ** tree.log10(every, top)).sum() == pytest.approx(1)
 
 
+# --- the registered queries ---------------------------------------------------------------------
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_registered_query(spark, name):
+    """Each query over the smallest tables: its SQL where there is one, else its columns and a row for each document."""
+    import duckdb
+
+    df = queries.queries()[name](spark, SMALL)
+    rows = df.collect()
+    if name in queries.oracle_sql():
+        con = duckdb.connect()
+        for p in Path(SMALL).glob("*.parquet"):
+            con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+        want = con.sql(queries.oracle_sql()[name])
+        assert sorted(want.columns) == sorted(df.columns)
+        plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
+        assert Counter(map(plain, want.project(", ".join(df.columns)).fetchall())) == Counter(plain(tuple(r)) for r in rows)
+    elif name != "op7_neighbours":
+        ids = [r["doc_id"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()]
+        assert sorted(r["doc_id"] for r in rows) == sorted(ids)
+    else:
+        n = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id % 20 = 0").count()
+        assert len(rows) == 20 * n and {r["rank"] for r in rows} == set(range(1, 21))
+
+
 # --- the pipeline ------------------------------------------------------------------------------
 
 
