@@ -31,6 +31,7 @@ from operator import add
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ from .textgrams import run_keys
 
 MARK = "▁"
 #: Chunks and pairs that a worker remembers; beyond that it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters of texts that are encoded at once, about.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 #: Longer chunks are encoded one by one.
 SHORT = 48
 
@@ -121,8 +122,8 @@ class Encoder:
         self.shorter = [-1] * len(self.piece)
         for p, i in ids.items():
             self.shorter[i] = next((ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in ids), -1)
-        self.fits = Remembered(self._fits, REMEMBERED // 10)
-        self.part = Remembered(self._part, REMEMBERED // 20)
+        self.fits = Remembered(self._fits, REMEMBERED // 8)
+        self.part = Remembered(self._part, REMEMBERED // 16)
         self.lengths, self.shorters = np.array(self.length), np.array(self.shorter)
         self.pairs, self.chunks = Table(), Table()
         # Token ids of all chunks, one after another, and where each begins.
@@ -348,25 +349,28 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     kind = docs.schema[id_col].dataType
     schema = f"_id string, {SCHEMA if decoded else SCHEMA.rsplit(',', 1)[0]}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = pa.schema([(c, pa.int64() if c == "n_tokens" else pa.string()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        gc.disable()  # what is remembered has no cycles, and looking through it costs a fifth of the time
+        gc.disable()  # what is remembered has no cycles, and looking through it takes time
         try:
             for batch in batches:
-                rows = []
-                for ids in enc.encode_all(t or "" for t in batch["_text"]):
+                # One block of texts at a time are Python objects.
+                columns: list[list] = [[] for _ in names[1:]]
+                for ids in enc.encode_all(t.as_py() or "" for t in batch.column(1)):
                     back = enc.lib.decode(ids) if ids else ""
-                    rows.append((len(ids), sha(",".join([enc.text[i] for i in ids])), sha(back), back)[: 4 if decoded else 3])
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")][: 4 if decoded else 3])
-                out.insert(0, "_id", batch["_id"].to_numpy() if len(batch) else [])
-                yield out
+                    for column, value in zip(columns, (len(ids), sha(",".join([enc.text[i] for i in ids])), sha(back), back)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k.type) for c, k in zip(columns, list(kinds)[1:]))], schema=kinds)
         finally:
             gc.enable()
         give_back()
 
-    # As text, so that pandas doesn't turn ids with nulls among them into doubles.
-    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    # Ids as text, whatever their type.
+    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
     return out.select(F.col("_id").cast(kind).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
