@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, language_id, language_model, media, mixing, neighbours, ngram_join, quotes, sentencepiece_bpe, sharding, spelling, toxicity
+from . import conversation_trie, language_id, language_model, license_scan, media, mixing, neighbours, ngram_join, quotes, sentencepiece_bpe, sharding, spelling, toxicity
 from .common import held_out, table
 
 
@@ -70,6 +70,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.log_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -81,10 +85,17 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         *(op1_sharding, op2_mixing, op3_ngram_join, op3_ngram_links, op4_language_id, op5_quotes, op6_media, op7_neighbours),
-        *(op8_toxicity, op9_sentencepiece, op10_language_model, op12_spelling, op13_conversation_trie),
+        *(op8_toxicity, op9_sentencepiece, op10_language_model, op11_license_scan, op12_spelling, op13_conversation_trie),
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_quotes": quotes.ORACLE, "op12_spelling": spelling.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
+    return {
+        "op2_mixing": mixing.ORACLE,
+        "op3_ngram_join": ngram_join.ORACLE,
+        "op5_quotes": quotes.ORACLE,
+        "op11_license_scan": license_scan.ORACLE,
+        "op12_spelling": spelling.ORACLE,
+        "op13_conversation_trie": conversation_trie.ORACLE,
+    }
