@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, nan_mean, nan_sum, safe_div
+from .quantiles import FEW, group_medians, group_quantiles
 
+#: Values that an exact quantile may hold in one buffer.
+BUFFER = 1_000_000
 #: Types whose columns are aggregated where none are named.
 NUMERIC = ("double", "float", "bigint", "int", "decimal(20,0)")
 FUNCTIONS: dict[str, Callable[[str], Column]] = {
@@ -29,20 +30,45 @@ def _function(name: str) -> Callable[[str], Column]:
     return FUNCTIONS[name]
 
 
-def group_agg(df: DataFrame, by: Sequence[str], *columns: Column, **named: str | Column) -> DataFrame:
+def _grouped(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column], medians: Mapping[str, str], buffer: int) -> DataFrame:
+    """Aggregates and medians {name: column} per group, named and in the order of `aggregates`, which has them all.
+
+    A median that the aggregate function would hold more than `buffer` values for is
+    found by rank instead: this takes a count of the rows, or of those of the largest group, at once.
+    """
+    named = [c.alias(k) for k, c in aggregates.items()]
+    if not medians or df.count() * len(medians) <= buffer:
+        return df.groupBy(*by).agg(*named)
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest * len(medians) <= buffer:
+        return df.groupBy(*by).agg(*named)
+    rest = df.groupBy(*by).agg(*[c.alias(k) for k, c in aggregates.items() if k not in medians], F.lit(1).alias("_one"))
+    found = group_medians(df, by, dict(medians), min(buffer, FEW)).withColumnsRenamed({c: f"{c}_" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return rest.join(found, same, "left").select(*by, *aggregates)
+
+
+def group_agg(df: DataFrame, by: Sequence[str], *columns: Column, buffer: int = BUFFER, **named: str | Column) -> DataFrame:
     """Aggregates per group: Columns as they are; col="mean" becomes col_mean; name=Column is named so."""
-    more = [_function(v)(k).alias(f"{k}_{v}") if isinstance(v, str) else v.alias(k) for k, v in named.items()]
-    return df.groupBy(*by).agg(*columns, *more)
+    medians = {f"{k}_median": k for k, v in named.items() if isinstance(v, str) and v == "median"}
+    more = {f"{k}_{v}": _function(v)(k) if isinstance(v, str) else v for k, v in named.items() if isinstance(v, str)} | {k: v for k, v in named.items() if not isinstance(v, str)}
+    if not medians:
+        return df.groupBy(*by).agg(*columns, *[c.alias(k) for k, c in more.items()])
+    names = [c for c in df.groupBy(*by).agg(*columns).columns if c not in by] if columns else []
+    return _grouped(df, by, dict(zip(names, columns)) | more, medians, buffer)
 
 
-def group_dict(df: DataFrame, by: Sequence[str], spec: Mapping[str, str | Sequence[str]], count_rows: bool = True) -> DataFrame:
+def group_dict(df: DataFrame, by: Sequence[str], spec: Mapping[str, str | Sequence[str]], count_rows: bool = True, buffer: int = BUFFER) -> DataFrame:
     """{column: operation or operations} as {column}_{operation}; count counts rows, or values that aren't null."""
-    out = []
+    out, medians = {}, {}
     for c, ops in spec.items():
         for op in [ops] if isinstance(ops, str) else ops:
-            f = F.count(F.lit(1)) if op == "count" and count_rows else _function(op)(c)
-            out.append(f.alias(f"{c}_{op}"))
-    return df.groupBy(*by).agg(*out)
+            out[f"{c}_{op}"] = F.count(F.lit(1)) if op == "count" and count_rows else _function(op)(c)
+            if op == "median":
+                medians[f"{c}_{op}"] = c
+    return _grouped(df, by, out, medians, buffer)
 
 
 def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -51,14 +77,15 @@ def group_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def group_all(df: DataFrame, by: Sequence[str], operation: str, columns: Sequence[str] = ()) -> DataFrame:
     """{c}_{operation} for the named or all numeric columns."""
-    return df.groupBy(*by).agg(*[_function(operation)(c).alias(f"{c}_{operation}") for c in columns or numeric_columns(df, by)])
+    return group_dict(df, by, dict.fromkeys(columns or numeric_columns(df, by), operation), count_rows=False)
 
 
 def agg_frame(df: DataFrame, operation: str, columns: Sequence[str] = ()) -> DataFrame:
     """One row with the aggregate of each column; count gives total_count."""
     if operation == "count":
         return df.agg(F.count(F.lit(1)).alias("total_count"))
-    return df.agg(*[_function(operation)(c).alias(c) for c in columns or numeric_columns(df)])
+    columns = columns or numeric_columns(df)
+    return _grouped(df, [], {c: _function(operation)(c) for c in columns}, {c: c for c in columns if operation == "median"}, BUFFER)
 
 
 def agg(df: DataFrame, operation: str, columns: Sequence[str] = ()) -> dict[str, float]:
@@ -66,90 +93,51 @@ def agg(df: DataFrame, operation: str, columns: Sequence[str] = ()) -> dict[str,
 
 
 def column_stat(df: DataFrame, column: str, operation: str):
+    if operation == "median":
+        return agg_frame(df, operation, [column]).first()[0]
     return df.agg(_function(operation)(column)).first()[0]
 
 
-#: Rows up to which an exact quantile holds all values in one buffer.
-BUFFER = 1_000_000
-#: Parts into which a pass over more rows splits what is left of a column's range.
-SPLIT = 4096
-
-
-def _refined(rows: DataFrame, column: str, ranks: set[int], n: int, lo: float, hi: float, buffer: int) -> dict[int, float]:
-    """The values of some ranks (from 0) of n finite doubles in lo to hi, in a few passes.
-
-    Each pass counts SPLIT parts of the spans that hold a rank and goes on with the
-    parts that hold one, until these have few rows or one value.
-    """
-    found, open_ = {}, {(lo, hi): (0, n, sorted(ranks))}
-    x = F.col(column)
-    while open_:
-        spans, open_ = open_, {}
-        wide = {}
-        for (a, b), (before, count, wanted) in spans.items():
-            if a == b:
-                found |= {r: a for r in wanted}
-            elif count <= buffer:
-                values = rows.where((x >= a) & (x <= b)).groupBy(x).count().orderBy(x).collect()
-                ends = np.cumsum([v["count"] for v in values]) + before
-                found |= {r: values[int(np.searchsorted(ends, r, "right"))][0] for r in wanted}
-            else:
-                wide[a, b] = (before, wanted)
-        if not wide:
-            break
-        part = None
-        for k, (a, b) in enumerate(wide):
-            # Halved, so that a difference can't overflow.
-            at = F.least(F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * SPLIT), F.lit(SPLIT - 1)) + k * SPLIT
-            hit = (x >= a) & (x <= b)
-            part = F.when(hit, at) if part is None else part.when(hit, at)
-        counted = rows.groupBy(part.alias("part")).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).where("part IS NOT NULL").collect()
-        for k, (before, wanted) in enumerate(wide.values()):
-            for row in sorted(r for r in counted if r["part"] // SPLIT == k):
-                inside = [r for r in wanted if before <= r < before + row["n"]]
-                if inside:
-                    open_[row["lo"], row["hi"]] = (before, row["n"], inside)
-                before += row["n"]
-    return found
-
-
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], buffer: int = BUFFER) -> dict[str, list[float | None]]:
     """Exact quantiles of finite values, linear between ranks; None for a column without any.
 
-    Columns of `buffer` values or fewer take one pass; beyond that a few passes
-    refine counts of parts, so that no task and no driver holds more than `buffer`
-    distinct values or SPLIT parts of each quantile.
+    Columns with `buffer` distinct values or fewer, about and together, take one pass after the one that estimates these; more are found by rank.
     """
-    x = {c: F.when(finite(F.col(c)), F.col(c).cast("double")).alias(f"_{k}") for k, c in enumerate(columns)}
-    rows = df.select(*x.values())
-    bounds = rows.agg(*[f(f"_{k}").alias(f"{n}{k}") for k in range(len(columns)) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    few = [k for k in range(len(columns)) if 0 < bounds[f"n{k}"] <= buffer]
-    out = dict.fromkeys(columns)
-    if few:
-        got = rows.agg(*[F.percentile(f"_{k}", F.array(*map(F.lit, map(float, at)))).alias(f"q{k}") for k in few]).first()
-        out |= {columns[k]: list(got[f"q{k}"]) for k in few}
-    for k, c in enumerate(columns):
-        n = bounds[f"n{k}"]
-        if k in few or not n:
-            out[c] = out[c] or [None] * len(at)
-            continue
-        places = [(n - 1) * q for q in at]
-        ranks = {int(f(h)) for h in places for f in (math.floor, math.ceil)}
-        value = _refined(rows.where(F.col(f"_{k}").isNotNull()), f"_{k}", ranks, n, bounds[f"lo{k}"], bounds[f"hi{k}"], buffer)
-        out[c] = [value[math.floor(h)] + (h - math.floor(h)) * (value[math.ceil(h)] - value[math.floor(h)]) for h in places]
+    distinct = [F.approx_count_distinct(F.when(finite(F.col(c)), F.col(c).cast("double"))) for c in columns]
+    return _quantiles(df, columns, at, sum(df.agg(*distinct).first()), buffer)
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], distinct: int, buffer: int) -> dict[str, list[float | None]]:
+    if distinct <= buffer:
+        shares = F.array(*map(F.lit, map(float, at)))
+        got = df.agg(*[F.percentile(F.when(finite(F.col(c)), F.col(c).cast("double")), shares) for c in columns]).first()
+        return {c: list(v) if v is not None else [None] * len(at) for c, v in zip(columns, got)}
+    out = {c: [None] * len(at) for c in columns}
+    for row in group_quantiles(df, [], columns, at, few=min(buffer, FEW)).collect():  # as many as are returned
+        out[columns[row["_c"]]][row["_q"]] = row["value"]
     return out
 
 
-def describe(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows; quartiles exact, of finite values."""
+def describe(df: DataFrame, columns: Sequence[str] = (), buffer: int = BUFFER) -> DataFrame:
+    """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows; quartiles exact, of finite values.
+
+    Two passes where the columns have `buffer` distinct values at most, else as many as the ranks need.
+    """
     columns = list(columns or numeric_columns(df))
-    found, stats = quantiles(df, columns, (0.25, 0.5, 0.75)), []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = [F.lit(v).cast("double") for v in found[c]]
-        stats.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("null_count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max")).alias(c))
-    one = df.agg(*stats)
-    return one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
+    stats = [
+        F.struct(
+            F.count(c).alias("count"),
+            F.count_if(F.col(c).isNull()).alias("null_count"),
+            *[f(F.col(c).cast("double")).alias(name) for name, f in (("mean", F.avg), ("std", F.stddev_samp))],
+            *[f(c).cast("double").alias(name) for name, f in (("min", F.min), ("max", F.max))],
+            F.approx_count_distinct(F.when(finite(F.col(c)), F.col(c).cast("double"))).alias("distinct"),
+        )
+        for c in columns
+    ]
+    one = df.agg(*stats).first()
+    found = _quantiles(df, columns, (0.25, 0.5, 0.75), sum(s["distinct"] for s in one), buffer)
+    rows = [(c, s["count"], s["null_count"], s["mean"], s["std"], s["min"], *found[c], s["max"]) for c, s in zip(columns, one)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, null_count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def weighted_moments(df: DataFrame, column: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

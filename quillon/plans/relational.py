@@ -429,6 +429,30 @@ def describe(t):
     return aggregate.describe(t.lineitem, ["l_quantity", "l_tax"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+#: One group has most rows, and one key is null.
+_HOT = ("CASE WHEN l_orderkey % 10 < 7 THEN 'hot' WHEN l_orderkey % 10 < 9 THEN l_returnflag END AS g", "l_extendedprice AS price", "CASE WHEN l_linenumber <> 3 THEN l_tax - 0.04 END AS tax")
+
+
+@query(f"SELECT g, median(price) AS price_median, round(median(tax), 9) AS tax_median, count(tax) AS tax_count FROM (SELECT {', '.join(_HOT)} FROM lineitem) GROUP BY g")
+def median_hot_group(t):
+    """Medians per group found by rank, as for groups of which no buffer may hold all values."""
+    rows = t.lineitem.selectExpr(*_HOT)
+    spec = {"price": "median", "tax": ["median", "count"]}
+    return aggregate.group_dict(rows, ["g"], spec, count_rows=False, buffer=1000).withColumn("tax_median", F.round("tax_median", 9))
+
+
+#: Twenty columns of different spreads, with nulls, zeros, both signs, ties and large and small numbers.
+_WIDE = {f"c{k}": e for k, e in enumerate(f"{a} * {b}" for a in ("l_quantity", "(l_extendedprice - 30000)", "(l_discount - 0.05)", "nullif(l_partkey % 17, 3)", "(l_orderkey - 20000)") for b in ("1", "1e12", "-1e-12", "0.25"))}
+_WIDE_STATS = "count({0}) AS count, count(*) - count({0}) AS null_count, min({0})::DOUBLE AS min, max({0})::DOUBLE AS max, quantile_cont({0}::DOUBLE, 0.25) AS q25, quantile_cont({0}::DOUBLE, 0.5) AS q50, quantile_cont({0}::DOUBLE, 0.75) AS q75"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, " + _WIDE_STATS.format(f"({e})") + " FROM lineitem" for c, e in _WIDE.items()))
+def describe_wide(t):
+    """Twenty columns described with quartiles found by rank."""
+    rows = t.lineitem.selectExpr(*[f"CAST({e} AS DOUBLE) AS {c}" for c, e in _WIDE.items()])
+    return aggregate.describe(rows, buffer=1000).drop("mean", "std")
+
+
 @query("SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(DISTINCT l_partkey) AS parts FROM lineitem")
 def minmax_unique(t):
     return t.lineitem.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.countDistinct("l_partkey").alias("parts"))
