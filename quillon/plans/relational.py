@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from ..functions import scalar
 from ..functions.expressions import compile_query
 from ..operators import aggregate, joins, selection
 from ..operators.statistics import column_statistics
-from ..scratch import folder
+from ..scratch import place
 from ..sources import readers
 from ..table import LazyTable
 from .base import query
@@ -25,7 +24,7 @@ def scan_parquet(t):
 
 def _saved(t, df, kind: str = "parquet", name: str = "") -> str:
     """A directory without a suffix to which df has been saved."""
-    path = f"{folder(t.spark)}/saved-{uuid.uuid4().hex}"
+    path = place(t.spark, "saved")
     df.write.mode("overwrite").format(kind).save(f"{path}/{name}" if name else path)
     return path
 
@@ -44,7 +43,7 @@ def scan_json_directory(t):
 @query("SELECT l_returnflag AS process, count(*) AS count FROM lineitem GROUP BY ALL")
 def load_discovered(t):
     """Directories that are found by name and read as processes of one table."""
-    base = f"{folder(t.spark)}/found-{uuid.uuid4().hex}"
+    base = place(t.spark, "found")
     for flag in ("A", "N", "R"):
         t.lineitem.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_quantity").write.parquet(f"{base}/{flag}")
     return readers.load_discovered(t.spark, base, "manual", least=1).counts()
@@ -55,13 +54,6 @@ def load_table(t):
     return readers.load_table(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], ["l_quantity > 45", "l_discount < 0.02"])
 
 
-@query("SELECT 'orders' AS process, count(*) AS count FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
-def load_processes(t):
-    from ..operators.processes import Processes
-
-    return Processes.from_tables({"orders": t.orders, "customer": t.customer}).counts()
-
-
 @query("SELECT p_partkey, p_name FROM part")
 def select(t):
     return LazyTable(t.part).select(["p_partkey", "p_name"]).df

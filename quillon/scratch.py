@@ -17,7 +17,7 @@ def _own() -> str:
 
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset and all runs on this machine."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (there or _own()).rstrip("/")
@@ -31,9 +31,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    spark = df.sparkSession
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder; what is written there is deleted when the driver's interpreter ends."""
     path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written down and read back: a lost executor then costs a task and not a chain of stages."""
+    path = place(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

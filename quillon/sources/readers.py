@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from ..functions.expressions import compile_query
+from ..functions.expressions import compile_query, query_columns
 from ..operators import luminosity, processes, selection
+from . import files
 
 NULLS = ("", "NULL", "null", "NA", "N/A", "nan", "NaN")
 
@@ -77,11 +78,18 @@ def listing(spark: SparkSession, path: str, pattern: str = "*", directories: boo
     return sorted(out, key=lambda f: f.path)
 
 
-def _arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Feather and Arrow files, each opened by the task that has it; the schema is that of the first file."""
-    files = [f for f in listing(spark, path) if f.suffix in (".feather", ".arrow", ".ipc")]
-    if not files:
+def _arrow(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Feather and Arrow files by record batch; the schema is that of the first file.
+
+    In a store that only Spark reads, a task gets a whole file as one row instead, 2 GB at most.
+    """
+    paths = [f.path for f in listing(spark, path) if f.suffix in (".feather", ".arrow", ".ipc")]
+    if not paths:
         raise FileNotFoundError(path)
+    return files.arrow_batches(spark, paths, columns) if all(map(files.reachable, paths)) else _whole_arrow(spark, paths, columns)
+
+
+def _whole_arrow(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None) -> DataFrame:
     binary = lambda paths: spark.read.format("binaryFile").load(paths).select("content")
 
     def opened(batches: Iterable[pa.RecordBatch]):
@@ -93,14 +101,15 @@ def _arrow(spark: SparkSession, path: str) -> DataFrame:
         for file in opened(batches):
             yield pa.RecordBatch.from_pydict({"schema": [file.schema.remove_metadata().serialize().to_pybytes()]})
 
-    schema = pa.ipc.read_schema(pa.py_buffer(bytes(binary([files[0].path]).mapInArrow(header, "schema binary").first()[0])))
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(binary(paths[:1]).mapInArrow(header, "schema binary").first()[0])))
+    schema = schema if columns is None else pa.schema([schema.field(c) for c in columns])
 
     def read(batches):
         for file in opened(batches):
             for k in range(file.num_record_batches):
                 yield from pa.Table.from_batches([file.get_batch(k)]).select(schema.names).cast(schema).to_batches()
 
-    return binary([f.path for f in files]).mapInArrow(read, from_arrow_schema(schema))
+    return binary(list(paths)).mapInArrow(read, from_arrow_schema(schema))
 
 
 #: Reader by suffix. Formats that need other jars or packages are refused by name.
@@ -109,6 +118,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ".json": lambda spark, path: spark.read.json(path), ".jsonl": lambda spark, path: spark.read.json(path), ".ndjson": lambda spark, path: spark.read.json(path),
     ".orc": lambda spark, path: spark.read.orc(path), ".feather": _arrow, ".arrow": _arrow, ".ipc": _arrow,
 }
+ARROW = (".feather", ".arrow", ".ipc")
 REFUSED = {".root": "ROOT files", ".delta": "Delta tables", ".xlsx": "Excel files", ".xls": "Excel files"}
 
 
@@ -154,8 +164,11 @@ def from_memory(spark: SparkSession, source) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, columns: Sequence[str] = (), filters: Sequence[str] = ()) -> DataFrame:
-    """scan, then selections, then columns; both reach the file scan."""
-    df = scan(spark, path)
+    """scan, then selections, then columns; both reach the file scan (of Arrow files the columns that either needs)."""
+    if columns and _kind(spark, path) in ARROW:
+        df = _arrow(spark, path, list(dict.fromkeys([*columns, *(c for text in filters for c in query_columns(text))])))
+    else:
+        df = scan(spark, path)
     for text in filters:
         df = df.where(compile_query(text, df.columns))
     return df.select(*columns) if columns else df
@@ -166,9 +179,9 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:", ""), "^/+", "/")
 
 
-def read_named(spark: SparkSession, files: dict[str, Sequence[str]]) -> DataFrame:
+def read_named(spark: SparkSession, by_name: dict[str, Sequence[str]]) -> DataFrame:
     """Parquet files of each process as one table with a column `process`; columns may differ."""
-    rows = [(name, path) for name, paths in files.items() for path in paths]
+    rows = [(name, path) for name, paths in by_name.items() for path in paths]
     if not rows:
         raise FileNotFoundError("no files")
     uri = lambda path: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
@@ -188,10 +201,10 @@ def _process_files(found: Iterable[File]) -> dict[str, list[str]]:
 
 def load_process_dir(spark: SparkSession, base: str, pattern: str = "*.parquet", only: Sequence[str] = ()) -> DataFrame:
     """Every file below a directory as a process named after it; `only` names parts, and other files aren't read. No file is an error."""
-    files = listing(spark, base, pattern)
+    found = listing(spark, base, pattern)
     if only:
-        files = [f for f in files if any(o.lower() in f.stem.lower() for o in only)]
-    return read_named(spark, _process_files(files))
+        found = [f for f in found if any(o.lower() in f.stem.lower() for o in only)]
+    return read_named(spark, _process_files(found))
 
 
 def load_flat(spark: SparkSession, base: str, kind: str, condition: str | None = None) -> DataFrame:
@@ -199,11 +212,11 @@ def load_flat(spark: SparkSession, base: str, kind: str, condition: str | None =
 
     With a condition only the files of it are read, or all if none says it.
     """
-    files: dict[str, list[str]] = defaultdict(list)
+    found: dict[str, list[str]] = defaultdict(list)
     for f in listing(spark, base, f"*_{kind}.parquet"):
-        files[re.sub(rf"^(?:mc\d+-)?(.+?)_{re.escape(kind)}$", r"\1", f.stem)].append(f.path)
-    kept = {n: p for n, p in files.items() if condition and processes.says_energy(n, condition)}
-    return read_named(spark, kept or files)
+        found[re.sub(rf"^(?:mc\d+-)?(.+?)_{re.escape(kind)}$", r"\1", f.stem)].append(f.path)
+    kept = {n: p for n, p in found.items() if condition and processes.says_energy(n, condition)}
+    return read_named(spark, kept or found)
 
 
 #: Columns that an analysis of a particle needs, beside the identity of the event.
@@ -215,19 +228,19 @@ def load_particle(spark: SparkSession, base: str, particle: str, columns: Sequen
 
     columns: None for those that the particle needs (all, if none is known), empty for all.
     """
-    files: dict[str, list[str]] = defaultdict(list)
+    found: dict[str, list[str]] = defaultdict(list)
     for f in listing(spark, base, f"*{particle}*.parquet"):
         if "tmp" not in f.name:
-            files[f.parts[-2]].append(f.path)
-    if not files:
+            found[f.parts[-2]].append(f.path)
+    if not found:
         raise FileNotFoundError(f"no {particle} files below {base}")
-    df = read_named(spark, {n: p for n, p in files.items() if processes.says_energy(n, condition, particle)})
+    df = read_named(spark, {n: p for n, p in found.items() if processes.says_energy(n, condition, particle)})
     wanted = columns if columns is not None else [*selection.EVENT_KEYS, *PARTICLE_COLUMNS[particle]] if particle in PARTICLE_COLUMNS else ()
     if wanted:
         df = df.select(*[c for c in wanted if c in df.columns], "process")
     if fraction is not None:
         df = selection.hash_sample(df, fraction)
-    names = luminosity.weights(spark.createDataFrame([(n,) for n in sorted(files)], "process string"), condition)
+    names = luminosity.weights(spark.createDataFrame([(n,) for n in sorted(found)], "process string"), condition)
     return luminosity.apply_weights(df, names)
 
 
@@ -290,9 +303,9 @@ def discover_by_type(spark: SparkSession, directories: tuple[str | None, str | N
     words, (prefixed, plain) = FILE_KINDS[kind], directories
     places = [(prefixed, "combined", lambda f, w: "combined" in f.name and w in f.name), (plain, "subtasks", lambda f, w: f.parts[-2] == "subtasks" and w in f.name), (plain, "fallback", lambda f, w: w in f.name)]
     for base, how, fits in places:
-        files = listing(spark, base, "*.parquet") if base else []
+        there = listing(spark, base, "*.parquet") if base else []
         for word in words:
-            some = [f for f in files if fits(f, word) and f.size >= least and not any(x in f.name for x in UNFINISHED)]
+            some = [f for f in there if fits(f, word) and f.size >= least and not any(x in f.name for x in UNFINISHED)]
             if some:
                 return [f.path for f in some], how
     return [], "none"
@@ -301,10 +314,10 @@ def discover_by_type(spark: SparkSession, directories: tuple[str | None, str | N
 def load_samples(spark: SparkSession, base: str, names: Sequence[str], kind: str = "auto", columns: Sequence[str] = (), least: int = 1) -> processes.Processes:
     """Samples found by resolve_dirs and discover_by_type, with the named columns as far as there are, each sample in one group."""
     found = {n: discover_by_type(spark, where, kind, least)[0] for n, where in resolve_dirs(spark, base, names).items()}
-    missing = [n for n, files in found.items() if not files]
+    missing = [n for n, some in found.items() if not some]
     if len(missing) == len(found):
         raise FileNotFoundError(f"no files of {missing} below {base}")
-    df = read_named(spark, {n: files for n, files in found.items() if files})
+    df = read_named(spark, {n: some for n, some in found.items() if some})
     if columns:
         df = df.select(*[c for c in columns if c in df.columns], "process")
     groups = spark.createDataFrame([(n,) for n in found if n not in missing], "process string")
@@ -312,12 +325,29 @@ def load_samples(spark: SparkSession, base: str, names: Sequence[str], kind: str
     return processes.Processes(df, first.unionByName(groups.withColumn("grp", F.lit("all"))))
 
 
-def validate_files(spark: SparkSession, files: Sequence[str], least: int = 1024, most: int | None = None, required: Sequence[str] = (), exclude: Sequence[str] = UNFINISHED) -> dict[str, str]:
-    """Why files are unfit, by path: name, size or missing columns (read from the footer only)."""
+def validate_files(
+    spark: SparkSession, paths: Sequence[str], least: int = 1024, most: int | None = None, required: Sequence[str] = (), exclude: Sequence[str] = UNFINISHED
+) -> dict[str, str]:
+    """Why files are unfit, by path: name, size, no parquet file, or missing columns.
 
+    One job for all files, whose tasks read sizes and ends of files; the driver gets the unfit ones.
+    In a store that only Spark reads, the driver asks for sizes and schemas one by one.
+    """
+    out = {p: "temporary" for p in paths if any(x in PurePosixPath(p).name.lower() for x in exclude)}
+    rest = [p for p in paths if p not in out]
+    if not all(map(files.reachable, rest)):
+        return out | _validate_by_driver(spark, rest, least, most, required)
+    if rest:
+        facts = files.parquet_facts(spark, rest)
+        lacking = F.array_except(F.array(*map(F.lit, sorted(set(required)))), F.col("columns")) if required else F.array().cast("array<string>")
+        why = F.when(F.coalesce("size", F.lit(-1)) < least, "too small").when(F.col("size") > (2**63 - 1 if most is None else most), "too large")
+        why = why.when(F.col("columns").isNull(), "no parquet file").when(F.size(lacking) > 0, F.concat(F.lit("lacks ['"), F.array_join(lacking, "', '"), F.lit("']")))
+        out |= {r["path"]: r["why"] for r in facts.select("path", why.alias("why")).where("why IS NOT NULL").collect()}  # the unfit ones
+    return {p: out[p] for p in paths if p in out}
+
+
+def _validate_by_driver(spark: SparkSession, paths: Sequence[str], least: int, most: int | None, required: Sequence[str]) -> dict[str, str]:
     def check(path: str) -> tuple[str, str]:
-        if any(x in PurePosixPath(path).name.lower() for x in exclude):
-            return path, "temporary"
         there = _statuses(spark, path)[1]
         if not there or there[0].getLen() < least:
             return path, "too small"
@@ -327,4 +357,12 @@ def validate_files(spark: SparkSession, files: Sequence[str], least: int = 1024,
         return path, f"lacks {sorted(missing)}" if missing else ""
 
     with ThreadPoolExecutor(8) as pool:
-        return {p: why for p, why in pool.map(check, files) if why}
+        return {p: why for p, why in pool.map(check, paths) if why}
+
+
+def count_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, rows) of parquet files, from their ends; in a store that only Spark reads, by a scan without columns."""
+    if all(map(files.reachable, paths)):
+        return files.parquet_facts(spark, paths).select("path", "rows")
+    df = spark.read.parquet(*paths)
+    return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
