@@ -140,6 +140,42 @@ def describe(df: DataFrame, columns: Sequence[str] = (), buffer: int = BUFFER) -
     return df.sparkSession.createDataFrame(rows, "column string, count long, null_count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
+def group_describe(df: DataFrame, by: Sequence[str], columns: Sequence[str], buffer: int = BUFFER) -> DataFrame:
+    """(by.., column, count, null_count, mean, std, min, q25, q50, q75, max) of each column in each group; quartiles as in describe.
+
+    One job where all values together are `buffer` at most; else quartiles are found by rank.
+    """
+    shares = (0.25, 0.5, 0.75)
+    x = [F.col(c).cast("double") for c in columns]
+    fine = [F.when(finite(F.col(c)), v) for c, v in zip(columns, x)]
+    few = df.count() * len(columns) <= buffer
+    quartiles = [F.percentile(v, F.array(*map(F.lit, shares))) if few else F.lit(None).cast("array<double>") for v in fine]
+    stats = [
+        F.struct(
+            F.lit(k).alias("_k"),
+            F.lit(c).alias("column"),
+            F.count(c).alias("count"),
+            F.count_if(F.col(c).isNull()).alias("null_count"),
+            *[f(v).alias(name) for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
+            q.alias("_q"),
+        ).alias(f"_s{k}")
+        for k, (c, v, q) in enumerate(zip(columns, x, quartiles))
+    ]
+    rows = df.groupBy(*by).agg(*stats).select(*by, F.explode(F.array(*[f"_s{k}" for k in range(len(columns))])).alias("_s")).select(*by, "_s.*")
+    if few:
+        ends = [F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
+    else:
+        found = group_quantiles(df, by, columns, shares, few=min(buffer, FEW))
+        keys = [f"_g{k}" for k in range(len(by))]
+        wide = found.groupBy(*keys, "_c").agg(*[F.max(F.when(F.col("_q") == k, F.col("value"))).alias(f"_q{k}") for k in range(3)])
+        same = F.col("_k") == F.col("_c")
+        for c, k in zip(by, keys):
+            same = same & F.col(c).eqNullSafe(F.col(k))
+        rows = rows.drop("_q").join(wide, same, "left")
+        ends = [F.col(f"_q{k}").alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
+    return rows.select(*by, "column", "count", "null_count", "mean", "std", "min", *ends, "max")
+
+
 def weighted_moments(df: DataFrame, column: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., mean, n_eff, var): weighted, with the variance corrected by the effective number.
 

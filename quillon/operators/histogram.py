@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,7 +41,7 @@ def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def default_range(column: str, table: Mapping[str, tuple[float, float]] = RANGES) -> tuple[float, float] | None:
-    """The range that a column's name says, if it does."""
+    """The range that a column's name says, if it does; weighted chains go by RANGES_WIDE."""
     if column in table:
         return table[column]
     if column.endswith(("P", "Pt", "Energy", "E")):
@@ -116,6 +116,29 @@ def hist(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float]
     return out
 
 
+def observed(df: DataFrame, column: str, lo: float, hi: float, weights: str | None = None) -> tuple[DataFrame, Observation]:
+    """df, and what the job that reads it sees of a column: rows, null, not finite, below, above and in range, and their weight.
+
+    The observation's `get` waits for that job; nothing is read twice.
+    """
+    x, good = F.col(column).cast("double"), finite(F.col(column))
+    w = F.lit(1.0) if weights is None else F.col(weights).cast("double")
+    within = good & (x >= lo) & (x <= hi) & (F.lit(True) if weights is None else finite(F.col(weights)))
+    counts = {"null": x.isNull(), "not_finite": x.isNotNull() & ~good, "below": good & (x < lo), "above": good & (x > hi), "in_range": within}
+    watch = Observation()
+    sums = [F.coalesce(F.sum(F.when(within, w)), F.lit(0.0)).alias("weight")]
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()], *sums), watch
+
+
+def hist_observed(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float] | None = None, weights: str | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """Counts (or weights), edges, and what the same job saw (see observed) with its seconds."""
+    lo, hi = map(float, range or range_of(df, column))
+    seen, watch = observed(df, column, lo, hi, weights)
+    start = time.monotonic()
+    counts, at = counts_edges(hist(seen, column, bins, (lo, hi), weights), weights is not None)
+    return counts, at, watch.get | {"seconds": time.monotonic() - start}
+
+
 def counts_edges(histogram: DataFrame, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """An ungrouped histogram as arrays of counts and edges."""
     rows = sorted((r["bin"], r["lo"], r["hi"], r["sumw" if weighted else "count"]) for r in histogram.collect())
@@ -214,10 +237,10 @@ def hist_batches(tables: Iterable[DataFrame], column: str, bins: int, range: tup
     for df in tables:
         if time_budget_s is not None and info.batches and time.monotonic() - start >= time_budget_s:
             break
-        counts, _ = counts_edges(h := hist(df, column, bins, range, weights), weights is not None)
+        counts, _, seen = hist_observed(df, column, bins, range, weights)
         total += counts
         info.batches += 1
-        info.rows += int(h.agg(F.sum("count")).first()[0] or 0)
+        info.rows += int(seen["in_range"])
         info.history.append(time.monotonic() - start - info.seconds)
         info.seconds = time.monotonic() - start
         if progress:

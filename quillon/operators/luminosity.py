@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from .fuzzy import near as fuzzy_near
 
 CONDITIONS = ("4S_on", "4S_offres", "5S_scan")
 
@@ -154,13 +155,13 @@ def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
     known = [(f"{p}_{c}".lower(), p) for p in ("data", *DATABASE) for c in CONDITIONS] + [(a, t[0]) for a, t in ALIASES.items()] + [(p.lower(), p) for p in DATABASE]
     table = spark.createDataFrame(known, "known string, target string")
     name, low = F.col(name_col), F.lower(F.col(name_col))
-    distinct = names.select(name_col).distinct()
-    near = distinct.withColumn("_low", low).crossJoin(table).withColumn("_d", F.levenshtein("_low", "known", FUZZY)).where("_d >= 0")
-    best = near.groupBy(name_col).agg(F.min(F.struct("_d", "known", "target")).alias("_m"))
     full, data = name.rlike(FULL_NAME), name.rlike(DATA_NAME)
+    others = names.where(~(full | data)).select(low.alias("_low"))
+    near = fuzzy_near(others, table, "_low", "known", FUZZY).join(table, "known")
+    best = near.groupBy("_low").agg(F.min(F.struct(F.col("distance").alias("_d"), "known", "target")).alias("_m"))
     part = lambda pattern, k: F.regexp_extract(name, pattern, k)
     inferred = F.when(low.contains("5s"), "5S_scan").when(low.contains("off"), "4S_offres").otherwise("4S_on")
-    rows = names.join(best, name_col, "left")
+    rows = names.withColumn("_low", low).join(best, "_low", "left").drop("_low")
     fuzzy = F.col("_m").isNotNull()
     out = {
         "campaign": F.when(full, part(FULL_NAME, 1)),
@@ -262,8 +263,16 @@ def total_uncertainty(x: Column, stat: Column, relative: float) -> Column:
     return F.sqrt(stat * stat + F.pow(x * relative, 2))
 
 
+def search_all(names: DataFrame, texts: DataFrame, distance: int = 2, name_col: str = "process", text_col: str = "text") -> DataFrame:
+    """(text_col, name_col, distance): for many texts the names that nearly equal them, by case-folded deletion neighbourhoods."""
+    low = names.select(F.col(name_col), F.lower(name_col).alias("_low"))
+    asked = texts.select(F.col(text_col), F.lower(text_col).alias("_text"))
+    pairs = fuzzy_near(asked, low, "_text", "_low", distance)
+    return pairs.join(low, "_low").join(asked, "_text").select(text_col, name_col, "distance").distinct()
+
+
 def search_names(names: DataFrame, text: str, how: str = "prefix", distance: int = 2, name_col: str = "process") -> DataFrame:
-    """Names that begin with, equal or nearly equal a text."""
+    """Names that begin with, equal or nearly equal a text; for many texts at once see search_all."""
     n = F.lower(F.col(name_col))
     t = text.lower()
     found = {"prefix": n.startswith(t), "exact": n == t, "fuzzy": F.levenshtein(n, F.lit(t), distance) >= 0}

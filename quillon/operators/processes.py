@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import difflib
 import json
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -160,11 +162,15 @@ class Step:
 class Processes:
     """A mapping view over a long table: names, groups, and operations on all members at once."""
 
-    def __init__(self, table: DataFrame, groups: DataFrame | None = None, lineage: Sequence[Step] = (), custom: Mapping[str, Sequence[str]] | None = None):
+    def __init__(self, table: DataFrame, groups: DataFrame | None = None, lineage: Sequence[Step] = (), custom: Mapping[str, Sequence[str]] | None = None, names: Sequence[str] | None = None):
+        """names: those of all members where they are known, as from files; else they are read from the table when they are asked for.
+
+        Members keep their names whatever a selection leaves of their rows.
+        """
         if "process" not in table.columns:
             raise ValueError("the table has no column `process`")
         self.table, self.lineage, self.custom = table, list(lineage), dict(custom or {})
-        self._groups, self._names, self.access = groups, None, Counter()
+        self._groups, self._names, self.access = groups, None if names is None else sorted(set(names)), Counter()
         self.semantics: dict[str, str] = {}
 
     @classmethod
@@ -176,7 +182,7 @@ class Processes:
         for name, df in tables.items():
             one = df.withColumn("process", F.lit(name))
             long = one if long is None else long.unionByName(one, allowMissingColumns=True)
-        return cls(long)
+        return cls(long, names=list(tables))
 
     # names and groups --------------------------------------------------------
 
@@ -185,8 +191,14 @@ class Processes:
             self._names = sorted(r[0] for r in self.table.select("process").distinct().collect())  # one row a process
         return self._names
 
+    def _named(self) -> DataFrame:
+        """(process): a row for each member, without a scan where names are known."""
+        if self._names is None:
+            return self.table.select("process").distinct()
+        return self.table.sparkSession.createDataFrame([(n,) for n in self._names], "process string")
+
     def groups(self) -> DataFrame:
-        base = self._groups if self._groups is not None else classify(self.table.select("process").distinct())
+        base = self._groups if self._groups is not None else classify(self._named())
         if not self.custom:
             return base
         rows = [(p, g) for g, members in self.custom.items() for p in members]
@@ -207,14 +219,19 @@ class Processes:
         return self._with(self.table, "add_group", name=name, custom=self.custom | {name: tuple(members)})
 
     def add_process(self, name: str, df: DataFrame) -> Processes:
-        return self._with(self.table.unionByName(df.withColumn("process", F.lit(name)), allowMissingColumns=True), "add_process", name=name)
+        out = self._with(self.table.unionByName(df.withColumn("process", F.lit(name)), allowMissingColumns=True), "add_process", name=name)
+        if self._names is not None:
+            out._names = sorted({*self._names, name})
+        return out
 
     def group(self, name: str) -> Processes:
         """Only a group's members."""
         members = self.members(name)
         if not members:
             raise KeyError(name)
-        return self._with(self.table.where(F.col("process").isin(members)), "group", name=name, custom={name: members})
+        out = self._with(self.table.where(F.col("process").isin(members)), "group", name=name, custom={name: members})
+        out._names = members if self._names is None else [n for n in self._names if n in set(members)]
+        return out
 
     def __getitem__(self, key: str) -> DataFrame:
         self.access[key] += 1
@@ -252,11 +269,11 @@ class Processes:
 
     def _with(self, table: DataFrame, operation: str, custom: Mapping | None = None, **arguments) -> Processes:
         step = Step(operation, {k: str(v) for k, v in arguments.items()}, len(self.lineage) - 1 if self.lineage else None)
-        out = Processes(table, self._groups, [*self.lineage, step], self.custom if custom is None else custom)
+        out = type(self)(table, self._groups, [*self.lineage, step], self.custom if custom is None else custom, self._names)
         out.semantics = dict(self.semantics)
         return out
 
-    def query(self, text: str, **variables) -> Processes:
+    def query(self, text: str, /, **variables) -> Processes:
         return self._with(self.table.where(compile_query(text, self.table.columns, **variables)), "query", text=text)
 
     def one_candidate(self, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = ()) -> Processes:
@@ -281,11 +298,17 @@ class Processes:
     def counts(self) -> DataFrame:
         return aggregate.group_count(self.table, ["process"])
 
-    def describe(self, columns: Sequence[str]) -> dict[str, DataFrame]:
-        return {n: aggregate.describe(self[n], columns) for n in self.names()}
+    def describe(self, columns: Sequence[str] = ()) -> dict[str, DataFrame]:
+        """aggregate.describe of each process, all from the same passes over the table."""
+        spark, wanted = self.table.sparkSession, columns or aggregate.numeric_columns(self.table, ["process"])
+        rows = defaultdict(list)
+        found = aggregate.group_describe(self.table, ["process"], wanted)
+        for r in found.collect():  # a row for each process and column
+            rows[r["process"]].append(tuple(r)[1:])
+        return {n: spark.createDataFrame(some, found.drop("process").schema) for n in self.names() if (some := rows.get(n))}
 
     def broadcast(self, f: Callable[[DataFrame], object]) -> tuple[dict[str, object], dict[str, str]]:
-        """f of each process's table; errors are returned by name, not raised."""
+        """f of each process's table; errors are returned by name, not raised. For aggregates use aggregate_each, which takes one job."""
         results, errors = {}, {}
         for n in self.names():
             try:
@@ -294,6 +317,23 @@ class Processes:
                 errors[n] = f"{type(error).__name__}: {error}"
         return results, errors
 
+    def aggregate_each(self, **aggregates: Column) -> tuple[dict[str, dict[str, object]], dict[str, str]]:
+        """Aggregates of each process by name, in one job; a process without rows has those of no rows.
+
+        If the job fails, each process is aggregated by itself, and those that fail are returned with their errors.
+        """
+        named = [c.alias(k) for k, c in aggregates.items()]
+        try:
+            got = {r["process"]: {k: r[k] for k in aggregates} for r in self.table.groupBy("process").agg(*named).collect()}
+        except PySparkException:
+            return self.broadcast(lambda df: df.agg(*named).first().asDict())
+        empty = None
+        for n in self.names():
+            if n not in got:
+                empty = empty or self.table.limit(0).agg(*named).first().asDict()
+                got[n] = dict(empty)
+        return got, {}
+
     def apply(self, operation: str, columns: Sequence[str] = (), other: DataFrame | None = None, **options):
         """By the operation's kind: one table or value over all members, or one for each process.
 
@@ -323,11 +363,25 @@ class Processes:
 
     def validate(self) -> DataFrame:
         """Rows of the group dimension whose process the table lacks."""
-        return self.groups().join(self.table.select("process").distinct(), "process", "left_anti")
+        return self.groups().join(self._named(), "process", "left_anti")
 
     def access_stats(self) -> dict[str, object]:
         return {"accesses": dict(self.access), "most": self.access.most_common(1), "lineage": len(self.lineage)}
 
+    def observed(self) -> tuple[Processes, Observation]:
+        """The same processes, which tell how many rows of each one passed here, from the job that uses them (see metrics)."""
+        watch = Observation()
+        counts = [F.count_if(F.col("process") == n).alias(n) for n in self.names()]
+        return self._with(self.table.observe(watch, F.count(F.lit(1)).alias("rows"), *counts), "observed"), watch
+
+    def profile(self) -> dict[str, object]:
+        """What one run of the table's plan takes and gives: seconds, and rows of each process, none of it kept."""
+        seen, watch = self.observed()
+        start = time.monotonic()
+        seen.table.write.format("noop").mode("overwrite").save()
+        got = watch.get
+        return {"seconds": time.monotonic() - start, "rows": got["rows"], "by_process": {n: got[n] for n in self.names()}, "steps": len(self.lineage)}
+
     def save_metadata(self, path: str) -> None:
         Path(path).write_text(json.dumps({"names": self.names(), "custom": {k: list(v) for k, v in self.custom.items()}, "lineage": [vars(s) for s in self.lineage]}))
 

@@ -141,9 +141,18 @@ def agresti_coull(k: Column, n: Column, level: float = ONE_SIGMA) -> tuple[Colum
     return F.greatest(p - half, F.lit(0.0)), F.least(p + half, F.lit(1.0))
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! for k of 0 or more: Stirling's series from 11 on, to which smaller values are multiplied up."""
+    x = F.when(k < 10, k + F.ceil(10 - k)).otherwise(k) + 1.0
+    steps = F.lit(1.0)
+    for j in range(1, 11):
+        steps = steps * F.when(k + j < 11, k + float(j)).otherwise(1.0)
+    tail = sum(1 / (c * F.pow(x, F.lit(float(p)))) for c, p in ((12, 1), (-360, 3), (1260, 5), (-1680, 7), (1188, 9)))
+    return (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + tail - F.ln(steps)
+
+
 def poisson_logpmf(k: Column, mu: Column) -> Column:
-    """k ln mu - mu - ln k!, with an exact log-gamma."""
-    log_factorial = pandas_udf(lambda k: pd.Series([math.lgamma(v + 1) for v in k]), "double")
+    """k ln mu - mu - ln k!, as an expression."""
     return k * F.ln(mu) - mu - log_factorial(k)
 
 
@@ -165,6 +174,19 @@ def weighted_scaling(error: Column, n: Column, n_eff: Column) -> Column:
     return error * F.sqrt(safe_div(n, n_eff))
 
 
+_SHARE = {"weights": False, "counts": True, "least": 1, "of": lambda k, n: safe_div(k, n)}
+_COUNT = {"weights": False, "counts": True, "least": 1, "of": lambda k, n: k}
+_DRAWN = {"weights": True, "counts": False, "of": None}
+#: What each method needs, and what its interval is about.
+METHODS = {
+    **dict.fromkeys(("clopper_pearson", "wilson", "agresti_coull", "jeffreys", "uniform_hpd", "profile_likelihood"), _SHARE),
+    **dict.fromkeys(("poisson_exact", "jeffreys_poisson"), _COUNT),
+    "barlow_beeston": _COUNT | {"weights": True},
+    "bootstrap_percentile": _DRAWN | {"least": 2},
+    "bootstrap_bca": _DRAWN | {"least": 10},
+}
+
+
 def intervals(df: DataFrame, method: str, k: str = "k", n: str = "n", level: float = ONE_SIGMA) -> DataFrame:
     """df with lower and upper by a method of METHODS; methods of counts alone don't read n."""
     pair = {"wilson": wilson, "agresti_coull": agresti_coull}
@@ -182,12 +204,30 @@ def intervals(df: DataFrame, method: str, k: str = "k", n: str = "n", level: flo
 
 
 def auto_intervals(df: DataFrame, k: str = "k", n: str = "n", sumw2: str | None = None, level: float = ONE_SIGMA) -> DataFrame:
-    """intervals by the method that suits the number of rows and the values; sumw2 is there for weighted ones."""
+    """intervals by the method that suits the number of rows and the values; sumw2 is there for weighted ones.
+
+    Where auto_method says bootstrap_bca, rows have to be drawn, which sums of weights no longer have: then this
+    raises a ValueError, and bootstrap_mean with the rows' weights is what to use.
+    """
     rows, whole = df.agg(F.count(F.lit(1)), F.min(F.col(k) == F.floor(F.col(k)))).first()
     method = auto_method(rows, bool(whole), sumw2 is not None)
-    if method == "barlow_beeston" or method.startswith("bootstrap"):
-        return intervals(df, "barlow_beeston", k, sumw2 or n, level)
-    return intervals(df, method, k, n, level)
+    if not METHODS[method]["counts"]:
+        raise ValueError(f"{method} needs rows and not counts: use bootstrap_mean")
+    if sumw2 is not None and not METHODS[method]["weights"]:
+        # Errors of a method without weights are those of effective numbers.
+        size = safe_div(F.col(k) * F.col(k), F.col(sumw2))
+        found = intervals(df.withColumn("_eff", safe_div(size, F.col(n))), method, k, n, level)
+        wider = weighted_scaling(F.lit(1.0), F.lit(1.0), F.least(F.col("_eff"), F.lit(1.0)))
+        mid = METHODS[method]["of"](F.col(k), F.col(n))
+        return found.withColumns({"lower": mid - (mid - F.col("lower")) * wider, "upper": mid + (F.col("upper") - mid) * wider}).drop("_eff")
+    return intervals(df, method, k, sumw2 if method == "barlow_beeston" else n, level)
+
+
+def method_info(name: str) -> dict[str, object]:
+    """What a method needs: whether it takes weights, counts alone, and how many values at least."""
+    if name not in METHODS:
+        raise ValueError(f"unknown method {name!r}; known: {', '.join(METHODS)}")
+    return {k: v for k, v in METHODS[name].items() if k != "of"}
 
 
 def hist_uncertainty(histogram: DataFrame, weighted: bool = False, level: float = ONE_SIGMA, method: str = "poisson_exact") -> DataFrame:
@@ -198,53 +238,74 @@ def hist_uncertainty(histogram: DataFrame, weighted: bool = False, level: float
     return intervals(rows, method, "_k", "_n", level).drop("_k", "_n")
 
 
-def bootstrap_mean(df: DataFrame, column: str, replicas: int = 2000, seed: int = 42, level: float = ONE_SIGMA, key: str | None = None) -> DataFrame:
-    """(n, mean, lower, upper, bias_z, acceleration): percentile interval of the mean by a Poisson bootstrap.
+def jackknife_acceleration(rows: DataFrame, x: str = "x", w: str = "w") -> DataFrame:
+    """(n, mean, acceleration) of a weighted mean, from the means that leave out one row each.
 
-    Row weights come from the hash of the row's key (default: all columns) and
+    One pass sums up all rows; the means without a row follow from these sums, and a second one sums up their
+    second and third moments. Without weights the result is skewness / (6 sqrt(n)).
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("_s"), safe_div(F.sum(F.col(w) * F.col(x)), F.sum(w)).alias("mean"))
+    # The mean without a row, less the mean of all.
+    off = safe_div(F.col(w) * (F.col("mean") - F.col(x)), F.col("_s") - F.col(w))
+    each = rows.crossJoin(total).select(off.alias("_d"))  # one row
+    sums = total.crossJoin(each.agg(*[F.coalesce(F.sum(F.pow("_d", F.lit(float(p)))), F.lit(0.0)).alias(f"_{p}") for p in (1, 2, 3)]))  # one row each
+    mid = F.coalesce(safe_div(F.col("_1"), F.col("n")), F.lit(0.0))
+    second = F.greatest(F.col("_2") - F.col("n") * mid * mid, F.lit(0.0))
+    third = -(F.col("_3") - 3 * mid * F.col("_2") + 2 * F.col("n") * mid * mid * mid)
+    return sums.select("n", "mean", F.coalesce(safe_div(third, 6 * F.pow(second, 1.5)), F.lit(0.0)).alias("acceleration"))
+
+
+def bootstrap_mean(
+    df: DataFrame, column: str, replicas: int = 2000, seed: int = 42, level: float = ONE_SIGMA, key: str | None = None, weight: str | None = None
+) -> DataFrame:
+    """(n, mean, lower, upper, lower_bca, upper_bca): intervals of the mean, weighted if asked, by a Poisson bootstrap.
+
+    How often a replica draws a row comes from the hash of the row's key (default: all columns) and
     the replica, so the result is the same however rows are dealt. Each batch
-    leaves one pair of sums per replica. lower_bca and upper_bca are bias-corrected and
-    accelerated.
+    leaves one pair of sums per replica. lower_bca and upper_bca are bias-corrected, and
+    accelerated by the jackknife.
     """
     keys = [key] if key else df.columns
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.xxhash64(*keys).alias("h"))
+    own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.where(F.col(column).isNotNull() & own.isNotNull()).select(F.col(column).cast("double").alias("x"), own.alias("w"), F.xxhash64(*keys).alias("h"))
     chance = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
     def sums(batches):
         w, wx = np.zeros(replicas), np.zeros(replicas)
         with np.errstate(over="ignore"):
             for batch in batches:
-                x, h = batch["x"].to_numpy(), batch["h"].to_numpy().astype(np.uint64)
+                one, h = batch["w"].to_numpy(), batch["h"].to_numpy().astype(np.uint64)
+                x = batch["x"].to_numpy() * one
                 for b in range(replicas):
                     u = h + np.uint64(((seed * 1_000_003 + b + 1) * 0x9E3779B97F4A7C15) % 2**64)
                     u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                     u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     n = np.searchsorted(chance, ((u ^ (u >> np.uint64(31))) >> np.uint64(11)) / 2.0**53)
-                    w[b] += n.sum()
+                    w[b] += n @ one
                     wx[b] += n @ x
         yield pd.DataFrame({"b": np.arange(replicas), "w": w, "wx": wx})
 
-    means = rows.mapInPandas(sums, "b int, w double, wx double").groupBy("b").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    means = rows.mapInPandas(sums, "b int, w double, wx double").groupBy("b").agg(safe_div(F.sum("wx"), F.sum("w")).alias("m"))
     alpha = 1 - level
-    full = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"), F.skewness("x").alias("skew"))
-    drawn = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # as many as replicas
-
+    drawn = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # as many as replicas, fewer where one drew nothing
     z = z_value(level)
 
     @pandas_udf("lower double, upper double, lower_bca double, upper_bca double")
-    def ends(ms: pd.Series, mean: pd.Series, skew: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def ends(ms: pd.Series, mean: pd.Series, acceleration: pd.Series) -> pd.DataFrame:
         out = []
-        for m, mid, s, count in zip(ms, mean, skew, n):
+        for m, mid, a in zip(ms, mean, acceleration):
             m = np.asarray(m)
+            if not len(m):
+                out.append([None] * 4)
+                continue
             z0 = special.normal_quantile(min(max((m < mid).mean(), 0.5 / len(m)), 1 - 0.5 / len(m)))
-            a = s / (6 * math.sqrt(count)) if s == s and count else 0.0
             cdf = lambda t: 0.5 * math.erfc(-t / math.sqrt(2))
             low, high = (cdf(z0 + (z0 + t) / (1 - a * (z0 + t))) for t in (-z, z))
             out.append([*np.quantile(m, [alpha / 2, 1 - alpha / 2]), *np.quantile(m, [low, high])])
         return pd.DataFrame(out, columns=["lower", "upper", "lower_bca", "upper_bca"])
 
-    both = full.crossJoin(drawn)  # one row each
-    return both.withColumn("e", ends("ms", "mean", F.coalesce("skew", F.lit(0.0)), "n")).select("n", "mean", "e.*")
+    both = jackknife_acceleration(rows).crossJoin(drawn)  # one row each
+    return both.withColumn("e", ends("ms", "mean", "acceleration")).select("n", "mean", "e.*")
 
 
 def column_statistics(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
@@ -263,9 +324,3 @@ def auto_method(n: int, integers: bool, weighted: bool) -> str:
     return "bootstrap_bca" if weighted and n < 1000 else "wilson"
 
 
-#: What each method needs.
-METHODS = {
-    "clopper_pearson": {"weights": False, "least": 1}, "poisson_exact": {"weights": False, "least": 1}, "wilson": {"weights": False, "least": 1},
-    "agresti_coull": {"weights": False, "least": 1}, "jeffreys": {"weights": False, "least": 1}, "barlow_beeston": {"weights": True, "least": 1},
-    "profile_likelihood": {"weights": False, "least": 1}, "bootstrap_percentile": {"weights": False, "least": 2}, "bootstrap_bca": {"weights": False, "least": 10},
-}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, loaders, physics, relational  # noqa: F401  (they register their queries)
+from . import base, loaders, members, physics, relational  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -540,17 +540,37 @@ def agresti_coull(t):
     return _eff(t).select("bin", F.round(lo, 8).alias("lower"), F.round(hi, 8).alias("upper"))
 
 
-def _interval_query(name, make):
-    @query(name=name)
+def _solved(rows: str, kind: str, lower: str, upper: str, unit: str = "1", more: str = "k, n", digits: int = 6) -> str:
+    """SQL for ends of an interval: quantiles of a beta or gamma distribution by bisection over Simpson sums of its density.
+
+    lower and upper are (a, b) of the distributions, from columns of rows. The
+    density is taken over the angle whose squared sine (the number whose square) is distributed so, which has no poles.
+    """
+    log_norm = "lgamma(a) + lgamma(b) - lgamma(a + b)" if kind == "beta" else "lgamma(a)"
+    mid, spread = ("asin(sqrt(a / (a + b)))", "0.5 / sqrt(a + b)") if kind == "beta" else ("sqrt(a)", "0.5")
+    log_density = "(2 * a - 1) * ln(greatest(sin(u), 1e-300)) + (2 * b - 1) * ln(greatest(cos(u), 1e-300))" if kind == "beta" else "(2 * a - 1) * ln(greatest(u, 1e-300)) - u * u"
+    back = "pow(sin(x), 2)" if kind == "beta" else "x * x"
+    top = "least(m + 14 * s, pi() / 2)" if kind == "beta" else "m + 14 * s"
+    at = "(x0 + (mid - x0) * i / 600)"
+    simpson = f"(mid - x0) / 1800 * list_sum(list_transform(range(601), lambda i: (CASE WHEN i IN (0, 600) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * exp({log_density.replace('u', at)} - c)))"
+    return f"""WITH RECURSIVE e AS ({rows}), q AS (SELECT e.*, side, target, a::DOUBLE AS a, b::DOUBLE AS b FROM e, LATERAL (VALUES (0, {(1 - statistics.ONE_SIGMA) / 2!r}::DOUBLE, {lower}), (1, {(1 + statistics.ONE_SIGMA) / 2!r}::DOUBLE, {upper})) v(side, target, a, b)),
+w AS (SELECT *, {log_norm} AS c, {mid} AS m, {spread} AS s FROM q WHERE a > 0 AND b > 0), r AS (SELECT *, greatest(m - 14 * s, 0) AS x0, greatest(m - 14 * s, 0) AS lo, {top} AS hi, (greatest(m - 14 * s, 0) + {top}) / 2 AS mid, 0 AS turn FROM w
+UNION ALL SELECT * EXCLUDE (below) REPLACE (CASE WHEN below THEN mid ELSE lo END AS lo, CASE WHEN below THEN hi ELSE mid END AS hi, CASE WHEN below THEN (mid + hi) / 2 ELSE (lo + mid) / 2 END AS mid, turn + 1 AS turn) FROM (SELECT *, {simpson} < target AS below FROM r WHERE turn < 44)),
+z AS (SELECT bin, side, mid AS x FROM r WHERE turn = 44) SELECT e.bin, {', '.join('e.' + c for c in more.split(', '))}, round(coalesce(min({back}) FILTER (side = 0), 0) * {unit}, {digits}) AS lower, round(coalesce(min({back}) FILTER (side = 1), 1) * {unit}, {digits}) AS upper FROM e LEFT JOIN z ON z.bin = e.bin GROUP BY ALL"""
+
+
+def _interval_query(name, make, sql=None, digits=6):
+    @query(sql, name=name)
     def run(t):
-        return _eff(t).withColumn("i", make()).select("bin", "k", "n", "i.lower", "i.upper")
+        return _eff(t).withColumn("i", make()).select("bin", "k", "n", F.round("i.lower", digits).alias("lower"), F.round("i.upper", digits).alias("upper"))
 
 
-_interval_query("clopper_pearson", lambda: statistics.clopper_pearson("k", "n"))
-_interval_query("jeffreys", lambda: statistics.beta_interval("k", "n"))
+_EFF_KN = f"SELECT bin, k, n FROM ({_EFF})"
+_interval_query("clopper_pearson", lambda: statistics.clopper_pearson("k", "n"), _solved(_EFF_KN, "beta", "k, n - k + 1", "k + 1, n - k"))
+_interval_query("jeffreys", lambda: statistics.beta_interval("k", "n"), _solved(_EFF_KN, "beta", "k + 0.5, n - k + 0.5", "k + 0.5, n - k + 0.5"))
 _interval_query("uniform_hpd", lambda: statistics.beta_interval("k", "n", prior=(1.0, 1.0), shortest=True))
-_interval_query("poisson_exact", lambda: statistics.poisson_exact("k"))
-_interval_query("jeffreys_poisson", lambda: statistics.jeffreys_poisson("k"))
+_interval_query("poisson_exact", lambda: statistics.poisson_exact("k"), _solved(_EFF_KN, "gamma", "k, 1", "k + 1, 1", digits=3), 3)
+_interval_query("jeffreys_poisson", lambda: statistics.jeffreys_poisson("k"), _solved(_EFF_KN, "gamma", "k + 0.5, 1", "k + 0.5, 1", digits=3), 3)
 
 
 @query(f"SELECT bin, round({_Z * _Z / 2!r}::DOUBLE, 5) AS below, round({_Z * _Z / 2!r}::DOUBLE, 5) AS above FROM ({_EFF}) WHERE k > 0")
@@ -574,9 +594,16 @@ def interval_methods(t):
     return kept.groupBy("bin").agg(F.count(F.lit(1)).alias("methods"))
 
 
-@query()
+_WEIGHED = dense_sql(f"SELECT {_EB} AS bin, 1 - l_discount AS w FROM lineitem", 20, sums="sum(w) AS sumw, sum(w * w) AS sumw2", columns="coalesce(sumw, 0) AS sumw, coalesce(sumw2, 0) AS sumw2")
+_EFFECTIVE = "coalesce(sumw * sumw / nullif(sumw2, 0), 0) + 0.5, 1"
+
+
+@query(
+    f"SELECT bin, round(sumw, 4) AS sumw, lower, upper FROM ({_solved(_WEIGHED, 'gamma', _EFFECTIVE, _EFFECTIVE, 'coalesce(min(e.sumw2) / nullif(min(e.sumw), 0), 1)', 'sumw, sumw2', 3)})"
+)
 def barlow_beeston(t):
-    return statistics.hist_uncertainty(histogram.hist(t.lineitem, "l_extendedprice", 20, (0.0, 110000.0), _w()), weighted=True)
+    h = statistics.hist_uncertainty(histogram.hist(t.lineitem, "l_extendedprice", 20, (0.0, 110000.0), 1 - F.col("l_discount")), weighted=True)
+    return h.select("bin", F.round("sumw", 4).alias("sumw"), F.round("lower", 3).alias("lower"), F.round("upper", 3).alias("upper"))
 
 
 @query()
@@ -601,10 +628,25 @@ def column_statistics(t):
     return statistics.column_statistics(t.lineitem, "l_quantity").select(F.round("mean", 6).alias("mean"), "n_eff", F.round("error", 8).alias("error"))
 
 
-@query("SELECT bin, round(bin * ln(7.5) - 7.5 - lgamma(bin + 1), 8) AS logp FROM (SELECT i::INT AS bin FROM range(1, 40) r(i))")
+@query("SELECT o_orderkey, k, round(k * ln(4.5) - 4.5 - lgamma(k + 1), 8) AS logp FROM (SELECT l_orderkey AS o_orderkey, count(*) AS k FROM lineitem GROUP BY ALL)")
 def poisson_logpmf(t):
-    rows = t.spark.range(1, 40).select(F.col("id").cast("int").alias("bin"))
-    return rows.select("bin", F.round(statistics.poisson_logpmf(F.col("bin").cast("double"), F.lit(7.5)), 8).alias("logp"))
+    """How likely so many line items of an order are."""
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("k"))
+    return rows.withColumn("logp", F.round(statistics.poisson_logpmf(F.col("k").cast("double"), F.lit(4.5)), 8))
+
+
+_JACK = "SELECT event_id, value::DOUBLE AS x, 1 + (event_id % 3)::DOUBLE AS w FROM events WHERE value IS NOT NULL"
+
+
+@query(
+    f"WITH r AS ({_JACK}), t AS (SELECT count(*) AS n, sum(w) AS sw, sum(w * x) / sum(w) AS mean FROM r), d AS (SELECT n, mean, (sw * mean - w * x) / (sw - w) - mean AS d FROM r, t), "
+    "m AS (SELECT *, avg(d) OVER () AS mid FROM d) SELECT n, round(mean, 8) AS mean, round(sum(pow(mid - d, 3)) / (6 * pow(sum(pow(mid - d, 2)), 1.5)), 8) AS acceleration FROM m GROUP BY ALL"
+)
+def jackknife(t):
+    """The acceleration of a weighted mean's bootstrap, from the means that leave out one row each."""
+    rows = t.events.where("value IS NOT NULL").select(F.col("value").cast("double").alias("x"), (1 + F.col("event_id") % 3).cast("double").alias("w"))
+    found = statistics.jackknife_acceleration(rows)
+    return found.select("n", F.round("mean", 8).alias("mean"), F.round("acceleration", 8).alias("acceleration"))
 
 
 @query(f"SELECT bin, round(1.5 * sqrt(n / (n / 2)), 8) AS error FROM ({_EFF})")
@@ -614,6 +656,7 @@ def weighted_scaling(t):
 
 @query()
 def gen_synthetic(t):
+    """Made-up events, as many as the orders ask for."""
     from ..sources.synthetic import generate_all
 
-    return generate_all(t.spark, 0.01).groupBy("process").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("mu1P"), 6).alias("p"), F.round(F.avg("m2Recoil"), 6).alias("m2"))
+    return generate_all(t.spark, t.orders.count() / 1_500_000).groupBy("process").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("mu1P"), 6).alias("p"), F.round(F.avg("m2Recoil"), 6).alias("m2"))

@@ -274,7 +274,8 @@ def load_discovered(spark: SparkSession, base: str, strategy: str = "auto", leas
     found = discover(spark, base, strategy, pattern)
     unfit = validate_files(spark, [p for paths in found.values() for p in paths], least)
     fit = {n: [p for p in paths if p not in unfit] for n, paths in found.items()}
-    return processes.Processes(read_named(spark, {n: p for n, p in fit.items() if p}))
+    fit = {n: p for n, p in fit.items() if p}
+    return processes.Processes(read_named(spark, fit), names=list(fit))
 
 
 def resolve_dirs(spark: SparkSession, base: str, names: Sequence[str]) -> dict[str, tuple[str | None, str | None]]:
@@ -322,7 +323,7 @@ def load_samples(spark: SparkSession, base: str, names: Sequence[str], kind: str
         df = df.select(*[c for c in columns if c in df.columns], "process")
     groups = spark.createDataFrame([(n,) for n in found if n not in missing], "process string")
     first = groups.select("process", processes.group_first(F.col("process")).alias("grp"))
-    return processes.Processes(df, first.unionByName(groups.withColumn("grp", F.lit("all"))))
+    return processes.Processes(df, first.unionByName(groups.withColumn("grp", F.lit("all"))), names=[n for n in found if n not in missing])
 
 
 def validate_files(

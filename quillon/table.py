@@ -6,16 +6,17 @@ scalar statistics run a job.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .functions import scalar
 from .functions.expressions import compile_query, query_columns
-from .operators import aggregate, derive, histogram, joins, selection
+from .operators import aggregate, derive, histogram, joins, luminosity, selection
 from .sources import sinks
 
 
@@ -86,9 +87,36 @@ class ColumnHandle:
 class LazyTable:
     def __init__(self, df: DataFrame, lineage: Sequence[str] = (), order: Sequence[str] = ()):
         self.df, self.lineage, self.order = df, tuple(lineage), tuple(order)
+        self.watches: tuple[tuple[str, Observation], ...] | None = None
+
+    def _like(self, df: DataFrame, lineage: Sequence[str], order: Sequence[str]) -> LazyTable:
+        return LazyTable(df, lineage, order)
 
     def _with(self, df: DataFrame, step: str) -> LazyTable:
-        return LazyTable(df, (*self.lineage, step), self.order)
+        if self.watches is not None:
+            watch = Observation()
+            df = df.observe(watch, F.count(F.lit(1)).alias("rows"))
+        out = self._like(df, (*self.lineage, step), self.order)
+        out.watches = None if self.watches is None else (*self.watches, (step, watch))
+        return out
+
+    def observed(self) -> LazyTable:
+        """The table with its further steps watched: profile then tells how many rows each has let through.
+
+        Spark moves no selection over a watched step, so this is for looking and not for production.
+        """
+        start = self._like(self.df, self.lineage, self.order)
+        start.watches = ()
+        return start._with(self.df, "start")
+
+    def profile(self) -> list[dict[str, object]]:
+        """Steps since observed with the rows that they gave, from one run of the plan whose result isn't kept; the last has the seconds."""
+        if not self.watches:
+            raise ValueError("nothing is watched: use observed before the steps")
+        begin = time.monotonic()
+        self.df.write.format("noop").mode("overwrite").save()
+        seconds = time.monotonic() - begin
+        return [{"step": step, "rows": watch.get["rows"]} for step, watch in self.watches] + [{"step": "total", "seconds": seconds}]
 
     columns = property(lambda self: self.df.columns)
     schema = property(lambda self: self.df.schema)
@@ -97,7 +125,16 @@ class LazyTable:
 
     def ordered_by(self, *columns: str) -> LazyTable:
         """The order that positions refer to."""
-        return LazyTable(self.df, self.lineage, columns)
+        return self._like(self.df, self.lineage, columns)
+
+    def weighted(self, column: str) -> WeightedTable:
+        """The same rows with a weight that all further steps keep."""
+        return WeightedTable(self.df, column, self.lineage, self.order)
+
+    def weighted_by_luminosity(self, condition: str, name_col: str = "process") -> WeightedTable:
+        """Each row weighs what its process does at an energy condition."""
+        names = luminosity.weights(self.df.select(name_col).distinct(), condition, name_col)
+        return WeightedTable(luminosity.apply_weights(self.df, names, name_col), "lumi_weight", (*self.lineage, f"weights {condition}"), self.order)
 
     def __getitem__(self, key):
         if isinstance(key, str):
@@ -235,6 +272,43 @@ class LazyTable:
         return "\n".join(f"{i}: {s}" for i, s in enumerate(self.lineage))
 
 
+class WeightedTable(LazyTable):
+    """A lazy table whose rows have a weight, which selections, candidates, derived columns and projections keep.
+
+    Histograms and means are weighted by it; what no longer has the column, as an aggregate, is a plain table.
+    """
+
+    def __init__(self, df: DataFrame, weight: str, lineage: Sequence[str] = (), order: Sequence[str] = ()):
+        if weight not in df.columns:
+            raise KeyError(weight)
+        super().__init__(df, lineage, order)
+        self.weight = weight
+
+    def _like(self, df: DataFrame, lineage: Sequence[str], order: Sequence[str]) -> LazyTable:
+        if self.weight not in df.columns:
+            return LazyTable(df, lineage, order)
+        return WeightedTable(df, self.weight, lineage, order)
+
+    def select(self, columns: Sequence[str]) -> LazyTable:
+        return super().select([*columns, *({self.weight} - set(columns))])
+
+    def scaled(self, factor: float) -> LazyTable:
+        return self._with(self.df.withColumn(self.weight, F.col(self.weight) * factor), f"scaled {factor}")
+
+    def hist(self, column: str, bins: int = 50, range=None, density: bool = False, weights: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        range = range or histogram.range_of(self.df, column, histogram.RANGES_WIDE)
+        return super().hist(column, bins, range, density, weights or self.weight)
+
+    def hist_frame(self, column: str, bins: int = 50, range=None, by: Sequence[str] = ()) -> DataFrame:
+        """The histogram as a table, with errors from the sums of squared weights."""
+        range = range or histogram.range_of(self.df, column, histogram.RANGES_WIDE)
+        return histogram.with_errors(histogram.hist(self.df, column, bins, range, self.weight, by=by))
+
+    def moments(self, column: str, by: Sequence[str] = ()) -> DataFrame:
+        """(by.., mean, n_eff, var) by the weights."""
+        return aggregate.weighted_moments(self.df, column, self.weight, by)
+
+
 class GroupedTable:
     def __init__(self, table: LazyTable, by: Sequence[str]):
         self.table, self.by = table, list(by)
