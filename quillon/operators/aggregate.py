@@ -11,7 +11,7 @@ from ..functions.scalar import finite, nan_mean, nan_sum, safe_div
 from .quantiles import FEW, group_medians, group_quantiles
 
 #: Values that an exact quantile may hold in one buffer.
-BUFFER = 1_000_000
+BUFFER = 2_000_000
 #: Types whose columns are aggregated where none are named.
 NUMERIC = ("double", "float", "bigint", "int", "decimal(20,0)")
 FUNCTIONS: dict[str, Callable[[str], Column]] = {
@@ -101,16 +101,16 @@ def column_stat(df: DataFrame, column: str, operation: str):
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], buffer: int = BUFFER) -> dict[str, list[float | None]]:
     """Exact quantiles of finite values, linear between ranks; None for a column without any.
 
-    Columns with `buffer` distinct values or fewer, about and together, take one pass after the one that estimates these; more are found by rank.
+    Columns with `buffer` values, or about as many distinct ones, or fewer, together, are held in a buffer; more are found by rank.
     """
-    distinct = [F.approx_count_distinct(F.when(finite(F.col(c)), F.col(c).cast("double"))) for c in columns]
-    return _quantiles(df, columns, at, sum(df.agg(*distinct).first()), buffer)
+    return _quantiles(df, columns, at, df.count() * len(columns), buffer)
 
 
-def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], distinct: int, buffer: int) -> dict[str, list[float | None]]:
-    if distinct <= buffer:
+def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], values: int, buffer: int) -> dict[str, list[float | None]]:
+    x = [F.when(finite(F.col(c)), F.col(c).cast("double")) for c in columns]
+    if values <= buffer or sum(df.agg(*map(F.approx_count_distinct, x)).first()) <= buffer:
         shares = F.array(*map(F.lit, map(float, at)))
-        got = df.agg(*[F.percentile(F.when(finite(F.col(c)), F.col(c).cast("double")), shares) for c in columns]).first()
+        got = df.agg(*[F.percentile(v, shares) for v in x]).first()
         return {c: list(v) if v is not None else [None] * len(at) for c, v in zip(columns, got)}
     out = {c: [None] * len(at) for c in columns}
     for row in group_quantiles(df, [], columns, at, few=min(buffer, FEW)).collect():  # as many as are returned
@@ -121,7 +121,7 @@ def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], disti
 def describe(df: DataFrame, columns: Sequence[str] = (), buffer: int = BUFFER) -> DataFrame:
     """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows; quartiles exact, of finite values.
 
-    Two passes where the columns have `buffer` distinct values at most, else as many as the ranks need.
+    Two passes where the columns have `buffer` values at most, else one for the number of distinct values and as many as the ranks need.
     """
     columns = list(columns or numeric_columns(df))
     stats = [
@@ -130,12 +130,11 @@ def describe(df: DataFrame, columns: Sequence[str] = (), buffer: int = BUFFER) -
             F.count_if(F.col(c).isNull()).alias("null_count"),
             *[f(F.col(c).cast("double")).alias(name) for name, f in (("mean", F.avg), ("std", F.stddev_samp))],
             *[f(c).cast("double").alias(name) for name, f in (("min", F.min), ("max", F.max))],
-            F.approx_count_distinct(F.when(finite(F.col(c)), F.col(c).cast("double"))).alias("distinct"),
         )
         for c in columns
     ]
     one = df.agg(*stats).first()
-    found = _quantiles(df, columns, (0.25, 0.5, 0.75), sum(s["distinct"] for s in one), buffer)
+    found = _quantiles(df, columns, (0.25, 0.5, 0.75), sum(s["count"] for s in one), buffer)
     rows = [(c, s["count"], s["null_count"], s["mean"], s["std"], s["min"], *found[c], s["max"]) for c, s in zip(columns, one)]
     return df.sparkSession.createDataFrame(rows, "column string, count long, null_count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 

@@ -276,9 +276,10 @@ class Processes:
     def query(self, text: str, /, **variables) -> Processes:
         return self._with(self.table.where(compile_query(text, self.table.columns, **variables)), "query", text=text)
 
-    def one_candidate(self, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = ()) -> Processes:
+    def one_candidate(self, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = (), decisive: bool = False) -> Processes:
         keys = ["process", *(keys or selection.event_keys(self.table))]
-        return self._with(selection.one_candidate(self.table, keys, sort_col, ascending, tiebreak), "one_candidate", keys=keys)
+        best = selection.one_candidate(self.table, keys, sort_col, ascending, tiebreak, decisive=decisive)
+        return self._with(best, "one_candidate", keys=keys)
 
     def delta_columns(self) -> Processes:
         return self._with(derive.delta_columns(self.table), "delta_columns")
@@ -413,11 +414,14 @@ class Context:
         yield replace(self, **changes)
 
 
-def quick_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort_col: str, column: str, bins: int, range: tuple[float, float], tiebreak: Sequence[str] = (), by: Sequence[str] = (), weights: str | Column | None = None) -> DataFrame:
-    """Cuts, one candidate an event, histogram."""
+def quick_analysis(
+    df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort_col: str, column: str, bins: int, range: tuple[float, float],
+    tiebreak: Sequence[str] = (), by: Sequence[str] = (), weights: str | Column | None = None, decisive: bool = False,
+) -> DataFrame:
+    """Cuts, one candidate an event, histogram; decisive as of selection.one_candidate."""
     for cut in cuts:
         df = df.where(compile_query(cut, df.columns))
-    best = selection.one_candidate(df, keys, sort_col, tiebreak=tiebreak)
+    best = selection.one_candidate(df, keys, sort_col, tiebreak=tiebreak, decisive=decisive)
     return histogram.hist(best, column, bins, range, weights, by=by)
 
 

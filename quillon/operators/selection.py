@@ -23,17 +23,22 @@ def event_keys(df: DataFrame) -> list[str]:
     return keys
 
 
-def one_candidate(df: DataFrame, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = (), seed: int = 42) -> DataFrame:
+def one_candidate(
+    df: DataFrame, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = (), seed: int = 42, decisive: bool = False
+) -> DataFrame:
     """One row for each combination of keys.
 
     With sort_col the row with the largest value (smallest if ascending); null
     values never win, and an event with none but nulls disappears. Without, the
     first by tiebreak (by all columns if there is none). sort_col="random" chooses by the MD5 of
-    seed, keys and tiebreak as text. Ties go by tiebreak, then by all orderable columns, so that reruns agree.
+    seed, keys and tiebreak as text. Ties go by tiebreak, then by a hash of the row; without a tiebreak
+    by all orderable columns. So reruns agree. decisive says that sort_col and tiebreak tell all rows of an event
+    apart: then columns that aren't asked for later are neither read nor shuffled.
     """
     keys = list(keys) if keys else event_keys(df)
     rest = [c for c, t in df.dtypes if c not in {*keys, *tiebreak, sort_col} and not t.startswith(("map", "variant"))]
-    order: list[Column] = [F.col(c).asc_nulls_last() for c in (*tiebreak, *rest)]
+    last = [] if decisive and (tiebreak or sort_col) else [F.xxhash64(*rest)] if tiebreak and rest else [F.col(c).asc_nulls_last() for c in rest]
+    order: list[Column] = [*[F.col(c).asc_nulls_last() for c in tiebreak], *last]
     if sort_col == "random":
         order.insert(0, F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, *(tiebreak or rest))])))
     elif sort_col is not None:

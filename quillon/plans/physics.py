@@ -31,7 +31,8 @@ _FLAG = (
 def flagship(t):
     """Selection string, best candidate of each order, weighted histogram of its price."""
     df = t.lineitem.withColumn("w", 1 - F.col("l_discount"))
-    h = processes.quick_analysis(df, [_CUT], ["l_orderkey"], "l_extendedprice", "l_extendedprice", 50, (0.0, 110000.0), ("l_linenumber", "l_partkey", "l_suppkey"), weights="w")
+    ties = ("l_linenumber", "l_partkey", "l_suppkey")
+    h = processes.quick_analysis(df, [_CUT], ["l_orderkey"], "l_extendedprice", "l_extendedprice", 50, (0.0, 110000.0), ties, weights="w", decisive=True)
     return h.select("bin", "count", F.round("sumw", 6).alias("sumw"))
 
 
@@ -338,7 +339,7 @@ def proc_counts(t):
 @query(f'SELECT process, count(*) AS count FROM ({_best_sql("quality DESC", chr(34) + "mu1P" + chr(34) + " > 2", "process, " + chr(34) + "__event__" + chr(34))}) GROUP BY ALL')
 def broadcast_chain(t):
     """A selection and one candidate an event, for all processes in one job."""
-    return processes.Processes(t.events_mu).query("mu1P > 2").one_candidate(_KEYS, "quality", tiebreak=TIES).counts()
+    return processes.Processes(t.events_mu).query("mu1P > 2").one_candidate(_KEYS, "quality", tiebreak=TIES, decisive=True).counts()
 
 
 @query(f'SELECT round(avg("mu1P"), 6) AS "mu1P" FROM ({EVENTS}) WHERE process IN (\'AF\', \'RF\')')
