@@ -29,16 +29,21 @@ FEW = 100_000
 _STEP = 1 << 52
 
 
-def ordered(x: Column) -> Column:
-    """A long that keeps the order of doubles: 0 for both zeros, infinities at the ends, NaN last."""
-    a = F.abs(x)
-    guess = F.greatest(F.coalesce(F.floor(F.log2(a)), F.lit(-1022)), F.lit(-1022))
-    share = a / F.pow(F.lit(2.0), guess)
-    # The logarithm may be rounded over a power of two.
-    exponent = F.when(share >= 2, guess + 1).when((share < 1) & (guess > -1022), guess - 1).otherwise(guess)
-    size = (exponent + 1022) * F.lit(_STEP) + (a / F.pow(F.lit(2.0), exponent) * float(_STEP)).cast("long")
-    size = F.when(a == float("inf"), F.lit(2047 * _STEP)).otherwise(size)
-    return F.when(F.isnan(x), F.lit(2047 * _STEP + 1)).when(x < 0, -size).otherwise(size)
+def with_order(rows: DataFrame, x: str, key: str) -> DataFrame:
+    """rows with a long that keeps the order of the doubles in x: 0 for both zeros, infinities at the ends, NaN last.
+
+    It is the exponent and the fraction as doubles have them. A projection each for
+    what is used several times, so that Spark computes it once.
+    """
+    size, exponent, share = F.abs(x), F.col(f"{key}_e"), F.col(f"{key}_m")
+    rows = rows.withColumn(f"{key}_e", F.least(F.greatest(F.coalesce(F.floor(F.log2(size)), F.lit(-1022)), F.lit(-1022)), F.lit(1023)))
+    rows = rows.withColumn(f"{key}_m", size / F.pow(F.lit(2.0), exponent))
+    # The logarithm may have been rounded over a power of two.
+    up, down = share >= 2, (share < 1) & (exponent > -1022)
+    bits = (exponent + F.when(up, 1).when(down, -1).otherwise(0) + 1022) * F.lit(_STEP)
+    bits = bits + (share * F.when(up, 0.5 * _STEP).when(down, 2.0 * _STEP).otherwise(float(_STEP))).cast("long")
+    plain = F.when(F.isnan(x), F.lit(2047 * _STEP + 1)).when(size == float("inf"), F.lit(2047 * _STEP)).otherwise(bits)
+    return rows.withColumn(key, F.when(F.col(x) < 0, -plain).otherwise(plain)).drop(f"{key}_e", f"{key}_m")
 
 
 def _values(df: DataFrame, by: Sequence[str], columns: Sequence[str], only_finite: bool) -> tuple[DataFrame, list[str]]:
@@ -47,7 +52,7 @@ def _values(df: DataFrame, by: Sequence[str], columns: Sequence[str], only_finit
     x = {c: F.when(finite(F.col(c)), F.col(c).cast("double")) if only_finite else F.col(c).cast("double") for c in columns}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("_c"), x[c].alias("_x")) for k, c in enumerate(columns)])).alias("_v")
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], each).select(*keys, "_v.*").where("_x IS NOT NULL")
-    return rows.withColumn("_key", ordered(F.col("_x"))), keys
+    return with_order(rows, "_x", "_key"), keys
 
 
 def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> tuple[Column, DataFrame]:
@@ -58,17 +63,17 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> tuple[Column, Dat
 
 def _counted(rows: DataFrame, by: list[str], shift: int) -> DataFrame:
     """(by.., _next, _x, _n, _from, _upto): the parts of each key of `by` and the ranks that they hold."""
-    counts = rows.groupBy(*by, F.shiftright("_key", shift).alias("_next")).agg(F.min("_x").alias("_x"), F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*by, F.shiftright("_key", shift).alias("_next")).agg(F.min("_x").alias("_x"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_next").rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
 
 
 def _placed(wanted: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
-    """wanted with the part that holds each rank, and the rank within it."""
+    """wanted with the part that holds each rank, the rank within it, and how many values it has; 0 if they are all the same."""
     same, counted = _same(wanted, counted, by)
     inside = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))
     names = [n for n in wanted.columns if n not in {"_rank", "_part", "_n", "_x"}]
-    return wanted.drop("_n", "_x").join(counted, same & inside).select(*names, (F.col("_rank") - F.col("_from")).alias("_rank"), F.col("_next").alias("_part"), "_n", "_x")
+    return wanted.drop("_n", "_x").join(counted, same & inside).select(*names, (F.col("_rank") - F.col("_from")).alias("_rank"), F.col("_next").alias("_part"), F.when(F.col("_x") == F.col("_hi"), 0).otherwise(F.col("_n")).alias("_n"), "_x")
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], at: Sequence[float], only_finite: bool = True, few: int = FEW) -> DataFrame:
@@ -89,10 +94,13 @@ def group_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], at
     shift = 64 - BITS
     while shift:
         most = wanted.agg(F.max("_n")).first()[0] or 0
+        if not most:
+            break
         last, shift = shift, 0 if most <= few else shift - BITS
         parts = wanted.select(*group, "_part").distinct()
         same, parts = _same(rows, parts, group)
-        inside = rows.join(parts, same & (F.shiftright("_key", last) == F.col("_part"))).select(*group, "_part", "_x", "_key")
+        # Null-safe: for another comparison Spark would check first, and so compute twice, that the key isn't null.
+        inside = rows.join(parts, same & F.shiftright("_key", last).eqNullSafe(F.col("_part"))).select(*group, "_part", "_x", "_key")
         wanted = written(_placed(wanted, _counted(inside, [*group, "_part"], shift), [*group, "_part"]), "quantile-ranks")
     pair = wanted.groupBy(*group, "_q", "_place").agg(F.min_by("_x", "_end").alias("lo"), F.max_by("_x", "_end").alias("hi"))
     between = F.col("lo") + (F.col("_place") - F.floor("_place")) * (F.col("hi") - F.col("lo"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import aggregate
-from quillon.operators.quantiles import group_medians, group_quantiles, ordered
+from quillon.operators.quantiles import group_medians, group_quantiles, with_order
 
 INF, NAN = float("inf"), float("nan")
 
@@ -23,7 +23,7 @@ def values():
 def test_numbers_keep_the_order(spark):
     every = sorted({v for v in values() if not math.isnan(v)} | {INF, -INF}) + [NAN]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(every)], "i int, x double").repartition(3)
-    got = [r[0] for r in rows.select(ordered(F.col("x")), "i").orderBy("i").collect()]
+    got = [r[0] for r in with_order(rows, "x", "key").orderBy("i").select("key").collect()]
     assert all(a < b for a, b in zip(got, got[1:]))
     assert got[every.index(0.0)] == 0
 
