@@ -4,9 +4,9 @@ Lines that begin with `>` are quotes; as many marks, as deep. Consecutive quoted
 lines of one depth are a passage. A passage is normalised to its lower-cased words,
 hashed, and joined within its conversation to the messages whose own text (without
 quotes) has the same words in a row, also where a client wrapped it anew or quoted
-a part of a line. One of fewer than ANCHOR words, or without any letter or digit,
-must equal a line, a sentence or a paragraph there. Of a passage that no message
-has, each line is looked for in the same way.
+a part of a line, however short. One without any letter or digit must equal a
+line, a sentence or a paragraph there. Of a passage that no message has, each
+line is looked for in the same way.
 
 What links, links to the earliest message that has it. A message replies to the
 one that its quotes point to: what only one message says counts before what
@@ -29,7 +29,7 @@ from .common import materialise, ranked
 MARKS = r"^(?:[ \t]*>)+"
 #: A line that announces a quote.
 ANNOUNCES = r"^On .*wrote:[ \t\r]*$"
-#: Words by whose hash a passage is looked for within a message.
+#: Words by whose hash a passage is looked for within a message; a shorter one by that of all its words.
 ANCHOR = 3
 
 
@@ -72,20 +72,23 @@ def quoted_units(messages: DataFrame) -> DataFrame:
 def origins(messages: DataFrame, units: DataFrame) -> DataFrame:
     """(conv_id, hash, origin, alone): the first message that has a unit of `units` as its own text, and whether no other has."""
     words = F.split("norm", " ")
-    wide = (F.size(words) >= ANCHOR) & F.col("norm").rlike(r"[\p{L}\p{N}]")
-    wanted = units.select("conv_id", F.xxhash64("norm").alias("hash"), F.size(words).alias("n"), F.when(wide, F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " "))).alias("anchor")).distinct()
+    first = F.least(F.size(words), F.lit(ANCHOR))
+    anchor = F.when(F.col("norm").rlike(r"[\p{L}\p{N}]"), F.xxhash64(F.array_join(F.slice(words, F.lit(1), first), " ")))
+    wanted = units.select("conv_id", F.xxhash64("norm").alias("hash"), F.size(words).alias("n"), first.alias("first"), anchor.alias("anchor")).distinct()
     wanted = materialise(wanted, "quote-wanted")
     told = messages.join(wanted.select("conv_id").distinct(), "conv_id", "left_semi")
-    # Short units: what they must equal.
+    # Units without letters: what they must equal.
     own = passages(told).where("depth = 0").select("conv_id", "turn", "text", "lines")
     parts = F.concat(F.array("text"), F.col("lines"), F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n"))
     equal = own.select("conv_id", "turn", F.explode(parts).alias("text")).select("conv_id", "turn", F.xxhash64(normal(F.col("text"))).alias("hash"))
     equal = equal.join(wanted.where("anchor IS NULL").select("conv_id", "hash"), ["conv_id", "hash"], "left_semi")
-    # Wide ones: stretches of words that begin as a unit does, as long as it is.
+    # Others: stretches of words that begin as a unit does, as long as it is. A conversation is asked for so many first words as its units have.
+    sizes = wanted.where("anchor IS NOT NULL").groupBy("conv_id").agg(F.collect_set("first").alias("sizes"))
     body = told.select("conv_id", "turn", F.xxhash64("text").alias("key"), F.split(normal(without_quotes(F.col("text"))), " ").alias("words")).dropDuplicates(["conv_id", "turn", "key"])
-    begins = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(1), F.size("words") - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, ANCHOR), " "))))
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.array_join(F.slice("words", i, k), " ")).alias("anchor")))
+    begins = F.explode(F.flatten(F.transform(F.filter("sizes", lambda k: k <= F.size("words")), at))).alias("begin")
     asked = wanted.where("anchor IS NOT NULL").select("conv_id", "anchor", "n").distinct()
-    hits = body.select("conv_id", "turn", "key", F.posexplode(begins).alias("at", "anchor")).join(asked, ["conv_id", "anchor"])
+    hits = body.join(sizes, "conv_id").select("conv_id", "turn", "key", begins).select("conv_id", "turn", "key", "begin.*").join(asked, ["conv_id", "anchor"])
     hits = hits.groupBy("conv_id", "turn", "key").agg(F.collect_set(F.struct("at", "n")).alias("hits"))
     found = F.transform(F.filter("hits", lambda h: h["at"] + h["n"] <= F.size("words")), lambda h: F.xxhash64(F.array_join(F.slice("words", h["at"] + 1, h["n"]), " ")))
     stretches = body.join(hits, ["conv_id", "turn", "key"]).select("conv_id", "turn", F.explode(found).alias("hash"))
@@ -171,7 +174,7 @@ x AS (SELECT conv_id, turn, text, run, depth, false AS single, whole AS unit FRO
   UNION ALL SELECT conv_id, turn, text, -1, -1, true, body FROM b WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 y AS (SELECT *, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') AS words,
   CASE WHEN words <> '' THEN words ELSE trim(regexp_replace(unit, '\s+', ' ', 'g'), ' ') END AS norm FROM x),
-w AS (SELECT DISTINCT conv_id, norm, words <> '' AND len(string_split(norm, ' ')) >= {ANCHOR} AS wide FROM y WHERE depth > 0),
+w AS (SELECT DISTINCT conv_id, norm, words <> '' AS wide FROM y WHERE depth > 0),
 f AS (SELECT w.conv_id, w.norm, min(y.turn) AS origin, min(y.turn) = max(y.turn) AS alone FROM w JOIN y ON w.conv_id = y.conv_id
   AND CASE WHEN wide THEN y.depth = -1 AND contains(' ' || y.norm || ' ', ' ' || w.norm || ' ') ELSE y.depth = 0 AND y.norm = w.norm END GROUP BY ALL),
 q AS (SELECT y.*, origin, alone FROM y JOIN f USING (conv_id, norm) WHERE depth > 0 AND origin < turn),

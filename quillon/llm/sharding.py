@@ -90,7 +90,7 @@ class _Walk:
         return [self.rows[i][0] if i < len(self.rows) else "~" for i in self.cuts(high)[0][1:]]
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", set_apart: bool = True) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", set_apart: bool = False) -> DataFrame:
     """Put every row into one of `shards` shards of near-equal bytes.
 
     Returns id_col, size (UTF-8 bytes of the text plus 1), text_crc32, shard and
@@ -101,10 +101,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     returned but the slot. Very long texts are one size among others. An empty table gives no rows; other
     columns of docs are ignored, whatever their names.
 
-    With set_apart a group that is larger than an equal share of what is left gets
-    a shard to itself, and the rest are cut over the others: such a group sets the
-    capacity of a plain minimax, whose greedy walk then fills some shards
-    and leaves others empty. Without it the shards are one contiguous partition of all groups.
+    The shards are one contiguous partition of all groups, with the smallest capacity that is feasible. A group that
+    is larger than an equal share sets this capacity, and the greedy walk then fills some shards and leaves others
+    empty. With set_apart such a group gets a shard to itself, and the rest are cut over the others.
     """
     rows = materialise(
         docs.select(

@@ -66,7 +66,7 @@ def smallest(sizes, shards):
 
 
 def test_shards(docs, nothing):
-    got = sharding.shard(docs, 4).collect()
+    got = sharding.shard(docs, 4, set_apart=True).collect()
     assert len(got) == len(rows())
     by_text, slots, bytes_ = {}, {}, Counter()
     texts = Counter()
@@ -87,7 +87,7 @@ def test_shards(docs, nothing):
     want = smallest([texts[k] for k in sorted(texts) if k not in alone], 4 - len(alone))
     assert max(b for s, b in bytes_.items() if s >= len(alone)) == want and alone
     plain = Counter()
-    for r in sharding.shard(docs, 4, set_apart=False).collect():
+    for r in sharding.shard(docs, 4).collect():
         plain[r["shard"]] += r["size"]
     assert max(plain.values()) == smallest([s for _, s in sorted((k, s) for k, s in grouped.items())], 4)
     assert sharding.shard(nothing, 4).count() == 0
@@ -417,6 +417,11 @@ REPLIES = [
     (9, "One line of a poem it was,\nanother one\nand the third line of it.", None, 0),
     (10, "> One line of a poem it was, another\n> one and the third line of it.\nnice", 9, 1),
     (11, ">> Why not?\n> which one?\nend", 6, 2),
+    (12, "I saw a big dog today.", None, 0),
+    (13, "> big dog\nwhere?", 12, 1),  # within a line
+    (14, "> DOG\nwhich?", 12, 1),
+    (15, "> g do\n> dogs\nx", None, 0),  # parts of words are none
+    (16, "> \U0001f389\nx", None, 0),  # without a letter only whole lines
 ]
 
 
@@ -425,11 +430,25 @@ def test_short_and_wrapped_quotes(spark):
     got = as_its_sql_says(quotes.conversations(spark.createDataFrame(talk, QUOTES).repartition(4)), talk)
     rows = {(r["conv_id"], r["turn"]): r for r in got}
     assert len(got) == len(talk)
+    assert rows[1, 14]["thread_turn"] == 12
     assert [(t, rows[1, t]["parent_turn"], rows[1, t]["n_linked"]) for t, *_ in REPLIES] == [(t, p, n) for t, _, p, n in REPLIES]
     assert rows[1, 11]["thread_turn"] == 0 and rows[1, 11]["reply_depth"] == 2
     assert [rows[2, t]["parent_turn"] for t in (2, 3, 4, 5, 6, 10)] == [1, None, None, None, None, 9]
 
 
+def test_short_quotes_as_plain_python(spark):
+    rng = random.Random(11)
+    words = ["red", "Big", "dog", "saw", "x1", "île"]
+    talk = [(c, t, "u", " ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!\nso", ""])) for c in range(8) for t in range(6)]
+    asked = [(c, 6 + k, "u", "> " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + "\nq") for c in range(8) for k in range(4)]
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in as_its_sql_says(quotes.conversations(spark.createDataFrame(talk + asked, QUOTES)), talk + asked)}
+    own = lambda text: f" {' '.join(''.join(ch.lower() if ch.isalnum() else ' ' for ch in text).split())} "
+    for c, t, _, text in asked:
+        quote = own(text.split("\n")[0])
+        assert got[c, t] == min((u for d, u, _, said in talk if d == c and quote in own(said)), default=None)
+    assert sum(p is not None for (_, t), p in got.items() if t > 5) > 10
+
+
 def test_common_lines_and_mixed_passages(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     talk = [
