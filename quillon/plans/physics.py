@@ -446,13 +446,16 @@ _ALIAS_SQL = ", ".join(f"('{a}', '{x}')" for a, x in ((a, next((x for x in to if
 _DB_SQL = ", ".join(f"('{p}', '{c}', {x!r}::DOUBLE, {s!r}::DOUBLE)" for p, (v, s, _) in luminosity.DATABASE.items() for c, x in zip(luminosity.CONDITIONS, v))
 _DATA_SQL = ", ".join(f"('{c}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for c, v in luminosity.DATA.items())
 _CATEGORY_SQL = "CASE " + " ".join(f"WHEN contains(physics, '{k}') THEN '{v}'" for k, v in luminosity.CATEGORIES.items()) + " ELSE '' END"
-_LOOKUP = f"""
-WITH q(physics, condition, kind) AS (VALUES {", ".join(map(str, LOOKUPS))}), a(alias, target) AS (VALUES {_ALIAS_SQL}),
+
+
+def _lookup_sql(asked: str, keep: str = "physics, condition, kind") -> str:
+    return f"""
+WITH q AS ({asked}), a(alias, target) AS (VALUES {_ALIAS_SQL}),
 d AS (SELECT p, c, v, v / sqrt(greatest(trunc(v * s * 1e6), 1)) AS stat, v * 0.02::DOUBLE AS syst FROM (VALUES {_DB_SQL}) x(p, c, v, s)),
 s AS (SELECT DISTINCT p, s FROM (VALUES {_DB_SQL}) x(p, c, v, s)), r(c, v, stat, syst) AS (VALUES {_DATA_SQL}),
 k AS (SELECT q.*, target, {_CATEGORY_SQL} AS category, s.s AS sigma, CASE WHEN kind = 'DATA' THEN physics = 'data' ELSE s.s IS NOT NULL END AS exact FROM q LEFT JOIN a ON alias = physics LEFT JOIN s ON s.p = physics),
 f AS (SELECT *, CASE WHEN exact THEN 'exact' WHEN kind <> 'DATA' AND target IS NOT NULL THEN 'alias' WHEN kind <> 'DATA' AND category <> '' THEN 'category' WHEN sigma IS NOT NULL THEN 'cross_section' ELSE 'default' END AS found FROM k)
-SELECT physics, condition, kind, found,
+SELECT {keep}, found,
   CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) WHEN 'default' THEN 1000 ELSE coalesce(r.v, d.v) END AS value,
   CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) * 0.1::DOUBLE WHEN 'default' THEN 100 ELSE coalesce(r.stat, d.stat) * CASE found WHEN 'alias' THEN 1.1::DOUBLE WHEN 'category' THEN 2 ELSE 1 END END AS stat,
   CASE found WHEN 'cross_section' THEN 1e9 / (sigma * 1e5) * 0.3::DOUBLE WHEN 'default' THEN 200 ELSE coalesce(r.syst, d.syst) * CASE found WHEN 'alias' THEN 1.2::DOUBLE WHEN 'category' THEN 2 ELSE 1 END END AS syst
@@ -460,6 +463,9 @@ FROM f LEFT JOIN r ON found = 'exact' AND kind = 'DATA' AND r.c = condition
 LEFT JOIN d ON kind <> 'DATA' AND d.c = condition AND d.p = CASE found WHEN 'exact' THEN physics WHEN 'alias' THEN target WHEN 'category' THEN category END"""
 
 
+_LOOKUP = _lookup_sql(f"SELECT * FROM (VALUES {', '.join(map(str, LOOKUPS))}) v(physics, condition, kind)")
+
+
 @query(f"SELECT physics, condition, kind, found, round(value, 6) AS value, round(stat, 6) AS stat, round(syst, 6) AS syst FROM ({_LOOKUP})")
 def lumi_lookup(t):
     """Values and uncertainties by exact name, alias, category, cross-section or default."""
@@ -479,10 +485,27 @@ def calc_weight(t):
     return luminosity.calculated_weights(found).select("physics", "condition", "kind", F.round("weight", 8).alias("weight"), F.round("weight_stat", 8).alias("weight_stat"))
 
 
-@query()
+def _energy_sql(x: str) -> str:
+    low = f"trim(replace(lower({x}), 'mc', ''))"
+    return f"CASE WHEN contains({low}, '4s') THEN CASE WHEN contains({low}, 'off') THEN '4S_offres' ELSE '4S_on' END WHEN contains({low}, '5s') THEN '5S_scan' ELSE '4S_on' END"
+
+
+_PARSED = f"""
+WITH n AS (SELECT process, lower(process) AS low, regexp_matches(process, '{_FULL}', 'i') AS f, regexp_matches(process, '{_DATA}', 'i') AS d FROM {_NAMES_SQL}),
+m AS (SELECT process, min({{'d': levenshtein(low, k), 'k': k, 't': t}}) AS b FROM n, (VALUES {_KNOWN_SQL}) v(k, t) WHERE levenshtein(low, k) <= {luminosity.FUZZY} GROUP BY process)
+SELECT process, CASE WHEN f THEN lower(regexp_extract(process, '{_FULL}', 3, 'i')) WHEN d THEN 'data' WHEN b IS NOT NULL THEN b.t ELSE 'unknown' END AS physics,
+  CASE WHEN f THEN {_energy_sql(f"regexp_extract(process, '{_FULL}', 2, 'i')")} WHEN d THEN {_energy_sql(f"regexp_extract(process, '{_DATA}', 3, 'i')")}
+    WHEN b IS NULL THEN '4S_on' WHEN contains(low, '5s') THEN '5S_scan' WHEN contains(low, 'off') THEN '4S_offres' ELSE '4S_on' END AS condition,
+  CASE WHEN f THEN 'MC_PROC' WHEN d THEN CASE WHEN lower(regexp_extract(process, '{_DATA}', 2, 'i')) = 'proc' THEN 'DATA' ELSE 'MC_PROMPT' END
+    WHEN b IS NULL THEN 'MC_PROC' WHEN contains(low, 'data') THEN 'DATA' WHEN contains(low, 'prompt') THEN 'MC_PROMPT' ELSE 'MC_PROC' END AS kind
+FROM n LEFT JOIN m USING (process)"""
+
+
+@query(f"SELECT process, physics, condition, found, round(value, 6) AS value, round(stat, 6) AS stat, round(syst, 6) AS syst FROM ({_lookup_sql(_PARSED, 'process, physics, condition')})")
 def batch_lookup(t):
     """Names that are parsed first."""
-    return luminosity.batch_lookup(t.spark, NAMES).select("process", "physics", "condition", "found", "value", "stat", "syst")
+    found = luminosity.batch_lookup(t.spark, NAMES)
+    return found.select("process", "physics", "condition", "found", *[F.round(c, 6).alias(c) for c in ("value", "stat", "syst")])
 
 
 @query(f"SELECT process, round(sum(CASE WHEN process = 'RO' THEN 1 ELSE 0.25 END * weight), 4) AS w FROM ({EVENTS}) GROUP BY process")

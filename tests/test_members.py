@@ -119,3 +119,20 @@ def test_methods(spark):
     ks = [0, 0.5, 1, 2, 7.25, 9, 10, 11, 50, 1e5]
     got = spark.createDataFrame([(float(k),) for k in ks], "k double").select("k", statistics.log_factorial(F.col("k"))).collect()
     assert all(v == pytest.approx(math.lgamma(k + 1), rel=1e-13, abs=1e-13) for k, v in got)
+
+
+def test_the_rest_of_the_surface(spark, members):
+    t = LazyTable(members).ordered_by("x")
+    assert t.partition(3, "x").df.rdd.getNumPartitions() == 3
+    assert 0 < t.sample(0.5, seed=1).count() < 111 and t.head(3).count() == 3
+    from quillon.operators.selection import tail
+
+    assert sorted(r["x"] for r in tail(members.where("x IS NOT NULL"), ["x"], 2).collect()) == [68.0, 69.0]
+    p = Processes(members)
+    assert p.shape() == (111, 4) and p.group("mumu").shape()[0] == 40
+    p["data_a"], p["data_a"], p["ee_c"]
+    assert p.access_stats() == {"accesses": {"data_a": 2, "ee_c": 1}, "most": [("data_a", 2)], "lineage": 0}
+    assert p.add_process("tau_d", members.drop("process").limit(5)).counts().where("process = 'tau_d'").first()["count"] == 5
+    assert p.validate().count() == 0 and p.query("x > 0").explain().startswith("0: query")
+    names = ["mc_mumu", "data_proc_x", "tau"]
+    assert luminosity.reference(names) == "data_proc_x" and luminosity.reference(names, "tau") == "tau" and luminosity.reference(["a"]) == "data_proc_4S_on"
