@@ -500,37 +500,44 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     The search widens until RECALL of the nearest of CHECKED queries are found, and
     warns if they can't be. A query isn't its own neighbour. Rows with a null id, and vectors that are
     null, empty, zero or hold null or non-finite components, take no part, nor do
-    vectors of another length than the most frequent. Of rows with equal ids the
-    one with the greatest vector counts. Equal vectors are one point of the
-    graph and give their k + 1 least ids, which is all that k places can need. An empty
+    vectors of another length than the most frequent. Rows that share an id are
+    candidates, and queries, of their own: such queries give k rows each, and ties
+    in score and id go by the order in which the rows are met. Equal vectors are one point of the
+    graph and give their k + 1 first rows, which is all that k places can need. An empty
     table gives no rows; with k or fewer candidates all those found come back.
     Columns other than these two, whatever their names, are ignored.
     """
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fine = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("vec"))
-    rows = materialise(rows.groupBy("id").agg(F.max("vec").alias("vec")).withColumn("same", F.xxhash64("vec")), "ann-rows")
+    rows = materialise(rows.select("id", "vec", F.xxhash64("vec").alias("same"), F.monotonically_increasing_id().alias("nr")), "ann-rows")
+    # A row is named by its id, and by its number where rows share ids.
+    shared = rows.groupBy("id").count().where("count > 1").limit(1).count()
+    rows = rows.withColumn("row", F.col("nr" if shared else "id")).drop("nr")
     dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = dims[0]["dim"] if dims else 1
     rows = rows.where(F.size("vec") == dim)
     # row_number <= k + 1 is cut before the shuffle too, so a vector with very many rows is no hot spot.
-    nr = F.row_number().over(Window.partitionBy("same").orderBy("id"))
-    least = materialise(rows.select("same", "id").withColumn("nr", nr).where(F.col("nr") <= k + 1), "ann-least")
-    point = least.where("nr = 1").select(F.col("id").alias("point"), "same")
-    points = materialise(rows.join(point, F.col("id") == F.col("point")).select("id", "vec"), "ann-points")
+    nr = F.row_number().over(Window.partitionBy("same").orderBy("id", "row"))
+    least = materialise(rows.select("same", "id", "row").withColumn("nr", nr).where(F.col("nr") <= k + 1), "ann-least")
+    point = least.where("nr = 1").select(F.col("row").alias("point"), "same")
+    points = materialise(rows.join(point, F.col("row") == F.col("point")).select(F.col("row").alias("id"), "vec"), "ann-points")
     # A power of two changes no digit and no order, and keeps single precision in range.
     most = rows.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     unit = math.ldexp(1.0, max(-1000, min(1000, -math.frexp(most)[1])))
     scaled = lambda df: df.withColumn("vec", F.transform("vec", lambda x: x * unit))
     graph = Graph(scaled(points), dim)
     asked = rows.where(F.col("id") % every == 0)
-    queries = materialise(asked.join(point.withColumnRenamed("same", "s"), F.col("same") == F.col("s")).select(F.col("id").alias("query_id"), "vec", F.col("point").alias("at")), "ann-queries")
-    found = graph.search(scaled(queries), k=k)
+    at = asked.join(point.withColumnRenamed("same", "s"), F.col("same") == F.col("s"))
+    queries = materialise(at.select(F.col("row").alias("query_id"), F.col("id").alias("asked"), "vec", F.col("point").alias("at")), "ann-queries")
+    found = graph.search(scaled(queries.drop("asked")), k=k)
     # A query's own point is near it too: other rows may hold the same vector.
     pairs = found.unionByName(queries.select("query_id", F.col("at").alias("id"))).distinct()
     dot = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(queries.select("query_id", F.col("vec").alias("q")), "query_id").join(points, "id").select("query_id", F.col("id").alias("point"), dot.alias("score"))
-    members = point.join(least.select("same", F.col("id").alias(id_col)), "same").select("point", id_col)
-    each = scored.join(members, "point").where(F.col("query_id") != F.col(id_col))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(id_col)))
-    return each.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), id_col, "score")
+    own = queries.select("query_id", "asked", F.col("vec").alias("q"))
+    scored = pairs.join(own, "query_id").join(points, "id").select("query_id", "asked", F.col("id").alias("point"), dot.alias("score"))
+    members = point.join(least.select("same", "row", F.col("id").alias(id_col)), "same").select("point", "row", id_col)
+    each = scored.join(members, "point").where(F.col("query_id") != F.col("row"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(id_col), "row"))
+    best = each.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.select(F.col("asked").alias("query_id"), F.col("rank").cast("int").alias("rank"), id_col, "score")

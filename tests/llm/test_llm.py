@@ -536,6 +536,22 @@ def test_neighbours(spark):
     assert found >= 0.95 * 20 * len(got)
 
 
+def test_rows_that_share_ids_are_candidates_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    ids = np.arange(300) // 3  # three rows of each id
+    ids[100:200] = 40  # one id in a third of all rows
+    made = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(0, x[0].tolist())]  # and one row twice
+    ids, x = np.append(ids, 0), np.vstack([x, x[:1]])
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(5)).collect())
+    want = Counter()
+    for row in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[row]
+        order = [j for j in np.lexsort((ids, -score)) if j != row][:20]
+        want.update((int(ids[row]), k + 1, int(ids[j]), round(float(score[j]), 9)) for k, j in enumerate(order))
+    assert sum(got.values()) == sum(want.values()) and sum((got & want).values()) >= 0.95 * sum(want.values())
+
+
 def test_search_widens_until_enough_is_found(spark):
     x = np.random.default_rng(8).normal(size=(1500, 24))
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
