@@ -194,10 +194,21 @@ def weighted_moments(df: DataFrame, column: str, weight: str, by: Sequence[str]
     else:
         rows = rows.crossJoin(first)  # one row
     d = F.col("_x") - F.col("_near")
-    sums = rows.groupBy(*keys).agg(F.first("_near").alias("_near"), F.sum("_w").alias("_s"), F.sum(F.col("_w") * F.col("_w")).alias("_ss"), F.sum(F.col("_w") * d).alias("_sd"), F.sum(F.col("_w") * d * d).alias("_sdd"))
+    sums = rows.groupBy(*keys).agg(
+        F.first("_near").alias("_near"),
+        F.sum("_w").alias("_s"),
+        F.sum(F.col("_w") * F.col("_w")).alias("_ss"),
+        F.sum(F.col("_w") * d).alias("_sd"),
+        F.sum(F.col("_w") * d * d).alias("_sdd"),
+    )
     off, n = safe_div(F.col("_sd"), F.col("_s")), safe_div(F.col("_s") * F.col("_s"), F.col("_ss"))
     plain = F.greatest(safe_div(F.col("_sdd"), F.col("_s")) - off * off, F.lit(0.0))
-    return sums.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], (F.col("_near") + off).alias("mean"), n.alias("n_eff"), F.when(n > 1, plain * n / (n - 1)).otherwise(plain).alias("var"))
+    return sums.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by)],
+        (F.col("_near") + off).alias("mean"),
+        n.alias("n_eff"),
+        F.when(n > 1, plain * n / (n - 1)).otherwise(plain).alias("var"),
+    )
 
 
 def correlations(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:

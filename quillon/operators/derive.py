@@ -100,7 +100,13 @@ def hard_enough(energy: str = "E") -> Column:
 
 
 def recoil_properties(df: DataFrame) -> DataFrame:
-    return df.withColumns({"pTRecoil": F.col("pRecoil") * F.sin("pRecoilTheta"), "sqrtERecoil": F.sqrt("eRecoil"), "m2_over_m_recoil": safe_div(F.col("m2Recoil"), F.col("mRecoil"))})
+    return df.withColumns(
+        {
+            "pTRecoil": F.col("pRecoil") * F.sin("pRecoilTheta"),
+            "sqrtERecoil": F.sqrt("eRecoil"),
+            "m2_over_m_recoil": safe_div(F.col("m2Recoil"), F.col("mRecoil")),
+        },
+    )
 
 
 def electron_id(df: DataFrame, weights: Mapping[str, float] = ELECTRON) -> DataFrame:

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 def deletions(text: Column, most: int) -> Column:
     """Hashes of all strings that deleting up to `most` characters gives, each once."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    one = lambda s: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
+    )
     level = every = F.array(text)
     for _ in range(most):
         level = F.array_distinct(F.flatten(F.transform(level, one)))

@@ -72,7 +72,15 @@ def range_of(df: DataFrame, column: str, table: Mapping[str, tuple[float, float]
     return (low - margin, high + margin)
 
 
-def hist(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float] | None = None, weights: str | Column | None = None, density: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+def hist(
+    df: DataFrame,
+    column: str,
+    bins: int = 50,
+    range: tuple[float, float] | None = None,
+    weights: str | Column | None = None,
+    density: str | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """(by..., bin, lo, hi, count, sumw, sumw2) for each bin, empty ones included.
 
     weights is a column or expression; without, each row weighs 1. density adds a
@@ -130,7 +138,13 @@ def observed(df: DataFrame, column: str, lo: float, hi: float, weights: str | No
     return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()], *sums), watch
 
 
-def hist_observed(df: DataFrame, column: str, bins: int = 50, range: tuple[float, float] | None = None, weights: str | None = None) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+def hist_observed(
+    df: DataFrame,
+    column: str,
+    bins: int = 50,
+    range: tuple[float, float] | None = None,
+    weights: str | None = None,
+) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     """Counts (or weights), edges, and what the same job saw (see observed) with its seconds."""
     lo, hi = map(float, range or range_of(df, column))
     seen, watch = observed(df, column, lo, hi, weights)
@@ -147,7 +161,14 @@ def counts_edges(histogram: DataFrame, weighted: bool = False) -> tuple[np.ndarr
 
 def with_errors(histogram: DataFrame) -> DataFrame:
     """Adds error, n_eff, centre and width."""
-    return histogram.withColumns({"error": F.sqrt("sumw2"), "n_eff": safe_div(F.col("sumw") * F.col("sumw"), F.col("sumw2")), "centre": (F.col("lo") + F.col("hi")) / 2, "width": F.col("hi") - F.col("lo")})
+    return histogram.withColumns(
+        {
+            "error": F.sqrt("sumw2"),
+            "n_eff": safe_div(F.col("sumw") * F.col("sumw"), F.col("sumw2")),
+            "centre": (F.col("lo") + F.col("hi")) / 2,
+            "width": F.col("hi") - F.col("lo"),
+        },
+    )
 
 
 def scaled(histogram: DataFrame, factor: Column | float) -> DataFrame:
@@ -188,7 +209,12 @@ def ratio(data: DataFrame, mc: DataFrame, strict: bool = False) -> DataFrame:
 def totals(histogram: DataFrame, key: str = "process", is_data: Column | None = None) -> DataFrame:
     """Events, processes, and weight of data and of simulation."""
     d = is_data if is_data is not None else F.lower(F.col(key)).contains("data")
-    return histogram.agg(F.sum("count").alias("events"), F.countDistinct(key).alias("processes"), F.sum(F.when(d, F.col("sumw")).otherwise(0.0)).alias("data"), F.sum(F.when(~d, F.col("sumw")).otherwise(0.0)).alias("mc"))
+    return histogram.agg(
+        F.sum("count").alias("events"),
+        F.countDistinct(key).alias("processes"),
+        F.sum(F.when(d, F.col("sumw")).otherwise(0.0)).alias("data"),
+        F.sum(F.when(~d, F.col("sumw")).otherwise(0.0)).alias("mc"),
+    )
 
 
 def hist_passed(df: DataFrame, column: str, passed: Column, bins: int, range: tuple[float, float], by: Sequence[str] = ()) -> DataFrame:
@@ -227,7 +253,15 @@ class Progress:
     history: list[float] = field(default_factory=list)
 
 
-def hist_batches(tables: Iterable[DataFrame], column: str, bins: int, range: tuple[float, float], weights: str | None = None, time_budget_s: float | None = None, progress: Callable[[Progress], None] | None = None) -> tuple[np.ndarray, np.ndarray, Progress]:
+def hist_batches(
+    tables: Iterable[DataFrame],
+    column: str,
+    bins: int,
+    range: tuple[float, float],
+    weights: str | None = None,
+    time_budget_s: float | None = None,
+    progress: Callable[[Progress], None] | None = None,
+) -> tuple[np.ndarray, np.ndarray, Progress]:
     """A histogram summed over tables one after the other, stopping once the time is used up.
 
     Returns counts (or weights), edges, and the progress, whose `complete` says

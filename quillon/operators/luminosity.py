@@ -135,7 +135,10 @@ def weights(names: DataFrame, condition: str, name_col: str = "process") -> Data
     rows = rows.withColumn("mc_lumi", F.when(found > 0, found).otherwise(F.lit(1000.0)))
     w = F.col("data_lumi") / F.col("mc_lumi")
     fine = (w > 0) & (w <= 1000)
-    method = F.when(is_data, "data_unity").when(~fine, "sanity_fallback").when(F.coalesce(found, F.lit(0.0)) > 0, F.when(name.contains("prompt"), "prompt_calculation").otherwise("proc_calculation")).otherwise("cross_database_fallback")
+    method = F.when(is_data, "data_unity").when(~fine, "sanity_fallback").when(
+        F.coalesce(found, F.lit(0.0)) > 0,
+        F.when(name.contains("prompt"), "prompt_calculation").otherwise("proc_calculation"),
+    ).otherwise("cross_database_fallback")
     return rows.withColumns({"weight": F.when(is_data | ~fine, F.lit(1.0)).otherwise(w), "method": method})
 
 
@@ -168,7 +171,10 @@ def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
         "condition": F.when(full, energy_condition(part(FULL_NAME, 2))).when(data, energy_condition(part(DATA_NAME, 3))).when(fuzzy, inferred).otherwise("4S_on"),
         "physics": F.when(full, F.lower(part(FULL_NAME, 3))).when(data, "data").when(fuzzy, F.col("_m.target")).otherwise("unknown"),
         "version": F.when(full, part(FULL_NAME, 5)),
-        "data_type": F.when(full, "MC_PROC").when(data, F.when(F.lower(part(DATA_NAME, 2)) == "proc", "DATA").otherwise("MC_PROMPT")).when(fuzzy, data_type(name)).otherwise("MC_PROC"),
+        "data_type": F.when(full, "MC_PROC").when(
+            data,
+            F.when(F.lower(part(DATA_NAME, 2)) == "proc", "DATA").otherwise("MC_PROMPT"),
+        ).when(fuzzy, data_type(name)).otherwise("MC_PROC"),
         "confidence": F.when(full | data, 1.0).when(fuzzy, 1.0 - F.col("_m._d") / F.length(name)).otherwise(0.1),
         "match_method": F.when(full, "regex_full").when(data, "regex_data").when(fuzzy, F.concat(F.lit("fuzzy_distance_"), F.col("_m._d").cast("string"))).otherwise("fallback"),
     }

@@ -162,7 +162,14 @@ class Step:
 class Processes:
     """A mapping view over a long table: names, groups, and operations on all members at once."""
 
-    def __init__(self, table: DataFrame, groups: DataFrame | None = None, lineage: Sequence[Step] = (), custom: Mapping[str, Sequence[str]] | None = None, names: Sequence[str] | None = None):
+    def __init__(
+        self,
+        table: DataFrame,
+        groups: DataFrame | None = None,
+        lineage: Sequence[Step] = (),
+        custom: Mapping[str, Sequence[str]] | None = None,
+        names: Sequence[str] | None = None,
+    ):
         """names: those of all members where they are known, as from files; else they are read from the table when they are asked for.
 
         Members keep their names whatever a selection leaves of their rows.
@@ -276,7 +283,14 @@ class Processes:
     def query(self, text: str, /, **variables) -> Processes:
         return self._with(self.table.where(compile_query(text, self.table.columns, **variables)), "query", text=text)
 
-    def one_candidate(self, keys: Sequence[str] | None = None, sort_col: str | None = None, ascending: bool = False, tiebreak: Sequence[str] = (), decisive: bool = False) -> Processes:
+    def one_candidate(
+        self,
+        keys: Sequence[str] | None = None,
+        sort_col: str | None = None,
+        ascending: bool = False,
+        tiebreak: Sequence[str] = (),
+        decisive: bool = False,
+    ) -> Processes:
         keys = ["process", *(keys or selection.event_keys(self.table))]
         best = selection.one_candidate(self.table, keys, sort_col, ascending, tiebreak, decisive=decisive)
         return self._with(best, "one_candidate", keys=keys)
@@ -425,7 +439,17 @@ def quick_analysis(
     return histogram.hist(best, column, bins, range, weights, by=by)
 
 
-def progressive_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str], sort_col: str, column: str, bins: int, range: tuple[float, float], tiebreak: Sequence[str] = (), photon: bool = False) -> dict[str, DataFrame]:
+def progressive_analysis(
+    df: DataFrame,
+    cuts: Sequence[str],
+    keys: Sequence[str],
+    sort_col: str,
+    column: str,
+    bins: int,
+    range: tuple[float, float],
+    tiebreak: Sequence[str] = (),
+    photon: bool = False,
+) -> dict[str, DataFrame]:
     """Histograms of the stages, and the cuts' efficiency per bin: baseline, candidates, cuts, and photon if asked.
 
     Each row carries which stages keep it, so all stages come from one scan and one
@@ -447,7 +471,14 @@ def progressive_analysis(df: DataFrame, cuts: Sequence[str], keys: Sequence[str]
     dense = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0)
     width = (range[1] - range[0]) / bins
     edge = lambda k: F.lit(float(range[0])) + k * F.lit(width)
-    out = {s: dense.select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.col(s).alias("count"), F.col(s).cast("double").alias("sumw"), F.col(s).cast("double").alias("sumw2")) for s in stages}
+    out = {s: dense.select(
+        "bin",
+        edge(F.col("bin")).alias("lo"),
+        edge(F.col("bin") + 1).alias("hi"),
+        F.col(s).alias("count"),
+        F.col(s).cast("double").alias("sumw"),
+        F.col(s).cast("double").alias("sumw2"),
+    ) for s in stages}
     found = dense.select("bin", F.col("cuts").alias("passed"), F.col("candidates").alias("total"))
     return out | {"efficiency": found.withColumn("efficiency", safe_div(F.col("passed"), F.col("total")))}
 

@@ -73,7 +73,13 @@ def _placed(wanted: DataFrame, counted: DataFrame, by: list[str]) -> DataFrame:
     same, counted = _same(wanted, counted, by)
     inside = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto"))
     names = [n for n in wanted.columns if n not in {"_rank", "_part", "_n", "_x"}]
-    return wanted.drop("_n", "_x").join(counted, same & inside).select(*names, (F.col("_rank") - F.col("_from")).alias("_rank"), F.col("_next").alias("_part"), F.when(F.col("_x") == F.col("_hi"), 0).otherwise(F.col("_n")).alias("_n"), "_x")
+    return wanted.drop("_n", "_x").join(counted, same & inside).select(
+        *names,
+        (F.col("_rank") - F.col("_from")).alias("_rank"),
+        F.col("_next").alias("_part"),
+        F.when(F.col("_x") == F.col("_hi"), 0).otherwise(F.col("_n")).alias("_n"),
+        "_x",
+    )
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], at: Sequence[float], only_finite: bool = True, few: int = FEW) -> DataFrame:

@@ -32,7 +32,9 @@ def _lines(t: Tables) -> DataFrame:
     return t.lineitem.select("l_returnflag", "l_orderkey", "l_quantity", "l_extendedprice")
 
 
-@query("SELECT CASE l_returnflag WHEN 'A' THEN 'mumu_A' ELSE 'ccbar_R' END AS process, count(*) AS count, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
+@query(
+    "SELECT CASE l_returnflag WHEN 'A' THEN 'mumu_A' ELSE 'ccbar_R' END AS process, count(*) AS count, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL",
+)
 def load_processes(t):
     """Files of a directory as processes, chosen by parts of their names; others aren't read."""
     base = _lay(t, _lines(t), {"A": "mumu_A.parquet", "N": "tau_N.parquet", "R": "deep/ccbar_R.parquet"})
@@ -54,7 +56,9 @@ def load_flat_energy(t):
     return Processes(readers.load_flat(t.spark, base, "vpho", "5S_scan")).counts()
 
 
-@query(f"SELECT CASE process WHEN 'AF' THEN 'mc5S_mumu' ELSE 'mc5S_taupair' END AS process, count(*) AS count, round(sum(\"mu1P\"), 4) AS momentum FROM ({EVENTS}) WHERE process IN ('AF', 'NO') GROUP BY ALL")
+@query(
+    f"SELECT CASE process WHEN 'AF' THEN 'mc5S_mumu' ELSE 'mc5S_taupair' END AS process, count(*) AS count, round(sum(\"mu1P\"), 4) AS momentum FROM ({EVENTS}) WHERE process IN ('AF', 'NO') GROUP BY ALL",
+)
 def load_particle(t):
     """Directories as processes: their files of a particle and energy condition, with the columns that it needs and weights."""
     rows = t.events_mu.withColumnRenamed("process", "kind").where("kind IN ('AF', 'NO', 'RF')")
@@ -63,7 +67,9 @@ def load_particle(t):
     return df.groupBy("process").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("mu1P"), 4).alias("momentum"))
 
 
-@query("SELECT CASE l_returnflag WHEN 'A' THEN 'mumu_1' WHEN 'N' THEN 'ccbar_2' ELSE 'tau_3' END AS process, CASE l_returnflag WHEN 'A' THEN 'mumu' WHEN 'N' THEN 'qqbar' ELSE 'taupair' END AS grp, count(*) AS count FROM lineitem GROUP BY ALL")
+@query(
+    "SELECT CASE l_returnflag WHEN 'A' THEN 'mumu_1' WHEN 'N' THEN 'ccbar_2' ELSE 'tau_3' END AS process, CASE l_returnflag WHEN 'A' THEN 'mumu' WHEN 'N' THEN 'qqbar' ELSE 'taupair' END AS grp, count(*) AS count FROM lineitem GROUP BY ALL",
+)
 def load_samples(t):
     """Samples by quoted and plain directories, combined files and subtasks, with their groups."""
     paths = {"A": "'sample_name=mumu_1'/deep/x_combined_vpho.parquet", "N": "ccbar_2/y_vpho.parquet", "R": "tau_3/subtasks/z_vpho.parquet"}

@@ -114,7 +114,9 @@ def delta_columns(t):
     return derive.delta_columns(t.events_mu).select(*_ID, *[(F.rint(F.col(c) * 1e5) / 1e5).alias(c) for c in (*_DELTA, *_LEAST)])
 
 
-@query(f'SELECT count(*) AS n, round(sum("mu1P"), 3) AS p FROM ({_DELTA_SQL}) WHERE "absdPhi" > 1.5 AND "min_deltaMuPRecoil" > 0.3 AND ("absdPhiMu1" > 0.4 OR "absdThetaMu1" > 0.4)')
+@query(
+    f'SELECT count(*) AS n, round(sum("mu1P"), 3) AS p FROM ({_DELTA_SQL}) WHERE "absdPhi" > 1.5 AND "min_deltaMuPRecoil" > 0.3 AND ("absdPhiMu1" > 0.4 OR "absdThetaMu1" > 0.4)',
+)
 def query_derives(t):
     """A selection on columns that are derived first."""
     q = LazyTable(t.events_mu).query("absdPhi>1.5&min_deltaMuPRecoil>0.3&(absdPhiMu1>0.4|absdThetaMu1>0.4)")
@@ -130,24 +132,32 @@ _SEP = f"coalesce(CASE WHEN isnan(a) THEN 4.0 ELSE a END, 4.0)"
 _PHOTON = f'SELECT *, {_SEP} AS sep FROM (SELECT *, {_angle_sql(*_R, chr(34) + "E" + chr(34), "theta", "phi", clip=False)} AS a FROM ({EVENTS}) WHERE "E" <> 0)'
 
 
-@query(f'SELECT "__event__", partkey, round(coalesce("E" / nullif("pRecoil", 0), 0), 6) AS "EoPRecoil" FROM (SELECT *, row_number() OVER (PARTITION BY "__event__" ORDER BY sep, {_TIE_SQL}) AS nr FROM ({_PHOTON})) WHERE nr = 1 AND ("E" > 0.075 OR "E" IS NULL)')
+@query(
+    f'SELECT "__event__", partkey, round(coalesce("E" / nullif("pRecoil", 0), 0), 6) AS "EoPRecoil" FROM (SELECT *, row_number() OVER (PARTITION BY "__event__" ORDER BY sep, {_TIE_SQL}) AS nr FROM ({_PHOTON})) WHERE nr = 1 AND ("E" > 0.075 OR "E" IS NULL)',
+)
 def best_photon(t):
     b = derive.best_photon(t.events_mu.where("E != 0"), tiebreak=TIES)
     return b.select("__event__", "partkey", F.round("EoPRecoil", 6).alias("EoPRecoil"))
 
 
-@query(f'SELECT "__event__", "__candidate__", partkey, round("pRecoil" * sin("pRecoilTheta"), 6) AS "pTRecoil", round(sqrt("eRecoil"), 6) AS "sqrtERecoil", round("m2Recoil" / nullif("mRecoil", 0), 6) AS "m2_over_m_recoil" FROM ({EVENTS})')
+@query(
+    f'SELECT "__event__", "__candidate__", partkey, round("pRecoil" * sin("pRecoilTheta"), 6) AS "pTRecoil", round(sqrt("eRecoil"), 6) AS "sqrtERecoil", round("m2Recoil" / nullif("mRecoil", 0), 6) AS "m2_over_m_recoil" FROM ({EVENTS})',
+)
 def recoil_properties(t):
     return derive.recoil_properties(t.events_mu).select(*_ID, *[F.round(c, 6).alias(c) for c in ("pTRecoil", "sqrtERecoil", "m2_over_m_recoil")])
 
 
-@query(f'SELECT "__event__", "__candidate__", partkey, "E" * 0.3::DOUBLE + theta * 0.3::DOUBLE AS electron_id, partkey % 14 / 14 * 0.5::DOUBLE + ("mu1P" + "mu2P") / 20 * 0.5::DOUBLE AS muon_id FROM ({EVENTS})')
+@query(
+    f'SELECT "__event__", "__candidate__", partkey, "E" * 0.3::DOUBLE + theta * 0.3::DOUBLE AS electron_id, partkey % 14 / 14 * 0.5::DOUBLE + ("mu1P" + "mu2P") / 20 * 0.5::DOUBLE AS muon_id FROM ({EVENTS})',
+)
 def particle_id(t):
     df = t.events_mu.withColumns({"E_over_p": F.col("E"), "track_match": F.col("theta"), "klm": (F.col("partkey") % 14).cast("double")})
     return derive.muon_id(derive.electron_id(df)).select(*_ID, "electron_id", "muon_id")
 
 
-@query(f'SELECT "__event__", "__candidate__", partkey, round(sqrt(pow(e1 + e2, 2) - pow("mu1P"*sin("mu1Theta")*cos("mu1Phi") + "mu2P"*sin("mu2Theta")*cos("mu2Phi"), 2) - pow("mu1P"*sin("mu1Theta")*sin("mu1Phi") + "mu2P"*sin("mu2Theta")*sin("mu2Phi"), 2) - pow("mu1P"*cos("mu1Theta") + "mu2P"*cos("mu2Theta"), 2)), 5) AS mass FROM (SELECT *, sqrt("mu1P" * "mu1P" + 0.0111637) AS e1, sqrt("mu2P" * "mu2P" + 0.0111637) AS e2 FROM ({EVENTS}))')
+@query(
+    f'SELECT "__event__", "__candidate__", partkey, round(sqrt(pow(e1 + e2, 2) - pow("mu1P"*sin("mu1Theta")*cos("mu1Phi") + "mu2P"*sin("mu2Theta")*cos("mu2Phi"), 2) - pow("mu1P"*sin("mu1Theta")*sin("mu1Phi") + "mu2P"*sin("mu2Theta")*sin("mu2Phi"), 2) - pow("mu1P"*cos("mu1Theta") + "mu2P"*cos("mu2Theta"), 2)), 5) AS mass FROM (SELECT *, sqrt("mu1P" * "mu1P" + 0.0111637) AS e1, sqrt("mu2P" * "mu2P" + 0.0111637) AS e2 FROM ({EVENTS}))',
+)
 def invariant_mass(t):
     energy = lambda p: F.sqrt(F.col(p) * F.col(p) + F.lit(0.0111637))
     df = t.events_mu.withColumns({"mu1E": energy("mu1P"), "mu2E": energy("mu2P")})
@@ -226,7 +236,14 @@ def hist_range(t):
     return t.rows([(lo, hi, least, most)], "lo double, hi double, least double, most double").select(*[F.round(c, 4).alias(c) for c in ("lo", "hi", "least", "most")])
 
 
-@query(dense_sql(f"SELECT l_discount, {_BIN} AS bin FROM lineitem", 40, sums=_HSUMS, columns="round(sqrt(coalesce(sumw2, 0)), 6) AS error, round(sumw * sumw / nullif(sumw2, 0), 4) AS n_eff, round(1000.0::DOUBLE + (b.bin + 0.5::DOUBLE) * 2475, 4) AS centre"))
+@query(
+    dense_sql(
+        f"SELECT l_discount, {_BIN} AS bin FROM lineitem",
+        40,
+        sums=_HSUMS,
+        columns="round(sqrt(coalesce(sumw2, 0)), 6) AS error, round(sumw * sumw / nullif(sumw2, 0), 4) AS n_eff, round(1000.0::DOUBLE + (b.bin + 0.5::DOUBLE) * 2475, 4) AS centre",
+    ),
+)
 def hist_sumw2(t):
     h = histogram.with_errors(histogram.hist(t.lineitem, "l_extendedprice", 40, (1000.0, 100000.0), _w()))
     return h.select("bin", F.round("error", 6).alias("error"), F.round("n_eff", 4).alias("n_eff"), F.round("centre", 4).alias("centre"))
@@ -239,7 +256,13 @@ def hist_weight_scalar(t):
 
 _GRP = "CASE process WHEN 'AF' THEN 'mumu' WHEN 'AO' THEN 'mumu' WHEN 'NF' THEN 'qqbar' WHEN 'NO' THEN 'qqbar' WHEN 'RF' THEN 'gg' ELSE 'data' END"
 _GB = bin_sql("quality", 0.0, 110000.0, 20)
-_GSQL = dense_sql(f"SELECT {_GRP} AS grp, weight, {_GB} AS bin FROM ({EVENTS})", 20, "grp", "count(*) AS count, sum(weight) AS sumw, sum(weight * weight) AS sumw2", "coalesce(count, 0) AS count, coalesce(sumw, 0) AS sumw, coalesce(sumw2, 0) AS sumw2")
+_GSQL = dense_sql(
+    f"SELECT {_GRP} AS grp, weight, {_GB} AS bin FROM ({EVENTS})",
+    20,
+    "grp",
+    "count(*) AS count, sum(weight) AS sumw, sum(weight * weight) AS sumw2",
+    "coalesce(count, 0) AS count, coalesce(sumw, 0) AS sumw, coalesce(sumw2, 0) AS sumw2",
+)
 
 
 def _groups(t):
@@ -252,7 +275,9 @@ def hist_group(t):
     return _rounded(_groups(t), "grp")
 
 
-@query(f"SELECT grp, bin, round(sum(sumw) OVER (PARTITION BY bin ORDER BY CASE grp WHEN 'qqbar' THEN 2 WHEN 'mumu' THEN 5 WHEN 'gg' THEN 6 END), 5) AS stack_to FROM ({_GSQL}) WHERE grp <> 'data'")
+@query(
+    f"SELECT grp, bin, round(sum(sumw) OVER (PARTITION BY bin ORDER BY CASE grp WHEN 'qqbar' THEN 2 WHEN 'mumu' THEN 5 WHEN 'gg' THEN 6 END), 5) AS stack_to FROM ({_GSQL}) WHERE grp <> 'data'",
+)
 def hist_stack(t):
     return histogram.stacked(_groups(t).where("grp != 'data'")).select("grp", "bin", F.round("stack_to", 5).alias("stack_to"))
 
@@ -265,12 +290,16 @@ def _data_mc(t):
     return h.where("grp = 'data'"), h.where("grp != 'data'").groupBy("bin").agg(F.sum("sumw").alias("sumw"), F.sum("sumw2").alias("sumw2"))
 
 
-@query(_RATIO + "round(CASE WHEN m > 0 THEN d / m ELSE 1 END, 6) AS ratio, round(CASE WHEN m > 0 THEN d / m ELSE 1 END * sqrt(coalesce(d2 / nullif(d * d, 0), 0) + coalesce(m2 / nullif(m * m, 0), 0)), 6) AS error FROM d JOIN m USING (bin)")
+@query(
+    _RATIO + "round(CASE WHEN m > 0 THEN d / m ELSE 1 END, 6) AS ratio, round(CASE WHEN m > 0 THEN d / m ELSE 1 END * sqrt(coalesce(d2 / nullif(d * d, 0), 0) + coalesce(m2 / nullif(m * m, 0), 0)), 6) AS error FROM d JOIN m USING (bin)",
+)
 def hist_ratio(t):
     return histogram.ratio(*_data_mc(t)).select("bin", F.round("ratio", 6).alias("ratio"), F.round("error", 6).alias("error"))
 
 
-@query(_RATIO + "round(CASE WHEN m > 0 THEN d / m ELSE 0 END, 6) AS ratio, round(CASE WHEN m > 0 THEN d / m ELSE 0 END * sqrt(coalesce(greatest(d, 1) / nullif(d * d, 0), 0) + coalesce(greatest(m, 1) / nullif(m * m, 0), 0)), 6) AS error FROM d JOIN m USING (bin)")
+@query(
+    _RATIO + "round(CASE WHEN m > 0 THEN d / m ELSE 0 END, 6) AS ratio, round(CASE WHEN m > 0 THEN d / m ELSE 0 END * sqrt(coalesce(greatest(d, 1) / nullif(d * d, 0), 0) + coalesce(greatest(m, 1) / nullif(m * m, 0), 0)), 6) AS error FROM d JOIN m USING (bin)",
+)
 def hist_ratio2(t):
     return histogram.ratio(*_data_mc(t), strict=True).select("bin", F.round("ratio", 6).alias("ratio"), F.round("error", 6).alias("error"))
 
@@ -278,19 +307,34 @@ def hist_ratio2(t):
 _EB = bin_sql("l_extendedprice", 0.0, 110000.0, 20)
 
 
-@query(dense_sql(f"SELECT l_quantity, {_EB} AS bin FROM lineitem", 20, sums="count(*) AS total, count(*) FILTER (l_quantity > 30) AS passed", columns="coalesce(passed, 0) AS passed, coalesce(total, 0) AS total, round(passed / nullif(total, 0)::DOUBLE, 9) AS efficiency"))
+@query(
+    dense_sql(
+        f"SELECT l_quantity, {_EB} AS bin FROM lineitem",
+        20,
+        sums="count(*) AS total, count(*) FILTER (l_quantity > 30) AS passed",
+        columns="coalesce(passed, 0) AS passed, coalesce(total, 0) AS total, round(passed / nullif(total, 0)::DOUBLE, 9) AS efficiency",
+    ),
+)
 def efficiency(t):
     return efficiency_rows(t).withColumn("efficiency", F.round("efficiency", 9))
 
 
-@query(f"SELECT sum(count)::BIGINT AS events, count(DISTINCT grp) AS processes, round(sum(sumw) FILTER (grp = 'data'), 4) AS data, round(sum(sumw) FILTER (grp <> 'data'), 4) AS mc FROM ({_GSQL})")
+@query(
+    f"SELECT sum(count)::BIGINT AS events, count(DISTINCT grp) AS processes, round(sum(sumw) FILTER (grp = 'data'), 4) AS data, round(sum(sumw) FILTER (grp <> 'data'), 4) AS mc FROM ({_GSQL})",
+)
 def hist_stats(t):
     return histogram.totals(_groups(t), "grp").select("events", "processes", F.round("data", 4).alias("data"), F.round("mc", 4).alias("mc"))
 
 
-@query(f"WITH h AS ({dense_sql(f'SELECT {_BIN} AS bin FROM lineitem', 40)}), s AS (SELECT sum(count)::DOUBLE AS n, sum(count * c) / sum(count) AS m, sum(count * c * c) / sum(count) AS q FROM (SELECT count, 1000.0::DOUBLE + (bin + 0.5::DOUBLE) * 2475 AS c FROM h)) SELECT n AS norm, round(m, 4) AS mean, round(sqrt(q - m * m), 3) AS sigma FROM s")
+@query(
+    f"WITH h AS ({dense_sql(f'SELECT {_BIN} AS bin FROM lineitem', 40)}), s AS (SELECT sum(count)::DOUBLE AS n, sum(count * c) / sum(count) AS m, sum(count * c * c) / sum(count) AS q FROM (SELECT count, 1000.0::DOUBLE + (bin + 0.5::DOUBLE) * 2475 AS c FROM h)) SELECT n AS norm, round(m, 4) AS mean, round(sqrt(q - m * m), 3) AS sigma FROM s",
+)
 def fit_gaussian(t):
-    return histogram.moments(histogram.hist(t.lineitem, "l_extendedprice", 40, (1000.0, 100000.0))).select("norm", F.round("mean", 4).alias("mean"), F.round("sigma", 3).alias("sigma"))
+    return histogram.moments(histogram.hist(t.lineitem, "l_extendedprice", 40, (1000.0, 100000.0))).select(
+        "norm",
+        F.round("mean", 4).alias("mean"),
+        F.round("sigma", 3).alias("sigma"),
+    )
 
 
 # --- processes -----------------------------------------------------------------------------------------
@@ -320,7 +364,9 @@ def group_classify(t):
     return processes.classify(_names(t))
 
 
-@query(f"SELECT process, {_case_sql(processes.GROUPS_FIRST, 'other')} AS first, {_case_sql(processes.GROUPS_PLOT, 'qqbar')} AS plot, {_case_sql(processes.GROUPS_SIMPLE, 'unknown')} AS simple FROM {_NAMES_SQL}")
+@query(
+    f"SELECT process, {_case_sql(processes.GROUPS_FIRST, 'other')} AS first, {_case_sql(processes.GROUPS_PLOT, 'qqbar')} AS plot, {_case_sql(processes.GROUPS_SIMPLE, 'unknown')} AS simple FROM {_NAMES_SQL}",
+)
 def group_classify_first(t):
     n = F.col("process")
     return _names(t).select("process", processes.group_first(n).alias("first"), processes.group_plot(n).alias("plot"), processes.group_simple(n).alias("simple"))
@@ -360,7 +406,9 @@ def resolve_process_chain(t):
     return processes.Processes(t.events_mu).select_chain("a", "f").select(*_ID)
 
 
-@query(f"WITH c AS ({_best_sql('quality DESC')}), a AS (SELECT {bin_sql('quality', 0.0, 110000.0, 20)} AS bin, \"mu1P\", \"mu2P\" FROM c) SELECT b.bin::INT AS bin, count(a.bin) FILTER (\"mu1P\" > 2 AND \"mu2P\" < 3) AS passed, count(a.bin) AS total FROM range(20) b(bin) LEFT JOIN a ON a.bin = b.bin GROUP BY b.bin")
+@query(
+    f"WITH c AS ({_best_sql('quality DESC')}), a AS (SELECT {bin_sql('quality', 0.0, 110000.0, 20)} AS bin, \"mu1P\", \"mu2P\" FROM c) SELECT b.bin::INT AS bin, count(a.bin) FILTER (\"mu1P\" > 2 AND \"mu2P\" < 3) AS passed, count(a.bin) AS total FROM range(20) b(bin) LEFT JOIN a ON a.bin = b.bin GROUP BY b.bin",
+)
 def progressive_analysis(t):
     stages = processes.progressive_analysis(t.events_mu, ["mu1P > 2", "mu2P < 3"], _KEYS, "quality", "quality", 20, (0.0, 110000.0), TIES)
     return stages["efficiency"].select("bin", "passed", "total")
@@ -415,7 +463,9 @@ def lumi_db(t):
     return d.select("process_type", "condition", "value", F.round("stat", 8).alias("stat"), F.round("syst", 8).alias("syst"))
 
 
-@query(f"SELECT process, CASE WHEN contains(x, '4s') THEN CASE WHEN contains(x, 'off') THEN '4S_offres' ELSE '4S_on' END WHEN contains(x, '5s') THEN '5S_scan' ELSE '4S_on' END AS condition, CASE WHEN contains(lower(process), 'data') THEN 'DATA' WHEN contains(lower(process), 'prompt') THEN 'MC_PROMPT' ELSE 'MC_PROC' END AS kind FROM (SELECT process, trim(replace(lower(process), 'mc', '')) AS x FROM {_NAMES_SQL})")
+@query(
+    f"SELECT process, CASE WHEN contains(x, '4s') THEN CASE WHEN contains(x, 'off') THEN '4S_offres' ELSE '4S_on' END WHEN contains(x, '5s') THEN '5S_scan' ELSE '4S_on' END AS condition, CASE WHEN contains(lower(process), 'data') THEN 'DATA' WHEN contains(lower(process), 'prompt') THEN 'MC_PROMPT' ELSE 'MC_PROC' END AS kind FROM (SELECT process, trim(replace(lower(process), 'mc', '')) AS x FROM {_NAMES_SQL})",
+)
 def energy_condition(t):
     n = F.col("process")
     return _names(t).select("process", luminosity.energy_condition(n).alias("condition"), luminosity.data_type(n).alias("kind"))
@@ -501,7 +551,9 @@ SELECT process, CASE WHEN f THEN lower(regexp_extract(process, '{_FULL}', 3, 'i'
 FROM n LEFT JOIN m USING (process)"""
 
 
-@query(f"SELECT process, physics, condition, found, round(value, 6) AS value, round(stat, 6) AS stat, round(syst, 6) AS syst FROM ({_lookup_sql(_PARSED, 'process, physics, condition')})")
+@query(
+    f"SELECT process, physics, condition, found, round(value, 6) AS value, round(stat, 6) AS stat, round(syst, 6) AS syst FROM ({_lookup_sql(_PARSED, 'process, physics, condition')})",
+)
 def batch_lookup(t):
     """Names that are parsed first."""
     found = luminosity.batch_lookup(t.spark, NAMES)
@@ -522,10 +574,16 @@ def lumi_consistency(t):
     return luminosity.consistency(rows, "condition", "lumi").select("process_type", "condition", F.round("deviation", 8).alias("deviation"), "consistent")
 
 
-@query("SELECT o_orderkey, round(0.25 * o_totalprice * sqrt(pow(10 / nullif(o_totalprice, 0), 2) + 0.0004), 6) AS p, round(sqrt(100 + pow(o_totalprice * 0.01, 2)), 6) AS u FROM orders")
+@query(
+    "SELECT o_orderkey, round(0.25 * o_totalprice * sqrt(pow(10 / nullif(o_totalprice, 0), 2) + 0.0004), 6) AS p, round(sqrt(100 + pow(o_totalprice * 0.01, 2)), 6) AS u FROM orders",
+)
 def lumi_propagate(t):
     x = F.col("o_totalprice")
-    return t.orders.select("o_orderkey", F.round(luminosity.propagate(x, F.lit(10.0), F.lit(0.25)), 6).alias("p"), F.round(luminosity.total_uncertainty(x, F.lit(10.0), 0.01), 6).alias("u"))
+    return t.orders.select(
+        "o_orderkey",
+        F.round(luminosity.propagate(x, F.lit(10.0), F.lit(0.25)), 6).alias("p"),
+        F.round(luminosity.total_uncertainty(x, F.lit(10.0), 0.01), 6).alias("u"),
+    )
 
 
 @query(f"SELECT process FROM {_NAMES_SQL} WHERE starts_with(lower(process), 'test_')")
@@ -552,13 +610,17 @@ def efficiency_rows(t):
     return histogram.hist_passed(t.lineitem, "l_extendedprice", F.col("l_quantity") > 30, 20, (0.0, 110000.0))
 
 
-@query(f"SELECT bin, round(greatest(m - h, 0), 8) AS lower, round(least(m + h, 1), 8) AS upper FROM (SELECT bin, (k + {_Z * _Z / 2!r}::DOUBLE) / (n + {_Z * _Z!r}::DOUBLE) AS m, {_Z!r}::DOUBLE * n / (n + {_Z * _Z!r}::DOUBLE) * sqrt(k / n * (1 - k / n) / n + {_Z * _Z / 4!r}::DOUBLE / (n * n)) AS h FROM ({_EFF}))")
+@query(
+    f"SELECT bin, round(greatest(m - h, 0), 8) AS lower, round(least(m + h, 1), 8) AS upper FROM (SELECT bin, (k + {_Z * _Z / 2!r}::DOUBLE) / (n + {_Z * _Z!r}::DOUBLE) AS m, {_Z!r}::DOUBLE * n / (n + {_Z * _Z!r}::DOUBLE) * sqrt(k / n * (1 - k / n) / n + {_Z * _Z / 4!r}::DOUBLE / (n * n)) AS h FROM ({_EFF}))",
+)
 def wilson(t):
     lo, hi = statistics.wilson(F.col("k"), F.col("n"))
     return _eff(t).select("bin", F.round(lo, 8).alias("lower"), F.round(hi, 8).alias("upper"))
 
 
-@query(f"SELECT bin, round(greatest(p - h, 0), 8) AS lower, round(least(p + h, 1), 8) AS upper FROM (SELECT bin, p, {_Z!r}::DOUBLE * sqrt(p * (1 - p) / (n + {_Z * _Z!r}::DOUBLE)) AS h FROM (SELECT bin, n, (k + {_Z * _Z / 2!r}::DOUBLE) / (n + {_Z * _Z!r}::DOUBLE) AS p FROM ({_EFF})))")
+@query(
+    f"SELECT bin, round(greatest(p - h, 0), 8) AS lower, round(least(p + h, 1), 8) AS upper FROM (SELECT bin, p, {_Z!r}::DOUBLE * sqrt(p * (1 - p) / (n + {_Z * _Z!r}::DOUBLE)) AS h FROM (SELECT bin, n, (k + {_Z * _Z / 2!r}::DOUBLE) / (n + {_Z * _Z!r}::DOUBLE) AS p FROM ({_EFF})))",
+)
 def agresti_coull(t):
     lo, hi = statistics.agresti_coull(F.col("k"), F.col("n"))
     return _eff(t).select("bin", F.round(lo, 8).alias("lower"), F.round(hi, 8).alias("upper"))
@@ -618,7 +680,12 @@ def interval_methods(t):
     return kept.groupBy("bin").agg(F.count(F.lit(1)).alias("methods"))
 
 
-_WEIGHED = dense_sql(f"SELECT {_EB} AS bin, 1 - l_discount AS w FROM lineitem", 20, sums="sum(w) AS sumw, sum(w * w) AS sumw2", columns="coalesce(sumw, 0) AS sumw, coalesce(sumw2, 0) AS sumw2")
+_WEIGHED = dense_sql(
+    f"SELECT {_EB} AS bin, 1 - l_discount AS w FROM lineitem",
+    20,
+    sums="sum(w) AS sumw, sum(w * w) AS sumw2",
+    columns="coalesce(sumw, 0) AS sumw, coalesce(sumw2, 0) AS sumw2",
+)
 _EFFECTIVE = "coalesce(sumw * sumw / nullif(sumw2, 0), 0) + 0.5, 1"
 
 
@@ -635,7 +702,9 @@ def bootstrap(t):
     return statistics.bootstrap_mean(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", key="o_orderkey")
 
 
-@query("SELECT o_orderkey, round(sqrt(pow(o_totalprice * 0.02 , 2) + pow(o_totalprice * 0.01, 2)), 6) AS syst, round(sqrt(pow(o_totalprice * 0.02, 2) + pow(o_totalprice * 0.01, 2) + 25), 6) AS total FROM orders")
+@query(
+    "SELECT o_orderkey, round(sqrt(pow(o_totalprice * 0.02 , 2) + pow(o_totalprice * 0.01, 2)), 6) AS syst, round(sqrt(pow(o_totalprice * 0.02, 2) + pow(o_totalprice * 0.01, 2) + 25), 6) AS total FROM orders",
+)
 def systematics(t):
     x = F.col("o_totalprice")
     df = t.orders.withColumns({"up": x * 1.02, "down": x * 0.99, "stat": F.lit(5.0)})
@@ -683,4 +752,8 @@ def gen_synthetic(t):
     """Made-up events, as many as the orders ask for."""
     from ..sources.synthetic import generate_all
 
-    return generate_all(t.spark, t.orders.count() / 1_500_000).groupBy("process").agg(F.count(F.lit(1)).alias("events"), F.round(F.avg("mu1P"), 6).alias("p"), F.round(F.avg("m2Recoil"), 6).alias("m2"))
+    return generate_all(t.spark, t.orders.count() / 1_500_000).groupBy("process").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.round(F.avg("mu1P"), 6).alias("p"),
+        F.round(F.avg("m2Recoil"), 6).alias("m2"),
+    )

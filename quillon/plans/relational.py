@@ -96,12 +96,27 @@ def mask_column(t):
     return o[o["dear"]].select(["o_orderkey"]).df
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 * l_quantity AS a, 1 - l_tax AS b, round(100 / nullif(l_quantity, 0), 6) AS c, -l_quantity AS d, pow(2, l_tax) AS e, l_quantity - 7 * floor(l_quantity / 7) AS f, floor(l_quantity / 7)::BIGINT AS g, (l_tax > 0.02 AND l_quantity > 10) AND NOT l_discount > 0.05 AS h FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2 * l_quantity AS a, 1 - l_tax AS b, round(100 / nullif(l_quantity, 0), 6) AS c, -l_quantity AS d, pow(2, l_tax) AS e, l_quantity - 7 * floor(l_quantity / 7) AS f, floor(l_quantity / 7)::BIGINT AS g, (l_tax > 0.02 AND l_quantity > 10) AND NOT l_discount > 0.05 AS h FROM lineitem",
+)
 def f_reflected(t):
     x = LazyTable(t.lineitem)
     q, tax, less = x["l_quantity"], x["l_tax"], x["l_discount"]
     both = (tax > 0.02) & (q > 10) & ~(less > 0.05)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (2 * q).alias("a"), (1 - tax).alias("b"), F.round(100 / q, 6).alias("c"), (-q).alias("d"), (2**tax).alias("e"), (q % 7).alias("f"), (q // 7).alias("g"), both.alias("h"))
+    return t.lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        (2 * q).alias("a"),
+        (1 - tax).alias("b"),
+        F.round(100 / q, 6).alias("c"),
+        (-q).alias("d"),
+        (2**tax).alias("e"),
+        (q % 7).alias("f"),
+        (q // 7).alias("g"),
+        both.alias("h"),
+    )
 
 
 @query("SELECT round(sum(l_quantity), 4) AS total, round(avg(l_quantity), 6) AS mean, min(l_tax) AS least, max(l_tax) AS most, round(stddev_samp(l_tax), 8) AS std FROM lineitem")
@@ -210,9 +225,14 @@ def q_arith(t):
     return _rows(t, "(l_partkey + 3) % 5 == 2 & l_quantity // 7 == 3 & l_tax ** 2 < 0.0016 & -l_discount < -0.01 & l_extendedprice / l_quantity > 1000")
 
 
-@query(_L + "abs(l_quantity - 25) < 5 AND sqrt(l_extendedprice) > 150 AND ln(l_quantity) > 3 AND sin(l_tax) < 0.05 AND cos(l_tax) > 0.99 AND floor(l_quantity / 2) > 10 AND ceil(l_discount * 10) >= 1 AND exp(l_tax) > 1.01 AND tan(l_tax) < 0.07 AND least(l_tax, l_discount) > 0.01 AND greatest(l_tax, l_discount) < 0.09 AND round(l_quantity / 4, 0) > 3")
+@query(
+    _L + "abs(l_quantity - 25) < 5 AND sqrt(l_extendedprice) > 150 AND ln(l_quantity) > 3 AND sin(l_tax) < 0.05 AND cos(l_tax) > 0.99 AND floor(l_quantity / 2) > 10 AND ceil(l_discount * 10) >= 1 AND exp(l_tax) > 1.01 AND tan(l_tax) < 0.07 AND least(l_tax, l_discount) > 0.01 AND greatest(l_tax, l_discount) < 0.09 AND round(l_quantity / 4, 0) > 3",
+)
 def q_math(t):
-    return _rows(t, "abs(l_quantity - 25) < 5 & sqrt(l_extendedprice) > 150 & log(l_quantity) > 3 & sin(l_tax) < 0.05 & cos(l_tax) > 0.99 & floor(l_quantity / 2) > 10 & ceil(l_discount * 10) >= 1 & exp(l_tax) > 1.01 & tan(l_tax) < 0.07 & min(l_tax, l_discount) > 0.01 & max(l_tax, l_discount) < 0.09 & round(l_quantity / 4, 0) > 3")
+    return _rows(
+        t,
+        "abs(l_quantity - 25) < 5 & sqrt(l_extendedprice) > 150 & log(l_quantity) > 3 & sin(l_tax) < 0.05 & cos(l_tax) > 0.99 & floor(l_quantity / 2) > 10 & ceil(l_discount * 10) >= 1 & exp(l_tax) > 1.01 & tan(l_tax) < 0.07 & min(l_tax, l_discount) > 0.01 & max(l_tax, l_discount) < 0.09 & round(l_quantity / 4, 0) > 3",
+    )
 
 
 @query(
@@ -249,13 +269,28 @@ def q_const_bool(t):
 @query("SELECT event_id, year(ts)::INT AS y, month(ts)::INT AS mo, day(ts)::INT AS d, hour(ts)::INT AS h, minute(ts)::INT AS mi, second(ts)::INT AS s FROM events")
 def f_datetime(t):
     part = lambda p: scalar.date_part(F.col("ts"), p)
-    return t.events.select("event_id", part("year").alias("y"), part("month").alias("mo"), part("day").alias("d"), part("hour").alias("h"), part("minute").alias("mi"), part("second").alias("s"))
+    return t.events.select(
+        "event_id",
+        part("year").alias("y"),
+        part("month").alias("mo"),
+        part("day").alias("d"),
+        part("hour").alias("h"),
+        part("minute").alias("mi"),
+        part("second").alias("s"),
+    )
 
 
 @query("SELECT p_partkey, lower(p_name) AS lo, upper(p_brand) AS up, trim(p_type) AS st, regexp_matches(p_name, 'a') AS has, starts_with(p_brand, 'B') AS b FROM part")
 def f_string(t):
     p = LazyTable(t.part)
-    return t.part.select("p_partkey", p["p_name"].lower().alias("lo"), p["p_brand"].upper().alias("up"), p["p_type"].strip().alias("st"), p["p_name"].contains("a").alias("has"), p["p_brand"].startswith("B").alias("b"))
+    return t.part.select(
+        "p_partkey",
+        p["p_name"].lower().alias("lo"),
+        p["p_brand"].upper().alias("up"),
+        p["p_type"].strip().alias("st"),
+        p["p_name"].contains("a").alias("has"),
+        p["p_brand"].startswith("B").alias("b"),
+    )
 
 
 @query("SELECT o_orderkey, round(acos(least(greatest(o_totalprice / 100000 - 1, -1), 1)), 6) AS a, round(sin(o_totalprice), 6) AS s, round(cos(o_totalprice), 6) AS c FROM orders")
@@ -264,12 +299,20 @@ def f_trig_clip(t):
     return t.orders.select("o_orderkey", F.round(F.acos(scalar.clip(x / 100000 - 1, -1.0, 1.0)), 6).alias("a"), F.round(F.sin(x), 6).alias("s"), F.round(F.cos(x), 6).alias("c"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN -1.0 WHEN o_custkey % 4 = 1 THEN NULL ELSE o_totalprice END AS v, least(CASE WHEN o_custkey % 4 <> 1 THEN o_totalprice END, o_custkey::DOUBLE) AS m, o_totalprice BETWEEN 1000 AND 50000 AS b, CASE WHEN o_totalprice > 90000 THEN 'high' ELSE 'low' END AS w FROM orders")
+@query(
+    "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN -1.0 WHEN o_custkey % 4 = 1 THEN NULL ELSE o_totalprice END AS v, least(CASE WHEN o_custkey % 4 <> 1 THEN o_totalprice END, o_custkey::DOUBLE) AS m, o_totalprice BETWEEN 1000 AND 50000 AS b, CASE WHEN o_totalprice > 90000 THEN 'high' ELSE 'low' END AS w FROM orders",
+)
 def f_nan_min_when(t):
     k = F.col("o_custkey") % 4
     x = F.when(k == 0, F.lit(math.nan)).when(k != 1, F.col("o_totalprice"))
     m = scalar.min_horizontal(F.when(k != 1, F.col("o_totalprice")), F.col("o_custkey").cast("double"))
-    return t.orders.select("o_orderkey", scalar.fill_nan(x, -1.0).alias("v"), m.alias("m"), scalar.is_between(F.col("o_totalprice"), 1000, 50000).alias("b"), F.when(F.col("o_totalprice") > 90000, "high").otherwise("low").alias("w"))
+    return t.orders.select(
+        "o_orderkey",
+        scalar.fill_nan(x, -1.0).alias("v"),
+        m.alias("m"),
+        scalar.is_between(F.col("o_totalprice"), 1000, 50000).alias("b"),
+        F.when(F.col("o_totalprice") > 90000, "high").otherwise("low").alias("w"),
+    )
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name)::INT AS d FROM nation a, nation b WHERE levenshtein(a.n_name, b.n_name) <= 1")
@@ -281,14 +324,31 @@ def f_levenshtein(t):
 
 @query("SELECT o_orderkey, floor(o_totalprice)::INT AS i, o_orderkey::VARCHAR AS s, TRY_CAST(o_orderpriority AS INT) AS bad FROM orders")
 def f_cast(t):
-    return t.orders.select("o_orderkey", F.floor("o_totalprice").cast("int").alias("i"), scalar.cast(F.col("o_orderkey"), "string").alias("s"), scalar.cast(F.col("o_orderpriority"), "int", lenient=True).alias("bad"))
+    return t.orders.select(
+        "o_orderkey",
+        F.floor("o_totalprice").cast("int").alias("i"),
+        scalar.cast(F.col("o_orderkey"), "string").alias("s"),
+        scalar.cast(F.col("o_orderpriority"), "int", lenient=True).alias("bad"),
+    )
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + l_tax AS a, l_quantity - l_tax AS s, l_quantity * l_tax AS m, round(l_quantity / nullif(l_tax, 0), 6) AS d, pow(l_tax, 2) AS p FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + l_tax AS a, l_quantity - l_tax AS s, l_quantity * l_tax AS m, round(l_quantity / nullif(l_tax, 0), 6) AS d, pow(l_tax, 2) AS p FROM lineitem",
+)
 def f_arith(t):
     x = LazyTable(t.lineitem)
     q, y = x["l_quantity"], x["l_tax"]
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (q + y).alias("a"), (q - y).alias("s"), (q * y).alias("m"), F.round(q / y, 6).alias("d"), (y**2).alias("p"))
+    return t.lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        (q + y).alias("a"),
+        (q - y).alias("s"),
+        (q * y).alias("m"),
+        F.round(q / y, 6).alias("d"),
+        (y**2).alias("p"),
+    )
 
 
 # --- joins ----------------------------------------------------------------------
@@ -301,9 +361,17 @@ def _big(t):
 
 
 def _join_query(how: str, sql_how: str):
-    @query(f"SELECT coalesce(c.c_custkey, o.o_custkey) AS c_custkey, c_name, coalesce(o_orderkey, -1) AS o_orderkey FROM customer c {sql_how} JOIN {_BIG} o ON c.c_custkey = o.o_custkey", name=f"join_{how}")
+    @query(
+        f"SELECT coalesce(c.c_custkey, o.o_custkey) AS c_custkey, c_name, coalesce(o_orderkey, -1) AS o_orderkey FROM customer c {sql_how} JOIN {_BIG} o ON c.c_custkey = o.o_custkey",
+        name=f"join_{how}",
+    )
     def run(t):
-        return joins.join(t.customer.select("c_custkey", "c_name"), _big(t).select("c_custkey", "o_orderkey"), "c_custkey", how).withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1)))
+        return joins.join(
+            t.customer.select("c_custkey", "c_name"),
+            _big(t).select("c_custkey", "o_orderkey"),
+            "c_custkey",
+            how,
+        ).withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1)))
 
 
 for _how, _sql in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
@@ -369,7 +437,10 @@ def groupby_count(t):
 
 @query("SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity_mean, round(avg(l_tax), 6) AS l_tax_mean FROM lineitem GROUP BY ALL")
 def groupby_mean(t):
-    return LazyTable(t.lineitem).groupby("l_returnflag").mean("l_quantity", "l_tax").df.select("l_returnflag", *[F.round(f"l_{c}_mean", 6).alias(f"l_{c}_mean") for c in ("quantity", "tax")])
+    return LazyTable(t.lineitem).groupby("l_returnflag").mean("l_quantity", "l_tax").df.select(
+        "l_returnflag",
+        *[F.round(f"l_{c}_mean", 6).alias(f"l_{c}_mean") for c in ("quantity", "tax")],
+    )
 
 
 @query("SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice_sum FROM orders GROUP BY ALL")
@@ -377,13 +448,17 @@ def groupby_sum(t):
     return LazyTable(t.orders).groupby("o_orderstatus").sum("o_totalprice").df.withColumn("o_totalprice_sum", F.round("o_totalprice_sum", 2))
 
 
-@query("SELECT event_type, round(sum(value), 4) AS value_sum, round(avg(value), 6) AS value_mean, count(*) AS value_count, min(value) AS value_min, max(value) AS value_max, round(stddev_samp(value), 6) AS value_std FROM events GROUP BY ALL")
+@query(
+    "SELECT event_type, round(sum(value), 4) AS value_sum, round(avg(value), 6) AS value_mean, count(*) AS value_count, min(value) AS value_min, max(value) AS value_max, round(stddev_samp(value), 6) AS value_std FROM events GROUP BY ALL",
+)
 def groupby_dict_agg(t):
     g = aggregate.group_dict(t.events, ["event_type"], {"value": ["sum", "mean", "count", "min", "max", "std"]})
     return g.withColumns({"value_sum": F.round("value_sum", 4), "value_mean": F.round("value_mean", 6), "value_std": F.round("value_std", 6)})
 
 
-@query("SELECT event_type, round(var_samp(value), 4) AS value_var, median(value) AS value_median, count(value) AS value_count FROM (SELECT event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events) GROUP BY ALL")
+@query(
+    "SELECT event_type, round(var_samp(value), 4) AS value_var, median(value) AS value_median, count(value) AS value_count FROM (SELECT event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events) GROUP BY ALL",
+)
 def groupby_dict_agg2(t):
     df = t.events.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
     return aggregate.group_dict(df, ["event_type"], {"value": ["var", "median", "count"]}, count_rows=False).withColumn("value_var", F.round("value_var", 4))
@@ -392,7 +467,10 @@ def groupby_dict_agg2(t):
 def _agg_query(op: str, f: str):
     @query(f"SELECT round({f}(l_quantity), 4) AS l_quantity, round({f}(l_extendedprice), 4) AS l_extendedprice FROM lineitem", name=f"agg_{op}")
     def run(t):
-        return aggregate.agg_frame(t.lineitem, op, ["l_quantity", "l_extendedprice"]).select(F.round("l_quantity", 4).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"))
+        return aggregate.agg_frame(t.lineitem, op, ["l_quantity", "l_extendedprice"]).select(
+            F.round("l_quantity", 4).alias("l_quantity"),
+            F.round("l_extendedprice", 4).alias("l_extendedprice"),
+        )
 
 
 for _op, _f in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_samp")):
@@ -404,7 +482,12 @@ def agg_count(t):
     return aggregate.agg_frame(t.lineitem, "count")
 
 
-@query("SELECT q, round(quantile_cont(l_extendedprice, q), 6) AS price, quantile_cont(l_quantity, q) AS quantity FROM lineitem, (VALUES (0.01), (0.25), (0.5), (0.99)) v(q) GROUP BY q".replace("quantile_cont(l_extendedprice, q)", "CASE q WHEN 0.01 THEN quantile_cont(l_extendedprice, 0.01) WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.99) END").replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.01 THEN quantile_cont(l_quantity, 0.01) WHEN 0.25 THEN quantile_cont(l_quantity, 0.25) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.99) END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"))
+@query(
+    "SELECT q, round(quantile_cont(l_extendedprice, q), 6) AS price, quantile_cont(l_quantity, q) AS quantity FROM lineitem, (VALUES (0.01), (0.25), (0.5), (0.99)) v(q) GROUP BY q".replace(
+        "quantile_cont(l_extendedprice, q)",
+        "CASE q WHEN 0.01 THEN quantile_cont(l_extendedprice, 0.01) WHEN 0.25 THEN quantile_cont(l_extendedprice, 0.25) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.99) END",
+    ).replace("quantile_cont(l_quantity, q)", "CASE q WHEN 0.01 THEN quantile_cont(l_quantity, 0.01) WHEN 0.25 THEN quantile_cont(l_quantity, 0.25) WHEN 0.5 THEN quantile_cont(l_quantity, 0.5) ELSE quantile_cont(l_quantity, 0.99) END").replace("SELECT q,", "SELECT q::DOUBLE AS q,"),
+)
 def quantiles_refined(t):
     """Exact quantiles by refining counts, as for tables of which no buffer may hold all values."""
     at = (0.01, 0.25, 0.5, 0.99)
@@ -422,7 +505,11 @@ def describe(t):
 
 
 #: One group has most rows, and one key is null.
-_HOT = ("CASE WHEN l_orderkey % 10 < 7 THEN 'hot' WHEN l_orderkey % 10 < 9 THEN l_returnflag END AS g", "l_extendedprice AS price", "CASE WHEN l_linenumber <> 3 THEN l_tax - 0.04 END AS tax")
+_HOT = (
+    "CASE WHEN l_orderkey % 10 < 7 THEN 'hot' WHEN l_orderkey % 10 < 9 THEN l_returnflag END AS g",
+    "l_extendedprice AS price",
+    "CASE WHEN l_linenumber <> 3 THEN l_tax - 0.04 END AS tax",
+)
 
 
 @query(f"SELECT g, median(price) AS price_median, round(median(tax), 9) AS tax_median, count(tax) AS tax_count FROM (SELECT {', '.join(_HOT)} FROM lineitem) GROUP BY g")
@@ -453,7 +540,9 @@ def minmax_unique(t):
 _W = "sum(1 - l_discount) AS w, sum(pow(1 - l_discount, 2)) AS ww, sum((1 - l_discount) * l_quantity) AS wx, sum((1 - l_discount) * l_quantity * l_quantity) AS wxx"
 
 
-@query(f"SELECT l_returnflag, round(wx / w, 6) AS mean, round(w * w / ww, 4) AS n_eff, round((wxx / w - pow(wx / w, 2)) * (w * w / ww) / (w * w / ww - 1), 5) AS var FROM (SELECT l_returnflag, {_W} FROM lineitem GROUP BY ALL)")
+@query(
+    f"SELECT l_returnflag, round(wx / w, 6) AS mean, round(w * w / ww, 4) AS n_eff, round((wxx / w - pow(wx / w, 2)) * (w * w / ww) / (w * w / ww - 1), 5) AS var FROM (SELECT l_returnflag, {_W} FROM lineitem GROUP BY ALL)",
+)
 def weighted_mean_var(t):
     m = aggregate.weighted_moments(t.lineitem.withColumn("w", 1 - F.col("l_discount")), "l_quantity", "w", ["l_returnflag"])
     return m.select("l_returnflag", F.round("mean", 6).alias("mean"), F.round("n_eff", 4).alias("n_eff"), F.round("var", 5).alias("var"))

@@ -302,7 +302,11 @@ def discover_by_type(spark: SparkSession, directories: tuple[str | None, str | N
     of the plain one, else all below the plain one. Of these the first that fit.
     """
     words, (prefixed, plain) = FILE_KINDS[kind], directories
-    places = [(prefixed, "combined", lambda f, w: "combined" in f.name and w in f.name), (plain, "subtasks", lambda f, w: f.parts[-2] == "subtasks" and w in f.name), (plain, "fallback", lambda f, w: w in f.name)]
+    places = [
+        (prefixed, "combined", lambda f, w: "combined" in f.name and w in f.name),
+        (plain, "subtasks", lambda f, w: f.parts[-2] == "subtasks" and w in f.name),
+        (plain, "fallback", lambda f, w: w in f.name),
+    ]
     for base, how, fits in places:
         there = listing(spark, base, "*.parquet") if base else []
         for word in words:
