@@ -34,10 +34,14 @@ def edges(lo: float, hi: float, bins: int) -> np.ndarray:
     return np.linspace(lo, hi, bins + 1)
 
 
+def bin_within(x: Column, lo: float, hi: float, bins: int) -> Column:
+    """Bin of an x that is known to be in [lo, hi]."""
+    return F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int"), F.lit(bins - 1))
+
+
 def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Bin of x, null outside [lo, hi]."""
-    at = F.floor((x - F.lit(lo)) / F.lit((hi - lo) / bins)).cast("int")
-    return F.when((x >= lo) & (x <= hi), F.least(at, F.lit(bins - 1)))
+    return F.when((x >= lo) & (x <= hi), bin_within(x, lo, hi, bins))
 
 
 def default_range(column: str, table: Mapping[str, tuple[float, float]] = RANGES) -> tuple[float, float] | None:
@@ -91,10 +95,15 @@ def hist(
     lo, hi = map(float, range or range_of(df, column))
     x = F.col(column).cast("double")
     w = F.lit(1.0) if weights is None else (F.col(weights) if isinstance(weights, str) else weights).cast("double")
-    rows = df.where(finite(F.col(column))).select(*by, bin_index(x, lo, hi, bins).alias("bin"), w.alias("_w"))
+    if by or density == "all":
+        rows = df.where(finite(F.col(column))).select(*by, bin_index(x, lo, hi, bins).alias("bin"), w.alias("_w"))
+    else:
+        # No row outside the range counts: the range goes to the file scan, and NaN, infinite and null values with it.
+        rows = df.where((x >= lo) & (x <= hi)).select(bin_within(x, lo, hi, bins).alias("bin"), w.alias("_w"))
     if weights is not None:
         rows = rows.where(finite(F.col("_w")))
-    sums = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"), F.sum("_w").alias("sumw"), F.sum(F.col("_w") * F.col("_w")).alias("sumw2"))
+    weight, square = (F.sum("_w"), F.sum(F.col("_w") * F.col("_w"))) if weights is not None else (F.count(F.lit(1)).cast("double"),) * 2
+    sums = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"), weight.alias("sumw"), square.alias("sumw2"))
     keys = sums.select(*by).distinct() if by else df.sparkSession.range(1).select()
     every = keys.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     named = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), "count", "sumw", "sumw2")
