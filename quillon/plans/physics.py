@@ -654,11 +654,27 @@ def _interval_query(name, make, sql=None, digits=6):
 _EFF_KN = f"SELECT bin, k, n FROM ({_EFF})"
 _interval_query("clopper_pearson", lambda: statistics.clopper_pearson("k", "n"), _solved(_EFF_KN, "beta", "k, n - k + 1", "k + 1, n - k"))
 _interval_query("jeffreys", lambda: statistics.beta_interval("k", "n"), _solved(_EFF_KN, "beta", "k + 0.5, n - k + 0.5", "k + 0.5, n - k + 0.5"))
-_interval_query("uniform_hpd", lambda: statistics.beta_interval("k", "n", prior=(1.0, 1.0), shortest=True))
 _interval_query("poisson_exact", lambda: statistics.poisson_exact("k"), _solved(_EFF_KN, "gamma", "k, 1", "k + 1, 1", digits=3), 3)
 _interval_query("jeffreys_poisson", lambda: statistics.jeffreys_poisson("k"), _solved(_EFF_KN, "gamma", "k + 0.5, 1", "k + 0.5, 1", digits=3), 3)
 
 
+@query(f"SELECT bin, k, n, round({statistics.ONE_SIGMA!r}::DOUBLE, 5) AS mass, 0.0::DOUBLE AS gap FROM ({_EFF_KN})")
+def uniform_hpd(t):
+    """The mass of the shortest interval, by Simpson sums of the density, and by how much the log densities at its ends differ."""
+    found = _eff(t).withColumn("i", statistics.beta_interval("k", "n", prior=(1.0, 1.0), shortest=True))
+    norm = statistics.log_factorial(F.col("k")) + statistics.log_factorial(F.col("n") - F.col("k")) - statistics.log_factorial(F.col("n") + 1)
+    found = found.select("bin", "k", "n", "i.lower", "i.upper", norm.alias("norm"))
+    power = lambda times, x: F.when(times > 0, times * F.ln(x)).otherwise(0.0)
+    log_density = lambda x: power(F.col("k"), x) + power(F.col("n") - F.col("k"), 1 - x) - F.col("norm")
+    steps, width = 400, F.col("upper") - F.col("lower")
+    weight = lambda i: F.when(i.isin(0, steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    term = lambda total, i: total + weight(i) * F.exp(log_density(F.col("lower") + width * i / steps))
+    mass = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), term) * width / (3 * steps)
+    inside = (F.col("lower") > 1e-9) & (F.col("upper") < 1 - 1e-9)
+    gap = F.when(inside, F.abs(F.round(log_density(F.col("lower")) - log_density(F.col("upper")), 3))).otherwise(0.0)
+    return found.select("bin", "k", "n", F.round(mass, 5).alias("mass"), gap.alias("gap"))
+
+
 @query(f"SELECT bin, round({_Z * _Z / 2!r}::DOUBLE, 5) AS below, round({_Z * _Z / 2!r}::DOUBLE, 5) AS above FROM ({_EFF}) WHERE k > 0")
 def profile_likelihood(t):
     """By how much the log likelihood has dropped at both ends of the interval."""
