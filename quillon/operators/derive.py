@@ -79,8 +79,13 @@ def delta_simple(df: DataFrame, base: str, targets: Sequence[str]) -> DataFrame:
 
 
 def angular_separation(p: Column, p_theta: Column, p_phi: Column, e: Column, theta: Column, phi: Column) -> Column:
-    """Angle of a photon to the recoil; NaN where rounding leaves [-1, 1]."""
-    dot = sum((a * b for a, b in zip(_vector(p, p_theta, p_phi), _vector(e, theta, phi))), F.lit(0.0))
+    """Angle of a photon to the recoil; NaN where rounding leaves [-1, 1].
+
+    Products go from left to right, as in SQL: for a photon along the recoil another order decides otherwise between 0 and NaN.
+    """
+    x = p * F.sin(p_theta) * F.cos(p_phi) * e * F.sin(theta) * F.cos(phi)
+    y = p * F.sin(p_theta) * F.sin(p_phi) * e * F.sin(theta) * F.sin(phi)
+    dot = x + y + p * F.cos(p_theta) * e * F.cos(theta)
     return F.acos(safe_div(dot, p * e))
 
 
