@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
+from ..session import small
 from .fuzzy import near as fuzzy_near
 
 CONDITIONS = ("4S_on", "4S_offres", "5S_scan")
@@ -108,7 +109,7 @@ def data_type(name: Column) -> Column:
 def lumi_table(spark: SparkSession) -> DataFrame:
     """(process_type, condition, lumi)."""
     rows = [(p, c, v) for p, values in LUMI.items() for c, v in zip(CONDITIONS, values, strict=True)]
-    return spark.createDataFrame(rows, "process_type string, condition string, lumi double")
+    return small(spark, rows, "process_type string, condition string, lumi double")
 
 
 def database(spark: SparkSession) -> DataFrame:
@@ -116,7 +117,7 @@ def database(spark: SparkSession) -> DataFrame:
     rows = [("data", c, *v, None, 1.0) for c, v in DATA.items()]
     for p, (values, sigma, k) in DATABASE.items():
         rows += [(p, c, v, v / sqrt(max(int(v * sigma * 1e6), 1)), v * 0.02, sigma, k) for c, v in zip(CONDITIONS, values, strict=True)]
-    return spark.createDataFrame(rows, "process_type string, condition string, value double, stat double, syst double, cross_section double, k_factor double")
+    return small(spark, rows, "process_type string, condition string, value double, stat double, syst double, cross_section double, k_factor double")
 
 
 def weights(names: DataFrame, condition: str, name_col: str = "process") -> DataFrame:
@@ -156,7 +157,7 @@ def parse_names(names: DataFrame, name_col: str = "process") -> DataFrame:
     """
     spark = names.sparkSession
     known = [(f"{p}_{c}".lower(), p) for p in ("data", *DATABASE) for c in CONDITIONS] + [(a, t[0]) for a, t in ALIASES.items()] + [(p.lower(), p) for p in DATABASE]
-    table = spark.createDataFrame(known, "known string, target string")
+    table = small(spark, known, "known string, target string")
     name, low = F.col(name_col), F.lower(F.col(name_col))
     full, data = name.rlike(FULL_NAME), name.rlike(DATA_NAME)
     others = names.where(~(full | data)).select(low.alias("_low"))
@@ -286,7 +287,7 @@ def search_names(names: DataFrame, text: str, how: str = "prefix", distance: int
 
 
 def batch_lookup(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    return lookup(parse_names(spark.createDataFrame([(n,) for n in names], "process string")), type_col="data_type")
+    return lookup(parse_names(small(spark, [(n,) for n in names], "process string")), type_col="data_type")
 
 
 def mapping(rows: DataFrame, key: str, value: str) -> Mapping[str, float]:

@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import compile_query
 from ..functions.scalar import finite, safe_div
+from ..session import small
 from . import aggregate, derive, histogram, joins, selection
 from .luminosity import contains_any, first_match
 
@@ -202,14 +203,14 @@ class Processes:
         """(process): a row for each member, without a scan where names are known."""
         if self._names is None:
             return self.table.select("process").distinct()
-        return self.table.sparkSession.createDataFrame([(n,) for n in self._names], "process string")
+        return small(self.table.sparkSession, [(n,) for n in self._names], "process string")
 
     def groups(self) -> DataFrame:
         base = self._groups if self._groups is not None else classify(self._named())
         if not self.custom:
             return base
         rows = [(p, g) for g, members in self.custom.items() for p in members]
-        return base.unionByName(self.table.sparkSession.createDataFrame(rows, "process string, grp string"))
+        return base.unionByName(small(self.table.sparkSession, rows, "process string, grp string"))
 
     def members(self, group: str) -> list[str]:
         if group in self.custom:

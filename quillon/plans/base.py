@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load
+from ..session import load, small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +31,7 @@ class Tables:
         return self.lineitem.selectExpr(*[f"{e} AS `{c}`" for c, e in MUONS.items()])
 
     def rows(self, values: Sequence, schema: str) -> DataFrame:
-        return self.spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
+        return small(self.spark, [v if isinstance(v, tuple) else (v,) for v in values], schema)
 
 
 def query(sql: str | None = None, name: str | None = None):

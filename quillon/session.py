@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def session(name: str = "quillon", **conf: str) -> SparkSession:
@@ -18,5 +23,15 @@ def session(name: str = "quillon", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def small(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver has.
+
+    Handed over as Arrow, Spark knows its size and broadcasts it by itself; from Python rows it doesn't,
+    and a join would deal the other table by a key of which a few tasks get all rows.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.types)], schema=kinds))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

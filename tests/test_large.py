@@ -1,6 +1,9 @@
 """What only shows on large tables, on few rows."""
 
-from quillon.operators import derive
+from quillon.operators import derive, luminosity
+from quillon.operators.processes import Processes
+from quillon.plans.base import Tables
+from quillon.session import small
 
 
 def test_photon_along_the_recoil(spark):
@@ -10,3 +13,15 @@ def test_photon_along_the_recoil(spark):
     rows = [(1, 1, 5.181289499999999, *recoil, 0.1, *recoil), (1, 2, 1.3820000000000001, *recoil, 0.1, 0.8719999999999999, -1.3565000000000003), (1, 3, 1.181621, *recoil, 0.6, 1.612, -2.1825)]
     best = derive.best_photon(spark.createDataFrame(rows, columns), tiebreak=["partkey"]).collect()
     assert [r["partkey"] for r in best] == [3]
+
+
+def test_small_tables_are_broadcast(spark):
+    """Joins with processes' names, weights and files don't deal the large table by them."""
+    big = spark.range(100).selectExpr("concat('p', id % 2) AS process", "id").repartition(3)
+    weighted = luminosity.apply_weights(big, luminosity.weights(small(spark, [("p0",), ("p1",)], "process string"), "5S_scan"))
+    region = Tables(spark, "").rows([("p0", 1)], "process string, region int")
+    for joined in (weighted, Processes(big).apply("join", other=region, on="process")):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert weighted.count() == 100 and small(spark, [], "a string, b double").collect() == []
+    assert small(spark, [("x", None, 1), (None, 2, 3)], "a string, b double, c int").collect() == [("x", None, 1), (None, 2.0, 3)]
