@@ -14,17 +14,21 @@ from .base import EVENTS, Tables, query
 
 
 def _lay(t: Tables, df: DataFrame, paths: Mapping[str, str], column: str = "l_returnflag") -> str:
-    """A directory with a parquet file for each value of a column, at the paths that say where."""
-    base, fs = place(t.spark, "layout"), None
+    """A directory with parquet files for each value of a column, at the paths that say where; {} in a path is a file's number.
+
+    A value has a file from each task that reads the table, so none gets all rows of a value.
+    """
+    base = place(t.spark, "layout")
     hadoop = t.spark.sparkContext._jvm.org.apache.hadoop.fs
-    df.repartition(len(paths), column).write.partitionBy(column).parquet(f"{base}-parts")
+    fs = hadoop.Path(base).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
     for value, path in paths.items():
-        part = hadoop.Path(f"{base}-parts/{column}={value}")
-        fs = fs or part.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
-        to = hadoop.Path(f"{base}/{path}")
-        fs.mkdirs(to.getParent())
-        fs.rename(fs.globStatus(hadoop.Path(part, "part-*"))[0].getPath(), to)
-    fs.delete(hadoop.Path(f"{base}-parts"), True)
+        parts = hadoop.Path(f"{base}-parts")
+        df.where(F.col(column) == value).drop(column).write.parquet(parts.toString())
+        for k, part in enumerate(fs.globStatus(hadoop.Path(parts, "part-*"))):
+            to = hadoop.Path(f"{base}/{path.format(k)}")
+            fs.mkdirs(to.getParent())
+            fs.rename(part.getPath(), to)
+        fs.delete(parts, True)
     return base
 
 
@@ -37,7 +41,7 @@ def _lines(t: Tables) -> DataFrame:
 )
 def load_processes(t):
     """Files of a directory as processes, chosen by parts of their names; others aren't read."""
-    base = _lay(t, _lines(t), {"A": "mumu_A.parquet", "N": "tau_N.parquet", "R": "deep/ccbar_R.parquet"})
+    base = _lay(t, _lines(t), {"A": "{}/mumu_A.parquet", "N": "{}/tau_N.parquet", "R": "deep/{}/ccbar_R.parquet"})
     df = readers.load_process_dir(t.spark, base, only=["MuMu", "bar_r"])
     return df.groupBy("process").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
@@ -45,14 +49,14 @@ def load_processes(t):
 @query("SELECT CASE l_returnflag WHEN 'A' THEN 'data-5S' WHEN 'N' THEN 'mumu-5S' ELSE 'qqbar-off' END AS process, count(*) AS count FROM lineitem GROUP BY ALL")
 def load_flat(t):
     """Flat files that are named by process, resolution and kind."""
-    base = _lay(t, _lines(t), {"A": "data-5S_vpho.parquet", "N": "mc16-mumu-5S_vpho.parquet", "R": "mc16-qqbar-off_vpho.parquet"})
+    base = _lay(t, _lines(t), {"A": "{}/data-5S_vpho.parquet", "N": "{}/mc16-mumu-5S_vpho.parquet", "R": "{}/mc16-qqbar-off_vpho.parquet"})
     return Processes(readers.load_flat(t.spark, base, "vpho")).counts()
 
 
 @query("SELECT CASE l_returnflag WHEN 'A' THEN 'data-5S' ELSE 'mumu-5S' END AS process, count(*) AS count FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL")
 def load_flat_energy(t):
     """Of flat files only those of an energy condition."""
-    base = _lay(t, _lines(t), {"A": "data-5S_vpho.parquet", "N": "mc16-mumu-5S_vpho.parquet", "R": "mc16-qqbar-off_vpho.parquet"})
+    base = _lay(t, _lines(t), {"A": "{}/data-5S_vpho.parquet", "N": "{}/mc16-mumu-5S_vpho.parquet", "R": "{}/mc16-qqbar-off_vpho.parquet"})
     return Processes(readers.load_flat(t.spark, base, "vpho", "5S_scan")).counts()
 
 
@@ -62,7 +66,7 @@ def load_flat_energy(t):
 def load_particle(t):
     """Directories as processes: their files of a particle and energy condition, with the columns that it needs and weights."""
     rows = t.events_mu.withColumnRenamed("process", "kind").where("kind IN ('AF', 'NO', 'RF')")
-    base = _lay(t, rows, {"AF": "mc5S_mumu/a_vpho_1.parquet", "NO": "mc5S_taupair/b_vpho_1.parquet", "RF": "mc4S_mumu/c_vpho_1.parquet"}, "kind")
+    base = _lay(t, rows, {"AF": "mc5S_mumu/a_vpho_{}.parquet", "NO": "mc5S_taupair/b_vpho_{}.parquet", "RF": "mc4S_mumu/c_vpho_{}.parquet"}, "kind")
     df = readers.load_particle(t.spark, base, "vpho").where("lumi_weight > 0")
     return df.groupBy("process").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("mu1P"), 4).alias("momentum"))
 
@@ -72,7 +76,7 @@ def load_particle(t):
 )
 def load_samples(t):
     """Samples by quoted and plain directories, combined files and subtasks, with their groups."""
-    paths = {"A": "'sample_name=mumu_1'/deep/x_combined_vpho.parquet", "N": "ccbar_2/y_vpho.parquet", "R": "tau_3/subtasks/z_vpho.parquet"}
+    paths = {"A": "'sample_name=mumu_1'/deep/x_combined_vpho_{}.parquet", "N": "ccbar_2/y_vpho_{}.parquet", "R": "tau_3/subtasks/z_vpho_{}.parquet"}
     found = readers.load_samples(t.spark, _lay(t, _lines(t), paths), ["mumu_1", "ccbar_2", "tau_3"], "vpho", ["l_quantity"])
     return found.counts().join(found.groups().where("grp <> 'all'"), "process")
 
@@ -80,11 +84,12 @@ def load_samples(t):
 @query("SELECT CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'n' ELSE 'r' END AS name, count(*) AS rows, 'lacks [''nowhere'']' AS why FROM lineitem GROUP BY ALL")
 def validate_files(t):
     """Rows and missing columns of files, from their ends, one job for all."""
-    base = _lay(t, _lines(t), {"A": "a.parquet", "N": "n.parquet", "R": "r.parquet"})
+    base = _lay(t, _lines(t), {"A": "a/{}.parquet", "N": "n/{}.parquet", "R": "r/{}.parquet"})
     paths = [f.path for f in readers.listing(t.spark, base)]
     unfit = readers.validate_files(t.spark, paths, 1, required=["l_quantity", "nowhere"])
     why = t.rows([(p, w) for p, w in unfit.items()], "path string, why string")
-    return readers.count_rows(t.spark, paths).join(why, "path").select(F.regexp_extract("path", r"(\w+)\.parquet$", 1).alias("name"), "rows", "why")
+    found = readers.count_rows(t.spark, paths).join(why, "path").withColumn("name", F.regexp_extract("path", r"(\w+)/\w+\.parquet$", 1))
+    return found.groupBy("name", "why").agg(F.sum("rows").alias("rows"))
 
 
 @query("SELECT l_returnflag, count(*) AS count, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL")

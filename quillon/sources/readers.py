@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.expressions import compile_query, query_columns
 from ..operators import luminosity, processes, selection
+from ..session import small
 from . import files
 
 NULLS = ("", "NULL", "null", "NA", "N/A", "nan", "NaN")
@@ -185,7 +186,7 @@ def read_named(spark: SparkSession, by_name: dict[str, Sequence[str]]) -> DataFr
     if not rows:
         raise FileNotFoundError("no files")
     uri = lambda path: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
-    named = spark.createDataFrame([(name, uri(path)) for name, path in rows], "process string, _file string").withColumn("_file", _plain(F.col("_file")))
+    named = small(spark, [(name, uri(path)) for name, path in rows], "process string, _file string").withColumn("_file", _plain(F.col("_file")))
     df = spark.read.option("mergeSchema", "true").parquet(*dict.fromkeys(path for _, path in rows))
     df = df.withColumn("_file", _plain(F.col("_metadata.file_path")))
     # A file that two processes list has its rows in both.
@@ -240,7 +241,7 @@ def load_particle(spark: SparkSession, base: str, particle: str, columns: Sequen
         df = df.select(*[c for c in wanted if c in df.columns], "process")
     if fraction is not None:
         df = selection.hash_sample(df, fraction)
-    names = luminosity.weights(spark.createDataFrame([(n,) for n in sorted(found)], "process string"), condition)
+    names = luminosity.weights(small(spark, [(n,) for n in sorted(found)], "process string"), condition)
     return luminosity.apply_weights(df, names)
 
 
@@ -325,7 +326,7 @@ def load_samples(spark: SparkSession, base: str, names: Sequence[str], kind: str
     df = read_named(spark, {n: some for n, some in found.items() if some})
     if columns:
         df = df.select(*[c for c in columns if c in df.columns], "process")
-    groups = spark.createDataFrame([(n,) for n in found if n not in missing], "process string")
+    groups = small(spark, [(n,) for n in found if n not in missing], "process string")
     first = groups.select("process", processes.group_first(F.col("process")).alias("grp"))
     return processes.Processes(df, first.unionByName(groups.withColumn("grp", F.lit("all"))), names=[n for n in found if n not in missing])
 

@@ -2,8 +2,10 @@
 
 from quillon.operators import derive, luminosity
 from quillon.operators.processes import Processes
+from quillon.plans import loaders
 from quillon.plans.base import Tables
 from quillon.session import small
+from quillon.sources import readers
 
 
 def test_photon_along_the_recoil(spark):
@@ -25,3 +27,15 @@ def test_small_tables_are_broadcast(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert weighted.count() == 100 and small(spark, [], "a string, b double").collect() == []
     assert small(spark, [("x", None, 1), (None, 2, 3)], "a string, b double, c int").collect() == [("x", None, 1), (None, 2.0, 3)]
+
+
+def test_files_of_a_process(spark, tmp_path):
+    """Files are as many as the tasks that read the table, and no task gets all rows of a value."""
+    spark.range(4000).selectExpr("id", "CASE WHEN id % 10 < 9 THEN 'a' ELSE 'b' END AS k").repartition(8).write.parquet(str(tmp_path / "t.parquet"))
+    df = spark.read.parquet(str(tmp_path / "t.parquet")).repartition(8)
+    base = loaders._lay(Tables(spark, ""), df, {"a": "{}/a.parquet", "b": "b_{}.parquet"}, "k")
+    paths = [f.path for f in readers.listing(spark, base)]
+    rows = [r["rows"] for r in readers.count_rows(spark, paths).collect()]
+    assert len(rows) == 16 and sum(rows) == 4000 and max(rows) < 1000
+    named = readers.load_process_dir(spark, base, only=["a"])
+    assert named.count() == 3600 and "BroadcastHashJoin" in named._jdf.queryExecution().executedPlan().toString()
