@@ -109,6 +109,6 @@ def scan_arrow(t):
                     out.write_batch(batch)
             yield pa.RecordBatch.from_pydict({"done": [1]})
 
-    t.lineitem.repartition(3).withColumn("part", F.spark_partition_id()).mapInArrow(save, "done long").count()
+    t.lineitem.withColumn("part", F.spark_partition_id()).mapInArrow(save, "done long").count()
     df = readers.load_table(t.spark, path, ["l_returnflag", "l_quantity"])
     return df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("count"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

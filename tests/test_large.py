@@ -1,9 +1,12 @@
 """What only shows on large tables, on few rows."""
 
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 from quillon.operators import derive, luminosity
 from quillon.operators.processes import Processes
 from quillon.plans import loaders
-from quillon.plans.base import Tables
+from quillon.plans.base import QUERIES, Tables
 from quillon.session import small
 from quillon.sources import readers
 
@@ -39,3 +42,15 @@ def test_files_of_a_process(spark, tmp_path):
     assert len(rows) == 16 and sum(rows) == 4000 and max(rows) < 1000
     named = readers.load_process_dir(spark, base, only=["a"])
     assert named.count() == 3600 and "BroadcastHashJoin" in named._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrow_files_grow_with_the_table(spark, tmp_path):
+    """scan_arrow writes a file in each task that reads the table."""
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(9).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)
+    try:
+        df = QUERIES["scan_arrow"](spark, str(tmp_path))
+        at = sorted(Path(unquote(urlparse(spark.conf.get("spark.checkpoint.dir")).path)).glob("arrow-*"), key=lambda p: p.stat().st_mtime)[-1]
+        assert len(list(at.glob("*.arrow"))) == 9 and sum(r["count"] for r in df.collect()) == 6000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
