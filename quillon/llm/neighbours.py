@@ -8,7 +8,7 @@ nearest it has met, until a turn changes little. A query then walks the graph:
 it looks at the neighbours of the nearest points found so far that it hasn't
 looked at, until all that it keeps have been looked at. For a fixed set of queries
 the true nearest are found by comparing with every point, in blocks; while too
-few of them are among those kept, all queries keep twice as many and go on.
+few of them are among those kept, these queries keep twice as many; all others then walk with as many.
 
 Points are dealt by id into parts of bounded size. Lists of ids and vectors travel
 between parts as packed arrays, one row for each pair of parts, and each turn or
@@ -37,8 +37,8 @@ HUB = 32
 START, WAYS = 256, 3
 #: A turn that changes less than SETTLED of all neighbours is the last; so is one after TURNS for each doubling of the points.
 TURNS, SETTLED = 2, 0.02
-#: Nearest points found that a query keeps at first, and looks at in a step for that.
-BEAM, LOOK = 224, 56
+#: Nearest points found that a query keeps at first.
+BEAM = 224
 #: Queries compared with every point, and the share of their nearest that must be found.
 CHECKED, RECALL = 200, 0.95
 #: Nearest that a part of the meetings reports for a point.
@@ -360,11 +360,13 @@ class Graph:
     def search(self, queries: DataFrame, beam: int | None = None, look: int | None = None, k: int = 20, recall: float | None = None) -> DataFrame:
         """(query_id, id): for each query (query_id, vec, at) at least up to `beam` points found nearest.
 
-        at is the point from which the query starts, null if it isn't indexed. The
-        beam is doubled until `recall` of the checked queries' k nearest are in it,
-        or until it has room for every point; self.recall and self.beam tell how it ended.
+        at is the point from which the query starts, null if it isn't indexed. In a step a query looks at
+        `look` points, all that it keeps if none is said: a step goes through the whole graph, however few look.
+        The checked queries walk first, and the beam is doubled until `recall` of their k nearest are in it,
+        or until it has room for every point; all queries then walk with that beam. self.recall and self.beam tell how it ended.
         """
-        beam, look, recall = beam or max(BEAM, k + 1), look or LOOK, RECALL if recall is None else recall
+        beam, recall = beam or max(BEAM, k + 1), RECALL if recall is None else recall
+        look = look or beam
         dim, width, parts = self.dim, self.width, self.parts
         lists = self._lists()
         entries = np.array([r[0] for r in self.points.select("id").orderBy(F.xxhash64("id")).limit(ENTRIES).collect()], np.int64)
@@ -400,7 +402,8 @@ class Graph:
             for p in np.unique(dealt):
                 own = dealt == p
                 used, at = np.unique(row[own], return_inverse=True)
-                out.append(_row(p, "look", ids=ids[used], codes=x[used], mets=point[own], scales=at.astype(np.int64), flags=np.array([rows["part"].iloc[0]], np.int64)))
+                # With each query goes the score of the last in its beam, -inf while there is room: what is below it needn't come back.
+                out.append(_row(p, "look", ids=ids[used], codes=x[used], mets=point[own], scores=scores[used, -1], scales=at.astype(np.int64), flags=np.array([rows["part"].iloc[0]], np.int64)))
             return _frame(out)
 
         def visit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -416,11 +419,12 @@ class Graph:
             for r in rows[rows["kind"] == "look"].itertuples():
                 query, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.codes, np.float32).reshape(-1, dim)
                 at, who = np.searchsorted(ids, np.frombuffer(r.mets, np.int64)), np.frombuffer(r.scales, np.int64)
+                floor = np.frombuffer(r.scores, np.float32)
                 got = []
                 for lo in range(0, len(at), 2048):
                     a, w = at[lo : lo + 2048], who[lo : lo + 2048]
                     near = np.einsum("nkd,nd->nk", codes[a].astype(np.float32), x[w], optimize=True) * scales[a]
-                    here = mets[a] >= 0
+                    here = (mets[a] >= 0) & (near >= floor[w][:, None])
                     got.append((np.repeat(w, here.sum(1)), mets[a][here], near[here]))
                 w, m, v = map(np.concatenate, zip(*got))
                 keep = _best(w, m, v, beam)
@@ -450,7 +454,6 @@ class Graph:
             return _frame([_row(part, "beam", ids=ids, codes=x, mets=mets, scores=scores, flags=flags, scales=np.array([left], np.int64))])
 
         dealt = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-        beams = materialise(dealt.groupBy("part").applyInPandas(begin, _ROW), "ann-beams")
         truth = self._truth(queries, k)
 
         def counted(batches):
@@ -462,25 +465,22 @@ class Graph:
                     hits += sum(int(np.isin(truth[int(i)], m[v > -1e30]).sum()) for i, m, v in zip(ids, mets, scores) if int(i) in truth)
                 yield pd.DataFrame({"hits": [hits]})
 
-        def widen(rows: pd.DataFrame) -> pd.DataFrame:
-            """The same with room for twice as many."""
-            ids, x, mets, scores, flags = unpack(rows)
-            wide = lambda a, v: np.concatenate((a, np.full_like(a, v)), 1)
-            # All are looked at again: what fell out of the narrower beam has to be met once more.
-            return _frame([_row(rows["part"].iloc[0], "beam", ids=ids, codes=x, mets=wide(mets, -1), scores=wide(scores, -np.inf), flags=np.zeros((len(ids), 2 * beam), bool))])
-
-        while True:
-            while True:  # ends: what falls out of a beam doesn't come back
-                looks = beams.groupBy("part").applyInPandas(send, _ROW)
-                beams = materialise(self._by_part(advance, beams, self._by_part(visit, lists, looks)), "ann-beams")
-                if not beams.where("hex(scales) != '0000000000000000'").limit(1).count():
+        groups = [dealt]
+        if truth and queries.count() > len(truth):
+            groups.insert(0, dealt.where(F.col("query_id").isin(list(truth))))
+        for some in groups:
+            while True:
+                beams = materialise(some.groupBy("part").applyInPandas(begin, _ROW), "ann-beams")
+                while True:  # ends: what falls out of a beam doesn't come back
+                    looks = beams.groupBy("part").applyInPandas(send, _ROW)
+                    beams = materialise(self._by_part(advance, beams, self._by_part(visit, lists, looks)), "ann-beams")
+                    if not beams.where("hex(scales) != '0000000000000000'").limit(1).count():
+                        break
+                hits = beams.mapInPandas(counted, "hits long").agg(F.sum("hits")).first()[0] or 0
+                self.beam, self.recall = beam, hits / max(1, sum(map(len, truth.values()))) if truth else None
+                if not truth or self.recall >= recall or beam >= self.size:
                     break
-            hits = beams.mapInPandas(counted, "hits long").agg(F.sum("hits")).first()[0] or 0
-            self.beam, self.recall = beam, hits / max(1, sum(map(len, truth.values()))) if truth else None
-            if not truth or self.recall >= recall or beam >= self.size:
-                break
-            beams = materialise(beams.groupBy("part").applyInPandas(widen, _ROW), "ann-beams")
-            beam, look = 2 * beam, 2 * look
+                beam, look = 2 * beam, 2 * look
         if truth and self.recall < recall:
             warnings.warn(f"the graph search found {self.recall:.3f} of the checked queries' nearest, less than {recall}", stacklevel=2)
 

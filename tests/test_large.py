@@ -3,6 +3,9 @@
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+
+from quillon.llm import neighbours
 from quillon.operators import derive, luminosity
 from quillon.operators.processes import Processes
 from quillon.plans import loaders
@@ -54,3 +57,22 @@ def test_arrow_files_grow_with_the_table(spark, tmp_path):
         assert len(list(at.glob("*.arrow"))) == 9 and sum(r["count"] for r in df.collect()) == 6000
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_all_queries_walk_with_one_beam(spark, monkeypatch):
+    """The checked queries find how wide beams have to be; the others don't walk with narrower ones before."""
+    x = np.random.default_rng(3).normal(size=(1500, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    graph, seen = neighbours.Graph(rows, 16, width=8), set()
+
+    def watched(df, tag, kept=neighbours.materialise):
+        out = kept(df, tag)
+        if tag == "ann-beams":
+            some = out.selectExpr("sum(length(ids)) / 8 AS n", "max(length(mets) / length(ids)) AS width").first()
+            seen.add((some["n"] > neighbours.CHECKED, some["width"]))
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", watched)
+    found = graph.search(rows.where("id % 4 = 0").selectExpr("id AS query_id", "vec", "id AS at"), beam=24, recall=0.9).collect()
+    assert graph.recall >= 0.9 and graph.beam > 24 and len({r["query_id"] for r in found}) == 375
+    assert {width for many, width in seen if many} == {graph.beam} and (False, 24) in seen
