@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, nan_mean, nan_sum, safe_div
-from .quantiles import FEW, group_medians, group_quantiles
+from .quantiles import FEW, group_medians, group_quantiles, long_form
 
 #: Values that an exact quantile may hold in one buffer.
 BUFFER = 2_000_000
@@ -101,14 +101,14 @@ def column_stat(df: DataFrame, column: str, operation: str):
 def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], buffer: int = BUFFER) -> dict[str, list[float | None]]:
     """Exact quantiles of finite values, linear between ranks; None for a column without any.
 
-    Columns with `buffer` values, or about as many distinct ones, or fewer, together, are held in a buffer; more are found by rank.
+    Columns with `buffer` values or fewer together are held in a buffer; more are found by rank.
     """
     return _quantiles(df, columns, at, df.count() * len(columns), buffer)
 
 
 def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], values: int, buffer: int) -> dict[str, list[float | None]]:
     x = [F.when(finite(F.col(c)), F.col(c).cast("double")) for c in columns]
-    if values <= buffer or sum(df.agg(*map(F.approx_count_distinct, x)).first()) <= buffer:
+    if values <= buffer:
         shares = F.array(*map(F.lit, map(float, at)))
         got = df.agg(*[F.percentile(v, shares) for v in x]).first()
         return {c: list(v) if v is not None else [None] * len(at) for c, v in zip(columns, got)}
@@ -118,22 +118,23 @@ def _quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], value
     return out
 
 
+def _stats(x: str) -> list[Column]:
+    named = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+    return [F.count(x).alias("count"), F.count_if(F.col(x).isNull()).alias("null_count"), *[f(x).alias(name) for name, f in named]]
+
+
 def describe(df: DataFrame, columns: Sequence[str] = (), buffer: int = BUFFER) -> DataFrame:
     """(column, count, null_count, mean, std, min, q25, q50, q75, max) over all rows; quartiles exact, of finite values.
 
-    Two passes where the columns have `buffer` values at most, else one for the number of distinct values and as many as the ranks need.
+    Two passes where the columns have `buffer` values at most, else one and as many as the ranks need. A row for each value, not
+    seven aggregates for each column, so that the JVM compiles the aggregation however many columns there are.
     """
     columns = list(columns or numeric_columns(df))
-    stats = [
-        F.struct(
-            F.count(c).alias("count"),
-            F.count_if(F.col(c).isNull()).alias("null_count"),
-            *[f(F.col(c).cast("double")).alias(name) for name, f in (("mean", F.avg), ("std", F.stddev_samp))],
-            *[f(c).cast("double").alias(name) for name, f in (("min", F.min), ("max", F.max))],
-        )
-        for c in columns
-    ]
-    one = df.agg(*stats).first()
+    stats = long_form(df, [], {k: F.col(c) for k, c in enumerate(columns)}).groupBy("_c").agg(*_stats("_x"))
+    none = {"count": 0, "null_count": 0, "mean": None, "std": None, "min": None, "max": None}
+    one = [none] * len(columns)
+    for row in stats.collect():  # as many as columns
+        one[row["_c"]] = row
     found = _quantiles(df, columns, (0.25, 0.5, 0.75), sum(s["count"] for s in one), buffer)
     rows = [(c, s["count"], s["null_count"], s["mean"], s["std"], s["min"], *found[c], s["max"]) for c, s in zip(columns, one)]
     return df.sparkSession.createDataFrame(rows, "column string, count long, null_count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
@@ -145,34 +146,23 @@ def group_describe(df: DataFrame, by: Sequence[str], columns: Sequence[str], buf
     One job where all values together are `buffer` at most; else quartiles are found by rank.
     """
     shares = (0.25, 0.5, 0.75)
-    x = [F.col(c).cast("double") for c in columns]
-    fine = [F.when(finite(F.col(c)), v) for c, v in zip(columns, x)]
+    keys = [f"_g{k}" for k in range(len(by))]
     few = df.count() * len(columns) <= buffer
-    quartiles = [F.percentile(v, F.array(*map(F.lit, shares))) if few else F.lit(None).cast("array<double>") for v in fine]
-    stats = [
-        F.struct(
-            F.lit(k).alias("_k"),
-            F.lit(c).alias("column"),
-            F.count(c).alias("count"),
-            F.count_if(F.col(c).isNull()).alias("null_count"),
-            *[f(v).alias(name) for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
-            q.alias("_q"),
-        ).alias(f"_s{k}")
-        for k, (c, v, q) in enumerate(zip(columns, x, quartiles))
-    ]
-    rows = df.groupBy(*by).agg(*stats).select(*by, F.explode(F.array(*[f"_s{k}" for k in range(len(columns))])).alias("_s")).select(*by, "_s.*")
+    stats = _stats("_x") + ([F.percentile(F.when(finite(F.col("_x")), F.col("_x")), F.array(*map(F.lit, shares))).alias("_q")] if few else [])
+    rows = long_form(df, [F.col(c).alias(k) for c, k in zip(by, keys)], {k: F.col(c) for k, c in enumerate(columns)}).groupBy(*keys, "_c").agg(*stats)
     if few:
         ends = [F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
     else:
         found = group_quantiles(df, by, columns, shares, few=min(buffer, FEW))
-        keys = [f"_g{k}" for k in range(len(by))]
         wide = found.groupBy(*keys, "_c").agg(*[F.max(F.when(F.col("_q") == k, F.col("value"))).alias(f"_q{k}") for k in range(3)])
-        same = F.col("_k") == F.col("_c")
-        for c, k in zip(by, keys):
-            same = same & F.col(c).eqNullSafe(F.col(k))
-        rows = rows.drop("_q").join(wide, same, "left")
+        wide = wide.withColumnsRenamed({c: f"{c}_" for c in [*keys, "_c"]})
+        same = F.col("_c") == F.col("_c_")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        rows = rows.join(wide, same, "left")
         ends = [F.col(f"_q{k}").alias(n) for k, n in enumerate(("q25", "q50", "q75"))]
-    return rows.select(*by, "column", "count", "null_count", "mean", "std", "min", *ends, "max")
+    name = F.get(F.array(*map(F.lit, columns)), F.col("_c")).alias("column")
+    return rows.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], name, "count", "null_count", "mean", "std", "min", *ends, "max")
 
 
 def weighted_moments(df: DataFrame, column: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import aggregate
+from quillon.operators import aggregate, quantiles
 from quillon.operators.quantiles import group_medians, group_quantiles, with_order
 
 INF, NAN = float("inf"), float("nan")
@@ -71,3 +71,47 @@ def test_describe_by_either_way(spark):
     assert aggregate.quantiles(df, ["b", "d"], (0.5,), buffer=10) == {"b": [(1499**3 + 1500**3) / 2], "d": [None]}
     assert aggregate.describe(df.where("false"), buffer=0).where("count = 0 AND q50 IS NULL").count() == 4
     assert aggregate.column_stat(df, "a", "median") == 1499.5
+
+
+def test_describe_reads_what_is_not_settled(spark, monkeypatch, tmp_path):
+    """One pass for the statistics, one for the parts, and one more only over the columns with a part of many values."""
+    few = [f"CAST(id % {k + 2} AS double) AS few{k}" for k in range(3)]
+    spark.range(3000).selectExpr(*few, "id / 3000 AS many").repartition(3).write.parquet(str(tmp_path / "t"))
+    table, read, plans = spark.read.parquet(str(tmp_path / "t")), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    found = aggregate.describe(table.mapInArrow(counted, table.schema), buffer=10).orderBy("column").collect()
+    assert read.value == 3 * 3000 and [r["q50"] for r in found] == [0.5, 1.0, 1.5, 2999 / 2 / 3000]
+
+    def watched(df, tag, kept=quantiles.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag)
+
+    monkeypatch.setattr(quantiles, "written", watched)
+    assert sorted(map(str, aggregate.describe(table, buffer=10).collect())) == sorted(map(str, found))
+    assert len(plans) == 3 and "many:double" in plans[0] and "few0:double" in plans[0]
+    assert "many:double" in plans[2] and "few" not in plans[2]
+
+
+def test_parts_of_any_width(spark):
+    """Columns of hard values: of all sizes, near each other and far, around zero and next to one."""
+    hard = [v for v in values() if math.isfinite(v)]
+    near = [math.nextafter(1, 0), 1.0] * 50 + [1 + k * 2.0**-52 for k in range(300)] + [k * 5e-324 for k in range(-300, 300)]
+    df = spark.createDataFrame([("h", v) for v in hard] + [("n", v) for v in near] + [("z", v) for v in (0.0, -0.0, 5e-324)], "g string, x double").repartition(3)
+    at = (0.1, 0.25, 0.5, 0.77, 0.9)
+    got = {(r["_g0"], r["_q"]): r["value"] for r in group_quantiles(df, ["g"], ["x"], at, few=1).collect()}
+    for g, some in (("h", hard), ("n", near), ("z", [0.0, -0.0, 5e-324])):
+        assert all(got[g, k] == pytest.approx(plain(some, q), rel=1e-12, abs=0) for k, q in enumerate(at))
+
+
+def test_group_describe_by_either_way(spark):
+    rows = [(g, float(i % 77) - 30, None if i % 3 else i) for i in range(500) for g in ("a", None)] + [("odd", NAN, None), ("odd", INF, None), ("odd", 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, k int").repartition(3)
+    one, two = (sorted(map(str, aggregate.group_describe(df, ["g"], ["x", "k"], buffer=b).collect())) for b in (10**6, 10))
+    assert one == two and len(one) == 6
+    odd = {r["column"]: r for r in aggregate.group_describe(df.where("g = 'odd'"), ["g"], ["x", "k"]).collect()}
+    assert (odd["x"]["count"], odd["x"]["q50"], odd["k"]["null_count"], odd["k"]["q50"]) == (3, 2.0, 3, None)
